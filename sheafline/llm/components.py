@@ -28,12 +28,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder, removed again by drop()."""
+    """Tables written to the shared folder; retain() removes those no longer needed."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.held: list[tuple[str, DataFrame]] = []
 
     def path(self) -> str:
         self.count += 1
@@ -43,12 +44,17 @@ class Scratch:
         """Writes the table and returns it as read back, without its lineage."""
         path = self.path()
         table.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(table.schema).parquet(path)
+        saved = self.spark.read.schema(table.schema).parquet(path)
+        self.held.append((path, saved))
+        return saved
 
-    def drop(self, path: str | None = None) -> None:
-        self.spark._jvm.org.apache.hadoop.fs.Path(path or self.root).getFileSystem(
-            self.spark._jsc.hadoopConfiguration()
-        ).delete(self.spark._jvm.org.apache.hadoop.fs.Path(path or self.root), True)
+    def retain(self, *tables: DataFrame) -> None:
+        """Removes every saved table but these."""
+        for path, saved in self.held:
+            if not any(saved is t for t in tables):
+                place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        self.held = [(p, t) for p, t in self.held if any(t is x for x in tables)]
 
 
 def connected_components(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
@@ -64,7 +70,8 @@ def connected_components(links: DataFrame, scratch: Scratch, most_rounds: int =
     edges = scratch.save(edges)
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # saved first, so that both sides of the join are plain exchanges and Spark can split a hub's rows
+        lowest = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = (
             both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         )

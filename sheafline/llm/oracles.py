@@ -42,6 +42,25 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM t GROUP BY conv_id
 """
 
+_JACCARD = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + 2), ' ') AS s
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 2))) AS i FROM w WHERE len(words) > 0)
+), size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+meet AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (
+  SELECT x, y FROM meet JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE 100 * k >= 90 * (p.n + q.n - k)
+), both_ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT reach.doc_id, both_ways.y FROM reach JOIN both_ways ON both_ways.x = reach.other
+)
+SELECT r.doc_id, coalesce(any_value(size.n), 0) AS n_shingles, min(other) AS component_id
+FROM reach r LEFT JOIN size ON size.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
 _SUBSTRINGS = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
@@ -68,5 +87,6 @@ FROM w LEFT JOIN kept USING (doc_id)
 ORACLES: dict[str, str] = {
     "op1_secret_scan": _secrets_sql(),
     "op4_chat_formatting": _CHAT,
+    "op6_ngram_jaccard_join": _JACCARD,
     "op8_substring_dedup": _SUBSTRINGS,
 }

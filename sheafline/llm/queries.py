@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat, quality_rules, secret_scan
 from .oracles import ORACLES as ORACLES
+from .jaccard_join import jaccard_components
 from .substring_dedup import remove_repeats
 
 
@@ -54,6 +55,11 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents linked by a Jaccard similarity of 0.9 of their three-word shingles."""
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, threshold=(9, 10))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 20 words that start earlier too are removed from every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -73,6 +79,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op4_chat_formatting": op4_chat_formatting,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
 }

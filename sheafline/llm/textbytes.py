@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; bounds the memory of a task.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _U64 = np.uint64
 #: An odd multiplier that is 5 modulo 8: its powers minus one have few factors 2.
