@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, packing, quality_rules, secret_scan
+from . import byte_bpe, chat, packing, quality_rules, secret_scan, topk
 from .oracles import ORACLES as ORACLES
 from .jaccard_join import jaccard_components
 from .substring_dedup import remove_repeats
@@ -37,6 +37,13 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of every 20th vector with all others."""
+    vectors = topk.quantize(table(spark, sf_dir, "embeddings"))
+    found = topk.top_k(vectors.where("id % 20 = 0"), vectors, 20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations rendered from an event log, digested as read back from the output."""
     turns = table(spark, sf_dir, "conversations").select(
@@ -99,6 +106,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_exact_topk": op3_exact_topk,
     "op4_chat_formatting": op4_chat_formatting,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_substring_dedup": op8_substring_dedup,
