@@ -73,6 +73,15 @@ SELECT r.doc_id, coalesce(any_value(size.n), 0) AS n_shingles, min(other) AS com
 FROM reach r LEFT JOIN size ON size.doc_id = r.doc_id GROUP BY r.doc_id
 """
 
+_WARC = """
+WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS d, strlen(coalesce(html, '')) AS n FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
 _SUBSTRINGS = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
@@ -101,5 +110,6 @@ ORACLES: dict[str, str] = {
     "op3_exact_topk": _TOP_K,
     "op4_chat_formatting": _CHAT,
     "op6_ngram_jaccard_join": _JACCARD,
+    "op7_warc": _WARC,
     "op8_substring_dedup": _SUBSTRINGS,
 }

@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, packing, quality_rules, secret_scan, topk
+from . import byte_bpe, chat, packing, quality_rules, secret_scan, topk, warc
 from .oracles import ORACLES as ORACLES
+from .components import Scratch
 from .jaccard_join import jaccard_components
 from .substring_dedup import remove_repeats
 
@@ -74,6 +75,21 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, threshold=(9, 10))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives in the shared folder and read back."""
+    path = Scratch(spark, "warc").path()
+    warc.write(warc.records_of_pages(table(spark, sf_dir, "pages")), path)
+    records = warc.read(spark, path)
+    own = F.col("record_type") == "response"
+    return records.select(
+        warc.page_number("record_id").alias("page_id"),
+        F.when(own, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(own, F.sha2("payload", 256)).otherwise(F.regexp_replace("payload_digest", "^sha256:", "")).alias("payload_digest"),
+        "record_type",
+        warc.page_number("refers_to").alias("refers_to"),
+    )
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 20 words that start earlier too are removed from every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -109,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_topk": op3_exact_topk,
     "op4_chat_formatting": op4_chat_formatting,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_warc": op7_warc,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
