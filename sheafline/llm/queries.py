@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, packing, quality_rules, secret_scan, topk, warc
+from . import byte_bpe, chat, langid, packing, quality_rules, secret_scan, topk, warc
 from .oracles import ORACLES as ORACLES
 from .components import Scratch
 from .jaccard_join import jaccard_components
@@ -70,6 +70,13 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a network learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    told = langid.predict(docs.select("doc_id", "text"), langid.learn(docs))
+    return told.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents linked by a Jaccard similarity of 0.9 of their three-word shingles."""
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, threshold=(9, 10))
@@ -124,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_exact_topk": op3_exact_topk,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_language_id": op5_language_id,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_warc": op7_warc,
     "op8_substring_dedup": op8_substring_dedup,

@@ -27,9 +27,9 @@ def _table(seed: int) -> np.ndarray:
 
 
 _BYTES = _table(20_05)
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[ord("A") : ord("Z") + 1] += 32
-_BYTES_FOLDED = _BYTES[_FOLD]
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[ord("A") : ord("Z") + 1] += 32
+_BYTES_FOLDED = _BYTES[FOLD]
 
 #: The white space that ends a word: blank and the controls 09 to 0D.
 _SPACE = np.zeros(256, dtype=bool)
