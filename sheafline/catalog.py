@@ -1,10 +1,721 @@
-"""The registered queries: name -> (query, SQL or None)."""
+"""The registered queries: name -> (query, SQL for DuckDB or None).
+
+Each query applies an operator to whole tables. The SQL is written from the
+operator's definition, not from its code.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .functions import dates, text, vectors
+from .operators import board, chunking, dense, filters, hierarchy, index, metrics, retrieve
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+Table = Callable[[str], DataFrame]
+
+
+def query(sql: str | None = None):
+    """Registers f(t), where t(name) reads a table, under its name."""
+
+    def add(f: Callable[[Table], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        run.__doc__ = f.__doc__
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ------------------------------------------------------------------ shared pieces
+
+_TOKENS = r"list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}]+'), lambda x: length(x) >= 2)"
+_INDEX = rf"""
+WITH tok AS (SELECT doc_id AS id, {_TOKENS.format("text")} AS tokens FROM documents),
+sized AS (SELECT id, tokens, len(tokens) AS dl FROM tok),
+postings AS (SELECT id, dl, token, count(*) AS tf FROM (SELECT id, dl, unnest(tokens) AS token FROM sized) GROUP BY ALL),
+stats AS (SELECT count(*) AS n, avg(dl) AS avg_len FROM sized),
+terms AS (SELECT token, count(*) AS df, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM postings, stats GROUP BY token),
+asked AS (SELECT DISTINCT item_id AS qid, unnest({_TOKENS.format("text")}) AS token FROM benchmark)"""
+_BM25 = (
+    _INDEX
+    + """,
+scored AS (
+  SELECT qid, id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * greatest(dl, 1) / avg_len))), 6) AS score
+  FROM asked JOIN terms USING (token) JOIN postings USING (token), stats GROUP BY qid, id),
+bm25 AS (SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM scored WHERE score > 0) WHERE rank <= 40)"""
+)
+_SLOTS = """
+SELECT id, slot, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS weight FROM (
+  SELECT id, CAST(('0x' || right(md5(token), 2)) AS INTEGER) % 128 AS slot, CAST(count(*) AS DOUBLE) AS n
+  FROM (SELECT {0} AS id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS token FROM {1}) GROUP BY ALL)"""
+_DENSE = f"""
+c AS ({_SLOTS.format("doc_id", "documents")}), q AS ({_SLOTS.format("item_id", "benchmark")}),
+dense AS (SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
+  SELECT q.id AS qid, c.id AS id, round(sum(c.weight * q.weight), 6) AS score FROM c JOIN q USING (slot) GROUP BY ALL)) WHERE rank <= 40)"""
+_HYBRID = (
+    _BM25
+    + ","
+    + _DENSE
+    + """,
+fused AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
+  SELECT qid, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT qid, id, rank FROM bm25 UNION ALL SELECT qid, id, rank FROM dense) GROUP BY ALL))"""
+)
+_INTERROGATIVES = ", ".join(f"'{w}'" for w in text.INTERROGATIVES)
+_COVERAGE = (
+    _BM25
+    + f""",
+weighted AS (SELECT qid, asked.token, coalesce(idf, 1.0) AS idf FROM asked LEFT JOIN terms USING (token) WHERE asked.token NOT IN ({_INTERROGATIVES})),
+total AS (SELECT qid, sum(idf) AS total FROM weighted GROUP BY qid),
+covered AS (SELECT w.qid, b.id, sum(w.idf) AS covered FROM bm25 b JOIN weighted w ON w.qid = b.qid JOIN postings p ON p.id = b.id AND p.token = w.token GROUP BY ALL),
+coverage AS (SELECT b.qid, b.id, round(coalesce(c.covered / t.total, 0.0), 6) AS coverage FROM bm25 b LEFT JOIN covered c ON c.qid = b.qid AND c.id = b.id LEFT JOIN total t ON t.qid = b.qid)"""
+)
+_MINMAX = "CASE WHEN max({0}) OVER (PARTITION BY qid) - min({0}) OVER (PARTITION BY qid) < 1e-9 THEN 0.5 ELSE ({0} - min({0}) OVER (PARTITION BY qid)) / (max({0}) OVER (PARTITION BY qid) - min({0}) OVER (PARTITION BY qid)) END"
+_GOLD = r"""
+gold AS (SELECT item_id AS qid, doc_id AS doc FROM
+  (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL) JOIN
+  (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS q FROM benchmark) ON contains(t, q) OR contains(q, t) WHERE t <> '' AND q <> '')"""
+
+
+def _questions(t: Table) -> DataFrame:
+    return t("benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+
+
+def _index(t: Table) -> index.Index:
+    return index.build(t("documents"), "doc_id", "text")
+
+
+def _bm25(t: Table) -> DataFrame:
+    return retrieve.bm25(_index(t), _questions(t), 40)
+
+
+def _dense(t: Table) -> DataFrame:
+    chunks = vectors.hash_slots(t("documents").withColumnRenamed("doc_id", "id"), "id", "text")
+    asked = vectors.hash_slots(t("benchmark").withColumnRenamed("item_id", "qid"), "qid", "text")
+    return retrieve.sparse_dense(chunks, asked, 40)
+
+
+def _gold(t: Table) -> DataFrame:
+    docs = t("documents").where("text is not null").select(F.col("doc_id").alias("doc"), "text")
+    return metrics.gold_pairs(docs, t("benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("quote")))
+
+
+def _parts(t: Table) -> DataFrame:
+    return t("conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("part_idx"), "role", "text")
+
+
+# ------------------------------------------------------------------ text and index
+
+
+@query(f"SELECT doc_id, CAST(len(x) AS BIGINT) AS n_tokens, CAST(len(list_distinct(x)) AS BIGINT) AS n_distinct FROM (SELECT doc_id, {_TOKENS.format('text')} AS x FROM documents)")
+def tokenize_stats(t: Table) -> DataFrame:
+    x = text.tokens(F.col("text"))
+    return t("documents").select("doc_id", F.size(x).cast("long").alias("n_tokens"), F.size(F.array_distinct(x)).cast("long").alias("n_distinct"))
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS BIGINT) AS n FROM documents")
+def ascii_tokens(t: Table) -> DataFrame:
+    return t("documents").select("doc_id", F.size(text.ascii_tokens(F.col("text"))).cast("long").alias("n"))
+
+
+@query(r"""SELECT item_id, unnest(list_transform(range(1, greatest(length(x) - 3, 1) + 1), lambda i: substring(x, i, 4))) AS gram
+FROM (SELECT item_id, lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS x FROM benchmark) WHERE length(x) > 0""")
+def char_ngrams(t: Table) -> DataFrame:
+    return t("benchmark").select("item_id", F.explode(text.char_ngrams(F.col("text"))).alias("gram"))
+
+
+@query(r"""SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, CAST(coalesce(list_max(list_transform(s, lambda x: length(x))), 0) AS BIGINT) AS longest
+FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?…])\s+', chr(92) || '1' || chr(10), 'g'), '\n'), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents)""".replace("chr(92) || '1' || chr(10)", "'\\1\n'"))
+def sentence_stats(t: Table) -> DataFrame:
+    s = text.sentences(F.col("text"))
+    longest = F.coalesce(F.array_max(F.transform(s, F.length)), F.lit(0))
+    return t("documents").select("doc_id", F.size(s).cast("long").alias("n_sentences"), longest.cast("long").alias("longest"))
+
+
+@query(f"""SELECT item_id, coalesce(nullif(array_to_string(list_filter({_TOKENS.format('text')}, lambda x: x NOT IN ({_INTERROGATIVES})), ' '), ''), text) AS keywords FROM benchmark""")
+def keyword_query(t: Table) -> DataFrame:
+    return t("benchmark").select("item_id", text.keyword_query(F.col("text")).alias("keywords"))
+
+
+def _language_sql() -> str:
+    count = {lang: "len(list_filter(x, lambda w: w IN (" + ", ".join(f"'{w}'" for w in ws) + ")))" for lang, ws in text.FUNCTION_WORDS.items()}
+    most = f"greatest({', '.join(count.values())})"
+    cases = " ".join(f"WHEN {c} = {most} THEN '{lang}'" for lang, c in count.items())
+    return f"SELECT doc_id, CASE WHEN {most} = 0 THEN 'und' {cases} END AS detected FROM (SELECT doc_id, {_TOKENS.format('text')} AS x FROM documents)"
+
+
+@query(_language_sql())
+def language_detect(t: Table) -> DataFrame:
+    return t("documents").select("doc_id", text.language(F.col("text")).alias("detected"))
+
+
+@query(_INDEX + " SELECT token, df, round(idf, 6) AS idf FROM terms")
+def term_idf(t: Table) -> DataFrame:
+    return _index(t).terms.select("token", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(_INDEX + " SELECT id, CAST(count(*) AS BIGINT) AS n_terms, CAST(sum(tf) AS BIGINT) AS n_tokens, CAST(max(tf) AS BIGINT) AS top_tf FROM postings GROUP BY id")
+def postings_stats(t: Table) -> DataFrame:
+    return _index(t).postings.groupBy("id").agg(F.count("*").alias("n_terms"), F.sum("tf").alias("n_tokens"), F.max("tf").alias("top_tf"))
+
+
+@query("SELECT count(*) AS n_chunks, round(avg(length(coalesce(text, ''))), 1) AS avg_chars, CAST(floor(quantile_cont(length(coalesce(text, '')), 0.95)) AS BIGINT) AS p95_chars FROM documents")
+def index_stats(t: Table) -> DataFrame:
+    return index.size_stats(t("documents"), "text")
+
+
+@query(f"SELECT id, slot, round(weight, 6) AS weight FROM ({_SLOTS.format('doc_id', 'documents')})")
+def ascii_hash_embed(t: Table) -> DataFrame:
+    found = vectors.hash_slots(t("documents").withColumnRenamed("doc_id", "id"), "id", "text")
+    return found.select("id", "slot", F.round("weight", 6).alias("weight"))
+
+
+# ------------------------------------------------------------------ retrieval
+
+
+@query(_BM25 + " SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM bm25 WHERE rank <= 8")
+def bm25_top8(t: Table) -> DataFrame:
+    return _bm25(t).where("rank <= 8")
+
+
+_VARIANTS = f"""
+variants AS (SELECT qid, unnest(list_distinct(list_filter([question, kw, long_words], lambda x: x IS NOT NULL))) AS v FROM (
+  SELECT item_id AS qid, text AS question, coalesce(nullif(array_to_string(list_filter({_TOKENS.format('text')}, lambda x: x NOT IN ({_INTERROGATIVES})), ' '), ''), text) AS kw,
+    nullif(array_to_string(list_filter({_TOKENS.format('text')}, lambda x: length(x) >= 6), ' '), '') AS long_words FROM benchmark)),
+vasked AS (SELECT DISTINCT qid, v, unnest({_TOKENS.format('v')}) AS token FROM variants),
+vscored AS (SELECT qid, id, round(max(s), 6) AS score FROM (
+  SELECT qid, v, id, sum(idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * greatest(dl, 1) / avg_len))) AS s
+  FROM vasked JOIN terms USING (token) JOIN postings USING (token), stats GROUP BY ALL) GROUP BY qid, id)"""
+
+
+@query(_INDEX + "," + _VARIANTS + " SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM vscored WHERE score > 0) WHERE rank <= 8")
+def bm25_multi_query(t: Table) -> DataFrame:
+    return retrieve.bm25(_index(t), _questions(t), 8, variants=True)
+
+
+@query(f"WITH {_DENSE} SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM dense WHERE rank <= 8")
+def dense_hash_top8(t: Table) -> DataFrame:
+    return _dense(t).where("rank <= 8")
+
+
+@query(_HYBRID + " SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM fused WHERE rank <= 8")
+def hybrid_rrf(t: Table) -> DataFrame:
+    return retrieve.fuse([_bm25(t), _dense(t)]).where("rank <= 8")
+
+
+@query(_HYBRID + """ SELECT f.qid, f.id, CAST(b.rank AS INTEGER) AS bm25_rank, CAST(d.rank AS INTEGER) AS dense_rank, CAST(f.rank AS INTEGER) AS fused_rank
+FROM fused f LEFT JOIN bm25 b USING (qid, id) LEFT JOIN dense d USING (qid, id)""")
+def trace_ladder(t: Table) -> DataFrame:
+    lexical, near = _bm25(t), _dense(t)
+    return retrieve.trace({"bm25": lexical, "dense": near, "fused": retrieve.fuse([lexical, near])})
+
+
+@query(_COVERAGE + " SELECT * FROM coverage")
+def idf_coverage(t: Table) -> DataFrame:
+    ix = _index(t)
+    return retrieve.idf_coverage(ix, _questions(t), retrieve.bm25(ix, _questions(t), 40))
+
+
+def _reranked_sql(score: str, more: str = "") -> str:
+    return _COVERAGE + f""", mixed AS (SELECT b.qid, b.id, b.score, coverage FROM bm25 b JOIN coverage c USING (qid, id)),
+re AS (SELECT qid, id, round({score}, 6) AS score FROM (SELECT *, {_MINMAX.format('score')} AS rel, {_MINMAX.format('coverage')} AS cov FROM mixed) {more})
+SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank FROM re"""
+
+
+@query(_reranked_sql("0.5 * rel + 0.5 * cov"))
+def lexical_rerank(t: Table) -> DataFrame:
+    ix = _index(t)
+    found = retrieve.bm25(ix, _questions(t), 40)
+    return retrieve.rerank_lexical(found, retrieve.idf_coverage(ix, _questions(t), found))
+
+
+#: Documents get a date from their id, as the tables have none.
+_DAY = "date_add(date '2024-01-01', cast(doc_id % 365 as int))"
+
+
+@query(_reranked_sql("rel * power(0.5, abs(date_diff('day', DATE '2024-01-01' + CAST(id % 365 AS INTEGER), DATE '2025-01-01')) / 180.0)"))
+def recency_rerank(t: Table) -> DataFrame:
+    days = t("documents").select(F.col("doc_id").alias("id"), F.expr(_DAY).alias("day"))
+    return retrieve.rerank_recency(_bm25(t), days, F.lit("2025-01-01"))
+
+
+@query(_reranked_sql("rel + 0.3 * power(0.5, abs(date_diff('day', DATE '2024-01-01' + CAST(id % 365 AS INTEGER), DATE '2025-01-01')) / 180.0) + 0.2 * coalesce(quality, 0)", "LEFT JOIN (SELECT doc_id, quality FROM labels) l ON l.doc_id = id"))
+def agentic_rerank(t: Table) -> DataFrame:
+    facts = t("documents").join(t("labels").select("doc_id", "quality"), "doc_id", "left").select(
+        F.col("doc_id").alias("id"), F.expr(_DAY).alias("day"), chunking.importance(F.col("quality"), 0, 1).alias("importance")
+    )
+    return retrieve.rerank_agentic(_bm25(t), facts, F.lit("2025-01-01"))
+
+
+@query(_COVERAGE + """, kept AS (SELECT qid, count(*) AS n FROM coverage WHERE coverage >= 0.6 GROUP BY qid)
+SELECT item_id AS qid, coalesce(n, 0) AS n_contexts, coalesce(n, 0) = 0 AS abstained FROM benchmark LEFT JOIN kept ON qid = item_id""")
+def lexical_gate(t: Table) -> DataFrame:
+    ix = _index(t)
+    found = retrieve.bm25(ix, _questions(t), 40)
+    grades = retrieve.idf_coverage(ix, _questions(t), found).withColumnRenamed("coverage", "grade")
+    return retrieve.abstained(_questions(t), retrieve.gate(found, grades, 0.6))
+
+
+@query(_BM25 + """ SELECT qid, doc AS source, CAST(row_number() OVER (PARTITION BY qid ORDER BY best, doc) AS INTEGER) AS place FROM (
+  SELECT qid, source AS doc, min(rank) AS best FROM bm25 JOIN documents ON doc_id = id GROUP BY ALL)""")
+def first_documents(t: Table) -> DataFrame:
+    owners = t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("doc"))
+    return retrieve.first_documents(_bm25(t), owners).withColumnRenamed("doc", "source")
+
+
+@query()
+def context_budget(t: Table) -> DataFrame:
+    """The fold over a question's contexts; tested against a loop."""
+    sizes = t("documents").select(F.col("doc_id").alias("id"), F.length("text").alias("size"))
+    return retrieve.fit_budget(_bm25(t).where("rank <= 8"), sizes, 6000)
+
+
+@query()
+def mmr_diversify(t: Table) -> DataFrame:
+    """Greedy per question; tested against a loop."""
+    slots = vectors.hash_slots(t("documents").withColumnRenamed("doc_id", "id"), "id", "text")
+    full = slots.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "weight"))).alias("m"))
+    vec = full.select("id", F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("vec"))
+    return retrieve.mmr(_bm25(t).where("rank <= 20"), vec, 0.7, 8)
+
+
+@query()
+def extractive_answer(t: Table) -> DataFrame:
+    rows = _bm25(t).join(t("documents").select(F.col("doc_id").alias("id"), "text"), "id").select("qid", "rank", F.col("id").alias("doc"), "text")
+    return retrieve.extractive_answer(rows)
+
+
+@query()
+def drill_down(t: Table) -> DataFrame:
+    """The two best sources of every question as summaries, each with its best covered documents."""
+    ix = _index(t)
+    found = retrieve.bm25(ix, _questions(t), 40)
+    owners = t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("doc"))
+    kept = retrieve.first_documents(found, owners).where("place <= 2").select("qid", F.col("doc").alias("id"), F.col("place").alias("rank"))
+    held = found.join(owners, "id").select("qid", F.col("id").cast("string").alias("id"), "doc")
+    members = held.groupBy(F.col("doc").alias("id")).agg(F.collect_set(F.col("id")).alias("member_ids"))  # of the candidates
+    cover = retrieve.idf_coverage(ix, _questions(t), found).withColumn("id", F.col("id").cast("string"))
+    return retrieve.drill_down(kept, members, cover, 3)
+
+
+# ------------------------------------------------------------------ vectors
+
+_KNN = """
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+n AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS u FROM v),
+s AS (SELECT a.vec_id AS qid, b.vec_id AS id, a.label AS ql, b.label AS l, round(list_sum(list_transform(range(1, len(a.u) + 1), lambda i: a.u[i] * b.u[i])), 6) AS score FROM n a JOIN n b ON a.vec_id <> b.vec_id),
+knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5)
+"""
+
+
+def _knn(t: Table) -> DataFrame:
+    return dense.cosine_top_k(t("embeddings"), t("embeddings"), 5, "vec_id", "embedding")
+
+
+@query(_KNN + "SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM knn")
+def knn_cosine(t: Table) -> DataFrame:
+    return _knn(t)
+
+
+@query(_KNN + "SELECT ql AS label, round(avg(CAST(l = ql AS DOUBLE)), 6) AS precision, count(*) AS n FROM knn GROUP BY ql")
+def knn_label_precision(t: Table) -> DataFrame:
+    labels = t("embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("l"))
+    rows = _knn(t).join(labels, "id").join(labels.select(F.col("id").alias("qid"), F.col("l").alias("label")), "qid")
+    return rows.groupBy("label").agg(F.round(F.avg((F.col("l") == F.col("label")).cast("double")), 6).alias("precision"), F.count("*").alias("n"))
+
+
+@query(_KNN + "SELECT least(qid, id) AS a, greatest(qid, id) AS b, max(score) AS weight FROM knn WHERE score > 0 GROUP BY ALL")
+def knn_edges(t: Table) -> DataFrame:
+    return hierarchy.knn_edges(_knn(t))
+
+
+@query("SELECT label, CAST(i - 1 AS INTEGER) AS slot, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM (SELECT label, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY ALL")
+def mean_vector(t: Table) -> DataFrame:
+    return dense.mean_vectors(t("embeddings"), "label", "embedding").withColumn("mean", F.round("mean", 6))
+
+
+@query("""WITH c AS (SELECT label, vec_id AS id, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings),
+m AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS mean FROM c GROUP BY ALL), n AS (SELECT label, sqrt(sum(mean * mean)) AS norm FROM m GROUP BY label),
+s AS (SELECT label, id, round(sum(CAST(x AS DOUBLE) * mean) / any_value(norm), 6) AS score FROM c JOIN m USING (label, i) JOIN n USING (label) GROUP BY ALL)
+SELECT label, id, score, CAST(row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS INTEGER) AS place FROM s""")
+def centroid_order(t: Table) -> DataFrame:
+    return dense.centroid_order(t("embeddings"), "vec_id", "label", "embedding")
+
+
+# ------------------------------------------------------------------ hierarchy
+
+_RARE = _INDEX + """, rare AS (SELECT * FROM (SELECT id, token, round(idf, 6) AS idf, row_number() OVER (PARTITION BY id ORDER BY idf DESC, token) AS place
+  FROM postings JOIN terms USING (token) WHERE df >= 2) WHERE place <= 12)"""
+_EDGES = _RARE + ", edges AS (SELECT x.id AS a, y.id AS b, round(sum(x.idf), 6) AS weight FROM rare x JOIN rare y USING (token) WHERE x.id < y.id GROUP BY ALL)"
+
+
+def _edges(t: Table) -> DataFrame:
+    return hierarchy.lexical_edges(hierarchy.rare_terms(_index(t)))
+
+
+@query(_RARE + " SELECT id, token, idf, CAST(place AS INTEGER) AS place FROM rare")
+def rare_terms_top12(t: Table) -> DataFrame:
+    return hierarchy.rare_terms(_index(t))
+
+
+@query(_EDGES + " SELECT * FROM edges")
+def lexical_edges(t: Table) -> DataFrame:
+    return _edges(t)
+
+
+@query(_EDGES + " SELECT count(*) AS n_edges, round(2 * count(*) / (any_value(n) * (any_value(n) - 1)), 6) AS density FROM edges, (SELECT count(*) AS n FROM documents)")
+def graph_density(t: Table) -> DataFrame:
+    return hierarchy.density(_edges(t), t("documents").count())
+
+
+@query(_KNN + """, e AS (SELECT least(qid, id) AS a, greatest(qid, id) AS b, max(score) AS w FROM knn WHERE score > 0 GROUP BY ALL), lab AS (SELECT vec_id, label FROM embeddings),
+x AS (SELECT w, p.label AS la, q.label AS lb FROM e JOIN lab p ON p.vec_id = a JOIN lab q ON q.vec_id = b),
+i AS (SELECT la AS label, sum(w) AS inside FROM x WHERE la = lb GROUP BY la), d AS (SELECT label, sum(w) AS degree FROM (SELECT la AS label, w FROM x UNION ALL SELECT lb, w FROM x) GROUP BY label)
+SELECT round(sum(coalesce(inside, 0) / m - pow(degree / (2 * m), 2)), 6) AS modularity, count(*) AS n_groups FROM d LEFT JOIN i USING (label), (SELECT sum(w) AS m FROM e)""")
+def graph_modularity(t: Table) -> DataFrame:
+    return hierarchy.modularity(hierarchy.knn_edges(_knn(t)), t("embeddings").select(F.col("vec_id").alias("id"), "label"))
+
+
+@query()
+def label_propagation(t: Table) -> DataFrame:
+    """Iterative; tested against a loop."""
+    return hierarchy.label_propagation(hierarchy.knn_edges(_knn(t)), 3)
+
+
+@query()
+def kmeans_groups(t: Table) -> DataFrame:
+    """Iterative; tested by its properties."""
+    return hierarchy.kmeans_groups(t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), 10)
+
+
+@query("SELECT lang AS \"group\", doc_id AS id FROM documents UNION ALL SELECT source, doc_id FROM documents WHERE source <> lang")
+def metadata_groups(t: Table) -> DataFrame:
+    rows = t("documents").select("doc_id", F.array_compact(F.array_distinct(F.array("lang", "source"))).alias("tags"))
+    return hierarchy.metadata_groups(rows, "doc_id", ["tags"])[1]
+
+
+@query("SELECT count(*) AS n_groups, min(n) AS smallest, CAST(floor(quantile_cont(n, 0.5)) AS BIGINT) AS median, max(n) AS largest, CAST(count(*) FILTER (n = 1) AS BIGINT) AS singles FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)")
+def level_stats(t: Table) -> DataFrame:
+    return hierarchy.level_stats(t("documents"), "source")
+
+
+@query("SELECT source, count(*) AS members, round(avg(n_chars), 3) AS mean, min(doc_id) AS first, max(doc_id) AS last, string_agg(DISTINCT lang, ' ' ORDER BY lang) AS kinds FROM documents GROUP BY source")
+def group_card(t: Table) -> DataFrame:
+    return hierarchy.group_card(t("documents"), "source", "n_chars", "doc_id", "lang")
+
+
+@query("""SELECT source, max(quality) AS confidence, round(avg(toxic), 3) AS mean_toxic, count(DISTINCT lang) AS n_langs FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source""")
+def label_rollup(t: Table) -> DataFrame:
+    rows = t("documents").join(t("labels"), "doc_id", "left")
+    return rows.groupBy("source").agg(F.max("quality").alias("confidence"), F.round(F.avg("toxic"), 3).alias("mean_toxic"), F.count_distinct("lang").alias("n_langs"))
+
+
+# ------------------------------------------------------------------ chunking
+
+
+@query("SELECT conv_id AS doc_id, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
+def doc_join(t: Table) -> DataFrame:
+    return chunking.join_parts(_parts(t), prefix="role").select("doc_id", F.md5("text").alias("digest"))
+
+
+@query("SELECT conv_id AS doc_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS chunk_idx, turn AS part_start, turn AS part_end, text FROM conversations")
+def part_chunks(t: Table) -> DataFrame:
+    return chunking.part_chunks(_parts(t))
+
+
+@query("""SELECT doc_id, CAST(chunk_idx AS BIGINT) AS chunk_idx, min(turn) AS part_start, max(turn) AS part_end, string_agg(text, chr(10) ORDER BY turn) AS text FROM (
+  SELECT conv_id AS doc_id, turn, text, sum(o) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) - 1 AS chunk_idx FROM (
+    SELECT *, CASE WHEN row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1 OR role = 'user' THEN 1 ELSE 0 END AS o FROM conversations)) GROUP BY ALL""")
+def label_boundary_chunks(t: Table) -> DataFrame:
+    return chunking.label_chunks(_parts(t), F.col("role") == "user")
+
+
+@query(r"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_idx, piece AS text FROM (
+  SELECT doc_id, unnest(p) AS piece, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\n|\. '), lambda x: trim(x, ' ')), lambda x: x <> '') AS p FROM documents))""")
+def separator_chunks(t: Table) -> DataFrame:
+    return chunking.separator_chunks(t("documents"), [". ", "\n"])
+
+
+@query()
+def word_pack_chunks(t: Table) -> DataFrame:
+    return chunking.budget_chunks(t("documents"), 500)
+
+
+@query()
+def sliding_windows(t: Table) -> DataFrame:
+    return chunking.window_chunks(t("documents"), 500, 100)
+
+
+@query()
+def drift_chunks(t: Table) -> DataFrame:
+    """Conversations cut where consecutive turns drift apart."""
+    parts = _parts(t)
+    slot = vectors.hash_slots(parts.withColumn("id", F.struct("doc_id", "part_idx")), "id", "text")
+    full = slot.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "weight"))).alias("m"))
+    vec = full.select("id.*", F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("vec"))
+    return chunking.drift_chunks(parts.join(vec, ["doc_id", "part_idx"], "left"))
+
+
+@query("""SELECT doc_id, CASE WHEN lang IS NULL AND source IS NULL AND quality IS NULL THEN '' ELSE
+ '[' || concat_ws(' | ', 'lang: ' || lang, 'source: ' || source, 'quality: ' || CAST(quality AS VARCHAR)) || ']' || chr(10) END AS prefix FROM documents LEFT JOIN labels USING (doc_id)""")
+def contextual_prefix(t: Table) -> DataFrame:
+    rows = t("documents").join(t("labels"), "doc_id", "left")
+    return rows.select("doc_id", chunking.contextual_prefix([(c, F.col(c)) for c in ("lang", "source", "quality")]).alias("prefix"))
+
+
+@query("""WITH p AS (SELECT conv_id, turn, role, CASE WHEN row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1 OR role = 'user' THEN 1 ELSE 0 END AS o FROM conversations),
+g AS (SELECT *, sum(o) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) - 1 AS c FROM p),
+f AS (SELECT conv_id, c, role, min(turn) AS pos FROM g GROUP BY ALL)
+SELECT conv_id AS doc_id, CAST(c AS BIGINT) AS chunk_idx, string_agg(role, ' ' ORDER BY pos) AS roles FROM f GROUP BY ALL""")
+def label_flow(t: Table) -> DataFrame:
+    parts = _parts(t)
+    found = chunking.label_flow(parts, chunking.label_chunks(parts, F.col("role") == "user"), "role")
+    return found.select("doc_id", "chunk_idx", F.array_join("values", " ").alias("roles"))
+
+
+@query("SELECT conv_id AS doc_id, turn AS chunk_idx, lag(turn) OVER w AS before, lead(turn) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def neighbours(t: Table) -> DataFrame:
+    return chunking.neighbours(_parts(t).withColumnRenamed("part_idx", "chunk_idx"))
+
+
+# ------------------------------------------------------------------ filters and dates
+
+
+@query("SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE (lang IN ('en', 'de') AND quality IS NOT NULL AND quality <> 0) OR n_chars > 5000")
+def metadata_filter(t: Table) -> DataFrame:
+    rows = t("documents").join(t("labels"), "doc_id", "left")
+    spec = {"$or": [{"lang": {"$in": ["en", "de"]}, "quality": {"$ne": 0}}, {"n_chars": {"$gt": 5000}}]}
+    return rows.where(filters.compile_filter(spec, F.col)).select("doc_id")
+
+
+@query("""WITH s AS (SELECT user_id, CAST(strftime(min(ts), '%Y%m%d') AS INTEGER) AS f, CAST(strftime(max(ts), '%Y%m%d') AS INTEGER) AS u, count(*) AS n FROM events GROUP BY user_id)
+SELECT user_id, f AS span_from, u AS span_to, n AS n_events FROM s WHERE f <= 20240115 AND u >= 20240110""")
+def time_overlap(t: Table) -> DataFrame:
+    spans = t("events").groupBy("user_id").agg(dates.date_int(F.min("ts")).alias("span_from"), dates.date_int(F.max("ts")).alias("span_to"), F.count("*").alias("n_events"))
+    return spans.where(filters.time_overlap(F.col("span_from"), F.col("span_to"), 20240110, 20240115))
+
+
+@query("SELECT event_type, round(sum(value * power(0.5, date_diff('day', CAST(ts AS DATE), DATE '2024-02-01') / 30.0)), 4) AS decayed FROM events GROUP BY event_type")
+def recency_decay(t: Table) -> DataFrame:
+    age = dates.age_days(F.col("ts"), F.lit("2024-02-01"))
+    return t("events").groupBy("event_type").agg(F.round(F.sum(F.col("value") * dates.decay(age, 30)), 4).alias("decayed"))
+
+
+# ------------------------------------------------------------------ scoring
+
+
+@query("WITH " + _GOLD.strip() + " SELECT DISTINCT qid, doc FROM gold")
+def gold_marking(t: Table) -> DataFrame:
+    return _gold(t)
+
+
+_METRICS = _BM25 + "," + _GOLD + """, g AS (SELECT DISTINCT qid, doc FROM gold), ng AS (SELECT qid, count(*) AS n_gold FROM g GROUP BY qid),
+m AS (SELECT b.qid, b.rank, CASE WHEN g.doc IS NULL THEN 0 ELSE 1 END AS good FROM bm25 b LEFT JOIN g ON g.qid = b.qid AND g.doc = b.id),
+per AS (SELECT qid, sum(good) FILTER (rank <= 8) AS found, count(*) FILTER (rank <= 8) AS given, max(good / rank) AS mrr, sum(good / log2(rank + 1)) FILTER (rank <= 8) AS dcg FROM m GROUP BY qid),
+scores AS (SELECT qid, round(coalesce(found / n_gold, 0), 6) AS recall, round(coalesce(found / given, 0), 6) AS precision, round(coalesce(mrr, 0), 6) AS mrr,
+ round(coalesce(dcg / list_sum(list_transform(range(1, least(n_gold, 8) + 1), lambda i: 1.0 / log2(i + 1))), 0), 6) AS ndcg, coalesce(found, 0) > 0 AS hit FROM ng LEFT JOIN per USING (qid))"""
+
+
+def _metrics(t: Table) -> DataFrame:
+    ranking = _bm25(t).select("qid", F.col("id").alias("doc"), F.col("rank").alias("place"))
+    return metrics.retrieval_metrics(ranking, _gold(t), 8)
+
+
+@query(_METRICS + " SELECT * FROM scores")
+def retrieval_metrics(t: Table) -> DataFrame:
+    return _metrics(t)
+
+
+@query(_METRICS + " SELECT qid, round((0.4 * recall + 0.2 * ndcg) / 0.6, 6) AS headline FROM scores")
+def headline(t: Table) -> DataFrame:
+    none = F.lit(None).cast("double")
+    return _metrics(t).select("qid", F.round(metrics.headline(F.col("recall"), none, F.col("ndcg"), none), 6).alias("headline"))
+
+
+@query(_METRICS + """, d AS (SELECT hit, (recall + precision + mrr + ndcg) / 4 AS s FROM scores)
+SELECT hit, count(*) AS n, round(avg(s), 6) AS mean, round(CASE WHEN count(*) > 1 THEN stddev_samp(s) / sqrt(count(*)) END, 6) AS stderr FROM d GROUP BY hit""")
+def decision_spread(t: Table) -> DataFrame:
+    return metrics.spread(_metrics(t), "hit", metrics.decision(*[F.col(c) for c in ("recall", "precision", "mrr", "ndcg")]))
+
+
+_RUNS = "runs AS (SELECT c_mktsegment AS dataset, c_nationkey AS run, round(avg(c_acctbal), 6) AS mean, round(CASE WHEN count(*) > 1 THEN stddev_samp(c_acctbal) / sqrt(count(*)) END, 6) AS stderr FROM customer GROUP BY ALL)"
+
+
+def _runs(t: Table) -> DataFrame:
+    """Customers' balances stand in for scores: segments for datasets, nations for runs."""
+    c = F.col("c_acctbal").cast("double")
+    return t("customer").groupBy(F.col("c_mktsegment").alias("dataset"), F.col("c_nationkey").alias("run")).agg(
+        F.round(F.avg(c), 6).alias("mean"), F.round(F.when(F.count("*") > 1, F.stddev_samp(c) / F.sqrt(F.count("*"))), 6).alias("stderr")
+    )
+
+
+@query("WITH " + _RUNS + """, r AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY mean DESC NULLS LAST, run) AS k FROM runs),
+two AS (SELECT dataset, max(run) FILTER (k = 1) AS leader, max(mean) FILTER (k = 1) AS m1, max(mean) FILTER (k = 2) AS m2, max(stderr) FILTER (k = 1) AS e1, max(stderr) FILTER (k = 2) AS e2 FROM r WHERE k <= 2 GROUP BY dataset)
+SELECT dataset, leader, round(m1 - m2, 6) AS lead, CASE WHEN m2 IS NULL THEN 'unranked' WHEN sqrt(e1 * e1 + e2 * e2) IS NULL THEN 'unknown' WHEN m1 - m2 > sqrt(e1 * e1 + e2 * e2) THEN 'winner' ELSE 'tie' END AS verdict FROM two""")
+def verdict(t: Table) -> DataFrame:
+    return metrics.verdict(_runs(t), "dataset", "run")
+
+
+@query(f"SELECT b.item_id, round(max(CASE WHEN n > 0 THEN k / n ELSE 0 END), 6) AS overlap FROM (SELECT item_id, len(list_distinct({_TOKENS.format('b.text')})) AS n, len(list_intersect(list_distinct({_TOKENS.format('b.text')}), list_distinct({_TOKENS.format('l.text')}))) AS k FROM benchmark b, (SELECT text FROM conversations WHERE turn = 0) l) b GROUP BY b.item_id")
+def token_overlap(t: Table) -> DataFrame:
+    """Each question's largest token overlap with an opening turn."""
+    asked = t("benchmark").select("item_id", text.tokens(F.col("text")).alias("a"))
+    openings = t("conversations").where("turn = 0").select(text.tokens(F.col("text")).alias("b"))
+    from .operators.sizes import small
+
+    rows = openings.join(small(asked), F.lit(True))
+    return rows.groupBy("item_id").agg(F.round(F.max(text.token_overlap(F.col("a"), F.col("b"))), 6).alias("overlap"))
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, {_TOKENS.format('text')} AS a, lead({_TOKENS.format('text')}) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations),
+f AS (SELECT conv_id, turn, len(a) + len(b) AS n, coalesce(list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))), 0) AS k FROM p WHERE b IS NOT NULL)
+SELECT conv_id, turn, round(CASE WHEN k > 0 THEN 2.0 * k / n ELSE 0.0 END, 6) AS f1 FROM f""")
+def token_f1(t: Table) -> DataFrame:
+    """Token F1 of every turn with the one after it."""
+    w = W.partitionBy("conv_id").orderBy("turn")
+    rows = t("conversations").select("conv_id", "turn", text.tokens(F.col("text")).alias("a")).withColumn("b", F.lead("a").over(w)).where("b is not null")
+    return rows.select("conv_id", "turn", F.round(text.token_f1(F.col("a"), F.col("b")), 6).alias("f1"))
+
+
+@query()
+def fuzzy_quote(t: Table) -> DataFrame:
+    """Opening turns against the answers that follow, as quotes and texts; tested against difflib."""
+    w = W.partitionBy("conv_id").orderBy("turn")
+    rows = t("conversations").select("conv_id", "turn", F.col("text").alias("text"), F.substring("text", 1, 40).alias("quote")).withColumn("text", F.lead("text").over(w))
+    return metrics.fuzzy_quotes(rows.where("turn = 0 and text is not null"))
+
+
+@query(_BM25 + "," + _GOLD + """, g AS (SELECT DISTINCT qid, doc FROM gold), h AS (SELECT DISTINCT g.qid, g.doc FROM g JOIN bm25 ON bm25.qid = g.qid AND bm25.id = g.doc WHERE rank <= 8)
+SELECT g.qid, round(avg(CASE WHEN h.doc IS NULL THEN 0.0 ELSE 1.0 END), 6) AS quote_recall FROM g LEFT JOIN h ON h.qid = g.qid AND h.doc = g.doc GROUP BY g.qid""")
+def quote_recall(t: Table) -> DataFrame:
+    quotes = _gold(t).select("qid", F.col("doc").alias("quote_id"))
+    return metrics.quote_recall(quotes, _bm25(t).where("rank <= 8").select("qid", F.col("id").alias("quote_id")))
+
+
+@query(_COVERAGE + """, a AS (SELECT qid, coverage >= 0.5 AS good, row_number() OVER (PARTITION BY qid ORDER BY rank) AS k, sum(CAST(coverage >= 0.5 AS INTEGER)) OVER (PARTITION BY qid ORDER BY rank ROWS UNBOUNDED PRECEDING) AS c FROM coverage JOIN bm25 USING (qid, id))
+SELECT qid, round(coalesce(sum(c / k) FILTER (good) / nullif(count(*) FILTER (good), 0), 0.0), 6) AS context_precision FROM a GROUP BY qid""")
+def context_precision(t: Table) -> DataFrame:
+    ix = _index(t)
+    found = retrieve.bm25(ix, _questions(t), 40)
+    grades = found.join(retrieve.idf_coverage(ix, _questions(t), found), ["qid", "id"]).select("qid", "rank", F.col("coverage").alias("similarity"))
+    return metrics.average_precision(grades)
+
+
+# ------------------------------------------------------------------ boards, samples, stores
+
+
+@query("""WITH s AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n FROM documents)
+SELECT doc_id FROM s WHERE k IN (SELECT i * (SELECT count(*) FROM documents) // 100 FROM range(100) r(i))""")
+def stride_sample(t: Table) -> DataFrame:
+    docs = t("documents").select("doc_id")
+    return board.stride_sample(docs, ["doc_id"], 100, docs.count())
+
+
+@query("""WITH s AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE lang IS NOT NULL)
+SELECT doc_id, lang FROM s WHERE k IN (SELECT i * s.n // 20 FROM range(20) r(i))""")
+def balanced_sample(t: Table) -> DataFrame:
+    docs = t("documents").where("lang is not null").select("doc_id", "lang")
+    return board.balanced_sample(docs, "lang", ["doc_id"], 80)
+
+
+@query("SELECT doc_id, quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars > 500)")
+def dangling_refs(t: Table) -> DataFrame:
+    return board.dangling(t("labels").select("doc_id", "quality"), "doc_id", t("documents").where("n_chars > 500"), "doc_id")
+
+
+@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def latest_wins(t: Table) -> DataFrame:
+    found = board.latest(t("events"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")])
+    return found.select("user_id", "event_type", "event_id", "value")
+
+
+_BOARD = """WITH r AS (SELECT c_custkey AS id, c_nationkey AS dataset, c_acctbal AS decision FROM customer WHERE c_custkey % 3 <> 0),
+l AS (SELECT o_custkey AS id, CAST(NULL AS INTEGER) AS dataset, max(o_totalprice) AS decision FROM orders GROUP BY o_custkey)"""
+
+
+def _board(t: Table) -> DataFrame:
+    runs = t("customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("dataset"), F.col("c_acctbal").alias("decision"))
+    ledger = t("orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_totalprice").alias("decision")).withColumn("dataset", F.lit(None).cast(dict(runs.dtypes)["dataset"]))
+    return board.merge_board(runs, ledger, "id", ["dataset", "decision"])
+
+
+@query(_BOARD + """ SELECT coalesce(r.id, l.id) AS id, coalesce(r.dataset, l.dataset) AS dataset, coalesce(r.decision, l.decision) AS decision,
+ CASE WHEN r.id IS NOT NULL AND l.id IS NOT NULL THEN 'both' WHEN r.id IS NOT NULL THEN 'run' ELSE 'ledger' END AS source FROM r FULL JOIN l ON r.id = l.id""")
+def board_full_outer(t: Table) -> DataFrame:
+    return _board(t)
+
+
+@query("SELECT o_orderpriority AS dataset, count(*) AS n_runs, max(o_orderdate) AS newest, max(o_totalprice) AS best FROM orders GROUP BY 1")
+def board_by_dataset(t: Table) -> DataFrame:
+    rows = t("orders").select(F.col("o_orderpriority").alias("dataset"), F.col("o_orderdate").alias("started_at"), F.col("o_totalprice").alias("decision"))
+    return board.by_dataset(rows)
+
+
+@query("""WITH p AS (SELECT user_id AS run, md5(array_to_string(list_sort(list(DISTINCT event_type)), ',')) AS questions FROM events GROUP BY user_id)
+SELECT questions, count(*) AS n_runs, string_agg(CAST(run AS VARCHAR), ' ' ORDER BY run) AS runs FROM p GROUP BY questions""")
+def comparability_groups(t: Table) -> DataFrame:
+    found = board.comparability(t("events").withColumnRenamed("user_id", "run"), "run", "event_type", [])
+    return found.select("questions", "n_runs", F.array_join("runs", " ").alias("runs"))
+
+
+@query("SELECT lang, count(*) AS n, round(avg(CAST(quality AS DOUBLE)), 6) AS quality, round(avg(CAST(toxic AS DOUBLE)), 6) AS toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")
+def difficulty_rates(t: Table) -> DataFrame:
+    rows = t("documents").join(t("labels"), "doc_id", "left")
+    return board.rates(rows, "lang", {"quality": F.col("quality"), "toxic": F.col("toxic")})
+
+
+@query("""WITH j AS (SELECT source AS judge, quality = 1 AS supported, CASE WHEN n_chars < 100 THEN NULL ELSE n_chars > 400 END AS verdict FROM documents JOIN labels USING (doc_id)),
+r AS (SELECT *, coalesce(CAST(supported = verdict AS DOUBLE), 0.0) AS ok FROM j)
+SELECT judge, round(avg(ok), 6) AS accuracy, round(avg(ok) FILTER (supported), 6) AS recall_true, round(avg(ok) FILTER (NOT supported), 6) AS recall_false,
+ CAST(count(*) FILTER (verdict IS NULL) AS BIGINT) AS failures, count(DISTINCT verdict) < 2 AS degenerate FROM r GROUP BY judge""")
+def judge_screen_score(t: Table) -> DataFrame:
+    rows = t("documents").join(t("labels"), "doc_id")
+    judged = rows.select(F.col("source").alias("judge"), (F.col("quality") == 1).alias("supported"), F.when(F.col("n_chars") >= 100, F.col("n_chars") > 400).alias("verdict"))
+    return board.screen_score(judged)
+
+
+@query("""WITH s AS (SELECT user_id, CAST(floor(value) AS BIGINT) AS s, CAST(floor(value) AS BIGINT) + 3 AS e FROM events),
+n AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM s),
+g AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM n)
+SELECT user_id, min(s) AS start, max(e) AS "end" FROM g GROUP BY user_id, k""")
+def span_merge(t: Table) -> DataFrame:
+    start = F.floor("value").cast("long")
+    return board.merge_spans(t("events").select("user_id", start.alias("start"), (start + 3).alias("end")), ["user_id"])
+
+
+@query("SELECT conv_id, turn, used FROM (SELECT conv_id, turn, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM conversations) WHERE used <= 600")
+def history_budget(t: Table) -> DataFrame:
+    return board.history_budget(t("conversations"), 600).select("conv_id", "turn", "used")
+
+
+@query("""SELECT p_partkey, CAST((CASE WHEN contains(lower(p_name), 'a') THEN 3 ELSE 0 END + CASE WHEN contains(lower(p_name), 'steel') THEN 3 ELSE 0 END + CASE WHEN contains(lower(p_type), 'a') THEN 1 ELSE 0 END + CASE WHEN contains(lower(p_type), 'steel') THEN 1 ELSE 0 END) AS INTEGER) AS score
+FROM part WHERE score > 0 ORDER BY score DESC, p_partkey LIMIT 8""")
+def catalogue_search(t: Table) -> DataFrame:
+    return board.search_pages(t("part"), ["a", "steel"], {"p_name": 3, "p_type": 1}, "p_partkey")
+
+
+@query("SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'click') AS clicks, CAST(sum(length(props)) AS BIGINT) AS chars FROM events GROUP BY user_id")
+def context_counts(t: Table) -> DataFrame:
+    return t("events").groupBy("user_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("event_type") == "click", 1)).alias("clicks"), F.sum(F.length("props")).alias("chars"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n_documents, CAST(count(*) FILTER (text IS NULL OR trim(text) = '') AS BIGINT) AS blank, CAST(count(*) FILTER (contains(text, chr(10) || chr(10))) AS BIGINT) AS blank_lines, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS unlabelled FROM documents")
+def dataset_readings(t: Table) -> DataFrame:
+    docs = t("documents")
+    lost = docs.join(t("labels").select("doc_id").distinct(), "doc_id", "left_anti").agg(F.count("*").alias("unlabelled"))
+    told = docs.agg(
+        F.count("*").alias("n_documents"),
+        F.sum((F.col("text").isNull() | (F.trim("text") == "")).cast("long")).alias("blank"),
+        F.sum(F.coalesce(F.contains("text", F.lit("\n\n")), F.lit(False)).cast("long")).alias("blank_lines"),
+    )
+    return told.crossJoin(lost)  # one row each
