@@ -14,9 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textbytes import mix
+
 #: Bytes of input files that make one block.
 BLOCK_BYTES = 8 << 20
 #: A row group of this many rows stands in where Spark doesn't know the size of a table.
@@ -101,5 +103,58 @@ def id_array(column: pa.ChunkedArray) -> np.ndarray:
     return column.fill_null(-(1 << 63)).to_numpy()
 
 
-def session_of(table: DataFrame) -> SparkSession:
-    return table.sparkSession
+#: Bits of a membership filter: so many for each id, between the two bounds.
+FILTER_BITS_EACH, FILTER_LEAST, FILTER_MOST = 16, 1 << 16, 1 << 27
+
+
+def likely(table: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """``table`` less most of the rows whose id is not in ``ids``: a Bloom filter before a semi-join.
+
+    The filter has at most FILTER_MOST bits (16 MB), however many ids there are;
+    where it is full it lets more rows pass, never fewer. Null ids don't pass.
+    """
+    return _filtered(table, ids, column, True)
+
+
+def unlikely(table: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows that likely() with the same arguments leaves out: surely none of ``ids``."""
+    return _filtered(table, ids, column, False)
+
+
+def _filtered(table: DataFrame, ids: DataFrame, column: str, inside: bool) -> DataFrame:
+    spark = table.sparkSession
+    bits = 1 << max(FILTER_LEAST, min(FILTER_MOST, FILTER_BITS_EACH * max(ids.count(), 1))).bit_length() - 1
+
+    def places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h = mix(x.astype(np.int64).view(np.uint64))
+        return tuple((mix(h + np.uint64(k)) & np.uint64(bits - 1)).astype(np.int64) for k in (1, 2, 3))
+
+    def build(batches):
+        seen = np.zeros(bits, bool)
+        for batch in batches:
+            x = batch.column(0).drop_null().to_numpy()
+            for at in places(x):
+                seen[at] = True
+        yield pa.RecordBatch.from_pydict({"part": pa.array([0], pa.int32()), "filter": pa.array([np.packbits(seen).tobytes()], pa.binary())})
+
+    def union(batches):
+        whole = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            for x in batch.column(0):
+                whole |= np.frombuffer(x.as_buffer(), np.uint8)
+        yield pa.RecordBatch.from_pydict({"filter": pa.array([whole.tobytes()], pa.binary())})
+
+    parts = ids.select(column).coalesce(8).mapInArrow(build, "part int, filter binary").select("filter")
+    row = parts.coalesce(1).mapInArrow(union, "filter binary").first()
+    shared = spark.sparkContext.broadcast(np.unpackbits(np.frombuffer(row[0], np.uint8)).view(bool) if row else np.zeros(bits, bool))
+    at_column = table.columns.index(column)
+
+    def keep(batches):
+        seen = shared.value
+        for batch in batches:
+            x = batch.column(at_column)
+            a, b, c = places(x.fill_null(0).to_numpy())
+            good = seen[a] & seen[b] & seen[c] & x.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(good if inside else ~good))
+
+    return table.mapInArrow(keep, table.schema)

@@ -41,6 +41,9 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
+from .blocks import likely, unlikely
+from .components import Scratch
+
 SCHEMA = "record_id string, record_type string, target_uri string, record_date string, refers_to string, payload_digest string, payload_length long, payload binary"
 #: Header lines of the columns; the last of them is this format's own extension.
 HEADERS = {
@@ -350,7 +353,10 @@ def records_of_pages(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     slim = base.where(f"payload_length >= {least_bytes}").select("page_id", "digest")
     first = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("many")).where("many > 1 and first is not null").select("digest", "first")
     later = slim.where("page_id is not null").join(first, "digest").where("page_id <> first").select("page_id", "digest", "first").distinct()
-    told = base.join(later, ["page_id", "digest"], "left")
+    # pages that surely are no copies stay where they are; the others are held against the list
+    later = Scratch(pages.sparkSession, "revisits").save(later)
+    sure = unlikely(base, later, "page_id").withColumn("first", F.lit(None).cast("long"))
+    told = sure.unionByName(likely(base, later, "page_id").join(later, ["page_id", "digest"], "left"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     again = F.col("first").isNotNull()
     return told.select(
