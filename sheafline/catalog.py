@@ -621,8 +621,9 @@ def stride_sample(t: Table) -> DataFrame:
     return board.stride_sample(docs, ["doc_id"], 100, docs.count())
 
 
-@query("""WITH s AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE lang IS NOT NULL)
-SELECT doc_id, lang FROM s WHERE k IN (SELECT i * s.n // 20 FROM range(20) r(i))""")
+@query("""WITH s AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE lang IS NOT NULL),
+q AS (SELECT lang, count(*) AS quota FROM (SELECT lang FROM s ORDER BY k, lang LIMIT 80) GROUP BY lang)
+SELECT doc_id, s.lang FROM s JOIN q ON q.lang = s.lang WHERE k IN (SELECT i * s.n // quota FROM range(80) r(i) WHERE i < quota)""")
 def balanced_sample(t: Table) -> DataFrame:
     docs = t("documents").where("lang is not null").select("doc_id", "lang")
     return board.balanced_sample(docs, "lang", ["doc_id"], 80)
