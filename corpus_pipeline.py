@@ -1,7 +1,87 @@
-"""The corpus pipeline: stages applied to documents, one after another."""
-STAGES = []
+"""The corpus pipeline: documents filtered, cleaned and packed, stage by stage.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+as Parquet and read again as the next stage's ``docs``. All but the last return
+the columns of documents; n_chars follows the text.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from sheafline.llm import packing, quality_rules, secret_scan
+from sheafline.llm.blocks import likely, unlikely
+from sheafline.llm.components import Scratch
+from sheafline.llm.jaccard_join import jaccard_components
+from sheafline.llm.substring_dedup import remove_repeats
+
+#: Words of a passage that is removed where it repeats.
+PASSAGE_WORDS = 50
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the decision list, learned from the quality labels, keeps."""
+    rules = quality_rules.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_rules.apply_list(docs, rules).where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that similarities of 0.8 of five-word shingles connect, that of the smallest id.
+
+    Of rows of one id the one with the smallest text stays; rows without an id stay.
+    """
+    classes = jaccard_components(docs, n=5, threshold=(4, 5))
+    # ids that go, and ids that occur more than once; all other documents stay where they are
+    judged = classes.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("many"))
+    odd = Scratch(spark, "classes").save(judged.where("doc_id <> first or many > 1").select("doc_id", (F.col("doc_id") == F.col("first")).alias("stays")))
+    same = W.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first(), *[c for c in docs.columns if c not in ("doc_id", "text")])
+    doubtful = likely(docs, odd, "doc_id").join(odd, "doc_id", "left").where("coalesce(stays, true)")
+    doubtful = doubtful.withColumn("_n", F.row_number().over(same)).where("_n = 1").select(*docs.columns)
+    return unlikely(docs, odd, "doc_id").select(*docs.columns).unionByName(doubtful)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 50 words or more that an earlier place has; emptied ones stay, with no text."""
+    out = remove_repeats(docs, size=PASSAGE_WORDS, keep_untouched=True)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = out.select("doc_id", F.col("kept_text").alias("text"), *[F.col(f"rest.`{c}`") for c in rest])
+    return _counted(out).select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with every secret replaced by a mark."""
+    return _counted(secret_scan.redact(docs)).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces with their places in sequences of 2048 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", passages),
+    ("secret scans", secrets),
+    ("best-fit packing", packed),
+]
+
+#: A learned list decides in the first stage, which SQL cannot express; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages applied to documents."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = scratch.save(stage(spark, docs, sf_dir))
+    scratch.retain(docs)
+    return docs

@@ -9,11 +9,13 @@ again. Encoding and decoding are narrow: no row leaves its partition.
 from __future__ import annotations
 
 import base64
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,7 @@ class ByteBpe:
         self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.split = regex.compile(pattern.replace(r"[^\s", f"[^{UNICODE_SPACE}").replace(r"\s", f"[{UNICODE_SPACE}]").replace(r"\S", f"[^{UNICODE_SPACE}]"))
         self.memory = Remembered()
+        self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
         tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             tokens[rank] = token
@@ -51,7 +54,13 @@ class ByteBpe:
         self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
 
     def _encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        matches = [[m.encode() for m in self.split.findall(p.decode())] for p in pieces]
+        texts = [p.decode() for p in pieces]
+        matches = [[m.encode() for m in self.split.findall(t)] for t in texts]
+        for i, t in enumerate(texts):
+            # letters newer than Python's tables may be letters to the library, so its ids are taken
+            if not t.isascii() and any(unicodedata.category(c) == "Cn" for c in t):
+                ids = self.library.encode_ordinary(t)
+                matches[i] = [self.library.decode_single_token_bytes(x) for x in ids]  # each a token of its own
         distinct = list(dict.fromkeys(m for ms in matches for m in ms))
         whole = {m: self.ranks[m] for m in distinct if m in self.ranks}
         rest = [m for m in distinct if m not in whole]

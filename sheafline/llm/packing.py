@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from .bpe_merges import MergeTable, Remembered
 from .byte_bpe import UNICODE_SPACE
@@ -55,9 +56,21 @@ class WordBpe:
         pattern = next(x["pattern"]["Regex"] for x in told["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.split = regex.compile(pattern.replace(r"[^\s", f"[^{UNICODE_SPACE}"))
         self.memory = Remembered()
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True
 
     def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        parts = [[m.encode() for m in self.split.findall(_normal(w.decode()))] for w in words]
+        texts = [w.decode() for w in words]
+        # letters newer than Python's tables may be letters to the library, so it splits these words itself
+        new = [i for i, t in enumerate(texts) if not t.isascii() and any(unicodedata.category(c) == "Cn" for c in t)]
+        if new:
+            own = [e.ids for e in self.library.encode_batch([texts[i] for i in new], add_special_tokens=False)]
+            rest = [i for i in range(len(words)) if i not in set(new)]
+            ids, counts = self._encode_words([words[i] for i in rest]) if rest else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+            lists = dict(zip(rest, np.split(ids, np.cumsum(counts)[:-1]), strict=True)) if rest else {}
+            lists |= {i: np.array(x, np.int32) for i, x in zip(new, own, strict=True)}
+            return np.concatenate([lists[i] for i in range(len(words))]).astype(np.int32), np.array([len(lists[i]) for i in range(len(words))], np.int64)
+        parts = [[m.encode() for m in self.split.findall(_normal(t))] for t in texts]
         distinct = list(dict.fromkeys(p for ps in parts for p in ps))
         counts = np.array([len(p) for p in distinct], np.int64)
         raw = np.frombuffer(b"".join(distinct), np.uint8)

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +29,7 @@ from .blocks import answer_shared, block_count, bucket_bits, find, id_array, pac
 from .textbytes import span_hashes, text_chunks, window_hashes, window_starts, word_spans
 
 
-def remove_repeats(docs: DataFrame, size: int = 50, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 50, id_column: str = "doc_id", text_column: str = "text", keep_untouched: bool = False) -> DataFrame:
     """Every row of ``docs`` with the words removed that repeat an earlier window.
 
     A word goes if some window of ``size`` words that covers it also starts
@@ -37,7 +38,8 @@ def remove_repeats(docs: DataFrame, size: int = 50, id_column: str = "doc_id", t
 
     Returns (id, kept_text, n_words long, n_removed long, removed
     array<struct<start,end>> in words, end exclusive, rest struct<the other
-    columns>). kept_text is the kept words joined by one blank.
+    columns>). kept_text is the kept words joined by one blank; with
+    keep_untouched, a text of which nothing goes comes back as it is.
 
     Defined results: a null or wordless text has no words and an empty kept_text;
     a null id counts as smaller than all others; rows of equal id are ordered by
@@ -70,7 +72,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, id_column: str = "doc_id", t
             T.StructField("rest", base.schema["rest"].dataType),
         ]
     )
-    return texts.cogroup(windows.groupBy("block")).applyInArrow(_remove(size), schema).withColumnRenamed("id", id_column)
+    return texts.cogroup(windows.groupBy("block")).applyInArrow(_remove(size, keep_untouched), schema).withColumnRenamed("id", id_column)
 
 
 def _ordered(table: pa.Table) -> pa.Table:
@@ -187,7 +189,7 @@ def _answer_windows(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(names, pa.int32()), "high": pa.array(cut(high), pa.binary()), "low": pa.array(cut(low), pa.binary()), "own": pa.array(cut(own), pa.binary())})
 
 
-def _remove(size: int):
+def _remove(size: int, keep_untouched: bool):
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
         table = _ordered(table)
         high, low, own = (unpack_column(answers[k], kind)[0] for k, kind in (("high", "<u8"), ("low", "<u8"), ("own", "u1")))
@@ -197,7 +199,7 @@ def _remove(size: int):
         tie = len(high) > 1 and bool((high[1:] == high[:-1]).any())
         unseen = np.ones(len(high), bool)  # of own first occurrences, in the order of documents
         kept, n_words, n_removed, spans, span_counts = [], [], [], [], []
-        for _, _, data, starts, ends, first, words, windows in _chunks(table, size):
+        for row, last, data, starts, ends, first, words, windows in _chunks(table, size):
             cover = np.zeros(len(words) + 1, np.int64)
             if len(windows) and len(high):
                 at = find(high, window_hashes(words, size, seed=1)[windows])
@@ -223,7 +225,10 @@ def _remove(size: int):
             before = np.r_[0, np.cumsum(gone)]
             n_words.append(np.diff(first))
             n_removed.append(before[first[1:]] - before[first[:-1]])
-            kept.append(_joined(data, starts, ends, ~gone, first))
+            joined = _joined(data, starts, ends, ~gone, first)
+            if keep_untouched:
+                joined = pc.if_else(pa.array(n_removed[-1] == 0), table["text"].slice(row, last - row).combine_chunks(), joined)
+            kept.append(joined)
             edge = gone.copy()
             edge[1:] &= ~gone[:-1]
             heads = first[:-1][first[:-1] < first[1:]]
