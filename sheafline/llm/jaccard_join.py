@@ -4,16 +4,19 @@ Method: T-occurrence search over inverted lists, as in DivideSkip (Li, Lu and Lu
 Efficient Merging and Filtering Algorithms for Approximate String Searches,
 2008). Two sets of sizes s and t are similar enough only if they share
 T = ceil(c (s + t) / (1 + c)) shingles. All shingles are put in one order, rare ones
-first. Of a set, the first few make the short lists: any partner must occur in
-one of them. They are merged with a heap; what the merge finds is probed in the
-long lists, the rest of the set, by binary search in the partner's sorted shingles,
-and kept if short and long occurrences together reach T.
+first. Of a set, the first few make the short lists: with l shingles left for the long lists, a
+partner occurs at least T - l times in the short ones. These are merged with a
+heap; what occurs often enough is probed in the long lists, the rest of the set, by
+binary search in the partner's sorted shingles, and kept if short and long
+occurrences together reach T. The short lists are longer by EXTRA of the set than
+one occurrence would need, so that passages shared by chance don't suffice.
 
 For scale:
 
-* Rarity comes from counts of all shingles of the corpus in SKETCH buckets, a
-  table of fixed size. Any order gives the same result; this one keeps what many
-  documents share out of the short lists.
+* Rarity comes from counts of all words and all shingles of the corpus in buckets,
+  two tables of fixed size: what a shingle's words let expect, or its own bucket if
+  that is much fuller than the mean. Any order gives the same result; this one keeps
+  what many documents share out of the short lists.
 * Equal sets are one node. A set is counted by digest, never compared.
 * A list whose documents are known to be in one component needs no pairs. While
   lists are long, each document is first held against one leader of its lists, and
@@ -37,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import bucket_bits, block_count, pack, split_by_bucket, unpack_column
+from .blocks import block_count, bucket_bits, likely, pack, split_by_bucket, unpack_column
 from .components import Scratch, connected_components
 from .textbytes import mix, span_hashes, text_chunks, window_hashes, window_starts, word_spans
 
@@ -46,20 +49,27 @@ SKETCH_BITS = 18
 _PARTS = 16
 #: A bucket so many times fuller than the mean holds a hot shingle.
 HOT_FACTOR = 16
+#: The short lists take one shingle more for every so many of the set.
+EXTRA = 20
 #: Rounds of leaders at most before lists are merged in full.
-LEADER_ROUNDS = 6
+LEADER_ROUNDS = 4
 
 
-def shingle_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def shingle_sets(texts: pa.Array, n: int, of_words=None) -> Iterator[tuple]:
     """Per run of texts: first row, row after the last, then owner and hash of every distinct shingle, by owner and hash.
 
     Words are folded to a-z; a text of fewer than n words has its whole sequence
-    as its one shingle.
+    as its one shingle. of_words(hashes of all words) may give each word a number;
+    then the sum over each shingle's words follows, else None.
     """
     for row, last, data, offsets in text_chunks(texts):
         starts, ends, first = word_spans(data, offsets)
         words = span_hashes(data, starts, ends, fold=True)
+        value = of_words(words) if of_words else None
+        sums = np.r_[0, np.cumsum(value)] if value is not None else None
         at = window_starts(first, n)
+        sizes = [np.full(len(at), n)]
+        places = [at]
         hashes = [window_hashes(words, n)[at]] if len(at) else []
         owners = [np.searchsorted(first, at, side="right") - 1] if len(at) else []
         counts = np.diff(first)
@@ -68,25 +78,35 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray
             if len(short):
                 hashes.append(window_hashes(words, size, seed=100 + size)[first[short]])
                 owners.append(short)
+                places.append(first[short])
+                sizes.append(np.full(len(short), size))
         if not hashes:
-            yield row, last, np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            yield row, last, np.zeros(0, np.int64), np.zeros(0, np.uint64), None
             continue
         h, o = np.concatenate(hashes), np.concatenate(owners)
         order = np.lexsort((h, o))
         h, o = h[order], o[order]
         new = np.r_[True, (h[1:] != h[:-1]) | (o[1:] != o[:-1])]
-        yield row, last, o[new], h[new]
+        weight = None
+        if sums is not None:
+            place, size = np.concatenate(places)[order][new], np.concatenate(sizes)[order][new]
+            weight = sums[place + size] - sums[place]
+        yield row, last, o[new], h[new], weight
 
 
 def _digests(n: int):
     """(id, n_shingles, digest of the set) of every document; then this task's counts of shingles by bucket."""
 
     def run(batches):
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        shingles, words = np.zeros((2, 1 << SKETCH_BITS), np.int64)
+
+        def count_words(hashes):
+            np.add(words, np.bincount(_bucket(hashes), minlength=1 << SKETCH_BITS), out=words)
+
         for batch in batches:
-            for row, last, owner, hashes in shingle_sets(batch.column("text"), n):
+            for row, last, owner, hashes, _ in shingle_sets(batch.column("text"), n, count_words):
                 k = last - row
-                counts += np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+                shingles += np.bincount(_bucket(hashes), minlength=1 << SKETCH_BITS)
                 size = np.bincount(owner, minlength=k)
                 d = np.zeros((2, k), np.uint64)
                 if len(owner):
@@ -103,15 +123,19 @@ def _digests(n: int):
                         "counts": pa.nulls(k, pa.binary()),
                     }
                 )
-        parts = [x.astype("<u4") for x in np.split(np.minimum(counts, (1 << 32) - 1), _PARTS)]
-        none = pa.nulls(_PARTS, pa.int64())
+        parts = [x.astype("<u4") for x in np.split(np.minimum(np.concatenate([shingles, words]), (1 << 32) - 1), 2 * _PARTS)]
+        none = pa.nulls(2 * _PARTS, pa.int64())
         yield pa.RecordBatch.from_pydict(
-            {"id": none, "n_shingles": none, "d1": none, "d2": none, "part": pa.array(range(_PARTS), pa.int32()), "counts": pa.array([pack(x) for x in parts], pa.binary())}
+            {"id": none, "n_shingles": none, "d1": none, "d2": none, "part": pa.array(range(2 * _PARTS), pa.int32()), "counts": pa.array([pack(x) for x in parts], pa.binary())}
         )
 
     return run
 
 
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
 def _sum_counts(table: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(x.as_buffer(), "<u4").astype("<i8") for x in table["counts"])
     return pa.table({"part": table["part"].slice(0, 1), "counts": pa.array([pack(total)], pa.binary())})
@@ -122,27 +146,62 @@ def _least(size: np.ndarray, top: int, bottom: int) -> np.ndarray:
     return -(-size * top // bottom)
 
 
-def _postings(n: int, num: int, den: int, level: np.ndarray, hot: np.ndarray, bits: int):
+class Rarity:
+    """The order of shingles, from the counts of all shingles and of all words by bucket."""
+
+    def __init__(self, shingles: np.ndarray, words: np.ndarray) -> None:
+        self.mean = max(float(shingles.mean()), 1.0)
+        # in whole quarters, so that sums over a shingle's words are the same wherever it occurs
+        quarters = lambda x: np.round(4 * np.log2(x + 1.0)).astype(np.int64)
+        self.shingles = np.where(shingles > 4 * self.mean, quarters(shingles), 0)
+        self.total = int(quarters(words.sum()))
+        self.words = quarters(words) - self.total  # of the share of all words
+        self.hot = shingles > max(HOT_FACTOR * self.mean, 64)
+
+    def of_words(self, hashes: np.ndarray) -> np.ndarray:
+        return self.words[_bucket(hashes)]
+
+    def levels(self, hashes: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Quarters of log2 of how many documents may have a shingle; the same for equal shingles."""
+        return np.clip(np.maximum(weight + self.total, self.shingles[_bucket(hashes)]), 0, 127).astype(np.uint64)
+
+
+def _long(size: np.ndarray, num: int, den: int) -> np.ndarray:
+    """How many shingles of a set of this size are left to the long lists."""
+    return np.maximum(_least(size, num, den) - 1 - size // EXTRA, 0)
+
+
+def _need(size_a: np.ndarray, size_b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Occurrences in the short lists below which two sets of these sizes cannot reach T.
+
+    The set whose short lists end earlier in the order of shingles has all of its
+    common ones there that are not in its long lists.
+    """
+    t = _least(size_a + size_b, num, num + den)
+    return np.maximum(np.minimum(t - _long(size_a, num, den), t - _long(size_b, num, den)), 1)
+
+
+def _postings(n: int, num: int, den: int, shared, bits: int):
     """The short lists' entries of every document, packed by bucket of the shingle."""
 
     def run(batches):
+        rarity = shared.value
         found: list[tuple] = []
         held = 0
         for batch in batches:
             ids = batch.column("id")
             valid = ids.is_valid().to_numpy(zero_copy_only=False)
             ids = ids.fill_null(0).to_numpy()
-            for row, last, owner, hashes in shingle_sets(batch.column("text"), n):
+            for row, last, owner, hashes, weight in shingle_sets(batch.column("text"), n, rarity.of_words):
                 if not len(owner):
                     continue
-                bucket = (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                key = (level[bucket] << np.uint64(58)) | (hashes >> np.uint64(6))
+                key = (rarity.levels(hashes, weight) << np.uint64(57)) | (hashes >> np.uint64(7))
                 order = np.lexsort((key, owner))
-                key, warm, owner = key[order], hot[bucket][order], owner[order]
+                key, warm, owner = key[order], rarity.hot[_bucket(hashes)][order], owner[order]
                 size = np.bincount(owner, minlength=last - row)
                 first = np.cumsum(size) - size
                 pos = np.arange(len(owner)) - first[owner]
-                take = (pos <= size[owner] - _least(size, num, den)[owner]) & valid[row + owner]
+                take = (pos < size[owner] - _long(size, num, den)[owner]) & valid[row + owner]
                 doc = ids[row + owner[take]]
                 found.append((key[take], doc, size[owner[take]], pos[take], warm[take]))
                 held += int(take.sum())
@@ -210,6 +269,30 @@ def _merge(batches):
     yield flush()
 
 
+def _often(num: int, den: int):
+    """Keeps the pairs that occur in each other's short lists as often as T asks for."""
+
+    def run(batches):
+        for batch in batches:
+            sizes = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("size_a", "size_b")]
+            need = np.where(np.minimum(*sizes) > 0, _need(*sizes, num, den), 1)
+            keep = np.zeros(batch.num_rows, bool)
+            sides = []
+            for c in ("keys_a", "keys_b"):
+                column = batch.column(c)
+                ends = column.offsets.to_numpy()
+                sides.append((column.values.to_numpy(), ends))
+            (x, x_at), (y, y_at) = sides
+            for i in range(batch.num_rows):
+                short, other = x[x_at[i] : x_at[i + 1]], y[y_at[i] : y_at[i + 1]]
+                at = np.searchsorted(other, short)
+                at[at == len(other)] = 0
+                keep[i] = len(other) > 0 and int((other[at] == short).sum()) >= need[i]
+            yield pa.RecordBatch.from_pydict({k: batch.column(k).filter(pa.array(keep)) for k in ("a", "b")})
+
+    return run
+
+
 def _verify(n: int, num: int, den: int):
     """Keeps the pairs whose occurrences, found by binary probes of the one set in the other, reach T."""
 
@@ -222,7 +305,7 @@ def _verify(n: int, num: int, den: int):
             for side in ("text_a", "text_b"):
                 distinct = batch.column(side).dictionary_encode()
                 held: list[np.ndarray] = []
-                for row, last, owner, hashes in shingle_sets(distinct.dictionary, n):
+                for row, last, owner, hashes, _ in shingle_sets(distinct.dictionary, n):
                     held += np.split(hashes, np.searchsorted(owner, np.arange(1, last - row)))
                 sides.append((held, distinct.indices.to_numpy(zero_copy_only=False)))
             (left, at_left), (right, at_right) = sides
@@ -267,10 +350,9 @@ def jaccard_components(
 
     told = scratch.save(base.mapInArrow(_digests(n), "id long, n_shingles long, d1 long, d2 long, part int, counts binary"))
     counts = told.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_sum_counts, "part int, counts binary")
-    # _PARTS rows of fixed size, whatever the corpus
-    sketch = np.concatenate([np.frombuffer(r.counts, "<i8") for r in counts.orderBy("part").collect()])
-    level = np.minimum(np.floor(np.log2(sketch + 1.0)), 63).astype(np.uint64)
-    hot = sketch > max(HOT_FACTOR * sketch.mean(), 64)
+    # 2 * _PARTS rows of fixed size, whatever the corpus; the broadcast has two tables of 2**SKETCH_BITS numbers
+    sketch = [np.frombuffer(r.counts, "<i8") for r in counts.orderBy("part").collect()]
+    rarity = spark.sparkContext.broadcast(Rarity(np.concatenate(sketch[:_PARTS]), np.concatenate(sketch[_PARTS:])))
 
     digests = told.where("part is null").select("id", "n_shingles", "d1", "d2")
     filled = digests.where("n_shingles > 0 and id is not null")
@@ -280,16 +362,27 @@ def jaccard_components(
     named = scratch.save(named)
 
     bits = bucket_bits(blocks)
-    packed = base.mapInArrow(_postings(n, num, den, level, hot, bits), "bucket int, key binary, doc binary, size binary, pos binary, hot binary")
+    packed = base.mapInArrow(_postings(n, num, den, rarity, bits), "bucket int, key binary, doc binary, size binary, pos binary, hot binary")
     lists = packed.groupBy("bucket").applyInArrow(_lists, "key long, id long, size int, pos int")
     copies = named.where("id <> rep").select("id").distinct()
     lists = scratch.save(lists.join(copies, "id", "left_anti"))
-    # rows of one id with several texts: the copies' texts are linked through their group
-    wanted = scratch.save(lists.select("id").distinct())
-    texts = scratch.save(base.join(wanted, "id", "left_semi"))
+    # a document whose short lists hold others less often than any partner asks for has none
+    enough = lists.groupBy("id").agg(F.count("*").alias("many"), F.min("size").alias("least")).where(f"many > floor(least / {EXTRA})")
+    wanted = scratch.save(enough.select("id"))
+    lists = scratch.save(lists.join(wanted, "id", "left_semi"))
+    # an id's keys are bounded by the short lists of its own text
+    keys = lists.groupBy("id").agg(F.max("size").alias("size"), F.array_sort(F.collect_set("key")).alias("keys"))
+    # ids with several texts are not judged by the sizes of one
+    several = digests.where("id is not null").groupBy("id").agg(F.count("*").alias("texts")).where("texts > 1").select("id", F.lit(0).alias("alone"))
+    keys = keys.join(scratch.save(several), "id", "left").withColumn("size", F.coalesce("alone", "size")).drop("alone")
+    keys = scratch.save(keys)
+    texts = scratch.save(likely(base, wanted, "id").join(wanted, "id", "left_semi"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+        sided = pairs.select("a", "b").join(keys.select(F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("keys").alias("keys_a")), "a")
+        sided = sided.join(keys.select(F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("keys").alias("keys_b")), "b")
+        often = sided.select("a", "b", "size_a", "size_b", "keys_a", "keys_b").mapInArrow(_often(num, den), "a long, b long")
+        left = often.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(n, num, den), "a long, b long")
 
@@ -321,8 +414,8 @@ def jaccard_components(
             break
         near = entries.join(heads, "key").where(
             f"id <> b and comp <> comp_b and {den} * least(size, size_b) >= {num} * greatest(size, size_b)"
-        )
-        best = near.groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("hits"))
+        )  # any choice is right here: pairs left out now are left to the lists' full merge
+        best = near.groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("hits"), F.min("size").alias("size")).where(f"hits > floor(size / {2 * EXTRA})")
         if tried is not None:
             best = best.join(tried, ["a", "b"], "left_anti")
         best = best.groupBy("a").agg(F.max(F.struct("hits", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
@@ -333,7 +426,7 @@ def jaccard_components(
     parts = _components(found, scratch)
     scratch.retain(named, parts)
     out = named.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return out.select(F.col("id").alias(id_column), "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    return out.select(F.col("id").alias(id_column), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
 
 
 def _components(found: list[DataFrame], scratch: Scratch) -> DataFrame:
@@ -355,7 +448,7 @@ def _residual(entries: DataFrame, heads: DataFrame, num: int, den: int) -> DataF
         "key", F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("pos").alias("pos_a"), F.col("comp").alias("comp_a")
     )
     right = spread.select("key", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"), F.col("comp").alias("comp_b"))
-    rows = left.join(right, "key").where(
+    rows = left.join(right.where(f"pos_b <= size_b - ceil({num} * size_b / {den})"), "key").where(
         f"comp_a <> comp_b and (size_a < size_b or size_a = size_b and a < b) and {den} * size_a >= {num} * size_b"
         f" and {num + den} * least(size_a - pos_a, size_b - pos_b) >= {num} * (size_a + size_b)"
     )
