@@ -9,6 +9,7 @@ round is cut from its lineage by a table in the shared checkpoint folder.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +58,12 @@ class Scratch:
         self.held = [(p, t) for p, t in self.held if any(t is x for x in tables)]
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished steps: it does so once their plans are collected as garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def connected_components(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b); the component is its smallest node.
 

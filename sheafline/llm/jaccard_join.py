@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_count, bucket_bits, likely, pack, split_by_bucket, unpack_column
-from .components import Scratch, connected_components
+from .components import Scratch, connected_components, release
 from .textbytes import mix, span_hashes, text_chunks, window_hashes, window_starts, word_spans
 
 #: log2 of the buckets in which shingles are counted.
@@ -52,7 +52,7 @@ HOT_FACTOR = 16
 #: The short lists take one shingle more for every so many of the set.
 EXTRA = 20
 #: Rounds of leaders at most before lists are merged in full.
-LEADER_ROUNDS = 4
+LEADER_ROUNDS = 5
 
 
 def shingle_sets(texts: pa.Array, n: int, of_words=None) -> Iterator[tuple]:
@@ -376,6 +376,7 @@ def jaccard_components(
     several = digests.where("id is not null").groupBy("id").agg(F.count("*").alias("texts")).where("texts > 1").select("id", F.lit(0).alias("alone"))
     keys = keys.join(scratch.save(several), "id", "left").withColumn("size", F.coalesce("alone", "size")).drop("alone")
     keys = scratch.save(keys)
+    release(spark)
     texts = scratch.save(likely(base, wanted, "id").join(wanted, "id", "left_semi"))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -399,23 +400,24 @@ def jaccard_components(
         else:
             entries = entries.withColumn("comp", F.col("id"))
         entries = scratch.save(entries)
+        # leaders come from the entries that may begin a link; lists without one bring no pairs
+        begins = F.expr(f"pos <= size - ceil(2 * {num} * size / {num + den})")
+        leader = F.struct(F.xxhash64("id", F.lit(turn)).alias("prio"), F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"), F.col("comp").alias("comp_b"))
         heads = entries.groupBy("key").agg(
-            F.min("comp").alias("low"),
-            F.max("comp").alias("high"),
-            F.count("*").alias("many"),
-            F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("prio"), F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("comp").alias("comp_b"))).alias("leader"),
-        ).where("low <> high")
-        heads = scratch.save(heads.select("key", "many", "leader.b", "leader.size_b", "leader.comp_b"))
-        rows, pairs = heads.agg(F.sum("many"), F.sum(F.col("many").cast("double") * F.col("many"))).first()
+            F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("many"), F.count(F.when(begins, 1)).alias("begin"), F.min(F.when(begins, leader)).alias("leader")
+        ).where("low <> high and begin > 0")
+        heads = scratch.save(heads.select("key", "many", "begin", "leader.b", "leader.size_b", "leader.pos_b", "leader.comp_b"))
+        rows, pairs = heads.agg(F.sum("many"), F.sum(F.col("many").cast("double") * F.col("begin"))).first()
         if not rows:
             break
-        if turn == LEADER_ROUNDS or pairs <= 6 * rows:
+        if turn == LEADER_ROUNDS or pairs <= 2 * rows:
             found.append(scratch.save(verified(_residual(entries, heads, num, den))))
             break
         near = entries.join(heads, "key").where(
             f"id <> b and comp <> comp_b and {den} * least(size, size_b) >= {num} * greatest(size, size_b)"
+            f" and {num + den} * least(size - pos, size_b - pos_b) >= {num} * (size + size_b)"
         )  # any choice is right here: pairs left out now are left to the lists' full merge
-        best = near.groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("hits"), F.min("size").alias("size")).where(f"hits > floor(size / {2 * EXTRA})")
+        best = near.groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("hits"))
         if tried is not None:
             best = best.join(tried, ["a", "b"], "left_anti")
         best = best.groupBy("a").agg(F.max(F.struct("hits", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
@@ -423,6 +425,7 @@ def jaccard_components(
         tried = best if tried is None else tried.unionByName(best)
         found.append(scratch.save(verified(best)))
         parts = _components(found, scratch)
+        release(spark)
     parts = _components(found, scratch)
     scratch.retain(named, parts)
     out = named.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
