@@ -9,12 +9,14 @@ from dataclasses import dataclass, field
 
 from .split_plan import parse
 
-EMBEDDERS = ("ascii-hash", "token-hash", "char-hash")
+EMBEDDERS = ("ascii-hash",)
 GROUPINGS = ("", "label-prop", "kmeans", "metadata", "louvain", "agglomerative")
 GRAPHS = ("hybrid", "knn", "lexical")
 RETRIEVERS = ("hybrid-rrf", "dense", "bm25")
 RERANKERS = ("none", "lexical", "recency", "agentic", "cross-encoder", "llm")
 SCOPES = ("mixed", "leaves", "summaries", "drill-down")
+#: Fields of an index that nothing applies to documents; only their defaults are accepted.
+UNBUILT_INDEX = ("split_plan", "chunk_chars", "overlap", "part_join", "part_prefix", "contextual", "hierarchy", "graph_source", "graph_knn", "granularity", "hierarchy_levels", "min_group")
 
 
 def canonical(value) -> str:
@@ -56,6 +58,11 @@ class IndexConfig:
         for name, allowed in (("embedder", EMBEDDERS), ("hierarchy", GROUPINGS), ("graph_source", GRAPHS)):
             if getattr(self, name) not in allowed:
                 out.append(f"{name} is unknown or not available here: {getattr(self, name)!r}")
+        # no code applies these to documents; see README, Not built
+        default = IndexConfig()
+        for name in UNBUILT_INDEX:
+            if getattr(self, name) != getattr(default, name):
+                out.append(f"{name} is not applied to documents here: {getattr(self, name)!r}")
         return out
 
     def effective(self) -> dict:
@@ -110,8 +117,13 @@ class RetrievalConfig:
                 out.append(f"{name} must be positive")
         if not 0 <= self.mmr_lambda <= 1:
             out.append("mmr_lambda must be from 0 to 1")
+        # retrieval knows no summary rows; see README, Not built
+        default = RetrievalConfig()
+        for name in ("summary_scope", "summary_boost", "summary_levels"):
+            if getattr(self, name) != getattr(default, name):
+                out.append(f"{name} is not available here: {getattr(self, name)!r}")
         return out
 
 
-#: A configuration for daily use.
+#: A configuration for daily use; its index is refused by problems() as long as split plans are not applied.
 PRODUCTION = (IndexConfig(split_plan="document / part over-budget"), RetrievalConfig(grade_threshold=0.4))

@@ -58,6 +58,23 @@ def test_fingerprints_ignore_what_has_no_effect():
         fingerprint({"a": float("nan")})
 
 
+@pytest.mark.parametrize(
+    "config",
+    [
+        *[IndexConfig(embedder=e) for e in ("token-hash", "char-hash")],
+        IndexConfig(split_plan="document / part over-budget"),
+        IndexConfig(hierarchy="louvain", hierarchy_levels=2),
+        IndexConfig(contextual=False),
+        IndexConfig(chunk_chars=900),
+        RetrievalConfig(summary_scope="drill-down"),
+        RetrievalConfig(summary_boost=1.5),
+        RetrievalConfig(summary_levels=(1,)),
+    ],
+)
+def test_what_is_not_built_is_refused(config):
+    assert config.problems()
+
+
 def test_filter_language(spark):
     df = spark.createDataFrame([(1, "a", 5), (2, None, 7), (3, "b", None)], "id int, k string, n int")
     ids = lambda spec: sorted(r.id for r in df.where(filters.compile_filter(spec, F.col)).collect())
