@@ -389,7 +389,7 @@ def graph_modularity(t: Table) -> DataFrame:
 @query()
 def label_propagation(t: Table) -> DataFrame:
     """Iterative; tested against a loop."""
-    return hierarchy.label_propagation(hierarchy.knn_edges(_knn(t)), 3)
+    return hierarchy.label_propagation(hierarchy.knn_edges(_knn(t)))
 
 
 @query()

@@ -48,24 +48,36 @@ def bipartite_edges(index: Index) -> DataFrame:
     return index.postings.join(index.terms, "token").select(F.col("id").alias("chunk"), F.col("token").alias("term"), "idf")
 
 
-def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(id, label): each node takes, in every round, the label of the largest weight around it, ties to the smaller.
+def label_propagation(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(id, label): each node takes, in every round, the label of the largest weight around it, ties to the smaller, until none changes.
 
     Synchronous, so a partition may differ from that of the one-by-one algorithm; a
     node's own label counts with the weight of its heaviest edge, which stops
-    two-node oscillation.
+    two-node oscillation. Labels that come back to an earlier state would go round
+    for ever: that raises, as does a change after ``rounds`` if they are given.
+    One row with a fingerprint of the labels reaches the driver in every round.
     """
-    both = edges.select(F.col("a").alias("id"), F.col("b").alias("other"), "weight").unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("other"), "weight"))
-    labels = both.select("id").distinct().withColumn("label", F.col("id"))
-    own = both.groupBy("id").agg(F.max("weight").alias("weight"))
-    checkpoint = both.sparkSession.conf.get("spark.checkpoint.dir", None) is not None
-    for _ in range(rounds):
+    durable = edges.sparkSession.conf.get("spark.checkpoint.dir", None) is not None
+    held = lambda rows: rows.checkpoint() if durable else rows.localCheckpoint()
+    both = held(edges.select(F.col("a").alias("id"), F.col("b").alias("other"), "weight").unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("other"), "weight")))
+    own = held(both.groupBy("id").agg(F.max("weight").alias("weight")))
+    labels = own.select("id", F.col("id").alias("label"))
+    seen = set()
+    while True:
         votes = both.join(labels.select(F.col("id").alias("other"), "label"), "other").select("id", "label", "weight").unionByName(own.join(labels, "id").select("id", "label", "weight"))
         sums = votes.groupBy("id", "label").agg(F.round(F.sum("weight"), 6).alias("w"))
-        labels = sums.groupBy("id").agg(F.max(F.struct(F.col("w"), (-F.col("label")).alias("m"))).alias("best")).select("id", (-F.col("best.m")).alias("label"))
-        if checkpoint:
-            labels = labels.checkpoint()
-    return labels
+        best = sums.groupBy("id").agg(F.max(F.struct(F.col("w"), (-F.col("label")).alias("m"))).alias("best")).select("id", (-F.col("best.m")).alias("label"))
+        now = held(best.join(labels.withColumnRenamed("label", "old"), "id"))
+        code = F.xxhash64("id", "label")
+        told = now.agg(F.count_if(F.col("label") != F.col("old")).alias("changed"), F.bit_xor(code).alias("x"), F.sum(code.cast("decimal(38,0)")).alias("s")).first()
+        labels = now.select("id", "label")
+        if not told.changed:
+            return labels
+        if (told.x, told.s) in seen:
+            raise ValueError(f"labels go round: after {len(seen) + 1} rounds they are as they were before")
+        seen.add((told.x, told.s))
+        if len(seen) == rounds:
+            raise ValueError(f"labels still change after {rounds} rounds")
 
 
 def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
