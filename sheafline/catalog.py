@@ -569,12 +569,7 @@ def verdict(t: Table) -> DataFrame:
 @query(f"SELECT b.item_id, round(max(CASE WHEN n > 0 THEN k / n ELSE 0 END), 6) AS overlap FROM (SELECT item_id, len(list_distinct({_TOKENS.format('b.text')})) AS n, len(list_intersect(list_distinct({_TOKENS.format('b.text')}), list_distinct({_TOKENS.format('l.text')}))) AS k FROM benchmark b, (SELECT text FROM conversations WHERE turn = 0) l) b GROUP BY b.item_id")
 def token_overlap(t: Table) -> DataFrame:
     """Each question's largest token overlap with an opening turn."""
-    asked = t("benchmark").select("item_id", text.tokens(F.col("text")).alias("a"))
-    openings = t("conversations").where("turn = 0").select(text.tokens(F.col("text")).alias("b"))
-    from .operators.sizes import small
-
-    rows = openings.join(small(asked), F.lit(True))
-    return rows.groupBy("item_id").agg(F.round(F.max(text.token_overlap(F.col("a"), F.col("b"))), 6).alias("overlap"))
+    return metrics.largest_overlap(t("benchmark"), t("conversations").where("turn = 0"))
 
 
 @query(f"""WITH p AS (SELECT conv_id, turn, {_TOKENS.format('text')} AS a, lead({_TOKENS.format('text')}) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations),
@@ -589,10 +584,10 @@ def token_f1(t: Table) -> DataFrame:
 
 @query()
 def fuzzy_quote(t: Table) -> DataFrame:
-    """Opening turns against the answers that follow, as quotes and texts; tested against difflib."""
+    """Every turn with the one after it, as quote and text; tested against difflib."""
     w = W.partitionBy("conv_id").orderBy("turn")
-    rows = t("conversations").select("conv_id", "turn", F.col("text").alias("text"), F.substring("text", 1, 40).alias("quote")).withColumn("text", F.lead("text").over(w))
-    return metrics.fuzzy_quotes(rows.where("turn = 0 and text is not null"))
+    rows = t("conversations").select("conv_id", "turn", F.col("text").alias("quote"), F.lead("text").over(w).alias("text"), F.lead("turn").over(w).alias("next"))
+    return metrics.fuzzy_quotes(rows.where("next is not null").drop("next"))
 
 
 @query(_BM25 + "," + _GOLD + """, g AS (SELECT DISTINCT qid, doc FROM gold), h AS (SELECT DISTINCT g.qid, g.doc FROM g JOIN bm25 ON bm25.qid = g.qid AND bm25.id = g.doc WHERE rank <= 8)

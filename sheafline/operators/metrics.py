@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import tokens
 from .sizes import small
 
 
@@ -101,18 +102,6 @@ def ratcliff(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf(T.DoubleType())
-def longest_common(quote: pd.Series, text: pd.Series) -> pd.Series:
-    """The longest common substring's share of the quote; 0 for an empty quote."""
-
-    def share(q: str, t: str) -> float:
-        if not q:
-            return 0.0
-        return difflib.SequenceMatcher(None, q, t or "", autojunk=False).find_longest_match(0, len(q), 0, len(t or "")).size / len(q)
-
-    return pd.Series([share(q or "", t or "") for q, t in zip(quote, text, strict=True)])
-
-
 @F.pandas_udf(T.DoubleType())
 def partial_ratio(short: pd.Series, text: pd.Series) -> pd.Series:
     """The best similarity of the shorter text with a stretch of the other of its length, at the places its matching blocks suggest."""
@@ -128,12 +117,35 @@ def partial_ratio(short: pd.Series, text: pd.Series) -> pd.Series:
 
 
 def fuzzy_quotes(pairs: DataFrame, least: float = 0.9) -> DataFrame:
-    """``pairs`` (quote, text) with found: contained, or nearly so; the slow test runs only where the plain one fails."""
+    """``pairs`` (quote, text) with found: contained, or nearly so; the slow test runs only where the plain one fails.
+
+    Nearly: the longest common substring's share of the quote is at least ``least``.
+    That is so if a stretch of the shortest such length is in the text.
+    """
     plain = F.contains("text", "quote") & (F.col("quote") != "")
-    left = pairs.where(~F.coalesce(plain, F.lit(False))).withColumn("found", longest_common("quote", "text") >= least)
+    n = F.length("quote")
+    k = F.ceil(n * least)  # the product may be off by a rounding
+    some = F.greatest(n, F.lit(1))
+    k = F.when((k - 1) / some >= least, k - 1).when(k / some >= least, k).otherwise(k + 1).cast("int")
+    near = F.exists(F.sequence(F.lit(1), n - k + 1), lambda i: F.contains("text", F.substring("quote", i, k)))
+    near = F.when((n > 0) & (k >= 1) & (F.length("text") >= k), near).otherwise(F.lit(False))
+    left = pairs.where(~F.coalesce(plain, F.lit(False))).withColumn("found", near)
     return pairs.where(plain).withColumn("found", F.lit(True)).unionByName(left)
 
 
+def largest_overlap(asked: DataFrame, told: DataFrame) -> DataFrame:
+    """(item_id, overlap): the largest share of a question's distinct tokens that one of the texts has; 0 where none has any.
+
+    asked: (item_id, text), told: (text). Questions meet the texts on their tokens.
+    """
+    words = lambda rows: rows.withColumn("words", F.array_distinct(tokens(F.col("text"))))
+    left = words(asked.select("item_id", "text").distinct()).select("item_id", "text", F.size("words").alias("n"), F.explode("words").alias("token"))
+    right = words(told.select("text").distinct()).select(F.col("text").alias("other"), F.explode("words").alias("token"))
+    shares = left.join(right, "token").groupBy("item_id", "text", "other").agg((F.count("*") / F.first("n")).alias("share"))
+    best = shares.groupBy("item_id").agg(F.max("share").alias("share"))
+    return asked.select("item_id").distinct().join(best, "item_id", "left").select("item_id", F.round(F.coalesce("share", F.lit(0.0)), 6).alias("overlap"))
+
+
 def quote_recall(quotes: DataFrame, found: DataFrame) -> DataFrame:
     """(qid, quote_recall): the share of a question's quotes that some context holds; quotes: (qid, quote_id), found: the same, of those held."""
     hit = found.select("qid", "quote_id").distinct().withColumn("hit", F.lit(1))

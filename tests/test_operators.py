@@ -1,6 +1,7 @@
 """Operators that SQL does not express, against plain loops; and small cases of the others."""
 
 import datetime as dt
+import difflib
 import random
 
 import numpy as np
@@ -9,6 +10,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sheafline import catalog
 from sheafline.functions import dates, text
 from sheafline.operators import board, chunking, filters, hierarchy, metrics, retrieve
 from sheafline.plans import split_plan
@@ -122,6 +124,46 @@ def test_fuzzy_quotes(spark):
     assert got == {"the quick brown fox": True, "the quick brown fax!": True, "quite other": False, "": False}
 
 
+def test_fuzzy_quotes_against_difflib(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(300):
+        q = "".join(rng.choice("ab ä") for _ in range(rng.randint(1, 60)))
+        cut = rng.randint(0, max(1, len(q) // 6))
+        t = rng.choice(["x", "aä"]) + (q[cut:] if k % 2 else q[: len(q) - cut]) + rng.choice(["", "zz"])
+        rows.append((k, q, t))
+    rows += [(900, "abc", None), (901, None, "abc"), (902, "abcdefghij", "-abcdefghi"), (903, "abcdefghij", "abcdefgh")]
+    got = {r.k: r.found for r in metrics.fuzzy_quotes(spark.createDataFrame(rows, "k int, quote string, text string")).collect()}
+    share = lambda q, t: difflib.SequenceMatcher(None, q, t, autojunk=False).find_longest_match().size / len(q) if q and t else 0.0
+    assert got == {k: share(q, t) >= 0.9 for k, q, t in rows}
+    assert {*got.values()} == {True, False}
+
+
+def test_fuzzy_quote_judges_whole_turns_and_all(spark, tmp_path):
+    head = "the first forty characters are the same, "
+    rows = [(1, 0, "user", head + "but then it goes another way altogether"), (1, 1, "assistant", head), (1, 2, "user", head), (2, 0, "user", "alone")]
+    spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): r.found for r in catalog.QUERIES["fuzzy_quote"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): False, (1, 1): True}
+
+
+def test_largest_overlap(spark):
+    asked = spark.createDataFrame([(1, "red apple red pie"), (2, "whale"), (3, "?"), (4, None)], "item_id int, text string")
+    told = spark.createDataFrame([("an apple",), ("Red, red apple!",), ("pie",), (None,), ("an apple",)], "text string")
+    got = metrics.largest_overlap(asked, told)
+    assert {r.item_id: r.overlap for r in got.collect()} == {1: 0.666667, 2: 0.0, 3: 0.0, 4: 0.0}
+    plan = got._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_merge_board(spark):
+    runs = spark.createDataFrame([(3, 7, 1.0), (4, None, None)], "id int, dataset int, decision double")
+    ledger = spark.createDataFrame([(3, None, 9.0), (4, None, 5.0), (6, None, 2.0)], "id int, dataset int, decision double")
+    alone = runs.unionByName(spark.createDataFrame([(9, 8, 4.0)], "id int, dataset int, decision double"))
+    got = sorted(tuple(r) for r in board.merge_board(alone, ledger, "id", ["dataset", "decision"]).collect())
+    assert got == [(3, 7, 1.0, "both"), (4, None, 5.0, "both"), (6, None, 2.0, "ledger"), (9, 8, 4.0, "run")]
+
+
 def test_replies(spark):
     row = spark.createDataFrame([("1: 7\n2: 30\nx\n1: 2", '```json\n{"supported": true, "reason": "r"}\n```', "It was 12 days", "12 13 14")], "a string, b string, c string, d string").select(
         text.grade_lines(F.col("a")).alias("g"), text.verdict_json(F.col("b")).alias("v"), text.mutate_number(F.col("c"), F.col("d")).alias("m")
