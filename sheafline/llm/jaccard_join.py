@@ -364,7 +364,10 @@ def jaccard_components(
     bits = bucket_bits(blocks)
     packed = base.mapInArrow(_postings(n, num, den, rarity, bits), "bucket int, key binary, doc binary, size binary, pos binary, hot binary")
     lists = packed.groupBy("bucket").applyInArrow(_lists, "key long, id long, size int, pos int")
-    copies = named.where("id <> rep").select("id").distinct()
+    several = scratch.save(digests.where("id is not null").groupBy("id").agg(F.count("*").alias("texts")).where("texts > 1").select("id", F.lit(0).alias("alone")))
+    # an id is left out if all its texts are copies; one text of its own keeps it
+    own = named.where("id = rep and n_shingles > 0").select("id").join(several, "id", "left_semi")
+    copies = named.where("id <> rep").select("id").distinct().join(own, "id", "left_anti")
     lists = scratch.save(lists.join(copies, "id", "left_anti"))
     # a document whose short lists hold others less often than any partner asks for has none
     enough = lists.groupBy("id").agg(F.count("*").alias("many"), F.min("size").alias("least")).where(f"many > floor(least / {EXTRA})")
@@ -373,8 +376,7 @@ def jaccard_components(
     # an id's keys are bounded by the short lists of its own text
     keys = lists.groupBy("id").agg(F.max("size").alias("size"), F.array_sort(F.collect_set("key")).alias("keys"))
     # ids with several texts are not judged by the sizes of one
-    several = digests.where("id is not null").groupBy("id").agg(F.count("*").alias("texts")).where("texts > 1").select("id", F.lit(0).alias("alone"))
-    keys = keys.join(scratch.save(several), "id", "left").withColumn("size", F.coalesce("alone", "size")).drop("alone")
+    keys = keys.join(several, "id", "left").withColumn("size", F.coalesce("alone", "size")).drop("alone")
     keys = scratch.save(keys)
     release(spark)
     texts = scratch.save(likely(base, wanted, "id").join(wanted, "id", "left_semi"))
@@ -388,7 +390,7 @@ def jaccard_components(
         return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(n, num, den), "a long, b long")
 
     # texts of one id under several digests make links of their own
-    links = named.where("id is not null and rep <> id").select(F.col("id").alias("a"), F.col("rep").alias("b")).join(wanted.select(F.col("id").alias("a")), "a", "left_semi")
+    links = named.where("id is not null and rep <> id").select(F.col("id").alias("a"), F.col("rep").alias("b")).join(several.select(F.col("id").alias("a")), "a", "left_semi")
     found = [scratch.save(links)]
     parts: DataFrame | None = None
     tried: DataFrame | None = None

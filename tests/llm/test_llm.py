@@ -267,6 +267,18 @@ def test_jaccard_components(odd_docs, n, threshold):
     assert got == brute_components(rows, n, *threshold)
 
 
+def test_jaccard_ids_with_several_texts(spark):
+    rng = random.Random(2)
+    a, b, c = ([f"{k}{rng.randrange(10**6)}" for _ in range(80)] for k in "abc")
+    near = lambda x: " ".join([*x[:-1], "other"])
+    a, b, c, near_b, near_c = " ".join(a), " ".join(b), " ".join(c), near(b), near(c)
+    # 5: one copy and one text of its own; 12: copies only, of two ids; 22: a copy and an empty text
+    rows = [(3, a), (5, a), (5, b), (7, near_b), (10, c), (12, c), (12, a), (14, near_c), (20, "x y z"), (22, "x y z"), (22, ""), (22, None)]
+    got = sorted(tuple(r) for r in jaccard_components(spark.createDataFrame(rows, "id long, text string"), 3, (9, 10), "id").collect())
+    assert got == brute_components(rows, 3, 9, 10)
+    assert {i: k for i, _, k in got} == {3: 3, 5: 3, 7: 3, 10: 3, 12: 3, 14: 3, 20: 20, 22: 20}
+
+
 def test_jaccard_empty_and_lists(spark):
     assert jaccard_components(empty(spark), 3, (9, 10)).count() == 0
     assert list(merge_lists([[1, 3, 5], [3, 5], [5]])) == [(1, 1), (3, 2), (5, 3)]
