@@ -284,10 +284,26 @@ def digest_text(spans: str, most_rank: int | None = None) -> Column:
     return F.expr(f"array_join(transform({kept}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')")
 
 
+#: Behind the BEGIN line of a key: SQL for how many characters of ``r`` still belong to it. Through its END line, unless another block
+#: begins before; without one, through the base64 block: words of 16 letters or more, then a shorter one that ends a line.
+_KEY_REST = r"""
+transform(array(locate('-----END ', r)), e ->
+transform(array(length(regexp_extract(substring(r, greatest(e, 1)), '^-----END [A-Z ]*PRIVATE KEY-----', 0))), n ->
+  if(e > 0 and n > 0 and locate('-----BEGIN ', substring(r, 1, e)) = 0, e - 1 + n,
+    transform(array(if(regexp_instr(r, '(?<!\\S)(?![A-Za-z0-9+/=]{16,}(?!\\S))\\S') = 0, length(r) + 1, regexp_instr(r, '(?<!\\S)(?![A-Za-z0-9+/=]{16,}(?!\\S))\\S'))), k ->
+      if(trim(substring(r, 1, k - 1)) rlike '\\S', k - 1 + length(regexp_extract(substring(r, k), '^[A-Za-z0-9+/=]{1,15}(?=[ \\t\\r]*(\\n|$))', 0)), 0))[0]))[0])[0]"""
+
+
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = ALL_RULES, text_column: str = "text", mark: str = "[redacted]") -> DataFrame:
-    """``docs`` with every secret, overlapping ones as one, replaced by ``mark``; a null text stays null."""
+    """``docs`` with every secret, overlapping ones as one, replaced by ``mark``; a null text stays null.
+
+    The span of a private key is its BEGIN line; its body and END line go with it.
+    """
     out = scan(docs, rules, text_column, "_secrets")
     t, m = f"`{text_column}`", "'" + mark.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    rest = f"transform(array(substring({t}, s.end + 1)), r -> {_KEY_REST})[0]"
+    whole = f"named_struct('start', s.start, 'end', cast(s.end + {rest} as int), 'rank', s.rank, 'kind', s.kind)"
+    out = out.withColumn("_secrets", F.expr(f"transform(_secrets, s -> if(s.kind = 'private_key', {whole}, s))"))
     clean = F.expr(f"""
       if(size(_secrets) = 0 or {t} is null, {t},
         aggregate(_secrets, named_struct('p', 0, 'o', ''),
