@@ -9,8 +9,8 @@ one ordered CASE expression. Learning reads a bounded sample of labelled rows
 (``max_rows``, the smallest hashes of their ids); applying it reads every row.
 
 The repeated three-word windows of a text are found within its row: 64-bit
-hashes of all windows, sorted together with their positions as single numbers;
-equal neighbours are compared by their full hashes.
+hashes of all windows are sorted together with their positions, so that equal
+ones are neighbours.
 """
 
 from __future__ import annotations
@@ -39,14 +39,10 @@ named_struct(
   'n_repeat_words', if(size(w) < 3, 0L,
     transform(array(transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2]))), h ->
     if(size(array_distinct(h)) = size(h), 0L,
-      transform(array(if(size(h) < 4194304, 4194303L, 2147483647L)), m ->
-      transform(array(sort_array(transform(h, (x, i) -> (x & ~m) | i))), s ->
-      transform(array(sort_array(transform(filter(s, (x, i) ->
-          ((get(s, i - 1) & ~m) = (x & ~m) and get(h, cast(get(s, i - 1) & m as int)) = get(h, cast(x & m as int)))
-          or ((get(s, i + 1) & ~m) = (x & ~m) and get(h, cast(get(s, i + 1) & m as int)) = get(h, cast(x & m as int)))),
-        x -> x & m))), p ->
+      transform(array(sort_array(transform(h, (x, i) -> named_struct('h', x, 'i', i)))), s ->
+      transform(array(sort_array(transform(filter(s, (x, i) -> get(s, i - 1).h = x.h or get(s, i + 1).h = x.h), x -> cast(x.i as bigint)))), p ->
         aggregate(p, named_struct('n', 0L, 'end', 0L),
-          (a, x) -> named_struct('n', a.n + x + 3 - greatest(a.end, x), 'end', x + 3), a -> a.n))[0])[0])[0]))[0]))
+          (a, x) -> named_struct('n', a.n + x + 3 - greatest(a.end, x), 'end', x + 3), a -> a.n))[0])[0]))[0]))
 )[0])[0])[0]
 """
 

@@ -406,6 +406,15 @@ def test_quality_list(spark, odd_docs):
     assert quality_rules.apply_list(odd_docs, quality_rules.DecisionList()).where("kept = base_failed").count() == 0
 
 
+def test_repeats_of_windows_with_close_hashes(spark):
+    # the hashes of the two windows agree in their upper 42 bits
+    x, y = ("w1159859 and v1159859", "w5351381 and v5351381")
+    df = spark.createDataFrame([(f"{x} {y} {x}",), (f"{x} {y} {y} {x}",)], "text string")
+    hashes = spark.sql(f"select xxhash64({', '.join(map(repr, x.split()))}) as a, xxhash64({', '.join(map(repr, y.split()))}) as b").first()
+    assert hashes.a != hashes.b and hashes.a >> 22 == hashes.b >> 22
+    assert [r.n for r in quality_rules.with_statistics(df).select(F.col("stats.n_repeat_words").alias("n")).collect()] == [6, 12]
+
+
 # ---------------------------------------------------------------- 10
 
 
