@@ -169,9 +169,10 @@ def learn(docs: DataFrame, docs_per_language: int = 400, words_per_doc: int = 12
     chosen = usable.select("_id", "_lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= docs_per_language).select("_id").distinct()
     words = F.expr("array_distinct(array_remove(split(_text, '[ \t-\r]+'), ''))")
     sample = usable.join(F.broadcast(chosen), "_id").withColumn("_w", words)
-    sample = sample.withColumn("_w", F.slice(F.array_sort(F.transform("_w", lambda w: F.struct(F.xxhash64(w, F.col("_id")).alias("h"), F.substring(w, 1, 4 * SEGMENT).alias("w")))), 1, words_per_doc))
-    rows = sample.select("_lang", "_id", F.col("_w.w").alias("w")).orderBy("_lang", "_id", F.xxhash64("w")).limit(1 << 16).collect()
-    found = [(r._lang, w.encode()[:SEGMENT]) for r in rows for w in r.w]
+    sample = sample.withColumn("_w", F.slice(F.array_sort(F.transform("_w", lambda w: F.struct(F.xxhash64(w, F.col("_id")).alias("h"), w.alias("w")))), 1, words_per_doc))
+    rows = sample.select("_lang", "_id", F.col("_w.w").alias("w")).orderBy("_lang", "_id", F.xxhash64("w")).collect()
+    # longer words in segments, as predict reads them
+    found = [(r._lang, b[i : i + SEGMENT]) for r in rows for b in (w.encode() for w in r.w) for i in range(0, len(b), SEGMENT)]
     if not found:
         return None
     languages = sorted({lang for lang, _ in found})

@@ -251,6 +251,16 @@ def test_language_id(spark, odd_docs):
     assert {r.lang_pred for r in langid.predict(odd_docs, None).collect()} == {"und"}
 
 
+def test_long_words_are_learned_in_segments(spark, monkeypatch):
+    told = []
+    monkeypatch.setattr(langid, "train", lambda words, labels, languages, *a, **k: told.extend(words))
+    long = "".join(chr(0x4E00 + i) for i in range(60))
+    df = spark.createDataFrame([(i, f"kurz {long}", "zh") for i in range(40)], "doc_id long, text string, lang string")
+    langid.learn(df)
+    data = long.encode()
+    assert set(told) == {b"kurz", *(data[i : i + langid.SEGMENT] for i in range(0, len(data), langid.SEGMENT))}
+
+
 # ---------------------------------------------------------------- 6
 
 
