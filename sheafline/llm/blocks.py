@@ -130,12 +130,12 @@ def _filtered(table: DataFrame, ids: DataFrame, column: str, inside: bool) -> Da
         return tuple((mix(h + np.uint64(k)) & np.uint64(bits - 1)).astype(np.int64) for k in (1, 2, 3))
 
     def build(batches):
-        seen = np.zeros(bits, bool)
+        seen = np.zeros(bits // 8, np.uint8)
         for batch in batches:
             x = batch.column(0).drop_null().to_numpy()
             for at in places(x):
-                seen[at] = True
-        yield pa.RecordBatch.from_pydict({"part": pa.array([0], pa.int32()), "filter": pa.array([np.packbits(seen).tobytes()], pa.binary())})
+                np.bitwise_or.at(seen, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_pydict({"part": pa.array([0], pa.int32()), "filter": pa.array([seen.tobytes()], pa.binary())})
 
     def union(batches):
         whole = np.zeros(bits // 8, np.uint8)
@@ -146,15 +146,16 @@ def _filtered(table: DataFrame, ids: DataFrame, column: str, inside: bool) -> Da
 
     parts = ids.select(column).coalesce(8).mapInArrow(build, "part int, filter binary").select("filter")
     row = parts.coalesce(1).mapInArrow(union, "filter binary").first()
-    shared = spark.sparkContext.broadcast(np.unpackbits(np.frombuffer(row[0], np.uint8)).view(bool) if row else np.zeros(bits, bool))
+    shared = spark.sparkContext.broadcast(bytes(row[0]) if row else bytes(bits // 8))
     at_column = table.columns.index(column)
 
     def keep(batches):
-        seen = shared.value
+        seen = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             x = batch.column(at_column)
-            a, b, c = places(x.fill_null(0).to_numpy())
-            good = seen[a] & seen[b] & seen[c] & x.is_valid().to_numpy(zero_copy_only=False)
+            good = x.is_valid().to_numpy(zero_copy_only=False).copy()
+            for at in places(x.fill_null(0).to_numpy()):
+                good &= (seen[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
             yield batch.filter(pa.array(good if inside else ~good))
 
     return table.mapInArrow(keep, table.schema)

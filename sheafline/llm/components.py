@@ -1,6 +1,7 @@
 """Connected components of a table of links, by Spark joins and aggregates only.
 
-Alternates the two star operations of Kiveris et al. (Connected Components in
+Tasks first turn their share of the links into trees by union-find. Then it
+alternates the two star operations of Kiveris et al. (Connected Components in
 MapReduce and Beyond, 2014): every node hands its larger neighbours, and then
 its smaller ones, to the smallest node it knows. The number of rounds grows with
 the logarithm of the number of nodes, and no link reaches the driver. Each
@@ -10,8 +11,11 @@ round is cut from its lineage by a table in the shared checkpoint folder.
 from __future__ import annotations
 
 import gc
+import math
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +23,13 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; read from spark.checkpoint.dir.
 
-    Where that is unset (a single machine, as in tests) a folder of this
-    session's warehouse is taken.
+    Where that is unset, a local session (as in tests) takes a folder of its
+    warehouse; a cluster must name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return folder.rstrip("/")
 
@@ -64,10 +70,40 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def connected_components(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
+#: Links that one task joins into trees at most.
+CHUNK_LINKS = 1 << 20
+
+
+def _forest(batches):
+    """(u, v) for every node of this task's links but the smallest of its tree, which is v."""
+    links = [np.column_stack([b.column(c).to_numpy() for c in ("u", "v")]) for b in batches if b.num_rows]
+    if links:
+        links = np.concatenate(links)
+        nodes, at = np.unique(links, return_inverse=True)
+        at = at.reshape(-1, 2)
+        parent = list(range(len(nodes)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for x, y in at.tolist():
+            x, y = root(x), root(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        top = np.array([root(x) for x in range(len(nodes))])
+        other = np.flatnonzero(top != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_pydict({"u": pa.array(nodes[other], pa.int64()), "v": pa.array(nodes[top[other]], pa.int64())})
+
+
+def connected_components(links: DataFrame, scratch: Scratch, most_rounds: int = 60, chunk: int = CHUNK_LINKS) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b); the component is its smallest node.
 
     Null ends and links of a node to itself are ignored; repeated links count once.
+    Each task first turns at most ``chunk`` links into trees; where one task can take
+    all of them, that is the result, else the trees of all tasks go through the rounds.
     """
     edges = (
         links.where("a is not null and b is not null and a <> b")
@@ -75,7 +111,10 @@ def connected_components(links: DataFrame, scratch: Scratch, most_rounds: int =
         .distinct()
     )
     edges = scratch.save(edges)
-    for _ in range(most_rounds):
+    tasks = math.ceil(edges.count() / chunk)
+    dealt = edges.coalesce(1) if tasks <= 1 else edges.repartition(2 * tasks)
+    edges = scratch.save(dealt.mapInArrow(_forest, "u long, v long").select("u", "v"))
+    for _ in range(most_rounds if tasks > 1 else 0):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # saved first, so that both sides of the join are plain exchanges and Spark can split a hub's rows
         lowest = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
@@ -95,7 +134,8 @@ def connected_components(links: DataFrame, scratch: Scratch, most_rounds: int =
             break
         edges = new
     else:
-        raise RuntimeError(f"no fixed point after {most_rounds} rounds")
+        if tasks > 1:
+            raise RuntimeError(f"no fixed point after {most_rounds} rounds")
     nodes = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return nodes.unionByName(roots.join(nodes.select("node"), "node", "left_anti"))

@@ -1,15 +1,17 @@
 """Groups of near-equal documents: an exact Jaccard self-join on word shingles.
 
-Method: T-occurrence search over inverted lists, as in DivideSkip (Li, Lu and Lu,
+Method: T-occurrence search over inverted lists by DivideSkip (Li, Lu and Lu,
 Efficient Merging and Filtering Algorithms for Approximate String Searches,
 2008). Two sets of sizes s and t are similar enough only if they share
 T = ceil(c (s + t) / (1 + c)) shingles. All shingles are put in one order, rare ones
-first. Of a set, the first few make the short lists: with l shingles left for the long lists, a
-partner occurs at least T - l times in the short ones. These are merged with a
-heap; what occurs often enough is probed in the long lists, the rest of the set, by
-binary search in the partner's sorted shingles, and kept if short and long
-occurrences together reach T. The short lists are longer by EXTRA of the set than
-one occurrence would need, so that passages shared by chance don't suffice.
+first. The first of a set's shingles make its short lists, the others are its l
+long ones. The short lists of a set are merged with a heap, which counts the
+occurrences of every other set in them; a set that occurs fewer than T - l times is
+dropped. For the others the long remainder is probed by binary search in the
+partner's sorted shingles, and the pair is kept if the occurrences in short
+and long lists together reach T. The short lists are longer by a share of
+1 / EXTRA of the set than one occurrence would need, so that passages shared
+by chance don't suffice.
 
 For scale:
 
@@ -17,16 +19,25 @@ For scale:
   two tables of fixed size: what a shingle's words let expect, or its own bucket if
   that is much fuller than the mean. Any order gives the same result; this one keeps
   what many documents share out of the short lists.
-* Equal sets are one node. A set is counted by digest, never compared.
-* A list whose documents are known to be in one component needs no pairs. While
-  lists are long, each document is first held against one leader of its lists, and
-  components are taken from the links found; only lists that still span several
-  components are merged in full. So a group of n near copies costs about n
-  comparisons, and no link between different components is left out.
-* Entries of lists that the counts call hot are dealt by document as well.
+* Equal sets are one node, known by a digest of the set, from the first step on.
+* A node of whose short lists fewer hold another one than any partner asks for is
+  left out with all its entries. How many do (``many``) bounds its occurrences with any.
+* Two nodes of one component need no comparison. So each list first names a leader,
+  the node with the most shared entries, which the others are held against; in a
+  group of n near copies most are one component after n comparisons. Leaders
+  change in the next rounds. Only then are the lists of which nodes are still in
+  several components merged, and each pair is looked for from its smaller
+  component alone. No link between different components is left out.
+* Merged lists travel packed, one row for a node and a list, filtered where the list is.
+  A list of more than LIST_ROWS entries is dealt by node, and each part gets the
+  nodes that look for others.
+* Sets are extracted once, for nodes that may have a partner, and pairs are compared
+  by sets; texts are never moved.
 * Links and components are Spark tables throughout.
 
-Shingles are compared by 64-bit hashes.
+Shingles are compared by hashes: 57 bits and the seven bits of their rarity in the
+short lists, 64 bits in the long ones. Nodes are 64-bit digests; that no two sets share
+one is checked.
 """
 
 from __future__ import annotations
@@ -51,8 +62,12 @@ _PARTS = 16
 HOT_FACTOR = 16
 #: The short lists take one shingle more for every so many of the set.
 EXTRA = 20
-#: Rounds of leaders at most before lists are merged in full.
-LEADER_ROUNDS = 5
+#: Rounds of leaders before lists are merged.
+LEADER_ROUNDS = 3
+#: A list with more entries is merged in parts.
+LIST_ROWS = 4096
+#: Entries of short lists that a task holds before it sends them.
+HELD_ENTRIES = 300_000
 
 
 def shingle_sets(texts: pa.Array, n: int, of_words=None) -> Iterator[tuple]:
@@ -94,8 +109,19 @@ def shingle_sets(texts: pa.Array, n: int, of_words=None) -> Iterator[tuple]:
         yield row, last, o[new], h[new], weight
 
 
+def _digest(owner: np.ndarray, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size, 64-bit digest and a second digest of the sets of k rows; hashes are in the order of their owners."""
+    size = np.bincount(owner, minlength=k)
+    d = np.zeros((2, k), np.uint64)
+    if len(owner):
+        heads = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        d[0, owner[heads]] = np.add.reduceat(mix(hashes), heads)
+        d[1, owner[heads]] = np.add.reduceat(mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), heads)
+    return size.astype(np.int64), mix(d[0] + size.astype(np.uint64)).view(np.int64), d[1].view(np.int64)
+
+
 def _digests(n: int):
-    """(id, n_shingles, digest of the set) of every document; then this task's counts of shingles by bucket."""
+    """(id, n_shingles, node, check) of every document; then this task's counts of shingles and words by bucket."""
 
     def run(batches):
         shingles, words = np.zeros((2, 1 << SKETCH_BITS), np.int64)
@@ -106,19 +132,15 @@ def _digests(n: int):
         for batch in batches:
             for row, last, owner, hashes, _ in shingle_sets(batch.column("text"), n, count_words):
                 k = last - row
-                shingles += np.bincount(_bucket(hashes), minlength=1 << SKETCH_BITS)
-                size = np.bincount(owner, minlength=k)
-                d = np.zeros((2, k), np.uint64)
-                if len(owner):
-                    heads = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-                    d[0, owner[heads]] = np.add.reduceat(mix(hashes), heads)
-                    d[1, owner[heads]] = np.add.reduceat(mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), heads)
+                np.add(shingles, np.bincount(_bucket(hashes), minlength=1 << SKETCH_BITS), out=shingles)
+                size, node, check = _digest(owner, hashes, k)
+                empty = size == 0
                 yield pa.RecordBatch.from_pydict(
                     {
                         "id": batch.column("id").slice(row, k),
-                        "n_shingles": pa.array(size.astype(np.int64)),
-                        "d1": pa.array(d[0].view(np.int64)),
-                        "d2": pa.array(d[1].view(np.int64)),
+                        "n_shingles": pa.array(size),
+                        "node": pa.array(node, mask=empty),
+                        "check": pa.array(check, mask=empty),
                         "part": pa.nulls(k, pa.int32()),
                         "counts": pa.nulls(k, pa.binary()),
                     }
@@ -126,7 +148,7 @@ def _digests(n: int):
         parts = [x.astype("<u4") for x in np.split(np.minimum(np.concatenate([shingles, words]), (1 << 32) - 1), 2 * _PARTS)]
         none = pa.nulls(2 * _PARTS, pa.int64())
         yield pa.RecordBatch.from_pydict(
-            {"id": none, "n_shingles": none, "d1": none, "d2": none, "part": pa.array(range(2 * _PARTS), pa.int32()), "counts": pa.array([pack(x) for x in parts], pa.binary())}
+            {"id": none, "n_shingles": none, "node": none, "check": none, "part": pa.array(range(2 * _PARTS), pa.int32()), "counts": pa.array([pack(x) for x in parts], pa.binary())}
         )
 
     return run
@@ -165,12 +187,31 @@ class Rarity:
         """Quarters of log2 of how many documents may have a shingle; the same for equal shingles."""
         return np.clip(np.maximum(weight + self.total, self.shingles[_bucket(hashes)]), 0, 127).astype(np.uint64)
 
+    def ordered(self, texts: pa.Array, n: int) -> Iterator[tuple]:
+        """As shingle_sets(), with each text's shingles in the common order: first row, row after the last, size of each
+        set, node of each set, then owner, key and hash of every shingle. Ascending keys are the order."""
+        for row, last, owner, hashes, weight in shingle_sets(texts, n, self.of_words):
+            size, node, _ = _digest(owner, hashes, last - row)
+            if len(owner):
+                key = (self.levels(hashes, weight) << np.uint64(57)) | (hashes >> np.uint64(7))
+                order = np.lexsort((key, owner))
+                owner, key, hashes = owner[order], key[order], hashes[order]
+                yield row, last, size, node, owner, key, hashes
+
 
 def _long(size: np.ndarray, num: int, den: int) -> np.ndarray:
     """How many shingles of a set of this size are left to the long lists."""
     return np.maximum(_least(size, num, den) - 1 - size // EXTRA, 0)
 
 
+def _long_sql(size: str, num: int, den: int) -> str:
+    return f"greatest(ceil({size} * {num} / {den}) - 1 - floor({size} / {EXTRA}), 0)"
+
+
+def _need_sql(a: str, b: str, num: int, den: int) -> str:
+    return f"greatest(ceil({num} * ({a} + {b}) / {num + den}) - greatest({_long_sql(a, num, den)}, {_long_sql(b, num, den)}), 1)"
+
+
 def _need(size_a: np.ndarray, size_b: np.ndarray, num: int, den: int) -> np.ndarray:
     """Occurrences in the short lists below which two sets of these sizes cannot reach T.
 
@@ -182,56 +223,63 @@ def _need(size_a: np.ndarray, size_b: np.ndarray, num: int, den: int) -> np.ndar
 
 
 def _postings(n: int, num: int, den: int, shared, bits: int):
-    """The short lists' entries of every document, packed by bucket of the shingle."""
+    """The short lists' entries of every set, packed by bucket of the shingle; a task sends a set once."""
 
     def run(batches):
         rarity = shared.value
         found: list[tuple] = []
-        held = 0
+        held, sent = 0, set()
         for batch in batches:
-            ids = batch.column("id")
-            valid = ids.is_valid().to_numpy(zero_copy_only=False)
-            ids = ids.fill_null(0).to_numpy()
-            for row, last, owner, hashes, weight in shingle_sets(batch.column("text"), n, rarity.of_words):
-                if not len(owner):
-                    continue
-                key = (rarity.levels(hashes, weight) << np.uint64(57)) | (hashes >> np.uint64(7))
-                order = np.lexsort((key, owner))
-                key, warm, owner = key[order], rarity.hot[_bucket(hashes)][order], owner[order]
-                size = np.bincount(owner, minlength=last - row)
+            valid = batch.column("id").is_valid().to_numpy(zero_copy_only=False)
+            for row, last, size, node, owner, key, hashes in rarity.ordered(batch.column("text"), n):
+                fresh = np.zeros(last - row, bool)
+                for i in np.flatnonzero((size > 0) & valid[row:last]):
+                    if (x := int(node[i])) not in sent:
+                        sent.add(x)
+                        fresh[i] = True
                 first = np.cumsum(size) - size
-                pos = np.arange(len(owner)) - first[owner]
-                take = (pos < size[owner] - _long(size, num, den)[owner]) & valid[row + owner]
-                doc = ids[row + owner[take]]
-                found.append((key[take], doc, size[owner[take]], pos[take], warm[take]))
+                take = (np.arange(len(owner)) - first[owner] < (size - _long(size, num, den))[owner]) & fresh[owner]
+                warm = rarity.hot[_bucket(hashes[take])]
+                found.append((key[take], node[owner[take]], size[owner[take]], warm))
                 held += int(take.sum())
-            if held > 1_000_000:
-                yield from _packed(found, bits)
-                found, held = [], 0
+                if held > HELD_ENTRIES:
+                    yield from _packed(found, bits)
+                    found, held = [], 0
+            if len(sent) > 1 << 20:
+                sent = set()
         if found:
             yield from _packed(found, bits)
 
     return run
 
 
+_COLUMNS = {"key": "<u8", "node": "<i8", "size": "<i4", "hot": "u1"}
+
+
 def _packed(found: list[tuple], bits: int):
-    key, doc, size, pos, warm = (np.concatenate(x) for x in zip(*found, strict=True))
-    place = mix(key + np.where(warm, mix(doc.astype(np.uint64)) & np.uint64(255), np.uint64(0)))
+    key, node, size, warm = (np.concatenate(x) for x in zip(*found, strict=True))
+    place = mix(key + np.where(warm, mix(node.view(np.uint64)) & np.uint64(255), np.uint64(0)))
     order = np.argsort(place, kind="stable")
-    key, doc, size, pos, warm = key[order], doc[order], size[order], pos[order], warm[order]
     parts = list(split_by_bucket(place[order], bits))
-    columns = {"key": (key, "<u8"), "doc": (doc, "<i8"), "size": (size, "<i4"), "pos": (pos, "<i4"), "hot": (warm, "u1")}
+    columns = {c: x[order].astype(t) for (c, t), x in zip(_COLUMNS.items(), (key, node, size, warm), strict=True)}
     yield pa.RecordBatch.from_pydict(
-        {"bucket": pa.array([b for b, _ in parts], pa.int32())} | {k: pa.array([pack(x[at].astype(t)) for _, at in parts], pa.binary()) for k, (x, t) in columns.items()}
+        {"bucket": pa.array([b for b, _ in parts], pa.int32())} | {c: pa.array([pack(x[at]) for _, at in parts], pa.binary()) for c, x in columns.items()}
     )
 
 
 def _lists(table: pa.Table) -> pa.Table:
     """The entries of lists that have two or more, or may have them elsewhere."""
-    key, doc, size, pos, hot = (unpack_column(table[k], t)[0] for k, t in (("key", "<u8"), ("doc", "<i8"), ("size", "<i4"), ("pos", "<i4"), ("hot", "u1")))
-    _, where, times = np.unique(key, return_inverse=True, return_counts=True)
-    keep = (times[where] > 1) | (hot > 0)
-    return pa.table({"key": pa.array(key[keep].view(np.int64)), "id": pa.array(doc[keep]), "size": pa.array(size[keep]), "pos": pa.array(pos[keep])})
+    key, node, size, hot = (unpack_column(table[c], t)[0] for c, t in _COLUMNS.items())
+    order = np.lexsort((node, key))
+    key, node, size, hot = key[order], node[order], size[order], hot[order]
+    if len(key):
+        once = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]  # tasks send a set once each
+        key, node, size, hot = key[once], node[once], size[once], hot[once]
+        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        times = np.diff(np.r_[heads, len(key)])
+        keep = (np.repeat(times, times) > 1) | (hot > 0)
+        key, node, size = key[keep], node[keep], size[keep]
+    return pa.table({"key": pa.array(key.view(np.int64)), "node": pa.array(node), "size": pa.array(size, pa.int32())})
 
 
 def merge_lists(lists: list[list[int]]) -> Iterator[tuple[int, int]]:
@@ -240,85 +288,163 @@ def merge_lists(lists: list[list[int]]) -> Iterator[tuple[int, int]]:
         yield doc, sum(1 for _ in hits)
 
 
-def _merge(batches):
-    """Rows (a, key, b) in order of all three: the documents b of a's short lists, once each, with their occurrences."""
-    current, lists, last_key = None, [], None
-    out: list[tuple[int, int, int]] = []
+#: Entries of a list: "asks" look for others, "asked" may be found; small lists have entries that are both.
+_ASKS, _ASKED, _BOTH = 1, 2, 3
 
-    def close():
-        if current is not None:
-            out.extend((current, b, hits) for b, hits in merge_lists(lists))
 
-    def flush():
-        columns = list(zip(*out, strict=True)) if out else [[], [], []]
-        out.clear()
-        return pa.RecordBatch.from_pydict({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64()), "hits": pa.array(columns[2], pa.int32())})
+def _gather(num: int, den: int, shards: int):
+    """For rows in order of (key, part): per node that asks, the list's nodes that it may be linked with.
 
-    for batch in batches:
-        for a, key, b in zip(batch.column("a").to_pylist(), batch.column("key").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            if a != current:
-                close()
-                current, lists, last_key = a, [], None
-            if key != last_key:
-                lists.append([])
-                last_key = key
-            lists[-1].append(b)
-        if len(out) > 100_000:
-            yield flush()
-    close()
-    yield flush()
+    A node looks for those of larger components only (by size, then by name), whose
+    size and entries allow a link. One row per node, list and shard of the found.
+    """
+
+    def fits(q, t):
+        """Which of the entries t (columns) entry q may be linked with."""
+        node, size, many, weight, comp = t
+        return ((weight > q[3]) | ((weight == q[3]) & (comp > q[4]))) & (np.minimum(many, q[2]) >= _need(size, q[1], num, den))
+
+    def of_list(rows, role):
+        asked = np.flatnonzero(role & _ASKED)
+        asked = asked[np.argsort(rows[1][asked], kind="stable")]
+        targets = [x[asked] for x in rows]
+        for i in np.flatnonzero(role & _ASKS):
+            q = [x[i] for x in rows]
+            # the sizes that c allows are a range
+            low = np.searchsorted(targets[1], _least(q[1], num, den))
+            high = np.searchsorted(targets[1], q[1] * den // num, side="right")
+            near = [x[low:high] for x in targets]
+            good = fits(q, near)
+            if good.any():
+                yield q, near[0][good], near[1][good]
+
+    def rows_of(found):
+        out: dict[str, list] = {"a": [], "shard": [], "size_a": [], "nodes": [], "sizes": []}
+        for q, nodes, sizes in found:
+            order = np.argsort(nodes, kind="stable")
+            nodes, sizes = nodes[order], sizes[order]
+            shard = (mix(nodes.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+            for s in np.unique(shard):
+                at = shard == s
+                for c, x in zip(out, (int(q[0]), int(s), int(q[1]), pack(nodes[at]), pack(sizes[at].astype("<i4"))), strict=True):
+                    out[c].append(x)
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_pydict({c: pa.array(x, t) for (c, x), t in zip(out.items(), types, strict=True)})
+
+    def run(batches):
+        held: list[np.ndarray] | None = None
+
+        def lists(table, final):
+            """Whole lists of the rows held; the last one waits unless no rows follow."""
+            nonlocal held
+            key, part = table[0], table[1]
+            heads = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+            ends = np.r_[heads[1:], len(key)]
+            if not final:
+                held = [x[heads[-1] :] for x in table]
+                heads, ends = heads[:-1], ends[:-1]
+            for i, j in zip(heads.tolist(), ends.tolist(), strict=True):
+                if j - i > 1:
+                    yield from of_list([x[i:j] for x in table[3:]], table[2][i:j])
+
+        for batch in batches:
+            new = [batch.column(c).to_numpy() for c in ("key", "part", "role", "node")] + [batch.column(c).to_numpy().astype(np.int64) for c in ("size", "many", "weight", "comp")]
+            if held is not None:
+                new = [np.concatenate(x) for x in zip(held, new, strict=True)]
+            if len(new[0]):
+                yield rows_of(lists(new, False))
+        if held is not None and len(held[0]):
+            yield rows_of(lists(held, True))
+
+    return run
 
 
-def _often(num: int, den: int):
-    """Keeps the pairs that occur in each other's short lists as often as T asks for."""
+def _merge(num: int, den: int):
+    """For rows in order of (a, shard): the nodes that occur often enough in the lists of a, with their occurrences."""
 
     def run(batches):
+        out: list[tuple[int, int, int]] = []
+        current, lists, sizes = None, [], {}
+
+        def close():
+            if current is None or len(lists) < int(_need_least(current[2], num, den)):
+                return
+            found = [(b, hits) for b, hits in merge_lists(lists)]
+            b = np.array([x for x, _ in found], np.int64)
+            hits = np.array([x for _, x in found])
+            size_b = np.array([sizes[x] for x in b.tolist()])
+            good = hits >= _need(np.int64(current[2]), size_b, num, den)
+            out.extend((current[0], x, h) for x, h in zip(b[good].tolist(), hits[good].tolist(), strict=True))
+
+        def flush():
+            columns = list(zip(*out, strict=True)) if out else [[], [], []]
+            out.clear()
+            return pa.RecordBatch.from_pydict({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64()), "hits": pa.array(columns[2], pa.int32())})
+
         for batch in batches:
-            sizes = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("size_a", "size_b")]
-            need = np.where(np.minimum(*sizes) > 0, _need(*sizes, num, den), 1)
-            keep = np.zeros(batch.num_rows, bool)
-            sides = []
-            for c in ("keys_a", "keys_b"):
-                column = batch.column(c)
-                ends = column.offsets.to_numpy()
-                sides.append((column.values.to_numpy(), ends))
-            (x, x_at), (y, y_at) = sides
-            for i in range(batch.num_rows):
-                short, other = x[x_at[i] : x_at[i + 1]], y[y_at[i] : y_at[i + 1]]
-                at = np.searchsorted(other, short)
-                at[at == len(other)] = 0
-                keep[i] = len(other) > 0 and int((other[at] == short).sum()) >= need[i]
-            yield pa.RecordBatch.from_pydict({k: batch.column(k).filter(pa.array(keep)) for k in ("a", "b")})
+            for a, shard, size, nodes, of in zip(*(batch.column(c).to_pylist() for c in ("a", "shard", "size_a", "nodes", "sizes")), strict=True):
+                if current is None or (a, shard) != current[:2]:
+                    close()
+                    current, lists, sizes = (a, shard, size), [], {}
+                lists.append(np.frombuffer(nodes, "<i8").tolist())
+                sizes.update(zip(lists[-1], np.frombuffer(of, "<i4").tolist(), strict=True))
+            if len(out) > 100_000:
+                yield flush()
+        close()
+        yield flush()
 
     return run
 
 
-def _verify(n: int, num: int, den: int):
-    """Keeps the pairs whose occurrences, found by binary probes of the one set in the other, reach T."""
+def _need_least(size: int, num: int, den: int) -> int:
+    """Occurrences that a set of this size needs with the partner that asks for the fewest."""
+    return max(int(_least(np.int64(size), num, den)) - int(_long(np.int64(size), num, den)), 1) if size else 1
+
+
+def _probe(num: int, den: int):
+    """Keeps the pairs whose occurrences reach T: those in short lists, if counted (hits), and those found by probes.
+
+    The side whose short lists end earlier has all common ones of its short lists
+    in the other's, so what remains are its long lists, probed in the other's set.
+    Without a count its short lists are probed as well.
+    """
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
             keep = np.zeros(batch.num_rows, bool)
-            sides = []
-            for side in ("text_a", "text_b"):
-                distinct = batch.column(side).dictionary_encode()
-                held: list[np.ndarray] = []
-                for row, last, owner, hashes, _ in shingle_sets(distinct.dictionary, n):
-                    held += np.split(hashes, np.searchsorted(owner, np.arange(1, last - row)))
-                sides.append((held, distinct.indices.to_numpy(zero_copy_only=False)))
-            (left, at_left), (right, at_right) = sides
-            for i in range(batch.num_rows):
-                x, y = left[at_left[i]], right[at_right[i]]
-                if len(x) > len(y):
+            hits = batch.column("hits").to_pylist()
+            ends = [batch.column(c).to_pylist() for c in ("end_a", "end_b")]
+            for i, (x, y) in enumerate(zip(batch.column("hashes_a"), batch.column("hashes_b"), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                if ends[0][i] > ends[1][i]:
                     x, y = y, x
-                if not len(x) or den * len(x) < num * len(y):
+                need = int(_least(np.int64(len(x) + len(y)), num, num + den))
+                count = hits[i] or 0
+                rest = x[len(x) - int(_long(np.int64(len(x)), num, den)) :] if hits[i] is not None else x
+                if min(len(x), len(y)) < need or count + len(rest) < need:
                     continue
-                at = np.searchsorted(y, x)
+                y = np.sort(y)
+                at = np.searchsorted(y, rest)
                 at[at == len(y)] = 0
-                keep[i] = (num + den) * int((y[at] == x).sum()) >= num * (len(x) + len(y))
-            yield pa.RecordBatch.from_pydict({k: batch.column(k).filter(pa.array(keep)) for k in ("a", "b")})
+                keep[i] = count + int((y[at] == rest).sum()) >= need
+            yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(pa.array(keep)) for c in ("a", "b")})
+
+    return run
+
+
+def _sets(n: int, num: int, den: int, shared):
+    """(node, last key of its short lists as a signed number, hashes in the common order) of every text that has words."""
+
+    def run(batches):
+        rarity = shared.value
+        for batch in batches:
+            for _, _, size, node, owner, key, hashes in rarity.ordered(batch.column("text"), n):
+                full = np.flatnonzero(size > 0)
+                first = (np.cumsum(size) - size)[full]
+                end = key[first + (size - _long(size, num, den))[full] - 1] ^ np.uint64(1 << 63)
+                yield pa.RecordBatch.from_pydict(
+                    {"node": pa.array(node[full]), "end": pa.array(end.view(np.int64)), "hashes": pa.array([pack(x) for x in np.split(hashes, first[1:])], pa.binary())}
+                )
 
     return run
 
@@ -334,8 +460,10 @@ def jaccard_components(
     union; empty sets link with nothing. component_id is the smallest id reachable.
 
     Defined results: a null text is empty; rows of equal id are one document with
-    several texts, each row returned; a null id links with nothing and has a null
-    component; extra columns are left out; an empty table gives an empty result.
+    several texts, which links by each of them, each row returned; a null id links
+    with nothing and has a null component; extra columns are left out; an empty table
+    gives an empty result. A text may have any length; one text's shingles must fit
+    in a task's memory.
 
     The tables between steps lie in the shared folder and are removed before this
     returns, but for the two that the result is read from.
@@ -346,116 +474,126 @@ def jaccard_components(
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     base = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
-    blocks = block_count(docs)
 
-    told = scratch.save(base.mapInArrow(_digests(n), "id long, n_shingles long, d1 long, d2 long, part int, counts binary"))
+    told = scratch.save(base.mapInArrow(_digests(n), "id long, n_shingles long, node long, check long, part int, counts binary"))
     counts = told.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_sum_counts, "part int, counts binary")
     # 2 * _PARTS rows of fixed size, whatever the corpus; the broadcast has two tables of 2**SKETCH_BITS numbers
     sketch = [np.frombuffer(r.counts, "<i8") for r in counts.orderBy("part").collect()]
     rarity = spark.sparkContext.broadcast(Rarity(np.concatenate(sketch[:_PARTS]), np.concatenate(sketch[_PARTS:])))
 
-    digests = told.where("part is null").select("id", "n_shingles", "d1", "d2")
-    filled = digests.where("n_shingles > 0 and id is not null")
-    groups = filled.groupBy("n_shingles", "d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("many")).where("many > 1").drop("many")
-    groups = scratch.save(groups)
-    named = digests.join(groups, ["n_shingles", "d1", "d2"], "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
-    named = scratch.save(named)
-
-    bits = bucket_bits(blocks)
-    packed = base.mapInArrow(_postings(n, num, den, rarity, bits), "bucket int, key binary, doc binary, size binary, pos binary, hot binary")
-    lists = packed.groupBy("bucket").applyInArrow(_lists, "key long, id long, size int, pos int")
-    several = scratch.save(digests.where("id is not null").groupBy("id").agg(F.count("*").alias("texts")).where("texts > 1").select("id", F.lit(0).alias("alone")))
-    # an id is left out if all its texts are copies; one text of its own keeps it
-    own = named.where("id = rep and n_shingles > 0").select("id").join(several, "id", "left_semi")
-    copies = named.where("id <> rep").select("id").distinct().join(own, "id", "left_anti")
-    lists = scratch.save(lists.join(copies, "id", "left_anti"))
-    # a document whose short lists hold others less often than any partner asks for has none
-    enough = lists.groupBy("id").agg(F.count("*").alias("many"), F.min("size").alias("least")).where(f"many > floor(least / {EXTRA})")
-    wanted = scratch.save(enough.select("id"))
-    lists = scratch.save(lists.join(wanted, "id", "left_semi"))
-    # an id's keys are bounded by the short lists of its own text
-    keys = lists.groupBy("id").agg(F.max("size").alias("size"), F.array_sort(F.collect_set("key")).alias("keys"))
-    # ids with several texts are not judged by the sizes of one
-    keys = keys.join(several, "id", "left").withColumn("size", F.coalesce("alone", "size")).drop("alone")
-    keys = scratch.save(keys)
+    told = told.where("part is null").select("id", "n_shingles", "node", "check")
+    filled = told.where("node is not null and id is not null")
+    of_set = filled.groupBy("node").agg(
+        F.min("id").alias("first"), (F.min(F.struct("n_shingles", "check")) != F.max(F.struct("n_shingles", "check"))).alias("shared")
+    )
+    nodes = scratch.save(of_set)
+    if nodes.where("shared").limit(1).count():
+        raise RuntimeError("two sets of shingles have one digest of 64 bits")
+
+    lists, sizes = _wanted_lists(base, n, num, den, rarity, scratch)
+    firsts = sizes.join(nodes, "node").select("node", F.col("first").alias("id"))
+    firsts = scratch.save(firsts)
+    texts = likely(base, firsts, "id").mapInArrow(_sets(n, num, den, rarity), "node long, end long, hashes binary")
+    sets = texts.join(firsts.select("node"), "node", "left_semi").groupBy("node").agg(F.first("end").alias("end"), F.first("hashes").alias("hashes"))
+    sets = scratch.save(sets)
     release(spark)
-    texts = scratch.save(likely(base, wanted, "id").join(wanted, "id", "left_semi"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        sided = pairs.select("a", "b").join(keys.select(F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("keys").alias("keys_a")), "a")
-        sided = sided.join(keys.select(F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("keys").alias("keys_b")), "b")
-        often = sided.select("a", "b", "size_a", "size_b", "keys_a", "keys_b").mapInArrow(_often(num, den), "a long, b long")
-        left = often.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(n, num, den), "a long, b long")
-
-    # texts of one id under several digests make links of their own
-    links = named.where("id is not null and rep <> id").select(F.col("id").alias("a"), F.col("rep").alias("b")).join(several.select(F.col("id").alias("a")), "a", "left_semi")
-    found = [scratch.save(links)]
-    parts: DataFrame | None = None
+        """The linked ones of pairs (a, b, hits or null)."""
+        for side in ("a", "b"):
+            pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("end").alias(f"end_{side}"), F.col("hashes").alias(f"hashes_{side}")), side)
+        return pairs.select("a", "b", "hits", "end_a", "end_b", "hashes_a", "hashes_b").mapInArrow(_probe(num, den), "a long, b long")
+
+    # texts of one id are one document
+    several = filled.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("id", "a")
+    found = [scratch.save(filled.join(several, "id").where("node <> a").select("a", F.col("node").alias("b")).distinct())]
+    parts = _components(found, scratch)
     tried: DataFrame | None = None
+    need = _need_sql("size", "b_size", num, den)
+    fits = f"{den} * least(size, b_size) >= {num} * greatest(size, b_size) and least(many, b_many) >= {need}"
     for turn in range(LEADER_ROUNDS + 1):
-        entries = lists
-        if parts is not None:
-            entries = lists.join(parts.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left")
-            entries = entries.withColumn("comp", F.coalesce("comp", "id"))
-        else:
-            entries = entries.withColumn("comp", F.col("id"))
+        entries = lists.join(parts, "node", "left").withColumns({"comp": F.coalesce("comp", "node"), "weight": F.coalesce("weight", F.lit(1))})
         entries = scratch.save(entries)
-        # leaders come from the entries that may begin a link; lists without one bring no pairs
-        begins = F.expr(f"pos <= size - ceil(2 * {num} * size / {num + den})")
-        leader = F.struct(F.xxhash64("id", F.lit(turn)).alias("prio"), F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"), F.col("comp").alias("comp_b"))
+        # the first leader is the node with the largest share of entries that others have too: near copies' centre
+        prio = -F.col("many") / (F.col("size") - F.expr(_long_sql("size", num, den))) if turn == 0 else F.lit(0.0)
+        leader = F.struct(prio.alias("prio"), F.xxhash64("node", F.lit(turn)).alias("salt"), "node", "size", "many", "comp")
+        rank = F.struct("weight", "comp")
         heads = entries.groupBy("key").agg(
-            F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("many"), F.count(F.when(begins, 1)).alias("begin"), F.min(F.when(begins, leader)).alias("leader")
-        ).where("low <> high and begin > 0")
-        heads = scratch.save(heads.select("key", "many", "begin", "leader.b", "leader.size_b", "leader.pos_b", "leader.comp_b"))
-        rows, pairs = heads.agg(F.sum("many"), F.sum(F.col("many").cast("double") * F.col("begin"))).first()
-        if not rows:
+            F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("length"), F.max(rank).alias("top"), F.min(leader).alias("leader")
+        )
+        heads = heads.where("low <> high").select(
+            "key", "length", "top", F.col("leader.node").alias("b"), F.col("leader.size").alias("b_size"), F.col("leader.many").alias("b_many"), F.col("leader.comp").alias("b_comp")
+        )
+        heads = scratch.save(heads)
+        most = heads.agg(F.max("length")).first()[0]
+        if most is None:  # no list has nodes of two components
             break
-        if turn == LEADER_ROUNDS or pairs <= 2 * rows:
-            found.append(scratch.save(verified(_residual(entries, heads, num, den))))
+        if turn == LEADER_ROUNDS:
+            often = scratch.save(_often(entries, heads, most, num, den))
+            found.append(scratch.save(verified(often)))
             break
-        near = entries.join(heads, "key").where(
-            f"id <> b and comp <> comp_b and {den} * least(size, size_b) >= {num} * greatest(size, size_b)"
-            f" and {num + den} * least(size - pos, size_b - pos_b) >= {num} * (size + size_b)"
-        )  # any choice is right here: pairs left out now are left to the lists' full merge
-        best = near.groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("hits"))
+        near = entries.join(heads.drop("length", "top"), "key").where(f"node <> b and comp <> b_comp and {fits}")
+        # held against a leader where the lists it leads bring half of what is needed; any choice is right here, the rest is left to the merge
+        best = near.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("common"), F.min("size").alias("size"), F.min("b_size").alias("b_size"))
+        best = best.where(f"2 * common >= {need}")
         if tried is not None:
             best = best.join(tried, ["a", "b"], "left_anti")
-        best = best.groupBy("a").agg(F.max(F.struct("hits", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+        best = best.groupBy("a").agg(F.max(F.struct("common", "b")).alias("x")).select("a", F.col("x.b").alias("b"), F.lit(None).cast("int").alias("hits"))
         best = scratch.save(best)
-        tried = best if tried is None else tried.unionByName(best)
+        tried = best.select("a", "b") if tried is None else tried.unionByName(best.select("a", "b"))
         found.append(scratch.save(verified(best)))
         parts = _components(found, scratch)
-        release(spark)
     parts = _components(found, scratch)
-    scratch.retain(named, parts)
-    out = named.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return out.select(F.col("id").alias(id_column), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
+    # the smallest id of every node's component
+    linked = nodes.join(parts, "node").select("node", "first", "comp")
+    least = linked.groupBy("comp").agg(F.min("first").alias("component"))
+    named = nodes.select("node", "first").join(linked.join(least, "comp").select("node", "component"), "node", "left")
+    named = scratch.save(named.select("node", F.coalesce("component", "first").alias("component")))
+    out = told.select("id", "n_shingles", "node").join(named, "node", "left")
+    out = scratch.save(out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component")))
+    # an id whose texts are linked, but for an empty one
+    mixed = out.where("id is not null").groupBy("id").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+    mixed = scratch.save(mixed.select("id", "least"))
+    scratch.retain(out, mixed)
+    out = out.join(mixed, "id", "left")
+    return out.select(F.col("id").alias(id_column), "n_shingles", F.coalesce("least", "component").alias("component_id"))
+
+
+def _wanted_lists(base: DataFrame, n: int, num: int, den: int, rarity, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The short lists' entries (key, node, size, many) of nodes that may have a partner; and these nodes.
+
+    many: how many of the node's entries are in a list with others.
+    """
+    bits = bucket_bits(block_count(base))
+    packed = base.mapInArrow(_postings(n, num, den, rarity, bits), "bucket int, key binary, node binary, size binary, hot binary")
+    lists = scratch.save(packed.groupBy("bucket").applyInArrow(_lists, "key long, node long, size int"))
+    # a node whose short lists hold others less often than any partner asks for has none
+    enough = lists.groupBy("node").agg(F.count("*").cast("int").alias("many"), F.max("size").alias("size")).where(f"many > floor(size / {EXTRA})")
+    sizes = scratch.save(enough.select("node", "many"))
+    return scratch.save(lists.join(sizes, "node")), sizes
 
 
 def _components(found: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """(node, comp, weight) of the nodes that have links; weight is the number of nodes in the component."""
     links = found[0]
     for more in found[1:]:
         links = links.unionByName(more)
-    return scratch.save(connected_components(links, scratch))
-
-
-def _residual(entries: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs of different components that the short lists bring together.
-
-    Of a pair, the smaller set (a) must have the shared shingle among its first
-    s - ceil(2 c s / (1 + c)) + 1, and what lies behind the first shared place must suffice
-    for T.
-    """
-    spread = entries.join(heads.select("key"), "key", "left_semi")
-    left = spread.where(f"pos <= size - ceil(2 * {num} * size / {num + den})").select(
-        "key", F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("pos").alias("pos_a"), F.col("comp").alias("comp_a")
-    )
-    right = spread.select("key", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"), F.col("comp").alias("comp_b"))
-    rows = left.join(right.where(f"pos_b <= size_b - ceil({num} * size_b / {den})"), "key").where(
-        f"comp_a <> comp_b and (size_a < size_b or size_a = size_b and a < b) and {den} * size_a >= {num} * size_b"
-        f" and {num + den} * least(size_a - pos_a, size_b - pos_b) >= {num} * (size_a + size_b)"
-    )
-    rows = rows.select("a", "key", "b").repartition("a").sortWithinPartitions("a", "key", "b")
-    return rows.mapInArrow(_merge, "a long, b long, hits int")
+    parts = scratch.save(connected_components(links, scratch)).withColumnRenamed("component", "comp")
+    return scratch.save(parts.join(parts.groupBy("comp").agg(F.count("*").alias("weight")), "comp").select("node", "comp", "weight"))
+
+
+def _often(entries: DataFrame, heads: DataFrame, most: int, num: int, den: int) -> DataFrame:
+    """(a, b, hits): the pairs of different components that occur often enough in each other's short lists."""
+    spread = entries.join(heads.select("key", "length", "top"), "key")
+    asks = F.struct("weight", "comp") < F.col("top")
+    columns = ("node", "size", "many", "weight", "comp")
+    pieces = F.ceil(F.col("length") / LIST_ROWS).cast("int")
+    part = F.pmod(F.xxhash64("node"), pieces).cast("int")
+    small = spread.where(f"length <= {LIST_ROWS}").select("key", F.lit(0).alias("part"), F.when(asks, _BOTH).otherwise(_ASKED).alias("role"), *columns)
+    large = spread.where(f"length > {LIST_ROWS}")
+    asked = large.select("key", part.alias("part"), F.lit(_ASKED).alias("role"), *columns)
+    asking = large.where(asks).select("key", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("part"), F.lit(_ASKS).alias("role"), *columns)
+    rows = small.unionByName(asked).unionByName(asking).repartition("key", "part").sortWithinPartitions("key", "part")
+    shards = 1 << max(0, (most - 1).bit_length() - LIST_ROWS.bit_length() + 1)
+    found = rows.mapInArrow(_gather(num, den, shards), "a long, shard int, size_a int, nodes binary, sizes binary")
+    return found.repartition("a", "shard").sortWithinPartitions("a", "shard").mapInArrow(_merge(num, den), "a long, b long, hits int")

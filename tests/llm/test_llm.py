@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sheafline.llm import byte_bpe, chat, langid, packing, quality_rules, secret_scan, topk, warc
+from sheafline.llm import byte_bpe, chat, jaccard_join, langid, packing, quality_rules, secret_scan, topk, warc
 from sheafline.llm.components import Scratch, connected_components
 from sheafline.llm.jaccard_join import jaccard_components, merge_lists
 from sheafline.llm.substring_dedup import remove_repeats
@@ -305,15 +305,38 @@ def test_jaccard_ids_with_several_texts(spark):
     assert {i: k for i, _, k in got} == {3: 3, 5: 3, 7: 3, 10: 3, 12: 3, 14: 3, 20: 20, 22: 20}
 
 
+@pytest.mark.parametrize("rounds, list_rows", [(3, 4096), (0, 8), (1, 8), (0, 4096)])
+def test_jaccard_group_about_the_threshold(spark, monkeypatch, rounds, list_rows):
+    """Near copies of which some are linked and some not; lists merged whole or in parts, with and without leaders."""
+    monkeypatch.setattr(jaccard_join, "LEADER_ROUNDS", rounds)
+    monkeypatch.setattr(jaccard_join, "LIST_ROWS", list_rows)
+    rng = random.Random(rounds)
+    common = [f"c{i}" for i in range(400)]
+    rows = []
+    for group in range(3):
+        base = [rng.choice(common) for _ in range(90)]
+        for i in range(40):
+            w = list(base)
+            for _ in range(rng.randrange(7)):
+                w[rng.randrange(len(w))] = rng.choice(common)
+            if i % 9 == 0:
+                w = w[: rng.randrange(70, 90)]
+            rows.append((1000 * group + i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for n, threshold in ((3, (9, 10)), (5, (4, 5))):
+        assert sorted(tuple(r) for r in jaccard_components(docs, n, threshold).collect()) == brute_components(rows, n, *threshold)
+
+
 def test_jaccard_empty_and_lists(spark):
     assert jaccard_components(empty(spark), 3, (9, 10)).count() == 0
     assert list(merge_lists([[1, 3, 5], [3, 5], [5]])) == [(1, 1), (3, 2), (5, 3)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("chunk", [1 << 20, 20])
+def test_components(spark, chunk):
     rng = random.Random(8)
     links = [(i, i + 1) for i in range(0, 40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(50)] + [(7, 7), (None, 3)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t")).collect()}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t"), chunk=chunk).collect()}
     top = {x: x for ab in links for x in ab if x is not None}
 
     def find(x):
