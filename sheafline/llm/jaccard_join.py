@@ -53,7 +53,7 @@ from pyspark.sql import functions as F
 
 from .blocks import block_count, bucket_bits, likely, pack, split_by_bucket, unpack_column
 from .components import Scratch, connected_components, release
-from .textbytes import mix, span_hashes, text_chunks, window_hashes, window_starts, word_spans
+from .textbytes import mix, ranges, span_hashes, text_chunks, window_hashes, window_starts, word_spans
 
 #: log2 of the buckets in which shingles are counted.
 SKETCH_BITS = 18
@@ -290,6 +290,8 @@ def merge_lists(lists: list[list[int]]) -> Iterator[tuple[int, int]]:
 
 #: Entries of a list: "asks" look for others, "asked" may be found; small lists have entries that are both.
 _ASKS, _ASKED, _BOTH = 1, 2, 3
+#: Lists of up to so many entries are looked through many at once.
+_FEW = 64
 
 
 def _gather(num: int, den: int, shards: int):
@@ -300,42 +302,65 @@ def _gather(num: int, den: int, shards: int):
     """
 
     def fits(q, t):
-        """Which of the entries t (columns) entry q may be linked with."""
-        node, size, many, weight, comp = t
-        return ((weight > q[3]) | ((weight == q[3]) & (comp > q[4]))) & (np.minimum(many, q[2]) >= _need(size, q[1], num, den))
-
-    def of_list(rows, role):
-        asked = np.flatnonzero(role & _ASKED)
-        asked = asked[np.argsort(rows[1][asked], kind="stable")]
-        targets = [x[asked] for x in rows]
-        for i in np.flatnonzero(role & _ASKS):
-            q = [x[i] for x in rows]
-            # the sizes that c allows are a range
-            low = np.searchsorted(targets[1], _least(q[1], num, den))
-            high = np.searchsorted(targets[1], q[1] * den // num, side="right")
-            near = [x[low:high] for x in targets]
-            good = fits(q, near)
-            if good.any():
-                yield q, near[0][good], near[1][good]
-
-    def rows_of(found):
-        out: dict[str, list] = {"a": [], "shard": [], "size_a": [], "nodes": [], "sizes": []}
-        for q, nodes, sizes in found:
-            order = np.argsort(nodes, kind="stable")
-            nodes, sizes = nodes[order], sizes[order]
-            shard = (mix(nodes.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
-            for s in np.unique(shard):
-                at = shard == s
-                for c, x in zip(out, (int(q[0]), int(s), int(q[1]), pack(nodes[at]), pack(sizes[at].astype("<i4"))), strict=True):
-                    out[c].append(x)
-        types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_pydict({c: pa.array(x, t) for (c, x), t in zip(out.items(), types, strict=True)})
+        """Which pairs of entries (columns: node, size, many, weight, comp) may be linked and are asked for by the first."""
+        return (
+            ((t[3] > q[3]) | ((t[3] == q[3]) & (t[4] > q[4])))
+            & (den * np.minimum(t[1], q[1]) >= num * np.maximum(t[1], q[1]))
+            & (np.minimum(t[2], q[2]) >= _need(t[1], q[1], num, den))
+        )
+
+    def of_list(table, low, high):
+        """Pairs of places (of the node that asks, of the found) of one list; sizes that c allows are a range."""
+        asked = low + np.flatnonzero(table[2][low:high] & _ASKED)
+        asked = asked[np.argsort(table[4][asked], kind="stable")]
+        sizes = table[4][asked]
+        for i in low + np.flatnonzero(table[2][low:high] & _ASKS):
+            size = table[4][i]
+            near = asked[np.searchsorted(sizes, _least(size, num, den)) : np.searchsorted(sizes, size * den // num, side="right")]
+            good = near[fits([x[i] for x in table[3:]], [x[near] for x in table[3:]])]
+            if len(good):
+                yield np.full(len(good), i), good
+
+    def of_lists(table, heads, ends):
+        """The same of all lists; those of few entries at once, by blocks of pairs."""
+        lengths = ends - heads
+        for low, high in zip(heads[lengths > _FEW].tolist(), ends[lengths > _FEW].tolist(), strict=True):
+            yield from of_list(table, low, high)
+        heads, lengths = heads[(lengths > 1) & (lengths <= _FEW)], lengths[(lengths > 1) & (lengths <= _FEW)]
+        for block in np.split(np.arange(len(heads)), np.flatnonzero(np.diff(np.cumsum(lengths * lengths) // 1_000_000)) + 1):
+            each = lengths[block]
+            first = ranges(heads[block], each)
+            asks, found = np.repeat(first, np.repeat(each, each)), ranges(np.repeat(heads[block], each), np.repeat(each, each))
+            good = (table[2][asks] & _ASKS > 0) & (table[2][found] & _ASKED > 0)
+            asks, found = asks[good], found[good]
+            good = fits([x[asks] for x in table[3:]], [x[found] for x in table[3:]])
+            yield asks[good], found[good]
+
+    def rows_of(table, heads, ends):
+        """One row for a node that asks, its list and a shard of the found, which ascend."""
+        pairs = list(of_lists(table, heads, ends))
+        asks, found = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+        nodes = table[3][found]
+        shard = (mix(nodes.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+        order = np.lexsort((nodes, shard, asks))
+        asks, shard, nodes, sizes = asks[order], shard[order], nodes[order], table[4][found][order].astype("<i4")
+        first = np.flatnonzero(np.r_[True, (asks[1:] != asks[:-1]) | (shard[1:] != shard[:-1])]) if len(asks) else np.zeros(0, np.int64)
+        cuts = np.r_[first, len(asks)]
+        return pa.RecordBatch.from_pydict(
+            {
+                "a": pa.array(table[3][asks[first]]),
+                "shard": pa.array(shard[first], pa.int32()),
+                "size_a": pa.array(table[4][asks[first]], pa.int32()),
+                "nodes": pa.array([pack(nodes[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+                "sizes": pa.array([pack(sizes[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+            }
+        )
 
     def run(batches):
         held: list[np.ndarray] | None = None
 
         def lists(table, final):
-            """Whole lists of the rows held; the last one waits unless no rows follow."""
+            """Of the rows held, whole lists; the last one waits unless no rows follow."""
             nonlocal held
             key, part = table[0], table[1]
             heads = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
@@ -343,18 +368,16 @@ def _gather(num: int, den: int, shards: int):
             if not final:
                 held = [x[heads[-1] :] for x in table]
                 heads, ends = heads[:-1], ends[:-1]
-            for i, j in zip(heads.tolist(), ends.tolist(), strict=True):
-                if j - i > 1:
-                    yield from of_list([x[i:j] for x in table[3:]], table[2][i:j])
+            return rows_of(table, heads, ends)
 
         for batch in batches:
             new = [batch.column(c).to_numpy() for c in ("key", "part", "role", "node")] + [batch.column(c).to_numpy().astype(np.int64) for c in ("size", "many", "weight", "comp")]
             if held is not None:
                 new = [np.concatenate(x) for x in zip(held, new, strict=True)]
             if len(new[0]):
-                yield rows_of(lists(new, False))
+                yield lists(new, False)
         if held is not None and len(held[0]):
-            yield rows_of(lists(held, True))
+            yield lists(held, True)
 
     return run
 
@@ -511,15 +534,21 @@ def jaccard_components(
     tried: DataFrame | None = None
     need = _need_sql("size", "b_size", num, den)
     fits = f"{den} * least(size, b_size) >= {num} * greatest(size, b_size) and least(many, b_many) >= {need}"
-    for turn in range(LEADER_ROUNDS + 1):
-        entries = lists.join(parts, "node", "left").withColumns({"comp": F.coalesce("comp", "node"), "weight": F.coalesce("weight", F.lit(1))})
-        entries = scratch.save(entries)
+    turn, linked = 0, 1
+    while True:
+        merged = turn >= LEADER_ROUNDS or not linked  # the last round
+        if linked or parts is None:
+            entries = lists
+            if parts is None:
+                entries = entries.withColumns({"comp": F.col("node"), "weight": F.lit(1).cast("long")})
+            else:
+                entries = lists.join(parts, "node", "left").withColumns({"comp": F.coalesce("comp", "node"), "weight": F.coalesce("weight", F.lit(1).cast("long"))})
+                entries = scratch.save(entries)
         # the first leader is the node with the largest share of entries that others have too: near copies' centre
         prio = -F.col("many") / (F.col("size") - F.expr(_long_sql("size", num, den))) if turn == 0 else F.lit(0.0)
         leader = F.struct(prio.alias("prio"), F.xxhash64("node", F.lit(turn)).alias("salt"), "node", "size", "many", "comp")
-        rank = F.struct("weight", "comp")
         heads = entries.groupBy("key").agg(
-            F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("length"), F.max(rank).alias("top"), F.min(leader).alias("leader")
+            F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("length"), F.max(F.struct("weight", "comp")).alias("top"), F.min(leader).alias("leader")
         )
         heads = heads.where("low <> high").select(
             "key", "length", "top", F.col("leader.node").alias("b"), F.col("leader.size").alias("b_size"), F.col("leader.many").alias("b_many"), F.col("leader.comp").alias("b_comp")
@@ -528,22 +557,28 @@ def jaccard_components(
         most = heads.agg(F.max("length")).first()[0]
         if most is None:  # no list has nodes of two components
             break
-        if turn == LEADER_ROUNDS:
-            often = scratch.save(_often(entries, heads, most, num, den))
-            found.append(scratch.save(verified(often)))
+        if merged:
+            pairs = scratch.save(_often(entries, heads, most, num, den))
+        else:
+            near = entries.join(heads.drop("length", "top"), "key").where(f"node <> b and comp <> b_comp and {fits}")
+            # held against a leader where the lists it leads bring half of what is needed; any choice is right here, the rest is left to the merge
+            best = near.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("common"), F.min("size").alias("size"), F.min("b_size").alias("b_size"))
+            best = best.where(f"2 * common >= {need}")
+            if tried is not None:
+                best = best.join(tried, ["a", "b"], "left_anti")
+            best = best.groupBy("a").agg(F.max(F.struct("common", "b")).alias("x")).select("a", F.col("x.b").alias("b"), F.lit(None).cast("int").alias("hits"))
+            pairs = scratch.save(best)
+            tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+        links = scratch.save(verified(pairs))
+        linked = links.count()
+        if linked:
+            found.append(links)
+            parts = _components(found, scratch)
+        if merged:
             break
-        near = entries.join(heads.drop("length", "top"), "key").where(f"node <> b and comp <> b_comp and {fits}")
-        # held against a leader where the lists it leads bring half of what is needed; any choice is right here, the rest is left to the merge
-        best = near.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("common"), F.min("size").alias("size"), F.min("b_size").alias("b_size"))
-        best = best.where(f"2 * common >= {need}")
-        if tried is not None:
-            best = best.join(tried, ["a", "b"], "left_anti")
-        best = best.groupBy("a").agg(F.max(F.struct("common", "b")).alias("x")).select("a", F.col("x.b").alias("b"), F.lit(None).cast("int").alias("hits"))
-        best = scratch.save(best)
-        tried = best.select("a", "b") if tried is None else tried.unionByName(best.select("a", "b"))
-        found.append(scratch.save(verified(best)))
-        parts = _components(found, scratch)
-    parts = _components(found, scratch)
+        turn += 1
+    if parts is None:
+        parts = _components(found, scratch, none=False)
     # the smallest id of every node's component
     linked = nodes.join(parts, "node").select("node", "first", "comp")
     least = linked.groupBy("comp").agg(F.min("first").alias("component"))
@@ -573,12 +608,14 @@ def _wanted_lists(base: DataFrame, n: int, num: int, den: int, rarity, scratch:
     return scratch.save(lists.join(sizes, "node")), sizes
 
 
-def _components(found: list[DataFrame], scratch: Scratch) -> DataFrame:
-    """(node, comp, weight) of the nodes that have links; weight is the number of nodes in the component."""
+def _components(found: list[DataFrame], scratch: Scratch, none: bool = True) -> DataFrame | None:
+    """(node, comp, weight) of the nodes that have links; weight is the number of nodes in the component. No links: None, if asked for."""
     links = found[0]
     for more in found[1:]:
         links = links.unionByName(more)
-    parts = scratch.save(connected_components(links, scratch)).withColumnRenamed("component", "comp")
+    if none and not links.limit(1).count():
+        return None
+    parts = connected_components(links, scratch).withColumnRenamed("component", "comp")
     return scratch.save(parts.join(parts.groupBy("comp").agg(F.count("*").alias("weight")), "comp").select("node", "comp", "weight"))
 
 
