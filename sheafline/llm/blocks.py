@@ -107,55 +107,63 @@ def id_array(column: pa.ChunkedArray) -> np.ndarray:
 FILTER_BITS_EACH, FILTER_LEAST, FILTER_MOST = 16, 1 << 16, 1 << 27
 
 
-def likely(table: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """``table`` less most of the rows whose id is not in ``ids``: a Bloom filter before a semi-join.
+class Membership:
+    """A Bloom filter of the ids in a table: at most FILTER_MOST bits (16 MB), however many ids there are.
 
-    The filter has at most FILTER_MOST bits (16 MB), however many ids there are;
-    where it is full it lets more rows pass, never fewer. Null ids don't pass.
+    Where it is full it takes more ids for members, never fewer. Null is none. The
+    filter is broadcast once, packed, and serves any number of tables.
     """
-    return _filtered(table, ids, column, True)
 
+    def __init__(self, ids: DataFrame, column: str) -> None:
+        spark = ids.sparkSession
+        bits = self.bits = 1 << max(FILTER_LEAST, min(FILTER_MOST, FILTER_BITS_EACH * max(ids.count(), 1))).bit_length() - 1
+        def build(batches):
+            seen = np.zeros(bits // 8, np.uint8)
+            for batch in batches:
+                x = batch.column(0).drop_null().to_numpy()
+                for at in _filter_places(x, bits):
+                    np.bitwise_or.at(seen, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+            yield pa.RecordBatch.from_pydict({"filter": pa.array([seen.tobytes()], pa.binary())})
+
+        def union(batches):
+            whole = np.zeros(bits // 8, np.uint8)
+            for batch in batches:
+                for x in batch.column(0):
+                    whole |= np.frombuffer(x.as_buffer(), np.uint8)
+            yield pa.RecordBatch.from_pydict({"filter": pa.array([whole.tobytes()], pa.binary())})
+
+        parts = ids.select(column).coalesce(8).mapInArrow(build, "filter binary")
+        row = parts.coalesce(1).mapInArrow(union, "filter binary").first()
+        self.shared = spark.sparkContext.broadcast(bytes(row[0]) if row else bytes(bits // 8))
+
+    def test(self):
+        """For executors: a function of an id column that tells which rows may be members."""
+        bits, shared = self.bits, self.shared
+
+        def may_hold(column) -> np.ndarray:
+            seen = np.frombuffer(shared.value, np.uint8)
+            good = column.is_valid().to_numpy(zero_copy_only=False).copy()
+            for at in _filter_places(column.fill_null(0).to_numpy(), bits):
+                good &= (seen[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+            return good
 
-def unlikely(table: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """The rows that likely() with the same arguments leaves out: surely none of ``ids``."""
-    return _filtered(table, ids, column, False)
+        return may_hold
 
+    def split(self, table: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+        """The rows of ``table`` that may be members, and those that are surely none."""
+        test, at = self.test(), table.columns.index(column)
+
+        def keep(inside: bool):
+            def run(batches):
+                for batch in batches:
+                    good = test(batch.column(at))
+                    yield batch.filter(pa.array(good if inside else ~good))
+
+            return run
+
+        return table.mapInArrow(keep(True), table.schema), table.mapInArrow(keep(False), table.schema)
 
-def _filtered(table: DataFrame, ids: DataFrame, column: str, inside: bool) -> DataFrame:
-    spark = table.sparkSession
-    bits = 1 << max(FILTER_LEAST, min(FILTER_MOST, FILTER_BITS_EACH * max(ids.count(), 1))).bit_length() - 1
-
-    def places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        h = mix(x.astype(np.int64).view(np.uint64))
-        return tuple((mix(h + np.uint64(k)) & np.uint64(bits - 1)).astype(np.int64) for k in (1, 2, 3))
-
-    def build(batches):
-        seen = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            x = batch.column(0).drop_null().to_numpy()
-            for at in places(x):
-                np.bitwise_or.at(seen, at >> 3, (128 >> (at & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_pydict({"part": pa.array([0], pa.int32()), "filter": pa.array([seen.tobytes()], pa.binary())})
-
-    def union(batches):
-        whole = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            for x in batch.column(0):
-                whole |= np.frombuffer(x.as_buffer(), np.uint8)
-        yield pa.RecordBatch.from_pydict({"filter": pa.array([whole.tobytes()], pa.binary())})
-
-    parts = ids.select(column).coalesce(8).mapInArrow(build, "part int, filter binary").select("filter")
-    row = parts.coalesce(1).mapInArrow(union, "filter binary").first()
-    shared = spark.sparkContext.broadcast(bytes(row[0]) if row else bytes(bits // 8))
-    at_column = table.columns.index(column)
-
-    def keep(batches):
-        seen = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            x = batch.column(at_column)
-            good = x.is_valid().to_numpy(zero_copy_only=False).copy()
-            for at in places(x.fill_null(0).to_numpy()):
-                good &= (seen[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-            yield batch.filter(pa.array(good if inside else ~good))
 
-    return table.mapInArrow(keep, table.schema)
+def _filter_places(x: np.ndarray, bits: int) -> list[np.ndarray]:
+    h = mix(x.astype(np.int64).view(np.uint64))
+    return [(mix(h + np.uint64(k)) & np.uint64(bits - 1)).astype(np.int64) for k in (1, 2, 3)]

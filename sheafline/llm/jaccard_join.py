@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_count, bucket_bits, likely, pack, split_by_bucket, unpack_column
+from .blocks import Membership, block_count, bucket_bits, pack, split_by_bucket, unpack_column
 from .components import Scratch, connected_components, release
 from .textbytes import mix, ranges, span_hashes, text_chunks, window_hashes, window_starts, word_spans
 
@@ -67,7 +67,7 @@ LEADER_ROUNDS = 3
 #: A list with more entries is merged in parts.
 LIST_ROWS = 4096
 #: Entries of short lists that a task holds before it sends them.
-HELD_ENTRIES = 300_000
+HELD_ENTRIES = 200_000
 
 
 def shingle_sets(texts: pa.Array, n: int, of_words=None) -> Iterator[tuple]:
@@ -327,7 +327,7 @@ def _gather(num: int, den: int, shards: int):
         for low, high in zip(heads[lengths > _FEW].tolist(), ends[lengths > _FEW].tolist(), strict=True):
             yield from of_list(table, low, high)
         heads, lengths = heads[(lengths > 1) & (lengths <= _FEW)], lengths[(lengths > 1) & (lengths <= _FEW)]
-        for block in np.split(np.arange(len(heads)), np.flatnonzero(np.diff(np.cumsum(lengths * lengths) // 1_000_000)) + 1):
+        for block in np.split(np.arange(len(heads)), np.flatnonzero(np.diff(np.cumsum(lengths * lengths) // 200_000)) + 1):
             each = lengths[block]
             first = ranges(heads[block], each)
             asks, found = np.repeat(first, np.repeat(each, each)), ranges(np.repeat(heads[block], each), np.repeat(each, each))
@@ -455,13 +455,14 @@ def _probe(num: int, den: int):
     return run
 
 
-def _sets(n: int, num: int, den: int, shared):
-    """(node, last key of its short lists as a signed number, hashes in the common order) of every text that has words."""
+def _sets(n: int, num: int, den: int, shared, wanted):
+    """(node, last key of its short lists as a signed number, hashes in the common order) of every text with words whose id may be wanted."""
 
     def run(batches):
         rarity = shared.value
         for batch in batches:
-            for _, _, size, node, owner, key, hashes in rarity.ordered(batch.column("text"), n):
+            texts = batch.column("text").filter(pa.array(wanted(batch.column("id"))))
+            for _, _, size, node, owner, key, hashes in rarity.ordered(texts, n):
                 full = np.flatnonzero(size > 0)
                 first = (np.cumsum(size) - size)[full]
                 end = key[first + (size - _long(size, num, den))[full] - 1] ^ np.uint64(1 << 63)
@@ -516,7 +517,7 @@ def jaccard_components(
     lists, sizes = _wanted_lists(base, n, num, den, rarity, scratch)
     firsts = sizes.join(nodes, "node").select("node", F.col("first").alias("id"))
     firsts = scratch.save(firsts)
-    texts = likely(base, firsts, "id").mapInArrow(_sets(n, num, den, rarity), "node long, end long, hashes binary")
+    texts = base.mapInArrow(_sets(n, num, den, rarity, Membership(firsts, "id").test()), "node long, end long, hashes binary")
     sets = texts.join(firsts.select("node"), "node", "left_semi").groupBy("node").agg(F.first("end").alias("end"), F.first("hashes").alias("hashes"))
     sets = scratch.save(sets)
     release(spark)

@@ -41,7 +41,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from .blocks import likely, unlikely
+from .blocks import Membership
 from .components import Scratch
 
 SCHEMA = "record_id string, record_type string, target_uri string, record_date string, refers_to string, payload_digest string, payload_length long, payload binary"
@@ -355,8 +355,8 @@ def records_of_pages(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     later = slim.where("page_id is not null").join(first, "digest").where("page_id <> first").select("page_id", "digest", "first").distinct()
     # pages that surely are no copies stay where they are; the others are held against the list
     later = Scratch(pages.sparkSession, "revisits").save(later)
-    sure = unlikely(base, later, "page_id").withColumn("first", F.lit(None).cast("long"))
-    told = sure.unionByName(likely(base, later, "page_id").join(later, ["page_id", "digest"], "left"))
+    doubtful, sure = Membership(later, "page_id").split(base, "page_id")
+    told = sure.withColumn("first", F.lit(None).cast("long")).unionByName(doubtful.join(later, ["page_id", "digest"], "left"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     again = F.col("first").isNotNull()
     return told.select(
