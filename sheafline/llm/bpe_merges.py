@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .textbytes import ranges
+
 NONE = np.int32(2**31 - 1)
 #: Words of more symbols are merged one by one.
 LONG = 128
@@ -33,7 +35,8 @@ class MergeTable:
         self.keys, self.ranks = keys[order], ranks[order]
         self.merged = np.zeros(int(ranks.max()) + 1 if len(ranks) else 1, np.int32)
         self.merged[ranks] = merged
-        self.by_pair = pairs
+        # for words that are merged one by one; the rank names the merged symbol
+        self.by_pair = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -113,7 +116,7 @@ class MergeTable:
         n = len(sym)
         w = 1 << (n - 1).bit_length()
         none, pairs = int(NONE), self.by_pair
-        rank = lambda a, b: pairs.get((a, b), (none, 0))[0]
+        rank = lambda a, b: pairs.get(a << 32 | b, none)
         tree = [none] * (2 * w)
         for i in range(n - 1):
             tree[w + i] = rank(sym[i], sym[i + 1])
@@ -155,40 +158,47 @@ class MergeTable:
 class Remembered:
     """Ids of pieces of text by a 64-bit hash of the piece, for the pieces met lately.
 
-    Holds at most ``most`` pieces between calls and starts anew beyond.
+    Holds at most ``most`` pieces and ``most_ids`` ids between calls and starts anew beyond.
     """
 
-    def __init__(self, most: int = 500_000) -> None:
-        self.most = most
+    def __init__(self, most: int = 120_000, most_ids: int = 1_000_000) -> None:
+        self.most, self.most_ids = most, most_ids
+        self._clear()
+
+    def _clear(self) -> None:
         self.slots: dict[int, int] = {}
-        self.starts = np.zeros(0, np.int64)
-        self.counts = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int32)
+        self.starts, self.counts, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        self.used = 0
+
+    def _add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        have, used = len(self.slots), self.used
+        for name, size in (("starts", have + len(counts)), ("counts", have + len(counts)), ("ids", used + len(ids))):
+            old = getattr(self, name)
+            if len(old) < size:
+                new = np.zeros(2 * size, old.dtype)
+                new[: len(old)] = old
+                setattr(self, name, new)
+        self.starts[have : have + len(counts)] = used + np.cumsum(counts) - counts
+        self.counts[have : have + len(counts)] = counts
+        self.ids[used : used + len(ids)] = ids
+        self.used = used + len(ids)
 
     def look_up(self, hashes: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces one after another, and how many each piece has.
 
         encode(positions) gives the same for the pieces at these positions.
         """
-        import pandas as pd
-
-        from .textbytes import ranges
-
-        if len(self.slots) > self.most:
-            self.__init__(self.most)
-        codes, distinct = pd.factorize(hashes)
+        if len(self.slots) > self.most or self.used > self.most_ids:
+            self._clear()
+        distinct, first, codes = np.unique(hashes, return_index=True, return_inverse=True)
         slots = self.slots
         known = np.fromiter((slots.get(h, -1) for h in distinct.tolist()), np.int64, len(distinct))
         missing = np.flatnonzero(known < 0)
         if len(missing):
-            place = np.zeros(len(distinct), np.int64)
-            place[codes[::-1]] = np.arange(len(codes))[::-1]
-            ids, counts = encode(place[missing])
-            known[missing] = len(self.counts) + np.arange(len(missing))
+            ids, counts = encode(first[missing])
+            self._add(ids, counts)
+            known[missing] = len(slots) + np.arange(len(missing))
             slots.update(zip(distinct[missing].tolist(), known[missing].tolist(), strict=True))
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
-            self.counts = np.concatenate([self.counts, counts])
-            self.ids = np.concatenate([self.ids, ids])
         at = known[codes]
         sizes = self.counts[at]
         return self.ids[ranges(self.starts[at], sizes)], sizes

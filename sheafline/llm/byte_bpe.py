@@ -4,6 +4,10 @@ Each match of the splitting pattern is merged by itself (see bpe_merges). Texts
 are cut before blanks that follow other than white space, where no match of the
 pattern can reach across; a cut piece that a task has met before is not merged
 again. Encoding and decoding are narrow: no row leaves its partition.
+
+Letters that the library's tables know and Python's don't are split as the library
+would: its own tables are asked for their category, and a letter of this category
+stands for them while the pattern is matched. They are merged like all others.
 """
 
 from __future__ import annotations
@@ -33,8 +37,7 @@ class ByteBpe:
     """A rank file with its splitting pattern."""
 
     def __init__(self, path: str, pattern: str) -> None:
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        self.ranks = _read_ranks(path)
         pairs = {}
         for token, rank in self.ranks.items():
             for k in range(1, len(token)):
@@ -45,22 +48,11 @@ class ByteBpe:
         self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.split = regex.compile(pattern.replace(r"[^\s", f"[^{UNICODE_SPACE}").replace(r"\s", f"[{UNICODE_SPACE}]").replace(r"\S", f"[^{UNICODE_SPACE}]"))
         self.memory = Remembered()
-        self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
-        tokens = [b""] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
-            tokens[rank] = token
-        self.token_counts = np.array([len(t) for t in tokens], np.int64)
-        self.token_starts = np.cumsum(self.token_counts) - self.token_counts
-        self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.tokens = TokenBytes(self.ranks)
 
     def _encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         texts = [p.decode() for p in pieces]
-        matches = [[m.encode() for m in self.split.findall(t)] for t in texts]
-        for i, t in enumerate(texts):
-            # letters newer than Python's tables may be letters to the library, so its ids are taken
-            if not t.isascii() and any(unicodedata.category(c) == "Cn" for c in t):
-                ids = self.library.encode_ordinary(t)
-                matches[i] = [self.library.decode_single_token_bytes(x) for x in ids]  # each a token of its own
+        matches = [[m.encode() for m in self._matches(t)] for t in texts]
         distinct = list(dict.fromkeys(m for ms in matches for m in ms))
         whole = {m: self.ranks[m] for m in distinct if m in self.ranks}
         rest = [m for m in distinct if m not in whole]
@@ -75,6 +67,13 @@ class ByteBpe:
         groups = np.repeat(np.arange(len(pieces)), [len(ms) for ms in matches])
         return ids[ranges(starts[at], sizes)], np.bincount(groups, weights=sizes, minlength=len(pieces)).astype(np.int64)
 
+    def _matches(self, text: str) -> list[str]:
+        """The matches of the splitting pattern, as the library finds them."""
+        if text.isascii() or not any(unicodedata.category(c) == "Cn" for c in text):
+            return self.split.findall(text)
+        known = "".join(stand_in(c) if unicodedata.category(c) == "Cn" else c for c in text)
+        return [text[m.start() : m.end()] for m in self.split.finditer(known)]
+
     def encode(self, texts: pa.Array) -> pa.Array:
         """The ids of every text as little-endian unsigned 32-bit numbers."""
         out = []
@@ -94,6 +93,21 @@ class ByteBpe:
             out += [raw[4 * a : 4 * b] for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
         return pa.array(out, pa.binary())
 
+    def decode(self, packed: pa.Array) -> pa.Array:
+        return self.tokens.decode(packed)
+
+
+class TokenBytes:
+    """The bytes of every id, all that decoding needs."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.counts = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+
     def decode(self, packed: pa.Array) -> pa.Array:
         """The bytes that packed ids stand for."""
         out = []
@@ -102,10 +116,36 @@ class ByteBpe:
                 out.append(None)
                 continue
             ids = np.frombuffer(x.as_buffer(), "<u4")
-            out.append(self.token_bytes[ranges(self.token_starts[ids], self.token_counts[ids])].tobytes())
+            out.append(self.bytes[ranges(self.starts[ids], self.counts[ids])].tobytes())
         return pa.array(out, pa.binary())
 
 
+def _read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
+#: A letter of each general category of Unicode, none of which the pattern of a tokenizer names by itself.
+_OF_CATEGORY = {
+    "Lu": "\u00c0", "Ll": "\u00e0", "Lt": "\u01c5", "Lm": "\u02b0", "Lo": "\u05d0", "Mn": "\u0300", "Mc": "\u0903", "Me": "\u0488",
+    "Nd": "\u0660", "Nl": "\u16ee", "No": "\u00b2", "Pc": "\u203f", "Pd": "\u2010", "Ps": "\u0f3a", "Pe": "\u0f3b", "Pi": "\u00ab", "Pf": "\u00bb",
+    "Po": "\u00a1", "Sm": "\u00ac", "Sc": "\u00a2", "Sk": "\u00a8", "So": "\u00a9", "Cf": "\u00ad",
+}
+
+
+@lru_cache(maxsize=1)
+def _categories() -> dict[str, tiktoken.Encoding]:
+    """For every category an encoding of bytes that finds its letters alone, by the library's tables."""
+    every = {bytes([i]): i for i in range(256)}
+    return {k: tiktoken.Encoding(k, pat_str=rf"\p{{{k}}}", mergeable_ranks=every, special_tokens={}) for k in _OF_CATEGORY}
+
+
+@lru_cache(maxsize=1 << 12)
+def stand_in(letter: str) -> str:
+    """A letter known to Python of the category that the library has for ``letter``; one that is nowhere assigned, if the library knows none."""
+    return next((_OF_CATEGORY[k] for k, e in _categories().items() if e.encode_ordinary(letter)), "\u0378")
+
+
 def _plain_end(data: np.ndarray) -> np.ndarray:
     """Whether the character that ends at each byte is surely no white space; False where in doubt."""
     plain = data < 0x80
@@ -119,6 +159,11 @@ def _loaded(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
+@lru_cache(maxsize=2)
+def _token_bytes(path: str) -> TokenBytes:
+    return TokenBytes(_read_ranks(path))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, ids binary) of every row: the text's ids as little-endian unsigned 32-bit numbers.
 
@@ -134,12 +179,26 @@ def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id",
     return base.mapInArrow(run, "id long, ids binary").withColumnRenamed("id", id_column)
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
+def decode(encoded: DataFrame, path: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
     """(id, ids, decoded binary): the bytes of packed ids; null ids give null."""
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _loaded(path, pattern).decode(batch.column(1))], ["id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _token_bytes(path).decode(batch.column(1))], ["id", "ids", "decoded"])
 
     base = encoded.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{ids_column}`").alias("ids"))
     return base.mapInArrow(run, "id long, ids binary, decoded binary").withColumnRenamed("id", id_column).withColumnRenamed("ids", ids_column)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, ids, decoded): as decode(encode(...)), by one Python worker for both, in pieces of few rows."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                ids = _loaded(path, pattern).encode(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, _loaded(path, pattern).decode(ids)], ["id", "ids", "decoded"])
+
+    base = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
+    return base.mapInArrow(run, "id long, ids binary, decoded binary").withColumnRenamed("id", id_column)

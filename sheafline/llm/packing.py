@@ -55,22 +55,12 @@ class WordBpe:
         self.last = np.array([vocab[c + suffix] for c in letters], np.int32)
         pattern = next(x["pattern"]["Regex"] for x in told["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.split = regex.compile(pattern.replace(r"[^\s", f"[^{UNICODE_SPACE}"))
+        self.of_letter = {c: b for b, c in enumerate(letters)}
         self.memory = Remembered()
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.path = path
 
     def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        texts = [w.decode() for w in words]
-        # letters newer than Python's tables may be letters to the library, so it splits these words itself
-        new = [i for i, t in enumerate(texts) if not t.isascii() and any(unicodedata.category(c) == "Cn" for c in t)]
-        if new:
-            own = [e.ids for e in self.library.encode_batch([texts[i] for i in new], add_special_tokens=False)]
-            rest = [i for i in range(len(words)) if i not in set(new)]
-            ids, counts = self._encode_words([words[i] for i in rest]) if rest else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-            lists = dict(zip(rest, np.split(ids, np.cumsum(counts)[:-1]), strict=True)) if rest else {}
-            lists |= {i: np.array(x, np.int32) for i, x in zip(new, own, strict=True)}
-            return np.concatenate([lists[i] for i in range(len(words))]).astype(np.int32), np.array([len(lists[i]) for i in range(len(words))], np.int64)
-        parts = [[m.encode() for m in self.split.findall(_normal(t))] for t in texts]
+        parts = [self._matches(w.decode()) for w in words]
         distinct = list(dict.fromkeys(p for ps in parts for p in ps))
         counts = np.array([len(p) for p in distinct], np.int64)
         raw = np.frombuffer(b"".join(distinct), np.uint8)
@@ -85,6 +75,15 @@ class WordBpe:
         taken = sizes[at]
         return ids[ranges(starts[at], taken)], np.bincount(groups, weights=taken, minlength=len(words)).astype(np.int64)
 
+    def _matches(self, word: str) -> list[bytes]:
+        """The parts of a word that are merged each by itself."""
+        if word.isascii() or not any(unicodedata.category(c) == "Cn" for c in word):
+            return [m.encode() for m in self.split.findall(_normal(word))]
+        # letters newer than Python's tables are folded and split by the library's; merging is as for all
+        library = _library(self.path)
+        found = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(word))
+        return [bytes(self.of_letter[c] for c in part) for part, _ in found]
+
     def encode(self, texts: pa.Array):
         """Per run of texts: first row, row after the last, all ids, and how many each text has."""
         for row, last, data, offsets in text_chunks(texts):
@@ -115,6 +114,11 @@ def _byte_letters() -> list[str]:
     return [of[b] for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def _library(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
+
+
 @lru_cache(maxsize=2)
 def _loaded(path: str) -> WordBpe:
     return WordBpe(path)

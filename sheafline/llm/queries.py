@@ -117,7 +117,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded to byte-level BPE ids and decoded again."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    out = byte_bpe.decode(byte_bpe.encode(docs, *vocabulary), *vocabulary)
+    out = byte_bpe.round_trip(docs, *vocabulary)
     return out.select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
