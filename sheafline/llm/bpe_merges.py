@@ -14,6 +14,7 @@ has its tree in Python lists.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 
 from .textbytes import ranges
 
@@ -25,12 +26,10 @@ CELLS = 1 << 20
 
 
 class MergeTable:
-    """Which pairs of symbols merge: ``pairs`` maps (left, right) to (rank, merged symbol)."""
+    """Which pairs of symbols merge: three rows of numbers, for each pair left << 32 | right, its rank and the merged symbol."""
 
-    def __init__(self, pairs: dict[tuple[int, int], tuple[int, int]]) -> None:
-        keys = np.fromiter((a << 32 | b for a, b in pairs), np.int64, len(pairs))
-        ranks = np.fromiter((r for r, _ in pairs.values()), np.int32, len(pairs))
-        merged = np.fromiter((m for _, m in pairs.values()), np.int32, len(pairs))
+    def __init__(self, keys, ranks, merged) -> None:
+        keys, ranks, merged = np.array(keys, np.int64), np.array(ranks, np.int32), np.array(merged, np.int32)
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], ranks[order]
         self.merged = np.zeros(int(ranks.max()) + 1 if len(ranks) else 1, np.int32)
@@ -161,7 +160,7 @@ class Remembered:
     Holds at most ``most`` pieces and ``most_ids`` ids between calls and starts anew beyond.
     """
 
-    def __init__(self, most: int = 120_000, most_ids: int = 1_000_000) -> None:
+    def __init__(self, most: int = 400_000, most_ids: int = 2_000_000) -> None:
         self.most, self.most_ids = most, most_ids
         self._clear()
 
@@ -190,11 +189,13 @@ class Remembered:
         """
         if len(self.slots) > self.most or self.used > self.most_ids:
             self._clear()
-        distinct, first, codes = np.unique(hashes, return_index=True, return_inverse=True)
+        codes, distinct = pd.factorize(hashes)
         slots = self.slots
         known = np.fromiter((slots.get(h, -1) for h in distinct.tolist()), np.int64, len(distinct))
         missing = np.flatnonzero(known < 0)
         if len(missing):
+            first = np.zeros(len(distinct), np.int64)
+            first[codes[::-1]] = np.arange(len(codes))[::-1]
             ids, counts = encode(first[missing])
             self._add(ids, counts)
             known[missing] = len(slots) + np.arange(len(missing))

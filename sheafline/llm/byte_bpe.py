@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -38,13 +39,14 @@ class ByteBpe:
 
     def __init__(self, path: str, pattern: str) -> None:
         self.ranks = _read_ranks(path)
-        pairs = {}
+        keys, ranks = array("q"), array("q")
         for token, rank in self.ranks.items():
             for k in range(1, len(token)):
                 left, right = self.ranks.get(token[:k]), self.ranks.get(token[k:])
                 if left is not None and right is not None:
-                    pairs[left, right] = rank, rank
-        self.table = MergeTable(pairs)
+                    keys.append(left << 32 | right)
+                    ranks.append(rank)
+        self.table = MergeTable(keys, ranks, ranks)
         self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.split = regex.compile(pattern.replace(r"[^\s", f"[^{UNICODE_SPACE}").replace(r"\s", f"[{UNICODE_SPACE}]").replace(r"\S", f"[^{UNICODE_SPACE}]"))
         self.memory = Remembered()

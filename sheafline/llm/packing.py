@@ -45,11 +45,11 @@ class WordBpe:
             told = json.load(f)
         model = told["model"]
         vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
-        pairs = {}
+        pairs: dict[int, tuple[int, int]] = {}
         for rank, merge in enumerate(model["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
-            pairs.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
-        self.table = MergeTable(pairs)
+            pairs.setdefault(vocab[a] << 32 | vocab[b], (rank, vocab[a + b]))
+        self.table = MergeTable(list(pairs), *zip(*pairs.values(), strict=True))
         letters = _byte_letters()
         self.inner = np.array([vocab[c] for c in letters], np.int32)
         self.last = np.array([vocab[c + suffix] for c in letters], np.int32)
