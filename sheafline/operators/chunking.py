@@ -107,15 +107,12 @@ def window_chunks(docs: DataFrame, size: int = 500, overlap: int = 100) -> DataF
 
 
 def combined_separators(text: str, literals: list[str], together: bool = False) -> list[str]:
-    """Cut at any literal or, ``together``, only where all of them stand side by side in some order."""
-    alternatives = "|".join(re.escape(s) for s in sorted(literals, key=len, reverse=True))
-    out, last = [], 0
-    for m in re.finditer(rf"(?:{alternatives})+" if together else alternatives, text):
-        if together and not all(s in m[0] for s in literals):
-            continue
-        out.append(text[last : m.start()])
-        last = m.end()
-    return [p for p in (x.strip() for x in [*out, text[last:]]) if p]
+    """Cut at any literal or, ``together``, only where all of them begin at one place; the longest is consumed."""
+    longest = sorted(literals, key=len, reverse=True)
+    if together:  # all begin where the longest does if it begins with each of them, else nowhere
+        longest = longest[:1] if all(longest[0].startswith(s) for s in literals) else []
+    pieces = re.split("|".join(map(re.escape, longest)), text) if longest else [text]
+    return [p for p in (x.strip() for x in pieces) if p]
 
 
 def drift_chunks(parts: DataFrame, budget: int = 500, quantile: float = 0.35) -> DataFrame:

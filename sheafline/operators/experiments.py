@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text, vectors
+from ..functions import text
+from ..functions.embedders import EMBEDDERS
 from ..plans.config import RetrievalConfig
 from . import metrics, retrieve
 from .index import Index
@@ -15,13 +16,14 @@ from .index import Index
 
 @dataclass
 class Corpus:
-    """chunks (id, text) with their index; slots (id, slot, weight) of the hash embedding; facts (id, day, importance) if rerankers need them."""
+    """chunks (id, text) with their index; slots (id, slot, weight) of the hash embedding named by embedder; facts (id, day, importance) if rerankers need them."""
 
     chunks: DataFrame
     index: Index
     slots: DataFrame | None = None
     facts: DataFrame | None = None
     vectors: DataFrame | None = None
+    embedder: str = "ascii-hash"
 
 
 def retrieve_all(corpus: Corpus, questions: DataFrame, config: RetrievalConfig, anchor: Column | None = None) -> DataFrame:
@@ -30,8 +32,9 @@ def retrieve_all(corpus: Corpus, questions: DataFrame, config: RetrievalConfig,
         raise ValueError("; ".join(config.problems()))
     rankings = []
     if config.retriever != "bm25":
-        slots = corpus.slots if corpus.slots is not None else vectors.hash_slots(corpus.chunks, "id", "text")
-        asked = vectors.hash_slots(questions.withColumnRenamed("question", "text"), "qid", "text")
+        embed = EMBEDDERS[corpus.embedder]
+        slots = corpus.slots if corpus.slots is not None else embed(corpus.chunks, "id", "text")
+        asked = embed(questions.withColumnRenamed("question", "text"), "qid", "text")
         rankings.append(retrieve.sparse_dense(slots, asked, config.candidates))
     if config.retriever != "dense":
         rankings.append(retrieve.bm25(corpus.index, questions, config.candidates, config.multi_query))

@@ -13,8 +13,8 @@ def compile_filter(spec: dict | None, column_of) -> Column:
 
     ``{key: value}`` is equality; ``{key: {op: value}}`` takes $eq $ne $gt $gte $lt $lte
     $in $nin; $and and $or take lists. A missing (null) label never matches, even
-    $ne and $nin; a value of another type than the label's doesn't match an ordering;
-    an empty spec matches all; an unknown operator is an error.
+    $ne and $nin; a value of another kind (text, number) than the label's is not equal
+    to it and matches no ordering; truth values are 0 and 1; an empty spec matches all; an unknown operator is an error.
     """
     if not spec:
         return F.lit(True)
@@ -36,23 +36,53 @@ def compile_filter(spec: dict | None, column_of) -> Column:
     return out
 
 
+def _text(column: Column) -> Column:
+    """The value of a label of text (or of a date, in ISO form), else null."""
+    return F.when(F.typeof(column).isin("string", "date", "timestamp", "timestamp_ntz"), column.cast("string"))
+
+
+def _number(column: Column) -> Column:
+    """The value of a number or truth value (0 or 1), else null; never an error."""
+    written = column.cast("string")
+    kind = F.typeof(column)
+    return F.when(kind == "boolean", F.when(written == "true", 1.0).otherwise(0.0)).when(~kind.isin("string", "date", "timestamp", "timestamp_ntz"), written.try_cast("double"))
+
+
+def _equals(column: Column, value) -> Column:
+    """Equal in value and kind; a label of another kind is not equal, and not an error."""
+    if isinstance(value, str):
+        found = _text(column) == F.lit(value)
+    elif isinstance(value, bool) or isinstance(value, float):
+        found = _number(column) == F.lit(float(value))
+    elif isinstance(value, int):
+        whole = F.typeof(column).isin("tinyint", "smallint", "int", "bigint")  # compared digit by digit: exact beyond 2**53
+        found = F.when(whole, column.cast("string") == F.lit(str(value))).otherwise(_number(column) == F.lit(float(value)))
+    elif value is None:
+        found = F.lit(False)
+    else:
+        raise ValueError(f"a value must be text, a number, a truth value or null: {value!r}")
+    return F.coalesce(found, F.lit(False))
+
+
 def _one(column: Column, op: str, value) -> Column:
-    present = column.isNotNull()
-    if op == "$eq":
-        found = column == F.lit(value)
-    elif op == "$ne":
-        found = column != F.lit(value)
+    if op in ("$in", "$nin"):
+        found = F.lit(False)
+        for v in value:
+            found = found | _equals(column, v)
+        found = ~found if op == "$nin" else found
+    elif op in ("$eq", "$ne"):
+        found = _equals(column, value)
+        found = ~found if op == "$ne" else found
     elif op in _ORDERED:
-        # compared as the value's type; what cannot be read as it becomes null
-        kind = "double" if isinstance(value, (int, float)) and not isinstance(value, bool) else "string"
-        found = getattr(column.try_cast(kind), _ORDERED[op])(F.lit(value).cast(kind))
-    elif op == "$in":
-        found = column.isin(*value) if value else F.lit(False)
-    elif op == "$nin":
-        found = ~column.isin(*value) if value else F.lit(True)
+        if isinstance(value, str):
+            found = getattr(_text(column), _ORDERED[op])(F.lit(value))
+        elif isinstance(value, (int, float)):
+            found = getattr(_number(column), _ORDERED[op])(F.lit(float(value)))
+        else:
+            found = F.lit(False)
     else:
         raise ValueError(f"unknown operator {op}")
-    return F.coalesce(present & found, F.lit(False))
+    return F.coalesce(column.isNotNull() & found, F.lit(False))
 
 
 def time_overlap(span_from: Column, span_to: Column, start: int, end: int) -> Column:

@@ -12,15 +12,24 @@ from pyspark.sql import functions as F
 from .index import Index
 
 
-def rare_terms(index: Index, top: int = 12, least_df: int = 2) -> DataFrame:
-    """(id, token, idf, place): each chunk's rarest tokens that at least two chunks have, ties by token."""
-    rows = index.postings.join(index.terms.where(F.col("df") >= least_df), "token")
-    order = W.partitionBy("id").orderBy(F.desc("idf"), "token")
+def rare_terms(index: Index, top: int = 12) -> DataFrame:
+    """(id, token, idf, place): each chunk's rarest tokens, ties by token."""
+    rows = index.postings.join(index.terms, "token")
+    order = W.partitionBy("id").orderBy("df", "token")
     return rows.select("id", "token", F.round("idf", 6).alias("idf"), F.row_number().over(order).alias("place")).where(F.col("place") <= top)
 
 
-def lexical_edges(rare: DataFrame) -> DataFrame:
-    """(a, b, weight): chunks by the idf of the rare terms they share, a < b."""
+def surviving_terms(rare: DataFrame, stats: DataFrame) -> DataFrame:
+    """Rows of rare_terms() whose token is in the lists of two chunks at least, and of a fifth of all (or two) at most."""
+    counts = rare.groupBy("token").agg(F.count("*").alias("held"))
+    most = stats.select(F.greatest(F.lit(2), F.floor(F.col("n") / 5)).alias("most"))  # one row
+    kept = counts.crossJoin(F.broadcast(most)).where("held between 2 and most").select("token")
+    return rare.join(kept, "token", "left_semi")
+
+
+def lexical_edges(rare: DataFrame, stats: DataFrame) -> DataFrame:
+    """(a, b, weight): chunks by the idf of the rare terms they share, a < b; terms of many chunks join none."""
+    rare = surviving_terms(rare, stats)
     x = rare.select("token", "idf", F.col("id").alias("a"))
     y = rare.select("token", F.col("id").alias("b"))
     return x.join(y, "token").where("a < b").groupBy("a", "b").agg(F.round(F.sum("idf"), 6).alias("weight"))

@@ -26,11 +26,11 @@ class Index:
 
 
 def build(chunks: DataFrame, id_column: str, text_column: str) -> Index:
-    """The index of a table of texts. Term counts are combined before the shuffle; the
+    """The index of a table of texts; one without tokens counts as one of length 1 in the average. Term counts are combined before the shuffle; the
     postings are dealt by (id, token) once, the statistics read sums of it."""
     sized = chunks.select(F.col(id_column).alias("id"), tokens(F.col(text_column)).alias("tokens")).withColumn("dl", F.size("tokens"))
     postings = sized.select("id", "dl", F.explode("tokens").alias("token")).groupBy("id", "dl", "token").agg(F.count("*").alias("tf"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_len"))
+    stats = sized.agg(F.count("*").alias("n"), F.avg(F.greatest("dl", F.lit(1))).alias("avg_len"))
     terms = postings.groupBy("token").agg(F.count("*").alias("df"))
     terms = terms.crossJoin(F.broadcast(stats.select("n"))).select("token", "df", idf(F.col("n"), F.col("df")).alias("idf"))  # stats is one row
     return Index(postings.select("id", "token", "tf", "dl"), terms, stats)

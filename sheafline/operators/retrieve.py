@@ -211,10 +211,17 @@ def first_documents(ranking: DataFrame, documents: DataFrame) -> DataFrame:
     return firsts.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy("at", "doc"))).select("qid", "doc", "place")
 
 
-def extractive_answer(contexts: DataFrame, most: int = 3, chars: int = 300) -> DataFrame:
-    """(qid, answer): the longest sentence, cut, of each of the first contexts, with its document; a refusal if there are none.
+#: What an answerer says where it has nothing to go by, by language.
+REFUSALS = {
+    "English": "I could not find anything about this in the diary.",
+    "German": "Ich habe dazu im Tagebuch nichts gefunden.",
+}
 
-    contexts: (qid, rank, doc, text).
+
+def extractive_answer(contexts: DataFrame, questions: DataFrame, most: int = 3, chars: int = 300, refusal: str = REFUSALS["English"]) -> DataFrame:
+    """(qid, answer): the longest sentence, cut, of each of the first contexts, with its document; the refusal if there are none.
+
+    contexts: (qid, rank, doc, text); questions: (qid), each of which has a row.
     """
     from ..functions.text import sentences
 
@@ -222,4 +229,10 @@ def extractive_answer(contexts: DataFrame, most: int = 3, chars: int = 300) -> D
     line = F.concat(F.substring(best["s"], 1, chars), F.lit(" ["), F.col("doc").cast("string"), F.lit("]"))
     rows = contexts.where(F.col("rank") <= most).select("qid", "rank", line.alias("line")).where("line is not null")
     parts = rows.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("p"))
-    return parts.select("qid", F.array_join(F.transform("p", lambda x: x["line"]), " ").alias("answer"))
+    answers = parts.select("qid", F.array_join(F.transform("p", lambda x: x["line"]), " ").alias("answer"))
+    return questions.select("qid").distinct().join(answers, "qid", "left").select("qid", F.coalesce("answer", F.lit(refusal)).alias("answer"))
+
+
+def is_refusal(answer: Column) -> Column:
+    """Whether an answer is one of the refusals, white space around it aside; null is none."""
+    return F.coalesce(F.trim(answer).isin(*REFUSALS.values()), F.lit(False))

@@ -1,8 +1,12 @@
 """Operators that SQL does not express, against plain loops; and small cases of the others."""
 
+import collections
 import datetime as dt
 import difflib
+import hashlib
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -11,8 +15,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sheafline import catalog
-from sheafline.functions import dates, text
-from sheafline.operators import board, chunking, filters, hierarchy, metrics, retrieve
+from sheafline.functions import dates, embedders, text
+from sheafline.operators import board, chunking, filters, hierarchy, index, metrics, retrieve
 from sheafline.plans import split_plan
 from sheafline.plans.config import IndexConfig, RetrievalConfig, fingerprint
 
@@ -63,7 +67,7 @@ def test_fingerprints_ignore_what_has_no_effect():
 @pytest.mark.parametrize(
     "config",
     [
-        *[IndexConfig(embedder=e) for e in ("token-hash", "char-hash")],
+        IndexConfig(embedder="transformer"),
         IndexConfig(split_plan="document / part over-budget"),
         IndexConfig(hierarchy="louvain", hierarchy_levels=2),
         IndexConfig(contextual=False),
@@ -91,6 +95,72 @@ def test_filter_language(spark):
         filters.compile_filter({"k": {"$like": "a"}}, F.col)
 
 
+def test_filters_of_every_wrong_kind(spark):
+    """Every operator with values of every kind on labels of every kind: what does not fit is not equal, and nothing fails."""
+    rows = [(1, "a", 5, 1.5, True, 2**60 + 1), (2, "5", 0, 5.0, False, 2**60)]
+    df = spark.createDataFrame(rows, "id int, s string, i int, d double, b boolean, l bigint")
+    order = {"$gt": lambda x, y: x > y, "$gte": lambda x, y: x >= y, "$lt": lambda x, y: x < y, "$lte": lambda x, y: x <= y}
+
+    def holds(x, op, v):
+        if op in order:
+            return isinstance(x, str) == isinstance(v, str) and order[op](x, v)
+        return {"$eq": lambda: x == v, "$ne": lambda: x != v, "$in": lambda: x in v, "$nin": lambda: x not in v}[op]()
+
+    specs = [(c, op, v) for c in "sidbl" for v in ("a", "5", 5, 1.5, True, False, 2**60 + 1) for op in ("$eq", "$ne", *order)]
+    specs += [(c, op, v) for c in "sidbl" for v in (["a", 5], [1, 2], [], ["5", True]) for op in ("$in", "$nin")]
+    # orderings of bigints go by their nearest double
+    specs = [x for x in specs if not (x[0] == "l" and x[1] in order and x[2] == 2**60 + 1)]
+    got = df.select("id", *[filters.compile_filter({c: {op: v}}, F.col).alias(f"x{k}") for k, (c, op, v) in enumerate(specs)]).collect()
+    for r, row in zip(sorted(got), rows, strict=True):
+        values = dict(zip("sidbl", row[1:], strict=True))
+        for k, (c, op, v) in enumerate(specs):
+            assert r[f"x{k}"] == holds(values[c], op, v), (row, c, op, v)
+
+
+def test_hash_embedders(spark):
+    texts = [(1, "Aa bb aa, cc! ünï ünï ünï"), (2, ""), (3, None), (4, "متن فارسی متن"), (5, "ab")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    number = lambda s, n: int(hashlib.blake2b(s.encode(), digest_size=8).hexdigest(), 16) % n
+    for kind, slots, pieces, weight in (
+        (embedders.token_hash, 512, lambda t: [w for w in re.findall(r"[^\W_]+", t.lower()) if len(w) > 1], lambda n: 1 + math.log(n)),
+        (embedders.char_hash, 1024, lambda t: [t.lower()[i : i + 4] for i in range(len(t) - 3)] or [t.lower()] * bool(t), float),
+    ):
+        got = {(r.id, r.slot): r.weight for r in kind(df, "id", "text").collect()}
+        want = {}
+        for i, t in texts:
+            counts = {k: weight(n) for k, n in collections.Counter(number(p, slots) for p in pieces(t or "")).items()}
+            norm = math.sqrt(sum(x * x for x in counts.values()))
+            want |= {(i, k): x / norm for k, x in counts.items()}
+        assert got == pytest.approx(want)
+
+
+def test_rare_terms_and_edges(spark):
+    """The 12 rarest of all tokens; of these, those that two to a fifth of the lists hold join chunks."""
+    rng = random.Random(7)
+    texts = {i: " ".join(rng.choice("abcdefghij") * 2 + str(rng.randrange(3)) for _ in range(20)) for i in range(30)}
+    ix = index.build(spark.createDataFrame(list(texts.items()), "id int, text string"), "id", "text")
+    df = collections.Counter(w for t in texts.values() for w in set(t.split()))
+    top = {i: sorted(set(t.split()), key=lambda w: (df[w], w))[:12] for i, t in texts.items()}
+    rare = hierarchy.rare_terms(ix)
+    assert {(r.id, r.token) for r in rare.collect()} == {(i, w) for i, ws in top.items() for w in ws}
+    held = collections.Counter(w for ws in top.values() for w in ws)
+    weight = collections.Counter()
+    for a in texts:
+        for b in texts:
+            for w in set(top[a]) & set(top[b]) if a < b else ():
+                if 2 <= held[w] <= 6:
+                    weight[a, b] += round(math.log(1 + (30 - df[w] + 0.5) / (df[w] + 0.5)), 6)
+    assert {(r.a, r.b): r.weight for r in hierarchy.lexical_edges(rare, ix.stats).collect()} == pytest.approx(weight)
+
+
+def test_refusals(spark):
+    contexts = spark.createDataFrame([(1, 1, 7, "Short. A longer sentence.")], "qid int, rank int, doc int, text string")
+    questions = spark.createDataFrame([(1,), (2,)], "qid int")
+    got = {r.qid: r for r in retrieve.extractive_answer(contexts, questions).withColumn("no", retrieve.is_refusal(F.col("answer"))).collect()}
+    assert got[1].answer == "A longer sentence. [7]" and not got[1].no
+    assert got[2].answer == retrieve.REFUSALS["English"] and got[2].no
+
+
 def test_mmr_against_a_loop(spark):
     rng = random.Random(4)
     rows = [(q, i, rng.random(), r + 1) for q in range(3) for r, i in enumerate(rng.sample(range(20), 10))]
@@ -256,4 +326,6 @@ def test_drift_and_separators(spark):
     df = spark.createDataFrame(rows, "doc_id int, part_idx int, text string, vec array<double>")
     got = sorted((r.doc_id, r.text) for r in chunking.drift_chunks(df, 500, 0.2).collect())
     assert got == [(1, "t0\nt1"), (1, "t2\nt3"), (2, "a\nb")]
-    assert chunking.combined_separators("a--b-=-c", ["-", "="], together=True) == ["a--b", "c"]
+    assert chunking.combined_separators("a--b-=-c", ["-", "="], together=True) == ["a--b-=-c"]
+    assert chunking.combined_separators("a--b-c--d", ["-", "--"], together=True) == ["a", "b-c", "d"]
+    assert chunking.combined_separators("a--b-c", ["-", "--"]) == ["a", "b", "c"]
