@@ -5,8 +5,9 @@ their sequence: deltas append to its text, an edit replaces it, a regeneration
 discards it and starts anew, a retraction removes the message. Messages are then
 rendered in order between control strings, with a mask of the text to learn from.
 
-Everything is built-in DataFrame functions. Events are dealt by (conversation,
-turn) and messages by (conversation, run of PIECE_TURNS turns), so a conversation
+Everything is built-in DataFrame functions. An event acts on its own message only, so
+the log of a conversation is sorted by sequence within its messages: events are dealt by
+(conversation, turn) and messages by (conversation, run of PIECE_TURNS turns), so a conversation
 that holds a large part of the log is folded and rendered by many tasks.
 """
 
@@ -42,31 +43,41 @@ def unescape(text: Column) -> Column:
 
 
 def events_of_turns(turns: DataFrame) -> DataFrame:
-    """The log that finished turns (conv_id, turn, role, text) would have left.
+    """A log that finished turns (conv_id, turn, role, text) may have left.
 
-    Each row becomes one message, opened and then streamed in deltas of
-    DELTA_CHARS characters; equal rows become messages of their own. Columns:
-    conv_id, turn, message, seq, kind, role, payload. A null role or text is
-    empty; extra columns are left out.
+    Each row becomes one message: opened, then streamed in deltas of DELTA_CHARS
+    characters. The first delta comes out wrong: an assistant's message is regenerated,
+    any other is edited, and then goes on. Equal rows become messages of their own.
+    Columns: conv_id, turn, message, seq, kind, role, payload; seq puts all events of a
+    conversation in one order. A null role or text is empty; extra columns are left out.
     """
     key = W.partitionBy("conv_id", "turn").orderBy(F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     rows = turns.select("conv_id", "turn", "role", "text").withColumn("message", F.row_number().over(key))
-    text = F.coalesce("text", F.lit(""))
+    text, again = F.coalesce("text", F.lit("")), F.coalesce(F.col("role") == "assistant", F.lit(False))
+
+    def event(k, kind: Column, role: Column, payload: Column) -> Column:
+        seq = F.struct(F.col("turn"), F.col("message"), k.alias("step"))
+        return F.struct(seq.alias("seq"), kind.alias("kind"), role.cast("string").alias("role"), payload.cast("string").alias("payload"))
+
+    nothing = F.lit(None)
     deltas = F.transform(
         F.sequence(F.lit(0), F.floor((F.length(text) - 1) / DELTA_CHARS).cast("int")),
-        lambda i: F.struct(
-            (i + 1).cast("long").alias("seq"), F.lit("delta").alias("kind"), F.lit(None).cast("string").alias("role"), F.substring(text, i * DELTA_CHARS + 1, F.lit(DELTA_CHARS)).alias("payload")
-        ),
+        lambda i: event(i + 3, F.lit("delta"), nothing, F.substring(text, i * DELTA_CHARS + 1, F.lit(DELTA_CHARS))),
     )
-    opened = F.struct(F.lit(0).cast("long").alias("seq"), F.lit("open").alias("kind"), F.col("role").alias("role"), F.lit(None).cast("string").alias("payload"))
-    log = F.when(F.length(text) > 0, F.concat(F.array(opened), deltas)).otherwise(F.array(opened))
+    first = F.substring(text, 1, DELTA_CHARS)
+    opened = event(F.lit(0), F.lit("open"), F.col("role"), nothing)
+    wrong = event(F.lit(1), F.lit("delta"), nothing, F.reverse(first))
+    mended = event(F.lit(2), F.when(again, "regenerate").otherwise("edit"), nothing, F.when(~again, first))
+    rest = F.when(again, deltas).otherwise(F.slice(deltas, 2, F.size(deltas)))
+    log = F.when(F.length(text) > 0, F.concat(F.array(opened, wrong, mended), rest)).otherwise(F.array(opened))
     return rows.select("conv_id", "turn", "message", F.inline(log))
 
 
 def fold(events: DataFrame) -> DataFrame:
     """The final messages: conv_id, turn, message, role, text.
 
-    events: conv_id, turn, message, seq, kind, role, payload. Kinds: open (sets
+    events: conv_id, turn, message, seq, kind, role, payload; seq is a number, or anything
+    else with an order, by which all events of a conversation are sorted. Kinds: open (sets
     the role), delta, edit, regenerate, retract; others are ignored. Events of
     equal seq are taken in order of kind, role and payload. A message with no
     events but deltas has the role null; a null payload is empty; after a

@@ -123,7 +123,8 @@ def learn(
 ) -> DecisionList:
     """A list that rejects what the labels call 0 and keeps what they call 1.
 
-    The sample is the ``max_rows`` labelled ids of the smallest hash; rows of null
+    The sample is the ``max_rows`` labelled ids of the smallest hash, of whose rows at
+    most twice as many are read, those of the smallest hash and measures; rows of null
     label or null id take no part, and of an id labelled twice the smaller label
     counts. With no labels, or labels of one kind, the list is empty: it keeps all.
     """
@@ -136,9 +137,9 @@ def learn(
     )
     # the sample has at most max_rows rows of two numbers: a proven bound for the broadcast
     sample = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).join(F.broadcast(chosen), "_id")
-    sample = with_statistics(sample, "_text").select(F.col("_label") == 0, F.xxhash64("_id"), *[feature(x) for x in FEATURES])
-    # extra rows of the same id could pass the bound; order makes the outcome repeatable
-    rows = sorted(tuple(r) for r in sample.limit(2 * max_rows).collect())
+    sample = with_statistics(sample, "_text").select((F.col("_label") == 0).alias("bad"), F.xxhash64("_id").alias("hash"), *[feature(x).alias(x) for x in FEATURES])
+    # rows of the same id could pass the bound: the first 2 * max_rows in order of hash and measures are taken
+    rows = sorted(tuple(r) for r in sample.orderBy("hash", "bad", *FEATURES).limit(2 * max_rows).collect())
     if not rows:
         return DecisionList()
     values = np.array([r[2:] for r in rows], dtype=np.float64)

@@ -209,6 +209,22 @@ def test_chat_from_events(spark):
     assert pieces[0].formatted[span.start : span.end] == "good"
 
 
+def test_chat_log_of_odd_turns(spark):
+    """Nulls, empty and very long texts, repeated rows, extra columns and an empty table; the log has edits and regenerations, in any order."""
+    long = "".join(chr(97 + i % 26) for i in range(100_000)) + "𝒳<|im_end|>"
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", long), (1, 2, None, None), (1, 3, "user", "x" * 256), (1, 4, "assistant", "y" * 257), (None, None, "assistant", ""), (2, -5, "user", "𝒳" * 300)]
+    turns = spark.createDataFrame([(*r, "own", 7) for r in rows], "conv_id long, turn long, role string, text string, seq string, message int")
+    log = chat.events_of_turns(turns)
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert kinds["open"] == 8 and kinds["edit"] == 4 and kinds["regenerate"] == 2
+    assert log.select("conv_id", "seq").distinct().count() == log.count()
+    got = sorted(((r.conv_id, r.turn, r.role, r.text) for r in chat.fold(log.orderBy(F.rand(1))).collect()), key=str)
+    assert got == sorted(((c, t, role, x or "") for c, t, role, x in rows), key=str)
+    back = chat.read_back(chat.render(chat.fold(log))).collect()
+    assert sorted(x for r in back for x in r.learned) == sorted(x for _, _, role, x in rows if role == "assistant")
+    assert chat.render(chat.fold(chat.events_of_turns(turns.where("false")))).count() == 0
+
+
 @pytest.mark.parametrize("t", ["", "<|im_end|>", "\\", "<\\|", "<\\\\|<|", "a\\n<\\n", "\n<|im_start|>user\n", "𝒳<", None])
 def test_chat_escapes_are_reversible(spark, t):
     turns = spark.createDataFrame([(1, 0, t, t), (1, 1, "assistant", t), (1, 1, "assistant", t)], "conv_id long, turn long, role string, text string")
