@@ -1,6 +1,7 @@
 """WARC 1.1 archives as a Spark data source, for reading and writing.
 
-Reading plans one partition for each run of files of about ``partitionBytes``.
+Reading plans one partition for each run of files of about ``partitionBytes``;
+files may be plain (.warc) or compressed by gzip (.warc.gz).
 Filters on header columns are pushed down: a record's header is parsed first, and
 the payload of a record that fails them, or that the query does not ask for
 (option ``payload`` false), is skipped by its length without being decoded.
@@ -13,9 +14,12 @@ any store it knows will do.
 
 from __future__ import annotations
 
+import datetime
+import gzip
 import json
 import os
 import posixpath
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -57,12 +61,15 @@ HEADERS = {
 }
 _COLUMNS = {v.lower(): k for k, v in HEADERS.items()}
 MANIFEST = "_manifest.json"
+#: Fixed value: the profile of revisits that have the payload of an earlier record.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A writer begins a new file beyond this size, so that readers have files to share.
 FILE_BYTES = 64 << 20
 _BATCH_BYTES = 8 << 20
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    path = re.sub("^s3[an]://", "s3://", path)  # Hadoop's names of the same store
     if "://" in path or path.startswith("file:"):
         return pafs.FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path)
     return pafs.LocalFileSystem(), os.path.abspath(path)
@@ -119,7 +126,7 @@ class WarcReader(DataSourceReader):
                 listed = [(x["name"], x["bytes"]) for x in json.loads(f.read())]
         else:
             found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
-            listed = [(x.base_name, x.size) for x in found if x.type == pafs.FileType.File and x.base_name.endswith(".warc")]
+            listed = [(x.base_name, x.size) for x in found if x.type == pafs.FileType.File and x.base_name.endswith((".warc", ".warc.gz"))]
         out: list[Files] = []
         run: list[str] = []
         held = 0
@@ -139,7 +146,8 @@ class WarcReader(DataSourceReader):
         held = 0
         for name in partition.names:
             with fs.open_input_file(posixpath.join(root, name)) as f:
-                for row in self._records(f):
+                # one gzip member a record, as archives have it, or any other cut into members
+                for row in self._records(gzip.GzipFile(fileobj=f) if name.endswith(".gz") else f):
                     rows.append(row)
                     held += len(row["payload"] or b"") + 256
                     if held > _BATCH_BYTES:
@@ -185,7 +193,7 @@ class _Buffered:
     """Lines and blocks of a file; what is skipped beyond the buffer is not read."""
 
     def __init__(self, f, chunk: int = 1 << 18) -> None:
-        self.f, self.chunk, self.size = f, chunk, f.size()
+        self.f, self.chunk = f, chunk
         self.data, self.pos, self.base = b"", 0, 0
 
     @property
@@ -264,6 +272,8 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool) -> None:
         self.path, self.overwrite = path, overwrite
+        # mandatory in a record; of one job, so that all attempts write the same
+        self.date = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = filesystem(self.path)
@@ -285,8 +295,14 @@ class WarcWriter(DataSourceArrowWriter):
                         if column in columns and columns[column][i].is_valid:
                             value = columns[column][i].as_py()
                             head.append(f"{key}: {_closed(value) if isinstance(value, str) else value}")
+                    if "record_date" not in columns or not columns["record_date"][i].is_valid:
+                        head.append(f"WARC-Date: {self.date}")
+                    if "record_type" in columns and columns["record_type"][i].as_py() == "revisit":
+                        head.append(f"WARC-Profile: {PROFILE}")
                     payload = columns["payload"][i].as_py() if "payload" in columns else None
                     payload = payload or b""
+                    if payload:
+                        head.append("Content-Type: application/octet-stream")
                     head.append(f"Content-Length: {len(payload)}")
                     start = ("\r\n".join(head) + "\r\n\r\n").encode()
                     out.write(start)

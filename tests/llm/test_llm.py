@@ -1,10 +1,12 @@
 """The ten operators and the pipeline against brute force, on small tables with odd rows."""
 
 import collections
+import gzip
 import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -389,6 +391,17 @@ def test_warc(spark, tmp_path):
     some = warc.read(spark, path).where("record_type = 'revisit' and target_uri like 'u%' and payload_digest is not null")
     assert "Filter (" not in some._jdf.queryExecution().executedPlan().toString() and some.count() == 1
     assert all(r.payload is None for r in warc.read(spark, path, payload=False).collect())
+    assert warc.read(spark, path).where("record_date is null").count() == 0
+    # the same records as foreign archives, a gzip member each; the mandatory headers are there
+    plain = b"".join(f.read_bytes() for f in Path(path).glob("*.warc"))
+    records = re.split(rb"(?<=\r\n\r\n)(?=WARC/1\.1\r\nWARC-Record-ID)", plain)
+    assert len(records) == len(pages) and all(b"\r\nWARC-Date: " in r for r in records)
+    assert all((b"WARC-Profile: " in r) == (b"WARC-Type: revisit" in r) for r in records)
+    (tmp_path / "gz").mkdir()
+    (tmp_path / "gz" / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records[:4])))
+    (tmp_path / "gz" / "b.warc.gz").write_bytes(gzip.compress(b"".join(records[4:])))
+    again = collections.Counter((r.record_id, r.record_type, r.target_uri, r.refers_to, r.payload_length, r.payload_digest, None if r.payload is None else bytes(r.payload)) for r in warc.read(spark, str(tmp_path / "gz")).collect())
+    assert again == want
     warc.write(warc.records_of_pages(df.where("false")), str(tmp_path / "none"))
     assert warc.read(spark, str(tmp_path / "none")).count() == 0
 
