@@ -48,12 +48,28 @@ def stride_sample(rows: DataFrame, order: list[str], limit: int, total: int) ->
     return numbered.where((F.floor(i * total / F.lit(limit)) == F.col("_rank")) & (i < limit)).drop("_rank")
 
 
+#: Ranges that global_rank() cuts an order into at most, and keys drawn for each to place their bounds.
+MOST_RANGES, DRAWN_EACH = 256, 20
+
+
 def global_rank(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Rows numbered from 0 in order, without one window over all."""
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    counts = ordered.groupBy("_p").agg(F.count("*").alias("_c"), F.min("_m").alias("_first"))
-    before = counts.select("_p", "_first", F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row for each partition
-    return ordered.join(F.broadcast(before), "_p").withColumn(name, F.col("_m") - F.col("_first") + F.col("_before")).drop("_p", "_m", "_first", "_before")
+    """Rows numbered from 0 in order, without one window over all.
+
+    Ranges of the order are bounded by keys drawn by their hash, the same in every
+    run, so a row's range follows from its own columns: however often the plan is
+    run, and by which tasks, the ranks agree. Rows of equal keys are in one range.
+    """
+    ranges = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_RANGES)
+    keys = rows.select(*order)
+    drawn = keys.orderBy(F.xxhash64(*order), *order).limit(DRAWN_EACH * ranges).orderBy(*order).collect()  # a bounded number of keys
+    picked = [drawn[len(drawn) * k // ranges] for k in range(1, ranges)] if drawn else []
+    bounds = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(x, keys.schema, strict=True)]) for x in picked])
+    at = F.size(F.filter(bounds, lambda x: F.struct(*order) > x)) if picked else F.lit(0)
+    dealt = rows.withColumn("_range", at)
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_c"))
+    before = counts.select("_range", F.coalesce(F.sum("_c").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each range
+    place = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
+    return dealt.withColumn("_place", place).join(F.broadcast(before), "_range").withColumn(name, F.col("_place") + F.col("_before")).drop("_range", "_place", "_before")
 
 
 def balanced_sample(rows: DataFrame, band: str, order: list[str], limit: int) -> DataFrame:

@@ -161,6 +161,17 @@ def test_refusals(spark):
     assert got[2].answer == retrieve.REFUSALS["English"] and got[2].no
 
 
+def test_global_rank_of_ties_and_nulls(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, *range(9)]), rng.choice([None, "a", "b", "c"]), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "x int, y string, i int")
+    got = {r.i: r._n for r in board.global_rank(df, ["x", "y", "i"], "_n").collect()}
+    low = lambda v: (v is not None, v)
+    want = sorted(rows, key=lambda r: (low(r[0]), low(r[1]), r[2]))
+    assert got == {r[2]: k for k, r in enumerate(want)}
+    assert board.global_rank(df.where("false"), ["x"], "_n").count() == 0
+
+
 def test_mmr_against_a_loop(spark):
     rng = random.Random(4)
     rows = [(q, i, rng.random(), r + 1) for q in range(3) for r, i in enumerate(rng.sample(range(20), 10))]
