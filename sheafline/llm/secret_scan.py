@@ -1,20 +1,22 @@
-"""Secret scan with a trigram index, in Spark SQL expressions only.
+"""Secret scan with a trigram inverted index, in Spark SQL expressions only.
 
 From each rule's regular expression a Boolean query over trigrams is derived (the
 analysis of Cox, Regular Expression Matching with a Trigram Index, 2012). The
-index holds, for every trigram that some rule needs, the list of documents that
-contain it. It is partitioned by document: each posting list is a bitmap whose
-bit for a document lies in that document's own row, so lists are intersected and
-united as bit operations over the rows, and no text is ever shuffled. Only the
-documents that answer a rule's query are verified with the expression itself.
-A rule from which no mandatory trigram follows is verified on every document.
-
-The index folds case, so a query may admit more documents than an exact one,
-never fewer.
+index holds, for every trigram that some rule needs, the posting list of the texts
+that contain it; a text is named by its 64-bit hash, so copies have one entry. Lists
+are cut into blocks of hashes, each with a bounded number of texts, so that a
+frequent trigram's list never lies in one place. Intersections and unions of posting
+lists answer the queries, block by block, and only the texts that answer a rule's
+query are verified with the expression itself. A rule from which no mandatory
+trigram follows is verified on every text.
+
+The index folds case, and two texts of one hash share their postings: a query may
+admit more texts than an exact one, never fewer.
 """
 
 from __future__ import annotations
 
+import math
 import re._constants as sre
 import re._parser as sre_parse
 from dataclasses import dataclass
@@ -23,10 +25,17 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.sizes import BROADCAST_BYTES
+from .components import Scratch
+
 #: At most so many strings are followed exactly; more are cut to their ends.
 MOST_STRINGS = 48
 #: Posting bits in one number.
 BITS = 62
+#: Texts of one block of the index, about.
+BLOCK_TEXTS = 8192
+#: Bytes that a broadcast candidate takes, at most.
+CANDIDATE_BYTES = 64
 
 
 @dataclass(frozen=True)
@@ -207,32 +216,55 @@ def trigrams(query) -> set[str]:
 
 
 def posting_bits(text: str, grams: list[str]) -> str:
-    """SQL array<bigint>: the document's bits of the posting lists of ``grams``, BITS to a number."""
+    """SQL array<bigint>: which of ``grams`` a text contains, one bit each, BITS to a number."""
     words = []
     for k in range(0, max(len(grams), 1), BITS):
         words.append(" | ".join(f"if(contains(t, {_literal(g)}), {1 << i}L, 0L)" for i, g in enumerate(grams[k : k + BITS])) or "0L")
     return f"transform(array(lower({text})), t -> array({', '.join(words)}))[0]"
 
 
-def _literal(s: str) -> str:
-    return "'" + "".join(c if c.isalnum() and ord(c) < 128 else f"\\u{ord(c):04x}" for c in s) + "'"
+def _text(column: str) -> str:
+    return f"coalesce(cast({column} as string), '')"
 
 
-def candidates(query, postings: str, grams: list[str]) -> str:
-    """SQL condition: the intersections and unions of posting lists that ``query`` asks for."""
-    if query is True:
-        return "true"
+def inverted_index(docs: DataFrame, grams: list[str], scratch: Scratch, text_column: str = "text") -> DataFrame:
+    """The posting lists of ``grams``: block, and postings, an array with a list of text hashes for every trigram.
+
+    Texts are read once, where they lie; what is shuffled is a hash and the bits of its
+    trigrams, once for all copies of a task. Blocks grow in number with the texts.
+    """
+    text = _text(f"`{text_column}`")
+    entries = scratch.save(docs.select(F.expr(f"xxhash64({text})").alias("text_key"), F.expr(posting_bits(text, grams)).alias("bits")).distinct())
+    blocks = max(1, math.ceil(entries.count() / BLOCK_TEXTS))
+    lists = ", ".join(f"transform(filter(e, x -> (x.bits[{i // BITS}] & {1 << i % BITS}L) != 0), x -> x.text_key)" for i in range(len(grams)))
+    gathered = (
+        entries.where("exists(bits, x -> x != 0)")
+        .groupBy(F.expr(f"cast(pmod(text_key, {blocks}L) as int)").alias("block"))
+        .agg(F.collect_list(F.struct("text_key", "bits")).alias("e"))
+    )
+    return scratch.save(gathered.select("block", F.expr(f"array({lists})").alias("postings")))
+
+
+def answer(query, grams: list[str], postings: str = "postings") -> str:
+    """SQL array<bigint>: the intersections, shortest list first, and unions of posting lists that ``query`` asks for."""
     if isinstance(query, str):
-        k = grams.index(query)
-        return f"({postings}[{k // BITS}] & {1 << k % BITS}L) != 0"
-    if query[0] == "and":
-        plain: dict[int, int] = {}
-        for g in (g for g in query[1] if isinstance(g, str)):
-            plain[grams.index(g) // BITS] = plain.get(grams.index(g) // BITS, 0) | 1 << grams.index(g) % BITS
-        parts = [f"({postings}[{w}] & {m}L) = {m}L" for w, m in sorted(plain.items())]
-        parts += sorted(candidates(x, postings, grams) for x in query[1] if not isinstance(x, str))
-        return "(" + " and ".join(parts) + ")"
-    return "(" + " or ".join(sorted(candidates(x, postings, grams) for x in query[1])) + ")"
+        return f"{postings}[{grams.index(query)}]"
+    parts = ", ".join(answer(x, grams, postings) for x in sorted(query[1], key=str))
+    if query[0] == "or":
+        return f"array_distinct(flatten(array({parts})))"
+    return f"""transform(array(array_sort(array({parts}), (x, y) -> size(x) - size(y))), l ->
+      aggregate(l, l[0], (a, x) -> if(size(a) = 0, a, array_intersect(a, x))))[0]"""
+
+
+def candidates(index: DataFrame, queries: list, grams: list[str]) -> DataFrame:
+    """text_key and rules: a bit for every rule whose query the posting lists of that text answer."""
+    found = [f"transform({answer(q, grams)}, k -> named_struct('text_key', k, 'rules', {1 << i}L))" for i, q in enumerate(queries) if q is not True]
+    pairs = index.select(F.explode(F.expr(f"flatten(array({', '.join(found)}))")).alias("c"))
+    return pairs.groupBy("c.text_key").agg(F.bit_or("c.rules").alias("rules"))
+
+
+def _literal(s: str) -> str:
+    return "'" + "".join(c if c.isalnum() and ord(c) < 128 else f"\\u{ord(c):04x}" for c in s) + "'"
 
 
 _SPAN = "array<struct<start:int,end:int,rank:int,kind:string>>"
@@ -260,22 +292,35 @@ def _spans(rule: Rule, rank: int, condition: str) -> str:
       cast(array() as {_SPAN}))"""
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = ALL_RULES, text_column: str = "text", name: str = "secrets") -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = ALL_RULES, text_column: str = "text", name: str = "secrets", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` with an array of the secrets' spans: start, end (code points, end exclusive), rank and kind of the rule.
 
     Per rule the matches are the leftmost ones that don't overlap; spans of
     different rules may. Spans are in order of start, then of the rules. A null or
     empty text has none. Rows and other columns stay as they are (a column called
-    like ``name`` is replaced).
+    like ``name`` is replaced); an empty table stays empty.
+
+    The index is built and asked at once. Its candidates are broadcast while their
+    counted number bounds them by ``broadcast_bytes``; beyond it rows are joined with
+    them by shuffled hashes, where Spark splits the partition of a frequent text.
     """
     queries = [trigram_query(r.pattern) for r in rules]
     grams = sorted(set().union(*map(trigrams, queries)))
-    text = f"coalesce(cast(`{text_column}` as string), '')"
-    found = ", ".join(_spans(r, i, candidates(q, "b", grams)) for i, (r, q) in enumerate(zip(rules, queries, strict=True)))
-    return docs.withColumn(
-        name,
-        F.expr(f"transform(array({posting_bits(text, grams)}), b -> transform(array({text}), t -> array_sort(flatten(array({found}))))[0])[0]"),
-    )
+    rows = docs.select(F.expr(f"xxhash64({_text(f'`{text_column}`')})").alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    if grams:
+        scratch = Scratch(docs.sparkSession, "trigrams")
+        asked = scratch.save(candidates(inverted_index(docs, grams, scratch, text_column), queries, grams))
+        scratch.retain(asked)
+        if asked.count() * CANDIDATE_BYTES <= broadcast_bytes:
+            asked = F.broadcast(asked)
+        rows = rows.join(asked, F.col("key") == F.col("text_key"), "left")
+    else:
+        rows = rows.withColumn("rules", F.lit(0).cast("long"))
+    asks = ["true" if q is True else f"(coalesce(rules, 0L) & {1 << i}L) != 0" for i, q in enumerate(queries)]
+    found = ", ".join(_spans(r, i, ask) for i, (r, ask) in enumerate(zip(rules, asks, strict=True)))
+    spans = F.expr(f"transform(array({_text(f'row.`{text_column}`')}), t -> array_sort(flatten(array({found}))))[0]").alias(name)
+    same = [c for c in docs.columns if c.lower() == name.lower()]
+    return rows.select(*[spans if c in same else F.col(f"row.`{c}`") for c in docs.columns], *([] if same else [spans]))
 
 
 def digest_text(spans: str, most_rank: int | None = None) -> Column:
