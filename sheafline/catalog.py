@@ -729,3 +729,77 @@ def dataset_readings(t: Table) -> DataFrame:
         F.sum(F.coalesce(F.contains("text", F.lit("\n\n")), F.lit(False)).cast("long")).alias("blank_lines"),
     )
     return told.crossJoin(lost)  # one row each
+
+
+@query("""WITH i AS (SELECT quality = 1 AS supported, least(n_chars, 1000) / 1000.0 AS overlap FROM documents JOIN labels USING (doc_id)),
+m AS (SELECT round(avg(overlap) FILTER (supported), 3) AS supported, round(avg(overlap) FILTER (NOT supported), 3) AS unsupported FROM i)
+SELECT supported, unsupported, round(supported - unsupported, 3) AS difference, coalesce(abs(round(supported - unsupported, 3)) <= 0.03, false) AS blind FROM m""")
+def lexical_leak(t: Table) -> DataFrame:
+    rows = t("documents").join(t("labels"), "doc_id")
+    return board.lexical_signal(rows.select((F.col("quality") == 1).alias("supported"), (F.least("n_chars", F.lit(1000)) / 1000).alias("overlap")))
+
+
+@query("SELECT doc_id, lang, source FROM documents WHERE lang IN ('en', 'de') AND source IN (SELECT min(source) FROM documents UNION ALL SELECT max(source) FROM documents)")
+def labelled_questions(t: Table) -> DataFrame:
+    docs = t("documents").select("doc_id", "lang", "source")
+    ends = docs.agg(F.min("source").alias("a"), F.max("source").alias("b")).first()
+    return board.with_labels(docs, {"lang": ["en", "de"], "source": [ends["a"], ends["b"]]})
+
+
+@query("SELECT lang AS value, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang")
+def selection_note(t: Table) -> DataFrame:
+    return board.selection_counts(t("documents"), "lang")
+
+
+_RUN = "SELECT doc_id, quality / 2.0 AS recall, toxic = 1 AS abstained FROM labels"
+
+
+def _run_rows(t: Table) -> DataFrame:
+    return t("labels").select("doc_id", (F.col("quality") / 2).alias("recall"), (F.col("toxic") == 1).alias("abstained"))
+
+
+@query(f"SELECT r.doc_id, CAST(recall AS DOUBLE) AS recall, abstained, lang, text FROM ({_RUN}) r LEFT JOIN documents d ON d.doc_id = r.doc_id WHERE recall IS NULL OR recall < 1")
+def failure_rows(t: Table) -> DataFrame:
+    return board.failures(_run_rows(t), t("documents").select("doc_id", "lang", "text"), "doc_id")
+
+
+@query(f"SELECT r.doc_id, CAST(recall AS DOUBLE) AS recall, abstained, lang FROM ({_RUN}) r LEFT JOIN documents d ON d.doc_id = r.doc_id WHERE abstained")
+def abstained_rows(t: Table) -> DataFrame:
+    return board.failures(_run_rows(t), t("documents").select("doc_id", "lang"), "doc_id", "abstained")
+
+
+@query("SELECT doc_id, CASE WHEN coalesce(text, '') <> '' THEN round(((toxic = 1)::INTEGER + 1 + (quality = 1)::INTEGER) / 4.0, 6) END AS coverage FROM labels JOIN documents USING (doc_id)")
+def derived_fact_coverage(t: Table) -> DataFrame:
+    """Replies of a judge over four facts: two that the labels decide, one affirmed after a denial, one without a line."""
+    yes = lambda c: F.when(c, "yes").otherwise("no")
+    reply = F.concat(F.lit("1: "), yes(F.col("toxic") == 1), F.lit("\n2 - no\nnot a verdict\n 2. TRUE\r\n3: "), yes(F.col("quality") == 1))
+    rows = t("labels").join(t("documents"), "doc_id")
+    return rows.select("doc_id", F.round(text.fact_coverage(reply, F.lit(4), F.col("text")), 6).alias("coverage"))
+
+
+@query(r"""SELECT conv_id, turn, role, contains(coalesce(s[1], ''), 'the') AS refusal
+FROM (SELECT conv_id, turn, role, list_filter(list_transform(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?…])\s+', '\1
+', 'g'), '\n'), lambda x: trim(x)), lambda x: x <> '') AS s FROM conversations)""")
+def refusal_detection(t: Table) -> DataFrame:
+    """Turns whose first sentence holds a marker, here a frequent word."""
+    return t("conversations").select("conv_id", "turn", "role", text.reads_as_refusal(F.col("text"), tuple(retrieve.REFUSALS.values()), ("the",)).alias("refusal"))
+
+
+@query(f"SELECT doc_id, array_to_string({_TOKENS.format('text')}, ' ') AS tokens, to_json({{'lang': coalesce(lang, ''), 'n': n_chars}})::VARCHAR AS span, n_chars FROM documents")
+def flattened_labels(t: Table) -> DataFrame:
+    docs = t("documents").select("doc_id", text.tokens(F.col("text")).alias("tokens"), F.struct(F.coalesce("lang", F.lit("")).alias("lang"), F.col("n_chars").alias("n")).alias("span"), "n_chars")
+    return docs.select("doc_id", *[text.flattened(F.col(c), docs.schema[c].dataType).alias(c) for c in ("tokens", "span", "n_chars")])
+
+
+@query("""WITH s AS (SELECT coalesce(lang, '?') AS lang, source, count(*) AS n FROM documents GROUP BY ALL)
+SELECT CAST(doc_id AS VARCHAR) AS id, 'leaf' AS layer, 0 AS level, n_chars AS n FROM documents
+UNION ALL SELECT 'g-' || lang, 'summary', 2, CAST(sum(n) AS BIGINT) FROM s GROUP BY lang""")
+def leaves_and_summaries(t: Table) -> DataFrame:
+    """Leaves and two levels of summaries in one index, in the scope that takes leaves and the second level."""
+    docs = t("documents")
+    lang = F.coalesce("lang", F.lit("?"))
+    low = docs.groupBy(lang.alias("lang"), "source").agg(F.count("*").alias("n"))
+    first = low.select(F.concat(F.lit("s-"), "lang", F.lit("-"), F.coalesce("source", F.lit("?"))).alias("id"), F.lit(1).alias("level"), "n")
+    second = low.groupBy("lang").agg(F.sum("n").alias("n")).select(F.concat(F.lit("g-"), "lang").alias("id"), F.lit(2).alias("level"), "n")
+    whole = board.pool(docs.select(F.col("doc_id").cast("string").alias("id"), F.col("n_chars").alias("n")), first.unionByName(second))
+    return whole.where(filters.layer_scope(F.col("layer"), F.col("level"), "mixed", (2,)))

@@ -1,9 +1,13 @@
-"""Text functions on columns; all of them run in the JVM."""
+"""Text functions on columns; all of them but nfkc() run in the JVM."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Question words that carry no content, for keyword queries (fixed values, our own choice).
 INTERROGATIVES = ("what", "which", "who", "whom", "whose", "when", "where", "why", "how", "does", "did", "do", "is", "are", "was", "were", "the", "of")
@@ -17,9 +21,20 @@ FUNCTION_WORDS = {
 }
 
 
-def normalize(text: Column) -> Column:
-    """White space collapsed and trimmed; null stays null."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+@F.pandas_udf(T.StringType())
+def _composed(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
+def nfkc(text: Column) -> Column:
+    """Unicode's compatibility composition, which Spark has no function for. Texts of ASCII alone keep out of its result."""
+    plain = text.rlike(r"^\p{ASCII}*\z")
+    return F.when(plain, text).otherwise(_composed(F.when(~plain, text)))
+
+
+def normalize(text: Column, compose: bool = False) -> Column:
+    """White space collapsed and trimmed, after nfkc() if asked for; null stays null."""
+    return F.trim(F.regexp_replace(nfkc(text) if compose else text, r"\s+", " "))
 
 
 def tokens(text: Column) -> Column:
@@ -109,3 +124,41 @@ def mutate_number(claim: Column, context: Column) -> Column:
     others = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda d: (value + d).cast("string"))
     free = F.filter(others, lambda s: ~F.contains(context, s))
     return F.when(value.isNotNull() & (F.size(free) > 0), F.regexp_replace(claim, r"^(\D*)\d+", F.concat(F.lit("$1"), F.lit(""), F.element_at(free, 1))))
+
+
+def reads_as_refusal(answer: Column, refusals: tuple[str, ...], markers: tuple[str, ...] = ()) -> Column:
+    """Whether an answer declines: it is a refusal itself, or its first sentence holds a marker.
+
+    Markers are for answers that a model words; others decline in fixed words only.
+    A marker in a later sentence may be a quotation and does not count.
+    """
+    said = F.regexp_replace(F.coalesce(answer, F.lit("")), r"^\s+|\s+$", "")
+    opening = F.coalesce(F.get(sentences(answer), 0), F.lit(""))
+    out = said.isin(*refusals)
+    for marker in markers:
+        out = out | F.contains(opening, F.lit(marker))
+    return out
+
+
+def fact_coverage(reply: Column, n_facts: Column, answer: Column) -> Column:
+    """The share of n numbered facts that a judge's lines ``1: yes`` affirm; the last line of a number counts.
+
+    Null without facts, without an answer, or if the reply has no such line.
+    """
+    line = r"(?i)^\s*(\d+)\s*[:.\-]\s*(yes|no|true|false)"
+    lines = F.filter(F.split(F.coalesce(reply, F.lit("")), r"[\r\n]"), lambda s: s.rlike(line))
+    said = F.transform(
+        lines, lambda s: F.struct(F.regexp_extract(s, line, 1).cast("decimal(38,0)").alias("k"), F.lower(F.regexp_extract(s, line, 2)).isin("yes", "true").alias("yes"))
+    )
+    last = lambda i: F.element_at(F.filter(said, lambda p: p["k"] == i), -1)["yes"]
+    found = F.size(F.filter(F.sequence(F.lit(1), n_facts), lambda i: F.when(F.exists(said, lambda p: p["k"] == i), last(i)).otherwise(False)))
+    return F.when((n_facts > 0) & (F.coalesce(answer, F.lit("")) != "") & (F.size(said) > 0), found / n_facts)
+
+
+def flattened(value: Column, kind: T.DataType) -> Column:
+    """A label value as filters compare it: a list joined by blanks, an object as JSON (a map's keys in order), a scalar as itself."""
+    if isinstance(kind, T.ArrayType):
+        return F.array_join(value.cast("array<string>"), " ", "None")
+    if isinstance(kind, T.MapType):
+        return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(value))))
+    return F.to_json(value) if isinstance(kind, T.StructType) else value

@@ -140,3 +140,44 @@ def history_budget(turns: DataFrame, budget: int) -> DataFrame:
     """The latest turns of each conversation whose texts together stay within the budget."""
     w = W.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("role"), F.desc("text")).rowsBetween(W.unboundedPreceding, 0)
     return turns.withColumn("used", F.sum(F.length("text")).over(w)).where(F.col("used") <= budget)
+
+
+def lexical_signal(items: DataFrame) -> DataFrame:
+    """One row: mean overlap of supported and of unsupported items, their difference, and whether a judge could not tell by it.
+
+    items: supported, overlap. Blind is a difference of at most 0.03; without one of the classes there is none.
+    """
+    mean = lambda c: F.round(F.avg(F.when(c, F.col("overlap"))), 3)
+    told = items.agg(mean(F.col("supported")).alias("supported"), mean(~F.col("supported")).alias("unsupported"))
+    told = told.withColumn("difference", F.round(F.col("supported") - F.col("unsupported"), 3))
+    return told.withColumn("blind", F.coalesce(F.abs("difference") <= 0.03, F.lit(False)))
+
+
+def with_labels(questions: DataFrame, labels: dict[str, list]) -> DataFrame:
+    """Questions that have one of the wanted values in every named column; a null is no value."""
+    for name, wanted in labels.items():
+        questions = questions.where(F.col(name).isin(*wanted) if wanted else F.lit(False))
+    return questions
+
+
+def selection_counts(questions: DataFrame, label: str) -> DataFrame:
+    """(value, n): how many of the selected questions have each value of the label they were balanced on."""
+    return questions.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("value")).agg(F.count("*").alias("n"))
+
+
+def failures(rows: DataFrame, questions: DataFrame, key: str, only: str = "missed") -> DataFrame:
+    """The rows of a run that a filter keeps, each with its question's columns (null where the question is not known).
+
+    missed: recall is null or below 1; abstained; any other name keeps all. A report
+    orders and limits them itself. Questions that share an id are an error of the
+    data set, found by its validation, and would repeat the row.
+    """
+    recall = F.col("recall").cast("double")
+    kept = {"missed": recall.isNull() | (recall < 1), "abstained": F.coalesce(F.col("abstained").cast("boolean"), F.lit(False))}
+    return rows.where(kept.get(only, F.lit(True))).join(questions, key, "left")
+
+
+def pool(leaves: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Leaves and summaries as rows of one index, told apart by layer; a leaf's level is 0, columns of one side are null on the other."""
+    leaf = leaves.withColumn("layer", F.lit("leaf")).withColumn("level", F.lit(0))
+    return leaf.unionByName(summaries.withColumn("layer", F.lit("summary")), allowMissingColumns=True)

@@ -158,3 +158,13 @@ def average_precision(grades: DataFrame, least: float = 0.5) -> DataFrame:
     w = W.partitionBy("qid").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
     rows = grades.withColumn("good", (F.col("similarity") >= least).cast("int")).withColumn("at", F.sum("good").over(w) / F.row_number().over(W.partitionBy("qid").orderBy("rank")))
     return rows.groupBy("qid").agg(F.round(F.coalesce(F.sum(F.col("at") * F.col("good")) / F.nullif(F.sum("good"), F.lit(0)), F.lit(0.0)), 6).alias("context_precision"))
+
+
+#: Judge calls that a sample takes for each metric, besides one for each retrieved chunk (fixed values).
+JUDGE_CALLS = {"faithfulness": 2, "answer_relevancy": 1, "context_recall": 1, "factual_correctness": 2}
+
+
+def expected_judge_calls(n_samples: int, k: int, include_factual: bool = True) -> int:
+    """About how many calls a judged run makes; answers in a wrong form, asked for again, come on top."""
+    each = sum(JUDGE_CALLS.values()) - (0 if include_factual else JUDGE_CALLS["factual_correctness"])
+    return max(n_samples, 0) * (each + max(k, 0))

@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -340,3 +341,48 @@ def test_drift_and_separators(spark):
     assert chunking.combined_separators("a--b-=-c", ["-", "="], together=True) == ["a--b-=-c"]
     assert chunking.combined_separators("a--b-c--d", ["-", "--"], together=True) == ["a", "b-c", "d"]
     assert chunking.combined_separators("a--b-c", ["-", "--"]) == ["a", "b", "c"]
+
+
+def test_nfkc(spark):
+    texts = [None, "", "plain  text ", "ﬁne ①  Ａ\u3000b", "e\u0301 ½", "a\n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.x for r in df.select("i", text.nfkc(F.col("t")).alias("x")).orderBy("i").collect()]
+    assert got == [t if t is None else unicodedata.normalize("NFKC", t) for t in texts]
+    got = [r.x for r in df.select("i", text.normalize(F.col("t"), compose=True).alias("x")).orderBy("i").collect()]
+    assert got == [t if t is None else " ".join(unicodedata.normalize("NFKC", t).split()) for t in texts]
+
+
+def test_refusals_and_facts(spark):
+    rows = [("\n No idea. \n", True), ("Cannot say. But 3.", True), ("It is 3. I cannot say more.", False), (None, False), ("", False), ("no idea.", False)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, want boolean")
+    said = text.reads_as_refusal(F.col("a"), ("No idea.",), ("Cannot", "cannot"))
+    assert all(r.got == r.want for r in df.select("want", said.alias("got")).collect())
+    fixed = df.select("i", text.reads_as_refusal(F.col("a"), ("No idea.",)).alias("got")).where("got").collect()
+    assert [r.i for r in fixed] == [0]
+    replies = [("1: yes\n2: no\n3. TRUE", 3, "a", 2 / 3), ("1: no\n1 - yes", 1, "a", 1.0), ("maybe", 2, "a", None), (None, 2, "a", None),
+               ("1: yes", 0, "a", None), ("1: yes", 2, "", None), ("1:\nyes\n2: yes", 2, "a", 0.5), ("99: yes", 1, "a", 0.0), ("9" * 30 + ": yes", 1, "a", 0.0)]
+    df = spark.createDataFrame(replies, "r string, n int, a string, want double")
+    for r in df.select("want", text.fact_coverage(F.col("r"), F.col("n"), F.col("a")).alias("got")).collect():
+        assert r.got == r.want or abs(r.got - r.want) < 1e-9
+
+
+def test_flattened_labels(spark):
+    df = spark.createDataFrame([(["a", None, "b"], {"z": 1, "b": 2}, 7), (None, None, None), ([], {}, 0)], "l array<string>, m map<string,int>, n int")
+    got = df.select(*[text.flattened(F.col(c), df.schema[c].dataType).alias(c) for c in df.columns]).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([("a None b", '{"b":2,"z":1}', 7), (None, None, None), ("", "{}", 0)], key=repr)
+
+
+def test_run_rows_and_screens(spark):
+    run = spark.createDataFrame([(1, 1.0, False), (2, 0.5, None), (3, None, True), (4, 1.0, True)], "qid int, recall double, abstained boolean")
+    asked = spark.createDataFrame([(1, "a"), (2, "b"), (4, "d")], "qid int, question string")
+    ids = lambda only: sorted((r.qid, r.question) for r in board.failures(run, asked, "qid", only).collect())
+    assert ids("missed") == [(2, "b"), (3, None)] and ids("abstained") == [(3, None), (4, "d")] and len(ids("other")) == 4
+    items = spark.createDataFrame([(True, 0.5), (True, 0.53), (False, 0.5)], "supported boolean, overlap double")
+    assert tuple(board.lexical_signal(items).first()) == (0.515, 0.5, 0.015, True)
+    assert tuple(board.lexical_signal(items.where("supported")).first()) == (0.515, None, None, False)
+    assert tuple(board.lexical_signal(items.where("false")).first()) == (None, None, None, False)
+    assert board.with_labels(asked, {"question": ["a", "d"], "qid": [4]}).count() == 1 and board.with_labels(asked, {"qid": []}).count() == 0
+    assert metrics.expected_judge_calls(10, 8) == 140 and metrics.expected_judge_calls(10, 8, False) == 120 and metrics.expected_judge_calls(-1, 3) == 0
+    both = board.pool(asked, spark.createDataFrame([("s", 2)], "note string, level int"))
+    assert sorted((r.layer, r.level, r.question or "", r.note or "") for r in both.collect()) == [
+        ("leaf", 0, "a", ""), ("leaf", 0, "b", ""), ("leaf", 0, "d", ""), ("summary", 2, "", "s")]
