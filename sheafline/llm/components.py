@@ -13,6 +13,7 @@ from __future__ import annotations
 import gc
 import math
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Bytes of rows that a Python worker is sent at once while a step is saved; a longer row goes alone.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of at most BATCH_BYTES, which worker and JVM hold several copies of; the session's setting comes back."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 class Scratch:
     """Tables written to the shared folder; retain() removes those no longer needed."""
 
@@ -50,7 +67,8 @@ class Scratch:
     def save(self, table: DataFrame) -> DataFrame:
         """Writes the table and returns it as read back, without its lineage."""
         path = self.path()
-        table.write.mode("overwrite").parquet(path)
+        with small_batches(self.spark):
+            table.write.mode("overwrite").parquet(path)
         saved = self.spark.read.schema(table.schema).parquet(path)
         self.held.append((path, saved))
         return saved
