@@ -14,9 +14,8 @@ has its tree in Python lists.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 
-from .textbytes import ranges
+from .textbytes import Words, ranges
 
 NONE = np.int32(2**31 - 1)
 #: Words of more symbols are merged one by one.
@@ -155,22 +154,23 @@ class MergeTable:
 
 
 class Remembered:
-    """Ids of pieces of text by a 64-bit hash of the piece, for the pieces met lately.
+    """Ids of pieces of text, for the pieces met lately, known by their bytes.
 
-    Holds at most ``most`` pieces and ``most_ids`` ids between calls and starts anew beyond.
+    Holds at most ``most`` pieces, ``most_ids`` ids and as many bytes of long pieces between
+    calls and starts anew beyond.
     """
 
-    def __init__(self, most: int = 400_000, most_ids: int = 2_000_000) -> None:
+    def __init__(self, most: int = 600_000, most_ids: int = 4_000_000) -> None:
         self.most, self.most_ids = most, most_ids
         self._clear()
 
     def _clear(self) -> None:
-        self.slots: dict[int, int] = {}
-        self.starts, self.counts, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int32)
-        self.used = 0
+        self.words = Words()
+        self.starts, self.counts, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(1024, np.int32)
+        self.have = self.used = 0
 
     def _add(self, ids: np.ndarray, counts: np.ndarray) -> None:
-        have, used = len(self.slots), self.used
+        have, used = self.have, self.used
         for name, size in (("starts", have + len(counts)), ("counts", have + len(counts)), ("ids", used + len(ids))):
             old = getattr(self, name)
             if len(old) < size:
@@ -180,26 +180,17 @@ class Remembered:
         self.starts[have : have + len(counts)] = used + np.cumsum(counts) - counts
         self.counts[have : have + len(counts)] = counts
         self.ids[used : used + len(ids)] = ids
-        self.used = used + len(ids)
+        self.have, self.used = have + len(counts), used + len(ids)
 
-    def look_up(self, hashes: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+    def look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces one after another, and how many each piece has.
 
         encode(positions) gives the same for the pieces at these positions.
         """
-        if len(self.slots) > self.most or self.used > self.most_ids:
+        if self.have > self.most or self.used > self.most_ids or self.words.long_bytes > self.most_ids:
             self._clear()
-        codes, distinct = pd.factorize(hashes)
-        slots = self.slots
-        known = np.fromiter((slots.get(h, -1) for h in distinct.tolist()), np.int64, len(distinct))
-        missing = np.flatnonzero(known < 0)
-        if len(missing):
-            first = np.zeros(len(distinct), np.int64)
-            first[codes[::-1]] = np.arange(len(codes))[::-1]
-            ids, counts = encode(first[missing])
-            self._add(ids, counts)
-            known[missing] = len(slots) + np.arange(len(missing))
-            slots.update(zip(distinct[missing].tolist(), known[missing].tolist(), strict=True))
-        at = known[codes]
-        sizes = self.counts[at]
+        at, new = self.words.number(data, starts, ends)
+        if len(new):
+            self._add(*encode(new))
+        sizes = self.counts[at].astype(np.int64)
         return self.ids[ranges(self.starts[at], sizes)], sizes

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_merges import MergeTable, Remembered
-from .textbytes import ranges, span_hashes, text_chunks
+from .textbytes import ranges, text_chunks
 
 #: White space as Unicode has it; tiktoken's \s.
 UNICODE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -87,7 +87,7 @@ class ByteBpe:
             starts = np.flatnonzero(cut)
             starts, ends = starts[:-1], starts[1:]
             ids, counts = self.memory.look_up(
-                span_hashes(data, starts, ends), lambda at: self._encode_pieces([data[s:e].tobytes() for s, e in zip(starts[at], ends[at], strict=True)])
+                data, starts, ends, lambda at: self._encode_pieces([data[s:e].tobytes() for s, e in zip(starts[at], ends[at], strict=True)])  # noqa: B023
             ) if len(starts) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
             before = np.r_[0, np.cumsum(counts)]
             stops = before[np.searchsorted(starts, offsets)]

@@ -53,7 +53,7 @@ from pyspark.sql import functions as F
 
 from .blocks import Membership, block_count, bucket_bits, pack, split_by_bucket, unpack_column
 from .components import Scratch, connected_components, release
-from .textbytes import mix, ranges, span_hashes, text_chunks, window_hashes, window_starts, word_spans
+from .textbytes import mix, ranges, sequence_hashes, span_hashes, text_chunks, window_starts, word_spans
 
 #: log2 of the buckets in which shingles are counted.
 SKETCH_BITS = 18
@@ -70,12 +70,13 @@ LIST_ROWS = 4096
 HELD_ENTRIES = 200_000
 
 
-def shingle_sets(texts: pa.Array, n: int, of_words=None) -> Iterator[tuple]:
+def shingle_sets(texts: pa.Array, n: int, of_words=None, second: bool = False) -> Iterator[tuple]:
     """Per run of texts: first row, row after the last, then owner and hash of every distinct shingle, by owner and hash.
 
     Words are folded to a-z; a text of fewer than n words has its whole sequence
     as its one shingle. of_words(hashes of all words) may give each word a number;
-    then the sum over each shingle's words follows, else None.
+    then the sum over each shingle's words follows, else None. With ``second`` there
+    follows instead another hash of each shingle, made from other hashes of its words.
     """
     for row, last, data, offsets in text_chunks(texts):
         starts, ends, first = word_spans(data, offsets)
@@ -85,13 +86,13 @@ def shingle_sets(texts: pa.Array, n: int, of_words=None) -> Iterator[tuple]:
         at = window_starts(first, n)
         sizes = [np.full(len(at), n)]
         places = [at]
-        hashes = [window_hashes(words, n)[at]] if len(at) else []
+        hashes = [sequence_hashes(words, n)[at]] if len(at) else []
         owners = [np.searchsorted(first, at, side="right") - 1] if len(at) else []
         counts = np.diff(first)
         for size in range(1, n):
             short = np.flatnonzero(counts == size)
             if len(short):
-                hashes.append(window_hashes(words, size, seed=100 + size)[first[short]])
+                hashes.append(sequence_hashes(words, size, seed=size)[first[short]])
                 owners.append(short)
                 places.append(first[short])
                 sizes.append(np.full(len(short), size))
@@ -103,20 +104,26 @@ def shingle_sets(texts: pa.Array, n: int, of_words=None) -> Iterator[tuple]:
         h, o = h[order], o[order]
         new = np.r_[True, (h[1:] != h[:-1]) | (o[1:] != o[:-1])]
         weight = None
-        if sums is not None:
+        if second:
+            others = span_hashes(data, starts, ends, fold=True, seed=1)
+            place, size = np.concatenate(places)[order][new], np.concatenate(sizes)[order][new]
+            weight = np.zeros(len(place), np.uint64)
+            for k in np.unique(size):
+                weight[size == k] = sequence_hashes(others, int(k), seed=int(k))[place[size == k]]
+        elif sums is not None:
             place, size = np.concatenate(places)[order][new], np.concatenate(sizes)[order][new]
             weight = sums[place + size] - sums[place]
         yield row, last, o[new], h[new], weight
 
 
-def _digest(owner: np.ndarray, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Size, 64-bit digest and a second digest of the sets of k rows; hashes are in the order of their owners."""
+def _digest(owner: np.ndarray, hashes: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size, 64-bit digest and a second digest, from ``others``, of the sets of k rows; hashes are in the order of their owners."""
     size = np.bincount(owner, minlength=k)
     d = np.zeros((2, k), np.uint64)
     if len(owner):
         heads = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
         d[0, owner[heads]] = np.add.reduceat(mix(hashes), heads)
-        d[1, owner[heads]] = np.add.reduceat(mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), heads)
+        d[1, owner[heads]] = np.add.reduceat(mix(others), heads)
     return size.astype(np.int64), mix(d[0] + size.astype(np.uint64)).view(np.int64), d[1].view(np.int64)
 
 
@@ -130,10 +137,10 @@ def _digests(n: int):
             np.add(words, np.bincount(_bucket(hashes), minlength=1 << SKETCH_BITS), out=words)
 
         for batch in batches:
-            for row, last, owner, hashes, _ in shingle_sets(batch.column("text"), n, count_words):
+            for row, last, owner, hashes, others in shingle_sets(batch.column("text"), n, count_words, second=True):
                 k = last - row
                 np.add(shingles, np.bincount(_bucket(hashes), minlength=1 << SKETCH_BITS), out=shingles)
-                size, node, check = _digest(owner, hashes, k)
+                size, node, check = _digest(owner, hashes, others, k)
                 empty = size == 0
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -191,7 +198,7 @@ class Rarity:
         """As shingle_sets(), with each text's shingles in the common order: first row, row after the last, size of each
         set, node of each set, then owner, key and hash of every shingle. Ascending keys are the order."""
         for row, last, owner, hashes, weight in shingle_sets(texts, n, self.of_words):
-            size, node, _ = _digest(owner, hashes, last - row)
+            size, node, _ = _digest(owner, hashes, hashes, last - row)
             if len(owner):
                 key = (self.levels(hashes, weight) << np.uint64(57)) | (hashes >> np.uint64(7))
                 order = np.lexsort((key, owner))

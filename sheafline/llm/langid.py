@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .textbytes import FOLD, ranges, span_hashes, text_chunks, word_spans
+from .textbytes import FOLD, Words, ranges, text_chunks, word_spans
 
 SEGMENT = 24
 HIDDEN = 16
@@ -190,7 +190,7 @@ def _predict(shared):
     def run(batches):
         net: Network = shared.value
         k = len(net.languages)
-        slots, logs = {}, np.zeros((0, k), np.float32)
+        known, logs = Words(), np.zeros((0, k), np.float32)
         for batch in batches:
             pred, score = [], []
             for _, _, data, offsets in text_chunks(batch.column(1)):
@@ -199,25 +199,20 @@ def _predict(shared):
                 part_first = np.r_[0, np.cumsum(parts)][first]
                 begin = np.repeat(starts, parts) + SEGMENT * ranges(np.zeros(len(parts), np.int64), parts)
                 end = np.minimum(begin + SEGMENT, np.repeat(ends, parts))
-                hashes = span_hashes(data, begin, end, fold=True)
-                distinct, place, codes = np.unique(hashes, return_index=True, return_inverse=True)
-                if len(slots) > _REMEMBER:
-                    slots, logs = {}, np.zeros((0, k), np.float32)
-                at = np.fromiter((slots.get(h, -1) for h in distinct.tolist()), np.int64, len(distinct))
-                missing = np.flatnonzero(at < 0)
-                if len(missing):
-                    new = np.zeros((len(missing), k), np.float32)
-                    sizes = (end - begin)[place[missing]]
+                if known.count > _REMEMBER:
+                    known, logs = Words(), np.zeros((0, k), np.float32)
+                at, place = known.number(FOLD[data], begin, end)
+                if len(place):
+                    new = np.zeros((len(place), k), np.float32)
+                    sizes = (end - begin)[place]
                     for low, high in ((0, 4), (4, 8), (8, 12), (12, 16), (16, SEGMENT)):
                         rows = np.flatnonzero((sizes > low) & (sizes <= high))
                         for i in range(0, len(rows), 8192):
                             part = rows[i : i + 8192]
-                            at_words = place[missing[part]]
+                            at_words = place[part]
                             new[part] = net.logs(*padded(data, begin[at_words], end[at_words]))
-                    at[missing] = len(logs) + np.arange(len(missing))
-                    slots.update(zip(distinct[missing].tolist(), at[missing].tolist(), strict=True))
                     logs = np.concatenate([logs, new])
-                values = logs[at[codes]].astype(np.float64)
+                values = logs[at].astype(np.float64)
                 sums = np.concatenate([np.zeros((1, k)), np.cumsum(values, axis=0)])
                 total = sums[part_first[1:]] - sums[part_first[:-1]]
                 size = np.r_[0, np.cumsum(end - begin + 2)]

@@ -32,7 +32,7 @@ from tokenizers import Tokenizer
 from .bpe_merges import MergeTable, Remembered
 from .byte_bpe import UNICODE_SPACE
 from .components import Scratch
-from .textbytes import ranges, span_hashes, text_chunks, word_spans
+from .textbytes import FOLD, ranges, text_chunks, word_spans
 
 # ---------------------------------------------------------------- tokenizing
 
@@ -92,7 +92,9 @@ class WordBpe:
                 yield row, last, np.zeros(0, np.int32), np.zeros(last - row, np.int64)
                 continue
             ids, counts = self.memory.look_up(
-                span_hashes(data, starts, ends, fold=True),
+                FOLD[data],
+                starts,
+                ends,
                 lambda at: self._encode_words([data[s:e].tobytes() for s, e in zip(starts[at], ends[at], strict=True)]),  # noqa: B023
             )
             before = np.r_[0, np.cumsum(counts)][first]

@@ -6,12 +6,13 @@ overlapping marks merge into maximal intervals of words, which are removed.
 
 A window can only be repeated if its smallest hash of ``size // 3`` consecutive
 words (its anchor) is. Blocks of documents first ask which of their anchors occur
-twice or more; only windows with such an anchor are hashed with 128 bits and
+twice or more; only windows with such an anchor are hashed twice and
 counted. Both rounds send one entry for each distinct value of a block, so
 neither a passage that a third of the documents share nor a large group of copies
 gathers in one task. The texts are shuffled once; the three steps share that.
 
-Equality of windows is taken from 128-bit hashes.
+Equality of windows is taken from two Rabin-Karp hashes modulo 2**61 - 1, with
+different bases and of independent hashes of the words (122 bits).
 """
 
 from __future__ import annotations
@@ -89,21 +90,27 @@ def _chunks(table: pa.Table, size: int) -> Iterator[tuple]:
 def _anchors(words: np.ndarray, windows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """For every window the position of its anchor, and the hashes of all short sequences.
 
-    The anchor is the short sequence of the window with the smallest leading bits
-    of its hash, the leftmost of equals; it depends on the window's words alone.
+    The anchor is the short sequence of the window with the smallest hash, the
+    leftmost of equals; it depends on the window's words alone.
     """
     short = max(1, size // 3)
     grams = window_hashes(words, short, seed=7)
     width = size - short + 1
-    bits = np.uint64(max(1, len(grams)).bit_length())
-    keys = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
-    span, lowest = 1, keys
-    while span * 2 <= width:
-        lowest = np.minimum(lowest[:-span], lowest[span:])
-        span *= 2
-    if span < width:
-        lowest = np.minimum(lowest[: len(lowest) - (width - span)], lowest[width - span :])
-    return (lowest[windows] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), grams
+    lowest, place = grams, np.arange(len(grams))
+    span = 1
+    while span < width:
+        step = min(span, width - span)
+        if len(lowest) <= step:
+            return np.zeros(0, np.int64), grams
+        left = lowest[:-step] <= lowest[step:]
+        lowest, place = np.where(left, lowest[:-step], lowest[step:]), np.where(left, place[:-step], place[step:])
+        span += step
+    return place[windows], grams
+
+
+def _second(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """Another hash of every window, from other hashes of its words."""
+    return window_hashes(span_hashes(data, starts, ends, seed=1), size, seed=2)
 
 
 def _ask_anchors(size: int, bits: int):
@@ -134,7 +141,7 @@ def _ask_windows(size: int, bits: int):
         table = _ordered(table.select(["block", "id", "text"]))
         ids = id_array(table["id"])
         high, low, doc, start = [], [], [], []
-        for row, _, _, _, _, first, words, windows in _chunks(table, size):
+        for row, _, data, starts, ends, first, words, windows in _chunks(table, size):
             if not len(windows) or not len(shared):
                 continue
             at, grams = _anchors(words, windows, size)
@@ -144,7 +151,7 @@ def _ask_windows(size: int, bits: int):
             if len(windows):
                 owner = np.searchsorted(first, windows, side="right") - 1
                 high.append(window_hashes(words, size, seed=1)[windows])
-                low.append(window_hashes(words, size, seed=2)[windows])
+                low.append(_second(data, starts, ends, size)[windows])
                 doc.append(ids[row + owner])
                 start.append(windows - first[owner])
         if not high:
@@ -204,7 +211,7 @@ def _remove(size: int, keep_untouched: bool):
             if len(windows) and len(high):
                 at = find(high, window_hashes(words, size, seed=1)[windows])
                 windows, at = windows[at >= 0], at[at >= 0]
-                second = window_hashes(words, size, seed=2)[windows] if len(windows) else np.zeros(0, np.uint64)
+                second = _second(data, starts, ends, size)[windows] if len(windows) else np.zeros(0, np.uint64)
                 if tie:
                     for _ in range(len(high)):
                         step = (low[at] != second) & (at + 1 < len(high)) & (high[np.minimum(at + 1, len(high) - 1)] == high[at])

@@ -10,45 +10,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text that are worked on at once; bounds the memory of a task.
 CHUNK_BYTES = 1 << 20
 
 _U64 = np.uint64
-#: An odd multiplier that is 5 modulo 8: its powers minus one have few factors 2.
-_BASE = 0x9E3779B97F4A7C15 - 0x9E3779B97F4A7C15 % 8 + 5
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_MASK = (1 << 64) - 1
-
-
-def _table(seed: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 64, 256, dtype=_U64)
-
-
-_BYTES = _table(20_05)
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[ord("A") : ord("Z") + 1] += 32
-_BYTES_FOLDED = _BYTES[FOLD]
 
 #: The white space that ends a word: blank and the controls 09 to 0D.
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-_powers_cache: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """The powers 0 to n-1 of base modulo 2**64."""
-    have = _powers_cache.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1024)
-        steps = np.full(size, base & _MASK, dtype=_U64)
-        steps[0] = 1
-        have = _powers_cache[base] = np.cumprod(steps, dtype=_U64)
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (splitmix64)."""
     x = x ^ (x >> _U64(30))
@@ -108,36 +84,190 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
+#: Bytes below the end of a span, by how many of a lane's eight are left.
+_LEFT = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=_U64)
+#: Spans of more bytes are hashed one by one.
+_LANES = 8
+
+
+def _lanes(data: np.ndarray):
+    """A function that reads eight bytes of every span from any place on, those beyond its end as zero."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    view = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+    return lambda at, ends: view[np.minimum(at, len(data))] & _LEFT[np.clip(ends - at, 0, 8)]
+
+
+def _of_seed(seed: int) -> np.uint64:
+    return _U64((2 * seed + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of the bytes of every span; ``fold`` reads A-Z as a-z.
 
-    Each byte stands for a random 64-bit number; a span's hash is the value of
-    the polynomial with these coefficients, taken from prefix sums.
+    Eight bytes at a time are joined to what came before and mixed, which is not
+    linear in them; spans beyond 64 bytes have their xxHash. Hashes of different
+    seeds are independent: spans that share one share another by chance only.
     """
     if len(starts) == 0:
         return np.zeros(0, _U64)
-    n = len(data)
-    sums = np.empty(n + 1, _U64)
-    sums[0] = 0
-    np.cumsum((_BYTES_FOLDED if fold else _BYTES)[data] * powers(_BASE, n), out=sums[1:])
-    value = (sums[ends] - sums[starts]) * powers(_INVERSE, n)[starts]
-    return mix(value + (ends - starts).astype(_U64) * _U64(0xD6E8FEB86659FD93))
+    if fold:
+        data = FOLD[data]
+    read = _lanes(data)
+    size = ends - starts
+    h = mix(mix(size.astype(_U64) + _of_seed(seed)) ^ read(starts, ends))
+    rest = np.flatnonzero(size > 8)
+    for k in range(1, _LANES):
+        if not len(rest):
+            break
+        h[rest] = mix(h[rest] * _U64(5) ^ read(starts[rest] + 8 * k, ends[rest]))
+        rest = rest[size[rest] > 8 * (k + 1)]
+    for i in rest.tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed)
+    return h
+
+
+def sequence_hashes(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of every ``size`` consecutive numbers, mixed one after another; for short sequences."""
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.zeros(0, _U64)
+    h = mix(words[:n] + _of_seed(seed))
+    for k in range(1, size):
+        h = mix(h * _U64(5) ^ words[k : k + n])
+    return h
+
+
+#: The prime 2**61 - 1, by which remainders are taken with shifts.
+_PRIME = (1 << 61) - 1
+_powers_cache: dict[tuple[int, int], np.ndarray] = {}
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _U64(_PRIME)) + (x >> _U64(61))
+    return np.where(x >= _U64(_PRIME), x - _U64(_PRIME), x)
+
+
+def _times(a: np.ndarray, b) -> np.ndarray:
+    """Products modulo the prime; factors are remainders."""
+    low = _U64((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> _U64(31), a & low, b >> _U64(31), b & low
+    middle = a1 * b0 + a0 * b1
+    return _reduced((a1 * b1 << _U64(1)) + (middle >> _U64(30)) + ((middle & _U64((1 << 30) - 1)) << _U64(31)) + a0 * b0)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    have = _powers_cache.get(base, np.ones(1, _U64))
+    while len(have) < n:
+        have = np.concatenate([have, _times(have, _U64(pow(base, len(have), _PRIME)))])
+    _powers_cache[base] = have
+    return have[:n]
 
 
 def window_hashes(words: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
-    """Rabin-Karp hash of every ``size`` consecutive numbers of ``words``.
+    """Rabin-Karp hash, modulo 2**61 - 1, of every ``size`` consecutive numbers of ``words``.
 
     The array is shorter than ``words`` by size - 1; windows that cross from one
-    text into the next are among them and are for the caller to leave out.
+    text into the next are among them and are for the caller to leave out. Each
+    seed has a base of its own, drawn at random.
     """
     n = len(words)
     if n < size:
         return np.zeros(0, _U64)
-    base = (_BASE * (2 * seed + 1) & _MASK) - ((_BASE * (2 * seed + 1)) & 7) + 5
-    sums = np.empty(n + 1, _U64)
-    sums[0] = 0
-    np.cumsum(words * powers(base, n), out=sums[1:])
-    return mix((sums[size:] - sums[:-size]) * powers(pow(base, -1, 1 << 64), n)[: n - size + 1] + _U64(seed))
+    base = int(np.random.Generator(np.random.PCG64(seed)).integers(1 << 59, _PRIME))
+    terms = _times(_reduced(words), _powers(base, n))
+    high, low = np.zeros(n + 1, _U64), np.zeros(n + 1, _U64)
+    np.cumsum(terms >> _U64(31), out=high[1:])
+    np.cumsum(terms & _U64((1 << 31) - 1), out=low[1:])
+    high, low = _reduced(high[size:] - high[:-size]), _reduced(low[size:] - low[:-size])
+    value = _reduced(_times(high, _U64(1 << 31)) + low)
+    return mix(_times(value, _powers(pow(base, -1, _PRIME), n)[: n - size + 1]) + _U64(seed))
+
+
+class Words:
+    """Numbers spans of bytes in the order they are met, equal ones alike; exact, for it keeps their bytes.
+
+    Spans of up to 24 bytes are looked up for a whole batch at once in an open
+    table of three lanes, longer ones in a dictionary.
+    """
+
+    WIDTH = 3
+
+    def __init__(self) -> None:
+        self.long: dict[bytes, int] = {}
+        self.long_bytes = 0
+        self.count = 0
+        self.keys = np.zeros((self.WIDTH + 1, 1024), _U64)  # the lanes and the size of every short one, by number
+        self.table = np.full(4096, -1, np.int32)  # numbers by place
+
+    def number(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every span's number, and for each number that is new, in ascending order, the place of a span that has it."""
+        size = ends - starts
+        out = np.full(len(starts), -1, np.int64)
+        short = np.flatnonzero(size <= 8 * self.WIDTH)
+        read = _lanes(data)
+        key = np.stack([*[read(starts[short] + 8 * k, ends[short]) for k in range(self.WIDTH)], size[short].astype(_U64)])
+        h = mix(key[self.WIDTH])
+        for k in range(self.WIDTH):
+            h = mix(h * _U64(5) ^ key[k])
+        out[short] = self._find(key, h)
+        new = []
+        missing = np.flatnonzero(out[short] < 0)
+        while len(missing):
+            # equal hashes are one span but by an accident, which the next turn mends
+            codes, _ = pd.factorize(h[missing])
+            first = np.zeros(codes.max() + 1, np.int64)
+            first[codes[::-1]] = missing[::-1]
+            same = (key[:, missing] == key[:, first[codes]]).all(axis=0)
+            self._insert(key[:, first], h[first])
+            out[short[missing[same]]] = self.count - len(first) + codes[same]
+            new.append(short[first])
+            missing = missing[~same]
+        if len(short) < len(starts):
+            for i in np.flatnonzero(size > 8 * self.WIDTH).tolist():
+                raw = data[starts[i] : ends[i]].tobytes()
+                at = self.long.get(raw)
+                if at is None:
+                    at = self.long[raw] = self.count
+                    self.count += 1
+                    self.long_bytes += len(raw)
+                    new.append(np.array([i]))
+                out[i] = at
+        return out, np.concatenate(new).astype(np.int64) if new else np.zeros(0, np.int64)
+
+    def _find(self, key: np.ndarray, h: np.ndarray) -> np.ndarray:
+        found = np.full(len(h), -1, np.int64)
+        left = np.arange(len(h))
+        at = (h & _U64(len(self.table) - 1)).astype(np.int64)
+        while len(left):
+            held = self.table[at]
+            here = held >= 0
+            left, at, held = left[here], at[here], held[here]
+            same = np.ones(len(left), bool)
+            for lane, own in zip(key, self.keys, strict=True):
+                same &= lane[left] == own[held]
+            found[left[same]] = held[same]
+            left, at = left[~same], at[~same] + 1 & len(self.table) - 1
+        return found
+
+    def _insert(self, key: np.ndarray, h: np.ndarray) -> None:
+        n = key.shape[1]
+        if self.count + n > self.keys.shape[1]:
+            self.keys = np.concatenate([self.keys, np.zeros((self.WIDTH + 1, self.count + 2 * n), _U64)], axis=1)
+        self.keys[:, self.count : self.count + n] = key
+        numbers = np.arange(self.count, self.count + n)
+        self.count += n
+        if 2 * self.count > len(self.table):
+            self.table = np.full(1 << (4 * self.count).bit_length(), -1, np.int32)
+            numbers = np.setdiff1d(np.arange(self.count), np.fromiter(self.long.values(), np.int64, len(self.long)), assume_unique=True)
+            h = mix(self.keys[self.WIDTH, numbers])
+            for k in range(self.WIDTH):
+                h = mix(h * _U64(5) ^ self.keys[k, numbers])
+        at = (h & _U64(len(self.table) - 1)).astype(np.int64)
+        while len(numbers):
+            free = np.flatnonzero(self.table[at] < 0)
+            self.table[at[free]] = numbers[free]  # of several for one place, the last stays
+            left = self.table[at] != numbers
+            numbers, at = numbers[left], at[left] + 1 & len(self.table) - 1
 
 
 def window_starts(first: np.ndarray, size: int) -> np.ndarray:

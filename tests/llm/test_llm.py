@@ -632,3 +632,47 @@ def test_pipeline(spark):
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in clean.collect()}
     whole = sorted(tuple(r) for r in cp.run(spark, folder).select("doc_id", "piece", "length", "ids_crc32").collect())
     assert whole == sorted(tuple(r) for r in packed.select("doc_id", "piece", "length", "ids_crc32").collect())
+
+
+# ---------------------------------------------------------------- hashes
+
+
+def thue_morse(a, b, k=10):
+    """A word of 2**k letters and its mirror: polynomial hashes modulo powers of two are one for both, whatever the base."""
+    one, two = a, b
+    for _ in range(k):
+        one, two = one + two, two + one
+    return one, two
+
+
+def test_words_that_polynomials_modulo_powers_of_two_confuse(spark):
+    one, two = thue_morse("a", "b")
+    df = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    tk = Tokenizer.from_file(WORD_BPE)
+    enc = tiktoken.Encoding("own", pat_str=BYTE_BPE[1], mergeable_ranks=byte_bpe._loaded(*BYTE_BPE).ranks, special_tokens={})
+    for r in byte_bpe.round_trip(df, *BYTE_BPE).collect():
+        t = one if r.doc_id == 1 else two
+        assert np.frombuffer(r.ids, "<u4").tolist() == enc.encode_ordinary(t) and bytes(r.decoded).decode() == t
+    for r in packing.tokenize(df, WORD_BPE, 2048, with_ids=True).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == [*tk.encode(one if r.doc_id == 1 else two, add_special_tokens=False).ids, 0]
+    assert {r.doc_id: r.component_id for r in jaccard_components(df, 3, (9, 10)).collect()} == {1: 1, 2: 2}
+    tail = " ".join(f"w{i}" for i in range(19))
+    for k, (x, y) in enumerate([(one, two), thue_morse("ab ", "ba ", 5), thue_morse("x ", "y ", 4)]):
+        pair = spark.createDataFrame([(1, f"{x} {tail}"), (2, f"{y} {tail}")], "doc_id long, text string")
+        assert {r.doc_id: r.n_removed for r in remove_repeats(pair, size=20).collect()}[2] == len(brute_removed([x + " " + tail, y + " " + tail], 20)), k
+    net = langid.learn(spark.createDataFrame([(i, t, lang) for i in range(30) for t, lang in ((one[:24], "x"), (two[:24], "y"))], "doc_id long, text string, lang string"))
+    told = {r.doc_id: r.score for r in langid.predict(spark.createDataFrame([(1, one[:24]), (2, two[:24]), (3, one[:24])], "doc_id long, text string"), net).collect()}
+    assert told[1] == told[3] != told[2]
+
+
+def brute_removed(texts, size):
+    """The places of words of the second text that windows of the first, or earlier own ones, remove."""
+    seen, gone = set(), set()
+    for d, t in enumerate(texts):
+        w = words(t)
+        for i in range(len(w) - size + 1):
+            x = tuple(w[i : i + size])
+            if x in seen and d == 1:
+                gone |= set(range(i, i + size))
+            seen.add(x)
+    return gone
