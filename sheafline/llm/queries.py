@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, langid, packing, quality_rules, secret_scan, topk, warc
+from . import byte_bpe, chat, langid, packing, quality_rules, secret_scan, token_output, topk, warc
 from .oracles import ORACLES as ORACLES
 from .components import Scratch
 from .jaccard_join import jaccard_components
@@ -126,6 +126,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written to compressed files in the shared folder and read back."""
+    folder = Scratch(spark, "token-ids").path()
+    token_output.write(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    told = token_output.read(spark, folder)
+    return told.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -137,4 +145,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_token_output": op11_token_output,
 }
