@@ -156,7 +156,7 @@ def audit(failed: DataFrame, part: str = "part", mask: str = "mask", good: str =
     told = counts.withColumn("s", F.explode(all_steps))
     m = F.col("mask")
     fails, earlier = m.bitwiseAND(F.col("s.f")) != 0, m.bitwiseAND(F.col("s.b")) != 0
-    share = F.floor(F.lit(_orders(n)) / F.bit_count(m)).cast("long")  # the orders in which one of so many filters comes first
+    share = F.floor(F.lit(_orders(n)) / F.greatest(F.bit_count(m), F.lit(1))).cast("long")  # the orders in which one of so many filters comes first
     total = lambda c, of="docs": F.sum(F.when(c, F.col(of)).otherwise(0)).cast("long")
     return told.groupBy("part", F.col("s.o").alias("filter_order"), F.col("s.k").alias("step")).agg(
         total(~fails & ~earlier).alias("kept"),

@@ -116,6 +116,61 @@ SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coales
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
+#: Unsigned CRC-32 of a text of ASCII letters, one bit after another.
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split({}, ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END))"""
+
+_PANES = (
+    """
+WITH c AS (
+  SELECT DISTINCT ON (click_id) click_id, ts, kind, value, date_diff('day', DATE '1970-01-01', CAST(arrived_at AS DATE)) AS d FROM clicks
+  WHERE ts IS NOT NULL AND click_id IS NOT NULL AND arrived_at IS NOT NULL ORDER BY click_id, arrived_at, ts, kind NULLS FIRST, value NULLS FIRST
+), q AS (SELECT *, ((d % 8) + 8) % 8 AS q, """
+    + _CRC.format("CAST(click_id AS VARCHAR)")
+    + """ AS crc FROM c),
+r AS (
+  SELECT least(7, q + greatest(0, crc % 30 - 23)) AS batch, click_id, coalesce(kind, 'none') AS kind, epoch_us(ts) - (d - q) * 86400000000 AS event,
+    coalesce(CAST(floor(100 * value + 0.5) AS BIGINT), 0) AS cents FROM q
+), w AS (SELECT b, (SELECT max(event) FROM r WHERE batch < b) AS w FROM range(8) AS t(b)),
+h AS (SELECT r.*, (event - ((event % 3600000000) + 3600000000) % 3600000000) // 3600000000 AS hour FROM r),
+l AS (SELECT h.*, coalesce(w >= (hour + 1) * 3600000000 + 4 * 86400000000, false) AS late FROM h JOIN w ON w.b = h.batch),
+t AS (SELECT kind, hour, batch, count(*) AS n, sum(cents) AS c FROM l WHERE NOT late GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER o AS n_all, sum(c) OVER o AS c_all FROM t WINDOW o AS (PARTITION BY kind, hour ORDER BY batch)),
+p AS (SELECT kind, hour, min(batch) AS first FROM t GROUP BY ALL),
+e AS (SELECT kind, hour, (SELECT min(b) FROM w WHERE b >= first AND w >= (hour + 1) * 3600000000 + 6 * 3600000000) AS e FROM p),
+told AS (
+  SELECT batch, hour, click_id, 1 AS n, cents AS c, 'late' AS record, kind FROM l WHERE late
+  UNION ALL SELECT coalesce(e, 7), hour, -1, sum(n), sum(c), CASE WHEN e IS NULL THEN 'final' ELSE 'emit' END, kind FROM t JOIN e USING (kind, hour) WHERE batch <= coalesce(e, 7) GROUP BY kind, hour, e
+  UNION ALL SELECT batch, hour, -1, n_all, c_all, 'replace', kind FROM u JOIN e USING (kind, hour) WHERE batch > e
+  UNION ALL SELECT batch, hour, -1, n_all - n, c_all - c, 'retract', kind FROM u JOIN e USING (kind, hour) WHERE batch > e
+)
+SELECT CAST(batch AS BIGINT) AS batch, CAST(hour AS BIGINT) AS hour, CAST(click_id AS BIGINT) AS click_id, CAST(n AS BIGINT) AS n_rows, CAST(c AS BIGINT) AS cents, record, kind FROM told
+"""
+)
+
+_AUDIT = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+y AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT d.doc_id, part, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM d LEFT JOIN y USING (doc_id)
+), n AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM f GROUP BY ALL),
+k AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS t(c, b)),
+o AS (
+  SELECT k1.c || k2.c || k3.c || k4.c || k5.c AS filter_order, [k1.b, k2.b, k3.b, k4.b, k5.b] AS bits FROM k k1, k k2, k k3, k k4, k k5
+  WHERE k1.b + k2.b + k3.b + k4.b + k5.b = 31 AND xor(k1.b, xor(k2.b, xor(k3.b, xor(k4.b, k5.b)))) = 31 AND len(list_distinct([k1.c, k2.c, k3.c, k4.c, k5.c])) = 5
+), s AS (SELECT filter_order, step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0) AS prior FROM o, range(1, 6) AS r(step)),
+z AS (SELECT *, (mask & own) <> 0 AS fails, (mask & CAST(prior AS INTEGER)) <> 0 AS gone FROM n, s)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (fails AND gone), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (mask = own), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(g) FILTER (fails AND NOT gone), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(x) FILTER (fails AND NOT gone), 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(n * (120 // greatest(bit_count(mask), 1))) FILTER (fails), 0) AS BIGINT) AS shapley
+FROM z GROUP BY part, filter_order, step
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_secret_scan": _secrets_sql(),
     "op3_exact_topk": _TOP_K,
@@ -123,4 +178,6 @@ ORACLES: dict[str, str] = {
     "op6_ngram_jaccard_join": _JACCARD,
     "op7_warc": _WARC,
     "op8_substring_dedup": _SUBSTRINGS,
+    "op12_window_panes": _PANES,
+    "op13_filter_audit": _AUDIT,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, langid, packing, quality_rules, secret_scan, token_output, topk, warc
+from . import byte_bpe, chat, filter_audit, langid, packing, panes, quality_rules, secret_scan, token_output, topk, warc
 from .oracles import ORACLES as ORACLES
 from .components import Scratch
 from .jaccard_join import jaccard_components
@@ -134,6 +134,17 @@ def op11_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_window_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly panes of clicks in eight batches: emissions, revisions and late rows."""
+    return panes.click_panes(table(spark, sf_dir, "clicks"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove, in every order, by language."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return filter_audit.audit_documents(docs.select("doc_id", "text", "lang"), labels.select("doc_id", "quality", "toxic"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -146,4 +157,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_token_output": op11_token_output,
+    "op12_window_panes": op12_window_panes,
+    "op13_filter_audit": op13_filter_audit,
 }
