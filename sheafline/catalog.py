@@ -13,7 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import dates, embedders, text, vectors
-from .operators import board, chunking, dense, filters, hierarchy, index, metrics, retrieve
+from .operators import board, chunking, dense, filters, hierarchy, index, levels, metrics, retrieve, split
+from .operators.saved import saved
+from .plans.config import PRODUCTION, IndexConfig
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,14 +97,17 @@ def _index(t: Table) -> index.Index:
     return index.build(t("documents"), "doc_id", "text")
 
 
+def _asked_index(t: Table) -> index.Index:
+    """The index as far as the questions need it."""
+    return index.build(t("documents"), "doc_id", "text", retrieve.wanted_terms(_questions(t)))
+
+
 def _bm25(t: Table) -> DataFrame:
-    return retrieve.bm25(_index(t), _questions(t), 40)
+    return retrieve.bm25(_asked_index(t), _questions(t), 40)
 
 
 def _dense(t: Table) -> DataFrame:
-    chunks = vectors.hash_slots(t("documents").withColumnRenamed("doc_id", "id"), "id", "text")
-    asked = vectors.hash_slots(t("benchmark").withColumnRenamed("item_id", "qid"), "qid", "text")
-    return retrieve.sparse_dense(chunks, asked, 40)
+    return retrieve.dense_scan(t("documents").select(F.col("doc_id").alias("id"), "text"), t("benchmark").select(F.col("item_id").alias("qid"), "text"), 40)
 
 
 def _gold(t: Table) -> DataFrame:
@@ -200,7 +205,7 @@ vscored AS (SELECT qid, id, round(max(s), 6) AS score FROM (
 
 @query(_INDEX + "," + _VARIANTS + " SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM vscored WHERE score > 0) WHERE rank <= 8")
 def bm25_multi_query(t: Table) -> DataFrame:
-    return retrieve.bm25(_index(t), _questions(t), 8, variants=True)
+    return retrieve.bm25(_asked_index(t), _questions(t), 8, variants=True)
 
 
 @query(f"WITH {_DENSE} SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM dense WHERE rank <= 8")
@@ -222,7 +227,7 @@ def trace_ladder(t: Table) -> DataFrame:
 
 @query(_COVERAGE + " SELECT * FROM coverage")
 def idf_coverage(t: Table) -> DataFrame:
-    ix = _index(t)
+    ix = _asked_index(t)
     return retrieve.idf_coverage(ix, _questions(t), retrieve.bm25(ix, _questions(t), 40))
 
 
@@ -234,7 +239,7 @@ SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score D
 
 @query(_reranked_sql("0.5 * rel + 0.5 * cov"))
 def lexical_rerank(t: Table) -> DataFrame:
-    ix = _index(t)
+    ix = _asked_index(t)
     found = retrieve.bm25(ix, _questions(t), 40)
     return retrieve.rerank_lexical(found, retrieve.idf_coverage(ix, _questions(t), found))
 
@@ -260,7 +265,7 @@ def agentic_rerank(t: Table) -> DataFrame:
 @query(_COVERAGE + """, kept AS (SELECT qid, count(*) AS n FROM coverage WHERE coverage >= 0.6 GROUP BY qid)
 SELECT item_id AS qid, coalesce(n, 0) AS n_contexts, coalesce(n, 0) = 0 AS abstained FROM benchmark LEFT JOIN kept ON qid = item_id""")
 def lexical_gate(t: Table) -> DataFrame:
-    ix = _index(t)
+    ix = _asked_index(t)
     found = retrieve.bm25(ix, _questions(t), 40)
     grades = retrieve.idf_coverage(ix, _questions(t), found).withColumnRenamed("coverage", "grade")
     return retrieve.abstained(_questions(t), retrieve.gate(found, grades, 0.6))
@@ -310,7 +315,7 @@ def extractive_answer(t: Table) -> DataFrame:
 @query()
 def drill_down(t: Table) -> DataFrame:
     """The two best sources of every question as summaries, each with its best covered documents."""
-    ix = _index(t)
+    ix = _asked_index(t)
     found = retrieve.bm25(ix, _questions(t), 40)
     owners = t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("doc"))
     kept = retrieve.first_documents(found, owners).where("place <= 2").select("qid", F.col("doc").alias("id"), F.col("place").alias("rank"))
@@ -406,6 +411,59 @@ def label_propagation(t: Table) -> DataFrame:
     return hierarchy.label_propagation(hierarchy.knn_edges(_knn(t)))
 
 
+_LEVELS = """
+WITH a AS (SELECT d.doc_id, text, coalesce(lang, '') || '|' || coalesce(source, '') AS g, quality FROM documents d LEFT JOIN labels USING (doc_id)),
+b AS (SELECT g, count(*) AS members, min(doc_id) AS first, round(avg(coalesce(quality, 0)), 3) AS importance FROM a GROUP BY g HAVING count(*) >= 3),
+c AS (SELECT *, row_number() OVER (ORDER BY first, g) - 1 AS no, split_part(g, '|', 1) AS up FROM b),
+d AS (SELECT up, count(*) AS members, min(no) AS first, round(avg(importance), 3) AS importance FROM c GROUP BY up HAVING count(*) >= 3),
+e AS (SELECT *, row_number() OVER (ORDER BY first, up) - 1 AS no FROM d)"""
+
+
+def _levels(t: Table) -> tuple[DataFrame, levels.Hierarchy]:
+    """Documents under their languages and sources, and these under their languages; two levels of summaries."""
+    docs = t("documents").join(t("labels").select("doc_id", "quality"), "doc_id", "left")
+    rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("no"), F.coalesce("text", F.lit("")).alias("text"), "lang", "source", F.coalesce("quality", F.lit(0)).cast("double").alias("importance"))
+    leaves = saved(rows.join(embedders.dense(rows), "id", "left").withColumn("document", F.col("id")), "leaves")
+
+    def once(below: DataFrame) -> DataFrame:
+        own = leaves.select("id", F.concat(F.coalesce("lang", F.lit("")), F.lit("|"), F.coalesce("source", F.lit(""))).alias("made"))
+        return below.join(own, "id", "left").select(F.coalesce("made", F.substring_index("group", "|", 1)).alias("group"), "id")
+
+    return leaves, levels.build(leaves, once, embedders.dense, levels=2, summarizer="lead-idf")
+
+
+@query(
+    _LEVELS
+    + """
+SELECT 'summary:h1-' || CASE WHEN no < 1000 THEN lpad(CAST(no AS VARCHAR), 3, '0') ELSE CAST(no AS VARCHAR) END AS id, 1 AS level, g AS "group", members, importance FROM c
+UNION ALL SELECT 'summary:h2-' || CASE WHEN no < 1000 THEN lpad(CAST(no AS VARCHAR), 3, '0') ELSE CAST(no AS VARCHAR) END, 2, up, members, importance FROM e"""
+)
+def hierarchy_levels(t: Table) -> DataFrame:
+    return _levels(t)[1].summaries.select("id", "level", "group", "members", "importance")
+
+
+@query(
+    _LEVELS
+    + """, r AS (SELECT 1 AS level, g AS name, doc_id FROM a JOIN c USING (g) UNION ALL SELECT 2, up, doc_id FROM a JOIN c USING (g) JOIN d USING (up))
+SELECT level, name AS "group", count(*) AS leaves, CAST(sum(doc_id) AS BIGINT) AS ids FROM r GROUP BY ALL"""
+)
+def hierarchy_leaves(t: Table) -> DataFrame:
+    """The leaves that every summary speaks for, through both levels."""
+    _, built = _levels(t)
+    found = levels.speaks_for(built.members, 2).join(built.summaries.select(F.col("id").alias("summary"), "level", "group"), "summary")
+    return found.groupBy("level", "group").agg(F.count("*").alias("leaves"), F.sum(F.col("leaf").cast("long")).alias("ids"))
+
+
+@query()
+def summary_texts(t: Table) -> DataFrame:
+    """The four summarisers on the documents of every source; each is tested against a loop."""
+    rows = t("documents").select(F.col("doc_id").alias("id"), F.coalesce("source", F.lit("")).alias("group"), F.coalesce("text", F.lit("")).alias("text"))
+    held = saved(rows.join(embedders.dense(rows), "id").select("group", F.col("id").alias("no"), "text", "vec", F.col("id").cast("string").alias("document")), "members")
+    terms = saved(index.build(rows, "id", "text").terms, "terms")
+    out = [make(held, terms).select(F.lit(name).alias("summariser"), "group", "text") for name, make in levels.SUMMARISERS.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
 @query()
 def kmeans_groups(t: Table) -> DataFrame:
     """Iterative; tested by its properties."""
@@ -480,6 +538,68 @@ def drift_chunks(t: Table) -> DataFrame:
     return chunking.drift_chunks(parts.join(vec, ["doc_id", "part_idx"], "left"))
 
 
+def _packed_sql(size: int) -> str:
+    """long (doc_id, s, e, path, text) packed greedily: packed (the same columns, k, text)."""
+    return f"""
+words AS (SELECT doc_id, s, e, path, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM (SELECT *, regexp_extract_all(text, '\\S+') AS w FROM long)),
+lined AS (SELECT doc_id, s, e, path, list(word ORDER BY i) AS w, list(upto ORDER BY i) AS ends FROM (
+  SELECT *, sum(length(word) + 1) OVER (PARTITION BY doc_id, s, path ORDER BY i) AS upto FROM words) GROUP BY ALL),
+lines AS (
+  SELECT doc_id, s, e, path, w, ends, 0 AS k, 1 AS i, greatest(1, len(list_filter(ends, lambda x: x - 1 <= {size}))) AS j FROM lined
+  UNION ALL SELECT doc_id, s, e, path, w, ends, k + 1, j + 1, greatest(j + 1, len(list_filter(ends, lambda x: x - ends[j] - 1 <= {size}))) FROM lines WHERE j < len(w)),
+packed AS (SELECT doc_id, s, e, path, k, array_to_string(w[i:j], ' ') AS text FROM lines)"""
+
+
+@query(rf"""WITH RECURSIVE p AS (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, role, coalesce(text, '') AS text FROM conversations),
+d AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY idx) AS text, max(idx) AS last FROM p GROUP BY doc_id),
+pieces AS (
+  SELECT doc_id, 0 AS s, last AS e, 0 AS path, text FROM d WHERE length(text) <= 300
+  UNION ALL SELECT p.doc_id, idx, idx, 0, p.text FROM p JOIN d USING (doc_id) WHERE length(d.text) > 300),
+long AS (SELECT * FROM pieces WHERE length(text) > 300),{_packed_sql(300)},
+chunks AS (SELECT doc_id, s, e, 0 AS k, text FROM pieces WHERE length(text) <= 300 UNION ALL SELECT doc_id, s, e, k, text FROM packed),
+roles AS (SELECT doc_id, s, string_agg(role, ' ' ORDER BY first) AS roles FROM (
+  SELECT p.doc_id, s, role, min(idx) AS first FROM p JOIN pieces ON p.doc_id = pieces.doc_id AND idx BETWEEN s AND e GROUP BY ALL) GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, k) - 1 AS c FROM chunks)
+SELECT doc_id, c AS chunk_no, doc_id || ':c' || c AS chunk_id, s AS part_start, e AS part_end, roles,
+  '[turns: ' || (last + 1) || ']' || chr(10) || n.text AS text FROM n JOIN d USING (doc_id) JOIN roles USING (doc_id, s)""")
+def split_parts_over_budget(t: Table) -> DataFrame:
+    """Conversations as production cuts them: whole if they fit, else by turns, and longer turns at words; with prefixes and roles."""
+    parts = t("conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("part_idx"), "role", "text")
+    turns = parts.groupBy("doc_id").agg(F.count("*").alias("turns"))
+    config = IndexConfig(split_plan=PRODUCTION[0].split_plan, chunk_chars=300)
+    out = split.index_chunks(parts, turns, config, ["turns"], ["role"])
+    return out.select("doc_id", "chunk_no", "chunk_id", "part_start", "part_end", F.array_join("role", " ").alias("roles"), "text")
+
+
+@query(rf"""WITH RECURSIVE d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+a AS (SELECT doc_id, unnest(l) AS text, unnest(range(len(l))) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM d WHERE length(text) > 500)),
+b AS (SELECT doc_id, i, unnest(l) AS text, unnest(range(len(l))) AS j FROM (SELECT doc_id, i, list_filter(list_transform(string_split(text, '. '), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM a WHERE length(text) > 500)),
+pieces AS (SELECT doc_id, 0 AS s, -1 AS e, [i] AS path, text FROM a WHERE length(text) <= 500 UNION ALL SELECT doc_id, 0, -1, [i, j], text FROM b),
+long AS (SELECT * FROM pieces WHERE length(text) > 500),{_packed_sql(500)},
+chunks AS (
+  SELECT doc_id, 0 AS span, CAST([] AS BIGINT[]) AS path, text FROM d WHERE length(text) <= 500
+  UNION ALL SELECT doc_id, -1, path, text FROM pieces WHERE length(text) <= 500 UNION ALL SELECT doc_id, -1, list_concat(path, [k]), text FROM packed),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1 AS c FROM chunks)
+SELECT doc_id, c AS chunk_no, doc_id || ':c' || c AS chunk_id, span AS part_start, span AS part_end, md5(n.text) AS digest,
+  CASE WHEN lang IS NULL AND source IS NULL THEN '' ELSE '[' || concat_ws(' | ', 'lang: ' || lang, 'source: ' || source) || ']' || chr(10) END AS prefix FROM n JOIN d USING (doc_id)""")
+def split_separators_over_budget(t: Table) -> DataFrame:
+    """Documents cut at line ends, then at sentence ends, then at words, each only where a piece is over the budget."""
+    docs = t("documents").select("doc_id", "lang", "source", "text")
+    parts = docs.select("doc_id", F.lit(0).alias("part_idx"), "text")
+    config = IndexConfig(split_plan='document / "\\n" over-budget / ". " over-budget')
+    out = split.index_chunks(parts, docs, config, ["lang", "source"])
+    body = F.expr("substring(text, length(prefix) + 1)")
+    return out.select("doc_id", "chunk_no", "chunk_id", "part_start", "part_end", F.md5(body).alias("digest"), "prefix")
+
+
+@query()
+def split_drift(t: Table) -> DataFrame:
+    """Conversations cut where turns drift apart or a turn says ``however``, then what is over the budget by user turns."""
+    parts = t("conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("part_idx"), "role", "text")
+    chunks, _ = split.carry_out(parts, 'document / drift or "however" / role=user over-budget', budget=400, overlap=80, prefix="role")
+    return chunks
+
+
 @query("""SELECT doc_id, CASE WHEN lang IS NULL AND source IS NULL AND quality IS NULL THEN '' ELSE
  '[' || concat_ws(' | ', 'lang: ' || lang, 'source: ' || source, 'quality: ' || CAST(quality AS VARCHAR)) || ']' || chr(10) END AS prefix FROM documents LEFT JOIN labels USING (doc_id)""")
 def contextual_prefix(t: Table) -> DataFrame:
@@ -614,7 +734,7 @@ def quote_recall(t: Table) -> DataFrame:
 @query(_COVERAGE + """, a AS (SELECT qid, coverage >= 0.5 AS good, row_number() OVER (PARTITION BY qid ORDER BY rank) AS k, sum(CAST(coverage >= 0.5 AS INTEGER)) OVER (PARTITION BY qid ORDER BY rank ROWS UNBOUNDED PRECEDING) AS c FROM coverage JOIN bm25 USING (qid, id))
 SELECT qid, round(coalesce(sum(c / k) FILTER (good) / nullif(count(*) FILTER (good), 0), 0.0), 6) AS context_precision FROM a GROUP BY qid""")
 def context_precision(t: Table) -> DataFrame:
-    ix = _index(t)
+    ix = _asked_index(t)
     found = retrieve.bm25(ix, _questions(t), 40)
     grades = found.join(retrieve.idf_coverage(ix, _questions(t), found), ["qid", "id"]).select("qid", "rank", F.col("coverage").alias("similarity"))
     return metrics.average_precision(grades)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .text import char_ngrams, tokens
-from .vectors import hash_slots
+from .vectors import ASCII_HASH_SLOTS, hash_slots
 
 #: Slots of the two embedders whose hash is BLAKE2b.
 TOKEN_SLOTS = 512
@@ -53,3 +53,11 @@ def char_hash(docs: DataFrame, id_column: str, text_column: str, n: int = 4) ->
 
 #: By the name that a configuration gives.
 EMBEDDERS = {"ascii-hash": hash_slots, "token-hash": token_hash, "char-hash": char_hash}
+SLOTS = {"ascii-hash": ASCII_HASH_SLOTS, "token-hash": TOKEN_SLOTS, "char-hash": CHAR_SLOTS}
+
+
+def dense(rows: DataFrame, embedder: str = "ascii-hash") -> DataFrame:
+    """(id, vec) of rows (id, text): the embedding as an array; a text without any has none."""
+    sparse = EMBEDDERS[embedder](rows.select("id", "text"), "id", "text")
+    whole = sparse.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "weight"))).alias("m"))  # a number for each slot at most
+    return whole.select("id", F.transform(F.sequence(F.lit(0), F.lit(SLOTS[embedder] - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("vec"))

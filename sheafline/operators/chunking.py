@@ -6,8 +6,6 @@ runs as SQL; cutting by budgets is sequential within a text and runs on Arrow ba
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -63,11 +61,14 @@ def pack_words(text: str, size: int) -> list[str]:
 
 
 def windows(text: str, size: int, overlap: int) -> list[str]:
-    """Windows of whole words of up to ``size`` characters; each begins with what the one before ends with, ``overlap`` characters at most.
+    """Windows of as many whole words as fit into ``size`` characters; each begins about ``size - overlap`` behind the one before.
 
-    An overlap of the size or more counts as half of it.
+    The next one begins with the first word that ends no more than one character before that
+    place or later, but behind the first word of this window and no later than its last. An overlap of the size or
+    more counts as half of it; a longer word stands alone.
     """
     overlap = size // 2 if overlap >= size else overlap
+    step = max(1, size - overlap)
     words = text.split()
     ends = np.cumsum([len(w) + 1 for w in words])
     out, start = [], 0
@@ -77,10 +78,7 @@ def windows(text: str, size: int, overlap: int) -> list[str]:
         out.append(" ".join(words[start:stop]))
         if stop >= len(words):
             break
-        back = stop
-        while back - 1 > start and ends[stop - 1] - ends[back - 2] - 1 <= overlap:
-            back -= 1
-        start = back
+        start = max(start + 1, min(stop - 1, int(np.searchsorted(ends, base + step))))
     return out
 
 
@@ -106,15 +104,6 @@ def window_chunks(docs: DataFrame, size: int = 500, overlap: int = 100) -> DataF
     return _cut(docs, lambda t: windows(t, size, overlap))
 
 
-def combined_separators(text: str, literals: list[str], together: bool = False) -> list[str]:
-    """Cut at any literal or, ``together``, only where all of them begin at one place; the longest is consumed."""
-    longest = sorted(literals, key=len, reverse=True)
-    if together:  # all begin where the longest does if it begins with each of them, else nowhere
-        longest = longest[:1] if all(longest[0].startswith(s) for s in literals) else []
-    pieces = re.split("|".join(map(re.escape, longest)), text) if longest else [text]
-    return [p for p in (x.strip() for x in pieces) if p]
-
-
 def drift_chunks(parts: DataFrame, budget: int = 500, quantile: float = 0.35) -> DataFrame:
     """Consecutive parts whose vectors drift apart are cut from each other: doc_id, chunk_idx, part_start, part_end, text.
 
@@ -146,13 +135,6 @@ def contextual_prefix(labels: list[tuple[str, Column]]) -> Column:
     return F.when(body != "", F.concat(F.lit("["), body, F.lit("]\n"))).otherwise(F.lit(""))
 
 
-def assemble(chunks: DataFrame, prefix: Column | None = None) -> DataFrame:
-    """Chunks with their ids ``<document>:c<number>`` and, before the text, a prefix."""
-    idx = F.row_number().over(W.partitionBy("doc_id").orderBy("chunk_idx")) - 1
-    text = F.concat(prefix, F.col("text")) if prefix is not None else F.col("text")
-    return chunks.withColumn("chunk_no", idx).withColumn("chunk_id", F.concat(F.col("doc_id").cast("string"), F.lit(":c"), F.col("chunk_no").cast("string"))).withColumn("text", text)
-
-
 def importance(value: Column, low: float, high: float) -> Column:
     """A rank label scaled to 0-1, cut and rounded; 0 without one."""
     scaled = (value.cast("double") - low) / (high - low) if high > low else F.lit(0.0)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .index import Index
+from .saved import saved
 
 
 def rare_terms(index: Index, top: int = 12) -> DataFrame:
@@ -57,36 +57,35 @@ def bipartite_edges(index: Index) -> DataFrame:
     return index.postings.join(index.terms, "token").select(F.col("id").alias("chunk"), F.col("token").alias("term"), "idf")
 
 
-def label_propagation(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(id, label): each node takes, in every round, the label of the largest weight around it, ties to the smaller, until none changes.
+def label_propagation(edges: DataFrame) -> DataFrame:
+    """(id, label): nodes take the label of the largest weight around them until none would change.
 
-    Synchronous, so a partition may differ from that of the one-by-one algorithm; a
-    node's own label counts with the weight of its heaviest edge, which stops
-    two-node oscillation. Labels that come back to an earlier state would go round
-    for ever: that raises, as does a change after ``rounds`` if they are given.
-    One row with a fingerprint of the labels reaches the driver in every round.
+    A node moves only to a label of more weight than its own has around it, the smallest of
+    equals. In a round those nodes move that want to and whose number for the round
+    (a hash) is the largest among neighbours that want to as well. Neighbours thus never move together, so
+    every move adds weight within labels; as that cannot grow for ever, this ends on every graph, though
+    with a partition that may differ from that of nodes in another order. Weights are rounded to
+    six places and must not be negative. Repeated edges add up; an edge from a node to itself counts for nothing.
+
+    Steps are saved in the shared folder; one number reaches the driver in every round.
     """
-    durable = edges.sparkSession.conf.get("spark.checkpoint.dir", None) is not None
-    held = lambda rows: rows.checkpoint() if durable else rows.localCheckpoint()
-    both = held(edges.select(F.col("a").alias("id"), F.col("b").alias("other"), "weight").unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("other"), "weight")))
-    own = held(both.groupBy("id").agg(F.max("weight").alias("weight")))
-    labels = own.select("id", F.col("id").alias("label"))
-    seen = set()
+    edges = edges.where("a <> b").select("a", "b", "weight")
+    both = edges.select(F.col("a").alias("id"), F.col("b").alias("other"), "weight").unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("other"), "weight"))
+    both = saved(both.groupBy("id", "other").agg(F.round(F.sum("weight"), 6).alias("weight")), "edges")
+    labels = saved(both.select("id").distinct().withColumn("label", F.col("id")), "labels")
+    step = 0
     while True:
-        votes = both.join(labels.select(F.col("id").alias("other"), "label"), "other").select("id", "label", "weight").unionByName(own.join(labels, "id").select("id", "label", "weight"))
-        sums = votes.groupBy("id", "label").agg(F.round(F.sum("weight"), 6).alias("w"))
-        best = sums.groupBy("id").agg(F.max(F.struct(F.col("w"), (-F.col("label")).alias("m"))).alias("best")).select("id", (-F.col("best.m")).alias("label"))
-        now = held(best.join(labels.withColumnRenamed("label", "old"), "id"))
-        code = F.xxhash64("id", "label")
-        told = now.agg(F.count_if(F.col("label") != F.col("old")).alias("changed"), F.bit_xor(code).alias("x"), F.sum(code.cast("decimal(38,0)")).alias("s")).first()
-        labels = now.select("id", "label")
-        if not told.changed:
+        around = both.join(labels.select(F.col("id").alias("other"), "label"), "other").groupBy("id", "label").agg(F.round(F.sum("weight"), 6).alias("w"))
+        own = labels.select("id", F.col("label").alias("own"))
+        told = around.join(own, "id").groupBy("id").agg(F.max(F.struct(F.col("w"), (-F.col("label")).alias("m"))).alias("best"), F.max(F.when(F.col("label") == F.col("own"), F.col("w"))).alias("held"))
+        movers = saved(told.where("best.w > coalesce(held, 0)").select("id", (-F.col("best.m")).cast(dict(labels.dtypes)["label"]).alias("new"), F.xxhash64("id", F.lit(step)).alias("turn")), "movers")
+        if movers.isEmpty():
             return labels
-        if (told.x, told.s) in seen:
-            raise ValueError(f"labels go round: after {len(seen) + 1} rounds they are as they were before")
-        seen.add((told.x, told.s))
-        if len(seen) == rounds:
-            raise ValueError(f"labels still change after {rounds} rounds")
+        near = both.join(movers.select("id", "turn"), "id").join(movers.select(F.col("id").alias("other"), F.col("turn").alias("its")), "other")
+        behind = near.where("its > turn or its = turn and other > id").select("id").distinct()
+        moved = movers.join(behind, "id", "left_anti").select("id", "new")
+        labels = saved(labels.join(moved, "id", "left").select("id", F.coalesce("new", "label").alias("label")), "labels")
+        step += 1
 
 
 def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
@@ -132,84 +131,17 @@ def mixture_groups(vectors: DataFrame, k: int, seed: int = 7, components: int =
     return soft.select("id", F.posexplode(vector_to_array("probability")).alias("group", "p")).where(F.col("p") >= 1.0 / k).select("id", "group")
 
 
-def louvain(nodes: list, edges: list[tuple], resolution: float = 1.0, seed: int = 7) -> dict:
-    """Communities of a graph that fits one task, by local moves and folding until modularity stops growing."""
-    rng = np.random.default_rng(seed)
-    names = sorted(nodes)
-    at = {n: i for i, n in enumerate(names)}
-    graph: list[dict[int, float]] = [{} for _ in names]
-    for a, b, w in edges:
-        i, j = at[a], at[b]
-        graph[i][j] = graph[i].get(j, 0.0) + w
-        if i != j:
-            graph[j][i] = graph[j].get(i, 0.0) + w
-    member = list(range(len(names)))
-    while True:
-        n = len(graph)
-        degree = [sum(g.values()) + g.get(i, 0.0) for i, g in enumerate(graph)]
-        total = sum(degree) / 2 or 1.0
-        own, weight = list(range(n)), list(degree)
-        moved_any = False
-        for _ in range(50):
-            moved = False
-            for i in rng.permutation(n):
-                i = int(i)
-                around: dict[int, float] = {}
-                for j, w in graph[i].items():
-                    if j != i:
-                        around[own[j]] = around.get(own[j], 0.0) + w
-                weight[own[i]] -= degree[i]
-                gain = lambda c, around=around, i=i: around.get(c, 0.0) - resolution * weight[c] * degree[i] / (2 * total)
-                best = max(sorted({*around, own[i]}), key=lambda c: (round(gain(c), 12), c == own[i]))
-                weight[best] += degree[i]
-                if best != own[i]:
-                    own[i], moved, moved_any = best, True, True
-            if not moved:
-                break
-        if not moved_any:
-            return {name: member[k] for k, name in enumerate(names)}
-        number = {c: k for k, c in enumerate(sorted(set(own)))}
-        folded: list[dict[int, float]] = [{} for _ in number]
-        for i, g in enumerate(graph):
-            for j, w in g.items():
-                a, b = number[own[i]], number[own[j]]
-                if i <= j:
-                    folded[a][b] = folded[a].get(b, 0.0) + w
-                    if a != b:
-                        folded[b][a] = folded[b].get(a, 0.0) + w
-        member = [number[own[m]] for m in member]
-        graph = folded
-
-
-def ward(vectors: np.ndarray, k: int) -> np.ndarray:
-    """Labels of k groups by agglomeration of least added variance; for groups that fit one task."""
-    n = len(vectors)
-    centre, size, label = [np.asarray(v, float) for v in vectors], [1] * n, list(range(n))
-    live = set(range(n))
-    while len(live) > k:
-        ids = sorted(live)
-        best = None
-        for x, i in enumerate(ids):
-            for j in ids[x + 1 :]:
-                d = size[i] * size[j] / (size[i] + size[j]) * float(((centre[i] - centre[j]) ** 2).sum())
-                if best is None or d < best[0] - 1e-12:
-                    best = (d, i, j)
-        _, i, j = best
-        centre[i] = (centre[i] * size[i] + centre[j] * size[j]) / (size[i] + size[j])
-        size[i] += size[j]
-        label = [i if c == j else c for c in label]
-        live.discard(j)
-    number = {c: m for m, c in enumerate(sorted(set(label)))}
-    return np.array([number[c] for c in label])
-
-
 def metadata_groups(rows: DataFrame, id_column: str, labels: list[str]) -> tuple[str, DataFrame]:
     """The array label of the greatest recurrence (values per distinct value), and its groups (group, id).
 
-    One row with two numbers for each label reaches the driver.
+    Two numbers for each label reach the driver.
     """
-    told = rows.agg(*[x for c in labels for x in (F.sum(F.size(c)).alias(f"n_{c}"), F.size(F.array_distinct(F.flatten(F.collect_set(c)))).alias(f"d_{c}"))]).first()
-    best = max(labels, key=lambda c: ((told[f"n_{c}"] or 0) / max(told[f"d_{c}"] or 0, 1), c))
+    told = {}
+    for c in labels:
+        counts = rows.select(F.explode(c).alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+        r = counts.agg(F.sum("n").alias("n"), F.count("*").alias("d")).first()
+        told[c] = (r.n or 0) / max(r.d, 1)
+    best = max(labels, key=lambda c: (told[c], c))
     return best, rows.select(F.explode(F.array_distinct(best)).alias("group"), F.col(id_column).alias("id"))
 
 

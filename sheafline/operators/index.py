@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .sizes import small
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -25,11 +26,18 @@ class Index:
     stats: DataFrame
 
 
-def build(chunks: DataFrame, id_column: str, text_column: str) -> Index:
+def build(chunks: DataFrame, id_column: str, text_column: str, wanted: DataFrame | None = None) -> Index:
     """The index of a table of texts; one without tokens counts as one of length 1 in the average. Term counts are combined before the shuffle; the
-    postings are dealt by (id, token) once, the statistics read sums of it."""
+    postings are dealt by (id, token) once, the statistics read sums of it.
+
+    With ``wanted`` (token), postings and terms are those of these tokens alone, with the numbers they have in the
+    whole index: all that questions of these tokens need. Others are dropped where the texts are read, before any shuffle.
+    """
     sized = chunks.select(F.col(id_column).alias("id"), tokens(F.col(text_column)).alias("tokens")).withColumn("dl", F.size("tokens"))
-    postings = sized.select("id", "dl", F.explode("tokens").alias("token")).groupBy("id", "dl", "token").agg(F.count("*").alias("tf"))
+    told = sized.select("id", "dl", F.explode("tokens").alias("token"))
+    if wanted is not None:
+        told = told.join(small(wanted.select("token").distinct()), "token", "left_semi")
+    postings = told.groupBy("id", "dl", "token").agg(F.count("*").alias("tf"))
     stats = sized.agg(F.count("*").alias("n"), F.avg(F.greatest("dl", F.lit(1))).alias("avg_len"))
     terms = postings.groupBy("token").agg(F.count("*").alias("df"))
     terms = terms.crossJoin(F.broadcast(stats.select("n"))).select("token", "df", idf(F.col("n"), F.col("df")).alias("idf"))  # stats is one row

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import tokens
 from .sizes import small
@@ -96,26 +92,6 @@ def verdict(runs: DataFrame, by: str, name: str) -> DataFrame:
     return two.select(by, F.col(f"{name}_1").alias("leader"), F.round(lead, 6).alias("lead"), word.alias("verdict"))
 
 
-@F.pandas_udf(T.DoubleType())
-def ratcliff(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity of two texts."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
-
-
-@F.pandas_udf(T.DoubleType())
-def partial_ratio(short: pd.Series, text: pd.Series) -> pd.Series:
-    """The best similarity of the shorter text with a stretch of the other of its length, at the places its matching blocks suggest."""
-
-    def best(a: str, b: str) -> float:
-        a, b = (a, b) if len(a) <= len(b) else (b, a)
-        if not a:
-            return 0.0
-        blocks = difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
-        return max(difflib.SequenceMatcher(None, a, b[max(0, m.b - m.a) : max(0, m.b - m.a) + len(a)], autojunk=False).ratio() for m in blocks)
-
-    return pd.Series([best(x or "", y or "") for x, y in zip(short, text, strict=True)])
-
-
 def fuzzy_quotes(pairs: DataFrame, least: float = 0.9) -> DataFrame:
     """``pairs`` (quote, text) with found: contained, or nearly so; the slow test runs only where the plain one fails.
 

@@ -7,12 +7,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dates import age_days, decay
-from ..functions.text import INTERROGATIVES, query_variants, tokens
+from ..functions.text import INTERROGATIVES, ascii_tokens, query_variants, tokens
+from ..functions.vectors import ASCII_HASH_SLOTS, hash_slots
 from .index import Index
 from .sizes import small
 
@@ -36,6 +39,11 @@ def query_terms(questions: DataFrame, variants: bool = False) -> DataFrame:
     return questions.select("qid", "variant", F.explode(F.array_distinct(tokens(F.col("question")))).alias("token"))
 
 
+def wanted_terms(questions: DataFrame) -> DataFrame:
+    """(token): the tokens of all questions and their variants."""
+    return query_terms(questions).select("token").unionByName(query_terms(questions, variants=True).select("token")).distinct()
+
+
 def bm25(index: Index, questions: DataFrame, k: int = 40, variants: bool = False) -> DataFrame:
     """The k best of each question by BM25, of scores above 0; with variants, a chunk's best score of any.
 
@@ -59,6 +67,52 @@ def sparse_dense(chunk_slots: DataFrame, query_slots: DataFrame, k: int = 40) ->
     return ranked(scored, k)
 
 
+#: Questions whose vectors are sent to every task at most.
+SCAN_QUESTIONS = 20_000
+
+
+def dense_scan(chunks: DataFrame, questions: DataFrame, k: int = 40) -> DataFrame:
+    """As sparse_dense() with ASCII-hash vectors, from texts: chunks (id, text) against questions (qid, text).
+
+    Chunks stay where they are read: each batch is a matrix, multiplied with that of all questions, of which
+    every question keeps k rows. More than SCAN_QUESTIONS questions are joined by slots instead.
+    """
+    slot = lambda c: F.transform(ascii_tokens(F.col(c)), lambda t: F.conv(F.right(F.md5(t), F.lit(2)), 16, 10).cast("int") % ASCII_HASH_SLOTS)
+    asked = questions.select("qid", slot("text").alias("slots"))
+    if asked.count() > SCAN_QUESTIONS:
+        return sparse_dense(hash_slots(chunks, "id", "text"), hash_slots(questions, "qid", "text"), k)
+    held = asked.toArrow()  # at most SCAN_QUESTIONS rows
+    shared = chunks.sparkSession.sparkContext.broadcast((_slot_matrix(held.column("slots").combine_chunks()), held.column("qid").combine_chunks()))
+    kinds = dict(chunks.dtypes)["id"], dict(questions.dtypes)["qid"]
+
+    def products(batches):
+        q, qids = shared.value
+        for batch in batches:
+            if not batch.num_rows or not len(qids):
+                continue
+            exact = q @ _slot_matrix(batch.column("slots")).T
+            score = np.where(exact > 0, np.round(exact, 6), -1.0)
+            place = np.empty(batch.num_rows, np.int64)  # of equal scores the smaller id comes first
+            place[pc.sort_indices(batch.column("id")).to_numpy()] = np.arange(batch.num_rows)
+            least = np.partition(score, -k, axis=1)[:, -k] if batch.num_rows > k else np.zeros(len(score))
+            row, at = np.nonzero((score >= least[:, None]) & (exact > 0))
+            order = np.lexsort((place[at], -score[row, at], row))
+            row, at = row[order], at[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, at = row[kept], at[kept]
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(row)), batch.column("id").take(pa.array(at)), pa.array(score[row, at])], ["qid", "id", "score"])
+
+    return ranked(chunks.select("id", slot("text").alias("slots")).mapInArrow(products, f"qid {kinds[1]}, id {kinds[0]}, score double"), k)
+
+
+def _slot_matrix(slots: pa.Array) -> np.ndarray:
+    """Rows of unit length from lists of slots; a list without any is a zero row."""
+    counts = pc.list_value_length(slots).fill_null(0).to_numpy(zero_copy_only=False)
+    cells = np.repeat(np.arange(len(slots)), counts) * ASCII_HASH_SLOTS + slots.flatten().to_numpy(zero_copy_only=False)
+    m = np.bincount(cells.astype(np.int64), minlength=len(slots) * ASCII_HASH_SLOTS).reshape(len(slots), ASCII_HASH_SLOTS).astype(np.float64)
+    return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
+
+
 def fuse(rankings: list[DataFrame], rrf_k: int = RRF_K) -> DataFrame:
     """Reciprocal-rank fusion: the sum of 1 / (rrf_k + rank) over the rankings."""
     rows = None

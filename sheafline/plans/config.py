@@ -10,13 +10,12 @@ from dataclasses import dataclass, field
 from .split_plan import parse
 
 EMBEDDERS = ("ascii-hash", "token-hash", "char-hash")
-GROUPINGS = ("", "label-prop", "kmeans", "metadata", "louvain", "agglomerative")
+GROUPINGS = ("", "label-prop", "kmeans", "raptor", "metadata")
 GRAPHS = ("hybrid", "knn", "lexical")
 RETRIEVERS = ("hybrid-rrf", "dense", "bm25")
 RERANKERS = ("none", "lexical", "recency", "agentic", "cross-encoder", "llm")
 SCOPES = ("mixed", "leaves", "summaries", "drill-down")
-#: Fields of an index that nothing applies to documents; only their defaults are accepted.
-UNBUILT_INDEX = ("split_plan", "chunk_chars", "overlap", "part_join", "part_prefix", "contextual", "hierarchy", "graph_source", "graph_knn", "granularity", "hierarchy_levels", "min_group")
+SUMMARISERS = ("centroid", "lead-idf", "mmr", "card")
 
 
 def canonical(value) -> str:
@@ -44,6 +43,7 @@ class IndexConfig:
     granularity: float = 1.0
     hierarchy_levels: int = 1
     min_group: int = 3
+    summarizer: str = "centroid"
 
     def problems(self) -> list[str]:
         out = []
@@ -55,14 +55,15 @@ class IndexConfig:
             out.append("chunk_chars must be positive")
         if self.overlap < 0:
             out.append("overlap must not be negative")
-        for name, allowed in (("embedder", EMBEDDERS), ("hierarchy", GROUPINGS), ("graph_source", GRAPHS)):
+        for name, allowed in (("embedder", EMBEDDERS), ("hierarchy", GROUPINGS), ("graph_source", GRAPHS), ("summarizer", SUMMARISERS)):
             if getattr(self, name) not in allowed:
                 out.append(f"{name} is unknown or not available here: {getattr(self, name)!r}")
-        # no code applies these to documents; see README, Not built
-        default = IndexConfig()
-        for name in UNBUILT_INDEX:
-            if getattr(self, name) != getattr(default, name):
-                out.append(f"{name} is not applied to documents here: {getattr(self, name)!r}")
+        if self.hierarchy_levels < 1 or self.min_group < 1 or self.graph_knn < 1:
+            out.append("hierarchy_levels, min_group and graph_knn must be positive")
+        if self.hierarchy == "metadata" and self.hierarchy_levels > 1:
+            out.append("metadata groups have one level")
+        if self.granularity <= 0:
+            out.append("granularity must be positive")
         return out
 
     def effective(self) -> dict:
@@ -74,15 +75,13 @@ class IndexConfig:
                 del kept[name]
         gone = set()
         if not self.hierarchy:
-            gone |= {"graph_source", "graph_knn", "granularity", "hierarchy_levels", "min_group"}
-        elif self.hierarchy not in ("label-prop", "louvain"):
+            gone |= {"graph_source", "graph_knn", "granularity", "hierarchy_levels", "min_group", "summarizer"}
+        elif self.hierarchy != "label-prop":
             gone |= {"graph_source", "graph_knn"}
         if self.graph_source == "lexical":
             gone.add("graph_knn")
         if self.hierarchy in ("label-prop", "metadata"):
             gone.add("granularity")
-        if self.hierarchy in ("kmeans", "metadata"):
-            gone.add("hierarchy_levels")
         return {k: v for k, v in kept.items() if k not in gone}
 
     def fingerprint(self) -> str:
@@ -125,5 +124,5 @@ class RetrievalConfig:
         return out
 
 
-#: A configuration for daily use; its index is refused by problems() as long as split plans are not applied.
+#: A configuration for daily use.
 PRODUCTION = (IndexConfig(split_plan="document / part over-budget"), RetrievalConfig(grade_threshold=0.4))

@@ -69,12 +69,12 @@ def test_fingerprints_ignore_what_has_no_effect():
     "config",
     [
         IndexConfig(embedder="transformer"),
-        IndexConfig(split_plan="document / part over-budget"),
-        IndexConfig(hierarchy="louvain", hierarchy_levels=2),
-        IndexConfig(contextual=False),
-        IndexConfig(chunk_chars=900),
+        IndexConfig(hierarchy="leiden"),
+        IndexConfig(hierarchy="metadata", hierarchy_levels=2),
+        IndexConfig(hierarchy="kmeans", summarizer="llm"),
+        IndexConfig(split_plan="part / nothing"),
         RetrievalConfig(summary_scope="drill-down"),
-        RetrievalConfig(summary_boost=1.5),
+        RetrievalConfig(summary_boost=2.0),
         RetrievalConfig(summary_levels=(1,)),
     ],
 )
@@ -253,56 +253,6 @@ def test_replies(spark):
     assert row.g == {1: 0.7, 2: 1.0} and row.v.supported is True and row.m == "It was 15 days"
 
 
-def test_label_propagation_and_louvain(spark):
-    edges = [(a, b, 1.0) for g in (range(0, 4), range(10, 14)) for a in g for b in g if a < b] + [(3, 10, 0.1)]
-    df = spark.createDataFrame(edges, "a int, b int, weight double")
-    labels = {r.id: r.label for r in hierarchy.label_propagation(df, 4).collect()}
-    assert len({labels[i] for i in range(4)}) == 1 and len({labels[i] for i in range(10, 14)}) == 1 and labels[0] != labels[10]
-    found = hierarchy.louvain([*range(4), *range(10, 14)], edges)
-    assert len({found[i] for i in range(4)}) == 1 and found[0] != found[10]
-    m = hierarchy.modularity(df, spark.createDataFrame(list(labels.items()), "id int, label int")).first()
-    assert m.modularity > 0.4 and m.n_groups == 2
-    points = np.array([[0, 0], [0, 1], [9, 9], [9, 8]])
-    assert hierarchy.ward(points, 2).tolist() == [0, 0, 1, 1]
-
-
-def settled(edges):
-    """The labels that a plain loop ends with; None if they go round."""
-    around = {}
-    for a, b, w in edges:
-        around.setdefault(a, []).append((b, w))
-        around.setdefault(b, []).append((a, w))
-    labels, seen = {i: i for i in around}, []
-    while labels not in seen:
-        seen.append(labels)
-        new = {}
-        for i, near in around.items():
-            sums = {labels[i]: max(w for _, w in near)}
-            for j, w in near:
-                sums[labels[j]] = sums.get(labels[j], 0.0) + w
-            new[i] = max(sums, key=lambda k: (round(sums[k], 6), -k))
-        labels = new
-    return labels if labels == seen[-1] else None
-
-
-def test_label_propagation_settles(spark):
-    rng = random.Random(3)
-    chain = [(i, i + 1, 1.0) for i in range(8)]  # label 0 has eight edges to go
-    near = [(a, b, round(rng.random(), 3)) for a in range(100, 160) for b in rng.sample(range(a + 1, a + 9), 3)]
-    want = settled(chain + near)
-    got = {r.id: r.label for r in hierarchy.label_propagation(spark.createDataFrame(chain + near, "a int, b int, weight double")).collect()}
-    assert got == want and {got[i] for i in range(9)} == {0}
-    with pytest.raises(ValueError, match="still change"):
-        hierarchy.label_propagation(spark.createDataFrame(chain, "a int, b int, weight double"), 3)
-
-
-def test_label_propagation_that_goes_round_raises(spark):
-    edges = [(a, b, 1.0) for a, b in [(0, 1), (0, 3), (1, 2), (1, 4), (1, 5), (2, 3), (2, 5), (3, 4), (3, 5), (4, 5)]]
-    assert settled(edges) is None
-    with pytest.raises(ValueError, match="go round"):
-        hierarchy.label_propagation(spark.createDataFrame(edges, "a int, b int, weight double"))
-
-
 def test_leaf_documents_and_sentences(spark):
     sums = spark.createDataFrame([("s1", ["c1", "c2"]), ("s2", ["c3"]), ("t", ["s1", "s2"])], "id string, member_ids array<string>")
     leaves = spark.createDataFrame([("c1", 1), ("c2", 1), ("c3", 2)], "id string, doc int")
@@ -338,9 +288,6 @@ def test_drift_and_separators(spark):
     df = spark.createDataFrame(rows, "doc_id int, part_idx int, text string, vec array<double>")
     got = sorted((r.doc_id, r.text) for r in chunking.drift_chunks(df, 500, 0.2).collect())
     assert got == [(1, "t0\nt1"), (1, "t2\nt3"), (2, "a\nb")]
-    assert chunking.combined_separators("a--b-=-c", ["-", "="], together=True) == ["a--b-=-c"]
-    assert chunking.combined_separators("a--b-c--d", ["-", "--"], together=True) == ["a", "b-c", "d"]
-    assert chunking.combined_separators("a--b-c", ["-", "--"]) == ["a", "b", "c"]
 
 
 def test_nfkc(spark):
