@@ -6,6 +6,7 @@ operator's definition, not from its code.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import dates, embedders, text, vectors
-from .operators import board, chunking, dense, filters, hierarchy, index, levels, metrics, retrieve, split
-from .operators.saved import saved
+from .operators import board, chunking, dense, evidence, filters, hierarchy, index, levels, metrics, retrieve, scopes, split
+from .operators.saved import saved, step_folder
 from .plans.config import PRODUCTION, IndexConfig
+from .sources.vector_store import VectorStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,7 +114,7 @@ def _dense(t: Table) -> DataFrame:
 
 def _gold(t: Table) -> DataFrame:
     docs = t("documents").where("text is not null").select(F.col("doc_id").alias("doc"), "text")
-    return metrics.gold_pairs(docs, t("benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("quote")))
+    return evidence.gold_pairs(docs, t("benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("quote")))
 
 
 def _parts(t: Table) -> DataFrame:
@@ -248,6 +250,36 @@ def lexical_rerank(t: Table) -> DataFrame:
 _DAY = "date_add(date '2024-01-01', cast(doc_id % 365 as int))"
 
 
+_SCOPED = """ d AS (SELECT doc_id AS id, DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS day FROM documents),
+q AS (SELECT item_id AS qid, DATE '2024-01-01' + CAST(item_id * 37 % 300 AS INTEGER) AS first, DATE '2024-01-01' + CAST(item_id * 37 % 300 + 10 + item_id % 90 AS INTEGER) AS last FROM benchmark)"""
+
+
+def _dated(t: Table) -> tuple[DataFrame, DataFrame]:
+    """Documents with a day, and for every question a range of days of its own; both from ids, as the tables have no dates for them."""
+    number = lambda day: F.date_format(day, "yyyyMMdd").cast("int")
+    day = number(F.expr(_DAY))
+    facts = t("documents").select(F.col("doc_id").alias("id"), day.alias("span_from"), day.alias("span_to"), "lang", "n_chars")
+    first = F.expr("date_add(date '2024-01-01', cast(item_id * 37 % 300 as int))")
+    last = F.expr("date_add(date '2024-01-01', cast(item_id * 37 % 300 + 10 + item_id % 90 as int))")
+    return facts, t("benchmark").select(F.col("item_id").alias("qid"), number(first).alias("span_from"), number(last).alias("span_to"))
+
+
+@query(_BM25.replace("WHERE score > 0)", "JOIN d USING (id) JOIN q USING (qid) JOIN documents o ON o.doc_id = id WHERE score > 0 AND day BETWEEN first AND last AND lang IN ('en', 'de') AND n_chars >= 300)").replace("WITH tok AS", "WITH" + _SCOPED + ", tok AS") + " SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM bm25 WHERE rank <= 8")
+def scoped_bm25(t: Table) -> DataFrame:
+    """BM25 where each question has its own time scope and all have a metadata filter; the index stays that of all documents."""
+    facts, asked = _dated(t)
+    within = scopes.Within(facts, asked, {"$and": [{"lang": {"$in": ["en", "de"]}}, {"n_chars": {"$gte": 300}}]})
+    return retrieve.bm25(_asked_index(t), _questions(t), 40, within=within).where("rank <= 8")
+
+
+@query("WITH" + _SCOPED + " SELECT qid, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM q JOIN d ON day BETWEEN first AND last GROUP BY qid")
+def time_scope_pairs(t: Table) -> DataFrame:
+    """The documents in every question's time scope, by buckets of days; counted, and their ids summed."""
+    facts, asked = _dated(t)
+    pairs = scopes.overlapping(asked.withColumnRenamed("qid", "left_id"), facts.withColumnRenamed("id", "right_id"))
+    return pairs.groupBy(F.col("left_id").alias("qid")).agg(F.count("*").alias("n"), F.sum("right_id").alias("ids"))
+
+
 @query(_reranked_sql("rel * power(0.5, abs(date_diff('day', DATE '2024-01-01' + CAST(id % 365 AS INTEGER), DATE '2025-01-01')) / 180.0)"))
 def recency_rerank(t: Table) -> DataFrame:
     days = t("documents").select(F.col("doc_id").alias("id"), F.expr(_DAY).alias("day"))
@@ -339,6 +371,22 @@ def _knn(t: Table) -> DataFrame:
     return dense.cosine_top_k(t("embeddings"), t("embeddings"), 5, "vec_id", "embedding")
 
 
+@query("""WITH v AS (SELECT e.vec_id AS id, embedding AS v, label, row_number() OVER (ORDER BY e.vec_id) AS o FROM embeddings e WHERE e.vec_id % 7 <> 3),
+s AS (SELECT q.vec_id AS qid, v.id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.v AS DOUBLE[])), 6) AS score FROM embeddings q, v WHERE v.label % 2 = 1 OR v.label >= 6)
+SELECT qid, id, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM s) WHERE r <= 5""")
+def vector_store_nearest(t: Table) -> DataFrame:
+    """The embeddings kept in a store, some of them deleted and stored anew, and the nearest of every embedding under a filter."""
+    rows = t("embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").cast("array<double>").alias("vec"), "label")
+    spark = rows.sparkSession
+    store = VectorStore(spark, f"{step_folder(spark)}/vectors-{uuid.uuid4().hex}")
+    told = rows.select(F.lpad(F.col("qid").cast("string"), 18, "0").alias("id"), F.lit("").alias("text"), "vec", F.create_map(F.lit("parity"), F.when(F.col("label") % 2 == 1, "odd").otherwise("even")).alias("labels"), F.create_map(F.lit("label"), F.col("label").cast("double")).alias("numbers"))
+    store.upsert(told)
+    store.delete(told.where("cast(id as bigint) % 7 = 3").select("id"))
+    store.upsert(told.where("cast(id as bigint) % 7 = 4"))
+    found = store.nearest(rows.select("qid", "vec"), 5, {"$or": [{"parity": "odd"}, {"label": {"$gte": 6}}]})
+    return found.select("qid", F.col("id").cast("long").alias("id"), "score", "rank")
+
+
 @query(_KNN + "SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM knn")
 def knn_cosine(t: Table) -> DataFrame:
     return _knn(t)
@@ -653,6 +701,37 @@ def gold_marking(t: Table) -> DataFrame:
     return _gold(t)
 
 
+@query(r"""WITH p AS (SELECT doc_id AS id, d.text AS text, item_id, b.text AS q FROM documents d JOIN (SELECT item_id, text FROM benchmark WHERE text <> '') b ON contains(d.text, b.text)),
+f AS (SELECT id, unnest(list_filter(range(1, length(text) - length(q) + 2), lambda i: substring(text, i, length(q)) = q)) - 1 AS s, length(q) AS n FROM p),
+g AS (SELECT id, s, s + n AS e, max(s + n) OVER (PARTITION BY id ORDER BY s, s + n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f),
+h AS (SELECT *, sum(CASE WHEN s <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY s, e) AS k FROM g)
+SELECT id, CAST(min(s) AS BIGINT) AS start, CAST(max(e) AS BIGINT) AS "end" FROM h GROUP BY id, k""")
+def evidence_spans(t: Table) -> DataFrame:
+    """Where passages of the benchmark stand in documents."""
+    return evidence.spans(t("benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")), t("documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+_RUNS = r"""q AS (SELECT item_id, q, length(q) AS n, CAST(ceil(0.9 * length(q) - 1e-9) AS INTEGER) AS k FROM (SELECT item_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS q FROM benchmark) WHERE q <> '')"""
+
+
+@query("WITH" + _RUNS.replace("q AS", " q AS", 1) + r""", d AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM documents)
+SELECT item_id AS quote_id, doc_id AS id, contains(t, q) AS exact FROM q, d WHERE contains(t, q) OR len(list_filter(range(1, n - k + 2), lambda i: contains(t, substring(q, i, k)))) > 0""")
+def evidence_runs(t: Table) -> DataFrame:
+    """The documents that hold nine tenths of a benchmark passage in one run."""
+    return evidence.find_quotes(t("benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")), t("documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+@query(_BM25 + "," + _RUNS + r""", c AS (SELECT qid, trim(regexp_replace(string_agg(coalesce(text, ''), ' ' ORDER BY rank), '\s+', ' ', 'g')) AS t FROM bm25 JOIN documents ON doc_id = id WHERE rank <= 8 GROUP BY qid),
+h AS (SELECT item_id, CASE WHEN contains(t, q) OR length(t) >= n AND len(list_filter(range(1, n - k + 2), lambda i: contains(t, substring(q, i, k)))) > 0 THEN 1.0 ELSE 0.0 END AS hit FROM q LEFT JOIN c ON c.qid = item_id WHERE item_id % 3 <> 0)
+SELECT item_id AS qid, CAST(round(hit, 6) AS DOUBLE) AS quote_recall FROM (SELECT DISTINCT item_id FROM benchmark) LEFT JOIN h USING (item_id)""")
+def text_quote_recall(t: Table) -> DataFrame:
+    """Quote recall on the texts of eight contexts; a third of the passages count as paraphrases."""
+    texts = t("documents").select(F.col("doc_id").alias("id"), "text")
+    contexts = _bm25(t).where("rank <= 8").join(texts, "id").select("qid", "rank", "text")
+    quotes = t("benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("quote"), F.when(F.col("item_id") % 3 == 0, "paraphrase").otherwise("verbatim").alias("fidelity"))
+    return evidence.text_recall(quotes, contexts)
+
+
 _METRICS = _BM25 + "," + _GOLD + """, g AS (SELECT DISTINCT qid, doc FROM gold), ng AS (SELECT qid, count(*) AS n_gold FROM g GROUP BY qid),
 m AS (SELECT b.qid, b.rank, CASE WHEN g.doc IS NULL THEN 0 ELSE 1 END AS good FROM bm25 b LEFT JOIN g ON g.qid = b.qid AND g.doc = b.id),
 per AS (SELECT qid, sum(good) FILTER (rank <= 8) AS found, count(*) FILTER (rank <= 8) AS given, max(good / rank) AS mrr, sum(good / log2(rank + 1)) FILTER (rank <= 8) AS dcg FROM m GROUP BY qid),

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.embedders import EMBEDDERS
 from ..plans.config import RetrievalConfig
-from . import metrics, retrieve
+from . import levels, metrics, retrieve, scopes
 from .index import Index
 
 
 @dataclass
 class Corpus:
-    """chunks (id, text) with their index; slots (id, slot, weight) of the hash embedding named by embedder; facts (id, day, importance) if rerankers need them."""
+    """chunks (id, text) with their index; slots (id, slot, weight) of the hash embedding named by embedder; facts (id; day, importance for rerankers; span_from, span_to, layer, level and labels for scopes) and members (summary, id) of summary rows, if they are needed."""
 
     chunks: DataFrame
     index: Index
@@ -24,21 +26,34 @@ class Corpus:
     facts: DataFrame | None = None
     vectors: DataFrame | None = None
     embedder: str = "ascii-hash"
+    members: DataFrame | None = None
 
 
-def retrieve_all(corpus: Corpus, questions: DataFrame, config: RetrievalConfig, anchor: Column | None = None) -> DataFrame:
-    """(qid, id, score, rank): the contexts of every question (qid, question) under the configuration."""
+def retrieve_all(corpus: Corpus, questions: DataFrame, config: RetrievalConfig, anchor: Column | None = None, where: dict | None = None, asked_on: dt.date | None = None) -> DataFrame:
+    """(qid, id, rank): the contexts of every question (qid, question) under the configuration.
+
+    where: a metadata filter on the columns of corpus.facts. With config.time_filter, a question that speaks of a
+    time finds rows of that time alone; it counts from its asked_at (a column of questions) or, for all, from asked_on. With the
+    scope ``drill-down``, summaries are found and each is followed by its best covered members.
+    """
     if config.problems():
         raise ValueError("; ".join(config.problems()))
+    within = None
+    plain = config.summary_scope == "mixed" and not config.summary_levels
+    if where or config.time_filter or not plain:
+        timed = scopes.question_scopes(questions, asked_on) if config.time_filter else None
+        within = scopes.Within(corpus.facts, timed, where, config.summary_scope, config.summary_levels)
     rankings = []
     if config.retriever != "bm25":
         embed = EMBEDDERS[corpus.embedder]
         slots = corpus.slots if corpus.slots is not None else embed(corpus.chunks, "id", "text")
         asked = embed(questions.withColumnRenamed("question", "text"), "qid", "text")
-        rankings.append(retrieve.sparse_dense(slots, asked, config.candidates))
+        rankings.append(retrieve.sparse_dense(slots, asked, config.candidates, within))
     if config.retriever != "dense":
-        rankings.append(retrieve.bm25(corpus.index, questions, config.candidates, config.multi_query))
+        rankings.append(retrieve.bm25(corpus.index, questions, config.candidates, config.multi_query, within))
     found = retrieve.fuse(rankings, config.rrf_k) if len(rankings) > 1 else rankings[0]
+    if config.summary_boost != 1:
+        found = retrieve.boosted(found, corpus.facts.select("id", "layer"), config.summary_boost).drop("layer")
     found = found.where(F.col("rank") <= max(config.rerank_depth, config.k))
     cover = None
     if config.reranker == "lexical" or config.grade_threshold > 0:
@@ -56,6 +71,13 @@ def retrieve_all(corpus: Corpus, questions: DataFrame, config: RetrievalConfig,
     found = found.where(F.col("rank") <= config.k)
     if config.grade_threshold > 0:
         found = retrieve.gate(found, cover.withColumnRenamed("coverage", "grade"), config.grade_threshold)
+    if config.summary_scope == "drill-down":
+        below = corpus.members.withColumnRenamed("summary", "up").join(found.select("qid", F.col("id").alias("up")), "up").select("qid", "id").distinct()
+        opened = levels.drill(found.select("qid", "id", "rank"), corpus.members, retrieve.idf_coverage(corpus.index, questions, below), config.k)
+        # a row that several summaries lead to counts where it comes first
+        first = opened.groupBy("qid", "id").agg(F.min(F.struct("rank", "depth", F.coalesce("expanded_from", F.lit("")).alias("up"), "place")).alias("at"))
+        order = W.partitionBy("qid").orderBy("at.rank", "at.depth", "at.up", "at.place", "id")
+        found = first.withColumn("rank", F.row_number().over(order)).select("qid", "id", "rank")
     sizes = corpus.chunks.select("id", F.length("text").alias("size"))
     return retrieve.fit_budget(found.select("qid", "id", "rank"), sizes, config.max_context_chars)
 

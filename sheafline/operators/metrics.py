@@ -7,19 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .sizes import small
-
-
-def gold_pairs(docs: DataFrame, quotes: DataFrame) -> DataFrame:
-    """(qid, doc): documents that contain a quote or are contained in it, after white space is normalised; empty texts mark nothing.
-
-    docs: (doc, text); quotes: (qid, quote). The quotes are the smaller side; each
-    document is compared with all of them as it is read.
-    """
-    norm = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    left = docs.select("doc", norm("text").alias("t")).where("t <> ''")
-    right = small(quotes.select("qid", norm("quote").alias("q")).where("q <> ''"))
-    return left.join(right, F.expr("contains(t, q) or contains(q, t)")).select("qid", "doc").distinct()
 
 
 def retrieval_metrics(ranking: DataFrame, gold: DataFrame, k: int) -> DataFrame:

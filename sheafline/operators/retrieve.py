@@ -17,6 +17,7 @@ from ..functions.dates import age_days, decay
 from ..functions.text import INTERROGATIVES, ascii_tokens, query_variants, tokens
 from ..functions.vectors import ASCII_HASH_SLOTS, hash_slots
 from .index import Index
+from .scopes import Within
 from .sizes import small
 
 K1, B = 1.5, 0.75
@@ -44,8 +45,8 @@ def wanted_terms(questions: DataFrame) -> DataFrame:
     return query_terms(questions).select("token").unionByName(query_terms(questions, variants=True).select("token")).distinct()
 
 
-def bm25(index: Index, questions: DataFrame, k: int = 40, variants: bool = False) -> DataFrame:
-    """The k best of each question by BM25, of scores above 0; with variants, a chunk's best score of any.
+def bm25(index: Index, questions: DataFrame, k: int = 40, variants: bool = False, within: Within | None = None) -> DataFrame:
+    """The k best of each question by BM25, of scores above 0; with variants, a chunk's best score of any; of the rows ``within``, if given.
 
     Only postings of the questions' tokens are scored: the terms are joined to the
     questions first, and the postings to what is left.
@@ -53,18 +54,21 @@ def bm25(index: Index, questions: DataFrame, k: int = 40, variants: bool = False
     asked = query_terms(questions, variants)
     weighted = small(asked.join(index.terms.select("token", "idf"), "token"))
     norm = F.col("tf") + K1 * (1 - B + B * F.greatest(F.col("dl"), F.lit(1)) / F.col("avg_len"))
-    hits = index.postings.join(weighted, "token").crossJoin(F.broadcast(index.stats))  # stats is one row
+    postings = within.rows(index.postings) if within else index.postings
+    hits = postings.join(weighted, "token").crossJoin(F.broadcast(index.stats))  # stats is one row
     scored = hits.groupBy("qid", "variant", "id").agg(F.sum(F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("score"))
     if variants:
         scored = scored.groupBy("qid", "id").agg(F.max("score").alias("score"))
+    scored = within.pairs(scored) if within else scored
     return ranked(scored.where("score > 0").select("qid", "id", F.round("score", 6).alias("score")), k)
 
 
-def sparse_dense(chunk_slots: DataFrame, query_slots: DataFrame, k: int = 40) -> DataFrame:
-    """The k best by the product of sparse unit vectors: (id, slot, weight) against (qid, slot, weight)."""
+def sparse_dense(chunk_slots: DataFrame, query_slots: DataFrame, k: int = 40, within: Within | None = None) -> DataFrame:
+    """The k best by the product of sparse unit vectors: (id, slot, weight) against (qid, slot, weight); of the rows ``within``, if given."""
+    chunk_slots = within.rows(chunk_slots) if within else chunk_slots
     asked = small(query_slots.select("qid", "slot", F.col("weight").alias("w")))
     scored = chunk_slots.join(asked, "slot").groupBy("qid", "id").agg(F.round(F.sum(F.col("weight") * F.col("w")), 6).alias("score"))
-    return ranked(scored, k)
+    return ranked(within.pairs(scored) if within else scored, k)
 
 
 #: Questions whose vectors are sent to every task at most.

@@ -102,6 +102,7 @@ class RetrievalConfig:
     agentic_weights: tuple[float, float, float] = (1.0, 0.3, 0.2)
     grade_threshold: float = 0.0
     max_context_chars: int = 6000
+    time_filter: bool = False
     summary_scope: str = "mixed"
     summary_boost: float = 1.0
     summary_levels: tuple[int, ...] = field(default=())
@@ -116,11 +117,8 @@ class RetrievalConfig:
                 out.append(f"{name} must be positive")
         if not 0 <= self.mmr_lambda <= 1:
             out.append("mmr_lambda must be from 0 to 1")
-        # retrieval knows no summary rows; see README, Not built
-        default = RetrievalConfig()
-        for name in ("summary_scope", "summary_boost", "summary_levels"):
-            if getattr(self, name) != getattr(default, name):
-                out.append(f"{name} is not available here: {getattr(self, name)!r}")
+        if self.summary_boost <= 0 or any(x < 1 for x in self.summary_levels):
+            out.append("summary_boost and summary_levels must be positive")
         return out
 
 

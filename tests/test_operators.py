@@ -73,9 +73,9 @@ def test_fingerprints_ignore_what_has_no_effect():
         IndexConfig(hierarchy="metadata", hierarchy_levels=2),
         IndexConfig(hierarchy="kmeans", summarizer="llm"),
         IndexConfig(split_plan="part / nothing"),
-        RetrievalConfig(summary_scope="drill-down"),
-        RetrievalConfig(summary_boost=2.0),
-        RetrievalConfig(summary_levels=(1,)),
+        RetrievalConfig(summary_scope="none"),
+        RetrievalConfig(summary_boost=0.0),
+        RetrievalConfig(summary_levels=(0,)),
     ],
 )
 def test_what_is_not_built_is_refused(config):

@@ -140,7 +140,7 @@ def test_plans_against_a_loop(spark, monkeypatch, talks, plan):
     for d, parts in talks.items():
         if plan == "part":
             line = [f"{labels['role'] or ''}: {t}" if prefix else t for t, labels in parts]
-            want[d] = [(i, i, x) for i, t in enumerate(line) for x in ([t] if len(t) <= budget else chunking.windows(t, budget, overlap))]
+            want[d] = [(i, i, x) for i, t in enumerate(line) for x in ([t] if len(t) <= budget else chunking.windows(t, budget, overlap) if overlap else chunking.pack_words(t, budget))]
         else:
             want[d] = loop(parts, plan, budget, overlap, prefix=prefix)
     assert got == {d: x for d, x in want.items() if x}
