@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .functions import dates, embedders, text, vectors
-from .operators import board, chunking, dense, evidence, filters, hierarchy, index, levels, metrics, retrieve, scopes, split
+from .functions import dates, embedders, persian, text, vectors
+from .operators import board, chunking, dense, evidence, filters, hierarchy, index, levels, metrics, probe, retrieve, scopes, split
 from .operators.saved import saved, step_folder
 from .plans.config import PRODUCTION, IndexConfig
 from .sources.vector_store import VectorStore
@@ -371,6 +371,27 @@ def _knn(t: Table) -> DataFrame:
     return dense.cosine_top_k(t("embeddings"), t("embeddings"), 5, "vec_id", "embedding")
 
 
+@query("""WITH p AS (SELECT a.vec_id // 2 AS i, CAST(a.embedding AS DOUBLE[]) AS a, CAST(b.embedding AS DOUBLE[]) AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0),
+pool AS (SELECT i, 0 AS side, a AS v FROM p UNION ALL SELECT i, 1, b FROM p),
+near AS (SELECT q.i, q.side, o.i AS oi, o.side AS os, row_number() OVER (PARTITION BY q.i, q.side ORDER BY round(list_cosine_similarity(q.v, o.v), 9) DESC, o.side, o.i) AS r FROM pool q JOIN pool o ON q.i <> o.i OR q.side <> o.side),
+own AS (SELECT count(*) AS n, avg(list_cosine_similarity(a, b)) AS pm, min(list_cosine_similarity(a, b)) AS pi FROM p),
+other AS (SELECT avg(list_cosine_similarity(x.a, y.b)) AS om, max(list_cosine_similarity(x.a, y.b)) AS ox FROM p x JOIN p y ON x.i <> y.i),
+w AS (SELECT count(*) FILTER (side = 0 AND os = 1 AND oi = i) AS aw, count(*) FILTER (side = 1 AND os = 0 AND oi = i) AS bw FROM near WHERE r = 1)
+SELECT n, round(pm, 4) AS pair_mean, round(pi, 4) AS pair_min, round(om, 4) AS other_mean, round(ox, 4) AS other_max, aw AS a_wins, bw AS b_wins,
+  CASE WHEN aw = n AND bw = n AND pm - om >= 0.3 THEN 'aligned' ELSE 'weak or no alignment' END AS verdict FROM own, other, w""")
+def bilingual_probe(t: Table) -> DataFrame:
+    """Vectors of even and next odd ids as the two languages of a pair."""
+    rows = t("embeddings")
+    odd = rows.where("vec_id % 2 = 1").select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    return probe.bilingual(rows.where("vec_id % 2 = 0").join(odd, "vec_id").select(F.floor(F.col("vec_id") / 2).alias("pair_id"), F.col("embedding").alias("a"), "b"))
+
+
+@query(f"SELECT doc_id, CAST(len(t) AS INTEGER) AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents)")
+def persian_tokens(t: Table) -> DataFrame:
+    """Persian tokens of every document; in texts of other scripts they are the neutral ones."""
+    return t("documents").select("doc_id", persian.tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
+
+
 @query("""WITH v AS (SELECT e.vec_id AS id, embedding AS v, label, row_number() OVER (ORDER BY e.vec_id) AS o FROM embeddings e WHERE e.vec_id % 7 <> 3),
 s AS (SELECT q.vec_id AS qid, v.id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.v AS DOUBLE[])), 6) AS score FROM embeddings q, v WHERE v.label % 2 = 1 OR v.label >= 6)
 SELECT qid, id, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM s) WHERE r <= 5""")
