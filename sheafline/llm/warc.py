@@ -6,6 +6,9 @@ Filters on header columns are pushed down: a record's header is parsed first, an
 the payload of a record that fails them, or that the query does not ask for
 (option ``payload`` false), is skipped by its length without being decoded.
 
+Values are taken as they stand, in UTF-8 or else Latin-1; of records that hold an HTTP
+message the payload is what follows its head, and payload_length is its size.
+
 Writing gives each task its own files, with names of their own for every attempt;
 a manifest that the driver writes at the end names those that count, so what a
 lost or repeated attempt has left is never read. Paths are opened by pyarrow, so
@@ -20,6 +23,7 @@ import json
 import os
 import posixpath
 import re
+import urllib.parse
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -168,21 +172,28 @@ class WarcReader(DataSourceReader):
             if not line.startswith(b"WARC/"):
                 raise ValueError(f"no record starts at {source.at - len(line)}")
             row: dict = dict.fromkeys(HEADERS)
-            size = 0
+            size, told = 0, {}
             while line := source.line():
-                key, _, value = line.decode("utf-8").partition(":")
-                key, value = key.strip().lower(), value.strip()
-                if key == "content-length":
-                    size = int(value)
-                elif key in _COLUMNS:
-                    row[_COLUMNS[key]] = _opened(value)
+                key, _, value = _decoded(line).partition(":")
+                told[key.strip().lower()] = value.strip()
+            size = int(told.get("content-length", 0))
+            escaped = told.get(ESCAPED.lower(), "").split(",")
+            for key in _COLUMNS.keys() & told.keys():
+                row[_COLUMNS[key]] = _opened(told[key]) if key in escaped else told[key]
             if row["payload_length"] is not None:
                 row["payload_length"] = int(row["payload_length"])
             if not all(_meets(x, row) for x in self.filters):
                 source.skip(size)
                 continue
             row["payload"] = None
-            if want and row["record_type"] != "revisit":
+            if told.get("content-type", "").lower().startswith("application/http"):
+                # other writers keep the head of the HTTP message before the payload
+                body = source.take(size)
+                head = body.find(b"\r\n\r\n") + 4 if b"\r\n\r\n" in body else 0
+                if row["record_type"] != "revisit":
+                    row["payload_length"] = size - head
+                    row["payload"] = body[head:] if want else None
+            elif want and row["record_type"] != "revisit":
                 row["payload"] = source.take(size)
             else:
                 source.skip(size)
@@ -254,14 +265,30 @@ def _meets(f, row: dict) -> bool:
     return value.endswith(f.value) if isinstance(f, StringEndsWith) else f.value in value
 
 
+#: An own header: which headers of the record have values in per cent codes. All others are taken as they stand.
+ESCAPED = "X-Escaped"
+
+
+def _decoded(line: bytes) -> str:
+    """A header line in UTF-8, or in Latin-1 if it is not."""
+    try:
+        return line.decode()
+    except UnicodeDecodeError:
+        return line.decode("latin-1")
+
+
+def _needs_codes(value: str) -> bool:
+    """Whether a value cannot stand on a header line as it is: line ends, outer blanks, nothing at all."""
+    return not value or value != value.strip() or "\r" in value or "\n" in value
+
+
 def _closed(value: str) -> str:
-    """A value on one header line: line ends, per cents and outer blanks as per cent codes."""
-    value = value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
-    return value.replace(" ", "%20") if value != value.strip() or not value else value
+    """A value on one header line: line ends, per cents and blanks as per cent codes; for headers that ESCAPED names."""
+    return re.sub(r"[\s%]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), value) or "%"
 
 
 def _opened(value: str) -> str:
-    return value.replace("%20", " ").replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+    return "" if value == "%" else urllib.parse.unquote(value)
 
 
 @dataclass
@@ -290,11 +317,16 @@ class WarcWriter(DataSourceArrowWriter):
                             files.append((name, size))
                         name, size = f"part-{uuid.uuid4().hex}.warc", 0
                         out = fs.open_output_stream(posixpath.join(root, name))
-                    head = ["WARC/1.1"]
+                    head, escaped = ["WARC/1.1"], []
                     for column, key in HEADERS.items():
                         if column in columns and columns[column][i].is_valid:
                             value = columns[column][i].as_py()
-                            head.append(f"{key}: {_closed(value) if isinstance(value, str) else value}")
+                            if isinstance(value, str) and _needs_codes(value):
+                                value = _closed(value)
+                                escaped.append(key.lower())
+                            head.append(f"{key}: {value}")
+                    if escaped:
+                        head.append(f"{ESCAPED}: {','.join(escaped)}")
                     if "record_date" not in columns or not columns["record_date"][i].is_valid:
                         head.append(f"WARC-Date: {self.date}")
                     if "record_type" in columns and columns["record_type"][i].as_py() == "revisit":
@@ -359,7 +391,8 @@ def records_of_pages(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     The payload is the html in UTF-8, a null one empty. Of pages with equal payloads
     of at least ``least_bytes``, that of the smallest id is a response, as are all
     rows of this id; others are revisits that refer to it and have no payload of
-    their own. Pages without an id are responses. A null url gives no target. Extra
+    their own. Pages without an id are responses, each with a record id of its own; rows
+    that repeat an id repeat its record id. A null url gives no target. Extra
     columns are left out.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
@@ -373,7 +406,8 @@ def records_of_pages(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     later = Scratch(pages.sparkSession, "revisits").save(later)
     doubtful, sure = Membership(later, "page_id").split(base, "page_id")
     told = sure.withColumn("first", F.lit(None).cast("long")).unionByName(doubtful.join(later, ["page_id", "digest"], "left"))
-    name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
+    # a page without an id has a record id that no other has
+    name = lambda c: F.coalesce(F.concat(F.lit("<urn:page:"), F.col(c).cast("string"), F.lit(">")), F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">")))
     again = F.col("first").isNotNull()
     return told.select(
         name("page_id").alias("record_id"),
