@@ -173,12 +173,15 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
     by_length = W.partitionBy("dim").orderBy(F.desc("longest"), "bucket", "part")
     ahead = F.coalesce(F.sum("many").over(by_length.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     listed = blocks.select("dim", "bucket", "part", "longest", "many").withColumn("first", ahead <= k)
-    listed = scratch.save(listed.select("dim", "bucket", "part", "first"))
+    listed = scratch.save(listed.select("dim", "bucket", "part", "longest", "first"))
 
     def searched(questions: DataFrame, first: bool) -> DataFrame:
-        # every block of queries goes to every block of vectors of its dimension
-        targets = listed.where(F.col("first") == first).select("dim", "bucket", "part")
+        # a block of queries goes to the blocks of vectors of its dimension that are long enough for one of its thresholds
+        targets = listed.where(F.col("first") == first).select("dim", "bucket", "part", F.col("longest").alias("reached"))
         sent = questions.join(targets, "dim")
+        if not first:
+            sent = sent.where("reached >= asks")
+        sent = sent.drop("reached", "asks")
         pairs = sent.join(blocks, ["dim", "bucket", "part"])
         found = pairs.select("dim", "qids", "q", "least", "ids", "v", "longest").mapInArrow(_search(k), "query_id long, id long, score long")
         return _kept(found, k)
@@ -192,7 +195,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
     owners = owners.join(F.broadcast(parts), "dim").withColumn("qpart", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
     told = owners.join(kth, "query_id", "left").select("dim", "qpart", "query_id", "kth")
     thresholds = told.groupBy("dim", "qpart").agg(F.collect_list(F.struct("query_id", "kth")).alias("t"))  # a block's queries at most
-    bounded = spread.join(thresholds, ["dim", "qpart"]).mapInArrow(_bounded, "dim int, qids binary, q binary, least binary")
+    bounded = spread.join(thresholds, ["dim", "qpart"]).mapInArrow(_bounded, "dim int, qids binary, q binary, least binary, asks double")
     two = searched(bounded, False)
     both = one.select("query_id", "id", "score").unionByName(two.select("query_id", "id", "score"))
     return _kept(both, k).select("query_id", "rank", "id", "score")
@@ -204,13 +207,22 @@ def _lowest(ids: str):
 
 
 def _bounded(batches):
+    """Blocks of queries with their thresholds, and the length below which no vector can reach one of them."""
     for batch in batches:
-        least = []
+        least, asks = [], []
         for r in range(batch.num_rows):
             ids = np.frombuffer(batch.column("qids")[r].as_buffer(), "<i8")
+            q = np.frombuffer(batch.column("q")[r].as_buffer(), "<i8").reshape(len(ids), -1).astype(np.float64)
             known = {x["query_id"]: x["kth"] for x in batch.column("t")[r].as_py() if x["kth"] is not None}
-            least.append(np.array([known.get(i, -(1 << 62)) for i in ids.tolist()], "<i8").tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("dim"), batch.column("qids"), batch.column("q"), pa.array(least, pa.binary())], ["dim", "qids", "q", "least"])
+            own = np.array([known.get(i, -(1 << 62)) for i in ids.tolist()], "<i8")
+            least.append(own.tobytes())
+            # as _search() has it: least <= length of the query * longest, with slack; a zero query reaches 0 with any vector
+            size = np.sqrt((q**2).sum(axis=1)) * (1 + 1e-9)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                need = np.where(size > 0, (own - 1e-9) / size * (1 - 1e-9), np.where(own <= 0, -np.inf, np.inf))
+            need = np.where(own <= 0, -np.inf, need)
+            asks.append(float(need.min(initial=np.inf)))
+        yield pa.RecordBatch.from_arrays([batch.column("dim"), batch.column("qids"), batch.column("q"), pa.array(least, pa.binary()), pa.array(asks, pa.float64())], ["dim", "qids", "q", "least", "asks"])
 
 
 def _kept(found: DataFrame, k: int) -> DataFrame:
