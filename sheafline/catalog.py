@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import dates, embedders, persian, text, vectors
-from .operators import board, chunking, dense, evidence, filters, hierarchy, index, levels, metrics, probe, retrieve, scopes, split
+from .operators import board, chunking, dense, evidence, filters, hierarchy, index, levels, metrics, probe, retrieve, scopes, split, stored_index
 from .operators.saved import saved, step_folder
 from .plans.config import PRODUCTION, IndexConfig
 from .sources.vector_store import VectorStore
@@ -250,6 +250,14 @@ def lexical_rerank(t: Table) -> DataFrame:
 _DAY = "date_add(date '2024-01-01', cast(doc_id % 365 as int))"
 
 
+@query(_BM25 + " SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM bm25 WHERE rank <= 8")
+def stored_bm25(t: Table) -> DataFrame:
+    """BM25 on an index in the shared folder, which the first call for these documents builds."""
+    docs = t("documents").select(F.col("doc_id").alias("id"), "text")
+    held = stored_index.stored(docs.sparkSession, docs, {"columns": ["doc_id", "text"]})
+    return held.search(_questions(t), 40).where("rank <= 8")
+
+
 _SCOPED = """ d AS (SELECT doc_id AS id, DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS day FROM documents),
 q AS (SELECT item_id AS qid, DATE '2024-01-01' + CAST(item_id * 37 % 300 AS INTEGER) AS first, DATE '2024-01-01' + CAST(item_id * 37 % 300 + 10 + item_id % 90 AS INTEGER) AS last FROM benchmark)"""
 
@@ -587,12 +595,31 @@ def separator_chunks(t: Table) -> DataFrame:
     return chunking.separator_chunks(t("documents"), [". ", "\n"])
 
 
-@query()
+def _packed_sql(size: int) -> str:
+    """long (doc_id, s, e, path, text) packed greedily: packed (the same columns, k, text)."""
+    return f"""
+words AS (SELECT doc_id, s, e, path, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM (SELECT *, regexp_extract_all(text, '\\S+') AS w FROM long)),
+lined AS (SELECT doc_id, s, e, path, list(word ORDER BY i) AS w, list(upto ORDER BY i) AS ends FROM (
+  SELECT *, sum(length(word) + 1) OVER (PARTITION BY doc_id, s, path ORDER BY i) AS upto FROM words) GROUP BY ALL),
+lines AS (
+  SELECT doc_id, s, e, path, w, ends, 0 AS k, 1 AS i, greatest(1, len(list_filter(ends, lambda x: x - 1 <= {size}))) AS j FROM lined
+  UNION ALL SELECT doc_id, s, e, path, w, ends, k + 1, j + 1, greatest(j + 1, len(list_filter(ends, lambda x: x - ends[j] - 1 <= {size}))) FROM lines WHERE j < len(w)),
+packed AS (SELECT doc_id, s, e, path, k, array_to_string(w[i:j], ' ') AS text FROM lines)"""
+
+
+@query(f"""WITH RECURSIVE long AS (SELECT doc_id, 0 AS s, 0 AS e, 0 AS path, coalesce(text, '') AS text FROM documents),{_packed_sql(500)}
+SELECT doc_id, CAST(k AS INTEGER) AS chunk_idx, text FROM packed""")
 def word_pack_chunks(t: Table) -> DataFrame:
     return chunking.budget_chunks(t("documents"), 500)
 
 
-@query()
+@query(r"""WITH RECURSIVE words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '\S+') AS w FROM documents)),
+lined AS (SELECT doc_id, list(word ORDER BY i) AS w, list(upto ORDER BY i) AS ends FROM (SELECT *, sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM words) GROUP BY ALL),
+lines AS (
+  SELECT doc_id, w, ends, 0 AS k, 1 AS i, greatest(1, len(list_filter(ends, lambda x: x - 1 <= 500))) AS j FROM lined
+  UNION ALL SELECT doc_id, w, ends, k + 1, n, greatest(n, len(list_filter(ends, lambda x: x - coalesce(ends[n - 1], 0) - 1 <= 500))) FROM (
+    SELECT *, greatest(i + 1, least(j, 1 + len(list_filter(ends, lambda x: x < coalesce(ends[i - 1], 0) + 400)))) AS n FROM lines WHERE j < len(w)))
+SELECT doc_id, CAST(k AS INTEGER) AS chunk_idx, array_to_string(w[i:j], ' ') AS text FROM lines""")
 def sliding_windows(t: Table) -> DataFrame:
     return chunking.window_chunks(t("documents"), 500, 100)
 
@@ -607,18 +634,6 @@ def drift_chunks(t: Table) -> DataFrame:
     return chunking.drift_chunks(parts.join(vec, ["doc_id", "part_idx"], "left"))
 
 
-def _packed_sql(size: int) -> str:
-    """long (doc_id, s, e, path, text) packed greedily: packed (the same columns, k, text)."""
-    return f"""
-words AS (SELECT doc_id, s, e, path, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM (SELECT *, regexp_extract_all(text, '\\S+') AS w FROM long)),
-lined AS (SELECT doc_id, s, e, path, list(word ORDER BY i) AS w, list(upto ORDER BY i) AS ends FROM (
-  SELECT *, sum(length(word) + 1) OVER (PARTITION BY doc_id, s, path ORDER BY i) AS upto FROM words) GROUP BY ALL),
-lines AS (
-  SELECT doc_id, s, e, path, w, ends, 0 AS k, 1 AS i, greatest(1, len(list_filter(ends, lambda x: x - 1 <= {size}))) AS j FROM lined
-  UNION ALL SELECT doc_id, s, e, path, w, ends, k + 1, j + 1, greatest(j + 1, len(list_filter(ends, lambda x: x - ends[j] - 1 <= {size}))) FROM lines WHERE j < len(w)),
-packed AS (SELECT doc_id, s, e, path, k, array_to_string(w[i:j], ' ') AS text FROM lines)"""
-
-
 @query(rf"""WITH RECURSIVE p AS (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, role, coalesce(text, '') AS text FROM conversations),
 d AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY idx) AS text, max(idx) AS last FROM p GROUP BY doc_id),
 pieces AS (

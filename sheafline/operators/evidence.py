@@ -92,7 +92,8 @@ def gold_pairs(docs: DataFrame, quotes: DataFrame) -> DataFrame:
 def spans(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     """(id, start, end long): where quotes stand in a text, in characters as written, overlapping and touching ones as one; end exclusive.
 
-    quotes: quote_id, quote; texts: id, text. Here white space is not collapsed: a span marks just these characters.
+    quotes: quote_id, quote; texts: id, text. Here white space is not collapsed: a span marks just these characters. A quote of
+    white space alone marks nothing.
     """
     pairs = candidates(quotes.select("quote_id", collapsed(F.col("quote")).alias("q")), texts.select("id", collapsed(F.col("text")).alias("t")).where("t <> ''"))
     both = texts.join(small(pairs.distinct()), "id").join(small(quotes.where("quote <> ''").select("quote_id", "quote")), "quote_id").where(F.contains("text", "quote"))

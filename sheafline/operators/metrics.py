@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -96,15 +99,53 @@ def fuzzy_quotes(pairs: DataFrame, least: float = 0.9) -> DataFrame:
     return pairs.where(plain).withColumn("found", F.lit(True)).unionByName(left)
 
 
+#: Texts of questions that are sent to every task at most, and cells of texts by questions that are counted at once.
+OVERLAP_QUESTIONS, OVERLAP_CELLS = 20_000, 1 << 22
+
+
 def largest_overlap(asked: DataFrame, told: DataFrame) -> DataFrame:
     """(item_id, overlap): the largest share of a question's distinct tokens that one of the texts has; 0 where none has any.
 
-    asked: (item_id, text), told: (text). Questions meet the texts on their tokens.
+    asked: (item_id, text), told: (text). Texts stay where they are read: each task counts the tokens
+    that its texts have of each question and sends on one number for a question. More than OVERLAP_QUESTIONS questions
+    meet the texts on their tokens, by digests.
     """
     words = lambda rows: rows.withColumn("words", F.array_distinct(tokens(F.col("text"))))
-    left = words(asked.select("item_id", "text").distinct()).select("item_id", "text", F.size("words").alias("n"), F.explode("words").alias("token"))
-    right = words(told.select("text").distinct()).select(F.col("text").alias("other"), F.explode("words").alias("token"))
-    shares = left.join(right, "token").groupBy("item_id", "text", "other").agg((F.count("*") / F.first("n")).alias("share"))
+    left = words(asked.select("item_id", "text").distinct()).where(F.size("words") > 0).select("item_id", F.sha2("text", 256).alias("asking"), "words")
+    rows = left.limit(OVERLAP_QUESTIONS + 1).toArrow()  # bounded by the limit
+    if rows.num_rows > OVERLAP_QUESTIONS:
+        many = left.select("item_id", "asking", F.size("words").alias("n"), F.explode("words").alias("token"))
+        right = words(told.select("text").distinct()).select(F.sha2("text", 256).alias("other"), F.explode("words").alias("token"))
+        shares = many.join(right, "token").groupBy("item_id", "asking", "other").agg((F.count("*") / F.first("n")).alias("share"))
+    else:
+        shared = told.sparkSession.sparkContext.broadcast((rows.column("item_id").combine_chunks(), rows.column("words").combine_chunks()))
+        kind = dict(asked.dtypes)["item_id"]
+
+        def count(batches):
+            ids, lists = shared.value
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            flat = lists.flatten()
+            known = flat.unique()
+            # the questions of every token, one after another
+            of = pc.index_in(flat, known).to_numpy(zero_copy_only=False)
+            order = np.argsort(of, kind="stable")
+            owners = np.repeat(np.arange(len(sizes)), sizes)[order]
+            first = np.searchsorted(of[order], np.arange(len(known) + 1))
+            best = np.zeros(len(sizes))
+            step = max(1, OVERLAP_CELLS // max(len(sizes), 1))
+            for batch in batches:
+                for k in range(0, batch.num_rows if len(sizes) else 0, step):
+                    part = batch.column(0).slice(k, step)
+                    row = np.repeat(np.arange(len(part)), pc.list_value_length(part).fill_null(0).to_numpy(zero_copy_only=False))
+                    token = pc.index_in(part.flatten(), known).fill_null(-1).to_numpy(zero_copy_only=False)
+                    row, token = row[token >= 0], token[token >= 0]
+                    many = first[token + 1] - first[token]
+                    at = np.repeat(first[token] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+                    cells = np.bincount(np.repeat(row, many) * len(sizes) + owners[at], minlength=len(part) * len(sizes)).reshape(len(part), len(sizes))
+                    best = np.maximum(best, (cells / sizes).max(axis=0, initial=0.0))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(best)], ["item_id", "share"])
+
+        shares = words(told.select("text")).select("words").mapInArrow(count, f"item_id {kind}, share double")
     best = shares.groupBy("item_id").agg(F.max("share").alias("share"))
     return asked.select("item_id").distinct().join(best, "item_id", "left").select("item_id", F.round(F.coalesce("share", F.lit(0.0)), 6).alias("overlap"))
 

@@ -1,14 +1,11 @@
 """A table of vectors with texts and labels that is changed by whole versions.
 
-Merge on read: a version names a base and the changes since, each a folder of Parquet rows, in a
-manifest of its own. A writer makes its folder first and then the next version's manifest, which the
-file system creates only if there is none; of two writers that started from one version the
-second is refused and has changed nothing. compact() writes a new base.
+Merge on read: a version names a base and the changes since, each a folder of Parquet rows (see
+versions). compact() writes a new base.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,16 +13,14 @@ from pyspark.sql import functions as F
 
 from ..operators import dense
 from ..operators.filters import compile_filter
+from .versions import Conflict as Conflict
+from .versions import Versions
 
 SCHEMA = "id string, text string, labels map<string,string>, numbers map<string,double>, vec array<double>, no long, version int, gone boolean"
 #: Bits of a row's number: its partition's rows, then partitions; versions are above.
 _ROWS, _PARTITIONS = 24, 20
 
 
-class Conflict(RuntimeError):
-    """Another writer has made the version that this one wanted to make."""
-
-
 class VectorStore:
     """Rows (id, text, labels, numbers, vec) by id.
 
@@ -35,37 +30,27 @@ class VectorStore:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-        self.version, self.base, self.changes = 0, [], []
-        self.refresh()
+        self.versions = Versions(spark, path)
+
+    @property
+    def version(self) -> int:
+        return self.versions.version
 
-    # ------------------------------------------------------------ manifests
+    @property
+    def base(self) -> list[str]:
+        return self.versions.told.get("base", [])
 
-    def _file(self, name: str):
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
+    @property
+    def changes(self) -> list[str]:
+        return self.versions.told.get("changes", [])
 
     def refresh(self) -> VectorStore:
-        """Reads the newest version's manifest."""
-        fs, place = self._file("versions")
-        if fs.exists(place):
-            names = [f.getPath().getName() for f in fs.listStatus(place)]
-            known = [int(n[:-5]) for n in names if n.endswith(".json")]
-            if known:
-                self.version = max(known)
-                fs, place = self._file(f"versions/{self.version:08d}.json")
-                told = json.loads(self.spark.read.text(place.toString(), wholetext=True).first().value)
-                self.base, self.changes = told["base"], told["changes"]
+        """Goes to the newest version."""
+        self.versions.refresh()
         return self
 
     def _commit(self, base: list[str], changes: list[str]) -> None:
-        fs, place = self._file(f"versions/{self.version + 1:08d}.json")
-        try:
-            out = fs.create(place, False)  # fails if it is there already
-        except Exception as e:
-            raise Conflict(f"version {self.version + 1} was made by another writer") from e
-        out.write(bytearray(json.dumps({"base": base, "changes": changes}).encode()))
-        out.close()
-        self.version, self.base, self.changes = self.version + 1, base, changes
+        self.versions.commit({"base": base, "changes": changes})
 
     # ------------------------------------------------------------ rows
 

@@ -60,7 +60,7 @@ def test_gold_and_spans(spark, told):
     for r in evidence.spans(spark.createDataFrame(list(quotes.items()), "quote_id int, quote string"), docs.withColumnRenamed("doc", "id")).collect():
         found.setdefault(r.id, set()).add((r.start, r.end))
     for d, t in texts.items():
-        marks = sorted((i, i + len(q)) for q in quotes.values() if q for i in range(len(t or "")) if (t or "").startswith(q, i))
+        marks = sorted((i, i + len(q)) for q in quotes.values() if collapse(q) for i in range(len(t or "")) if (t or "").startswith(q, i))
         merged = []
         for a, b in marks:
             if merged and a <= merged[-1][1]:

@@ -229,7 +229,9 @@ def test_fuzzy_quote_judges_whole_turns_and_all(spark, tmp_path):
     assert got == {(1, 0): False, (1, 1): True}
 
 
-def test_largest_overlap(spark):
+@pytest.mark.parametrize("most", [0, 20_000])
+def test_largest_overlap(spark, monkeypatch, most):
+    monkeypatch.setattr(metrics, "OVERLAP_QUESTIONS", most)
     asked = spark.createDataFrame([(1, "red apple red pie"), (2, "whale"), (3, "?"), (4, None)], "item_id int, text string")
     told = spark.createDataFrame([("an apple",), ("Red, red apple!",), ("pie",), (None,), ("an apple",)], "text string")
     got = metrics.largest_overlap(asked, told)
