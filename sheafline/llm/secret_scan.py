@@ -215,26 +215,70 @@ def trigrams(query) -> set[str]:
 # --- the index and its use ---
 
 
-def posting_bits(text: str, grams: list[str]) -> str:
-    """SQL array<bigint>: which of ``grams`` a text contains, one bit each, BITS to a number."""
+def posting_bits(text: str, grams: list[str], queries: list | None = None) -> str:
+    """SQL array<bigint>: which of ``grams`` a text contains, one bit each, BITS to a number.
+
+    With ``queries``, a trigram of a conjunction is looked for only in texts that have those before it there:
+    a text that lacks one is in no intersection of their lists, whether it has the others or not.
+    """
     words = []
     for k in range(0, max(len(grams), 1), BITS):
-        words.append(" | ".join(f"if(contains(t, {_literal(g)}), {1 << i}L, 0L)" for i, g in enumerate(grams[k : k + BITS])) or "0L")
+        place = {g: i for i, g in enumerate(grams[k : k + BITS])}
+        told = [_bits_of(q, place) for q in (grams if queries is None else queries) if q is not True]
+        words.append(" | ".join(x for x in told if x) or "0L")
     return f"transform(array(lower({text})), t -> array({', '.join(words)}))[0]"
 
 
+#: Letters from frequent to rare in English; what is none counts as rarer still.
+LETTERS = "etaoinshrdlcumwfgypbvkjxqz"
+
+
+def _bits_of(query, place: dict[str, int]) -> str:
+    """SQL: the bits of those of the query's trigrams that have a place; empty if none has one."""
+    if isinstance(query, str):
+        return f"if(contains(t, {_literal(query)}), {1 << place[query]}L, 0L)" if query in place else ""
+    if query[0] == "or":
+        parts = [x for x in (_bits_of(q, place) for q in query[1]) if x]
+        return f"({' | '.join(parts)})" if parts else ""
+    # plain trigrams first, the one of the rarest letters before all, each the condition of what follows
+    out = " | ".join(x for x in (_bits_of(q, place) for q in query[1] if not isinstance(q, str)) if x)
+    for g in sorted((q for q in query[1] if isinstance(q, str)), key=lambda g: (sum(LETTERS.find(c) % 27 for c in g), g)):
+        own = [f"{1 << place[g]}L"] if g in place else []
+        inside = " | ".join([*own, *([f"({out})"] if out else [])])
+        out = f"if(contains(t, {_literal(g)}), {inside}, 0L)" if inside else ""
+    return out
+
+
+def _in_order(queries: list) -> list[str]:
+    """All trigrams of the queries, those of one conjunction together."""
+    out: dict[str, None] = {}
+
+    def walk(q) -> None:
+        if isinstance(q, str):
+            out.setdefault(q)
+        elif q is not True:
+            for x in sorted(q[1], key=str):
+                walk(x)
+
+    for q in queries:
+        walk(q)
+    return list(out)
+
+
 def _text(column: str) -> str:
     return f"coalesce(cast({column} as string), '')"
 
 
-def inverted_index(docs: DataFrame, grams: list[str], scratch: Scratch, text_column: str = "text") -> DataFrame:
+def inverted_index(docs: DataFrame, grams: list[str], scratch: Scratch, text_column: str = "text", queries: list | None = None) -> DataFrame:
     """The posting lists of ``grams``: block, and postings, an array with a list of text hashes for every trigram.
 
+    With ``queries`` the lists hold what their answers depend on (see posting_bits).
+
     Texts are read once, where they lie; what is shuffled is a hash and the bits of its
     trigrams, once for all copies of a task. Blocks grow in number with the texts.
     """
     text = _text(f"`{text_column}`")
-    entries = scratch.save(docs.select(F.expr(f"xxhash64({text})").alias("text_key"), F.expr(posting_bits(text, grams)).alias("bits")).distinct())
+    entries = scratch.save(docs.select(F.expr(f"xxhash64({text})").alias("text_key"), F.expr(posting_bits(text, grams, queries)).alias("bits")).distinct())
     blocks = max(1, math.ceil(entries.count() / BLOCK_TEXTS))
     lists = ", ".join(f"transform(filter(e, x -> (x.bits[{i // BITS}] & {1 << i % BITS}L) != 0), x -> x.text_key)" for i in range(len(grams)))
     gathered = (
@@ -305,11 +349,11 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = ALL_RULES, text_column: str
     them by shuffled hashes, where Spark splits the partition of a frequent text.
     """
     queries = [trigram_query(r.pattern) for r in rules]
-    grams = sorted(set().union(*map(trigrams, queries)))
+    grams = _in_order(queries)
     rows = docs.select(F.expr(f"xxhash64({_text(f'`{text_column}`')})").alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     if grams:
         scratch = Scratch(docs.sparkSession, "trigrams")
-        asked = scratch.save(candidates(inverted_index(docs, grams, scratch, text_column), queries, grams))
+        asked = scratch.save(candidates(inverted_index(docs, grams, scratch, text_column, queries), queries, grams))
         scratch.retain(asked)
         if asked.count() * CANDIDATE_BYTES <= broadcast_bytes:
             asked = F.broadcast(asked)

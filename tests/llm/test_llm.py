@@ -92,6 +92,12 @@ def test_trigram_index(spark, monkeypatch):
     want = {k: sum(1 << i for i, q in enumerate(queries) if q is not True and holds(q, t.lower())) for t, k in key.items()}
     asked = secret_scan.candidates(index, queries, grams).collect()
     assert {r.text_key: r.rules for r in asked} == {k: m for k, m in want.items() if m} and len(asked) == len({r.text_key for r in asked})
+    # lists that hold no more than the queries need give the same answers
+    order = secret_scan._in_order(queries)
+    short = secret_scan.inverted_index(docs, order, Scratch(spark, "index"), queries=queries)
+    assert {r.text_key: r.rules for r in secret_scan.candidates(short, queries, order).collect()} == {k: m for k, m in want.items() if m}
+    held = [sorted(k for r in short.collect() for k in r.postings[i]) for i in range(len(order))]
+    assert all(set(x) <= set(lists[grams.index(g)]) for g, x in zip(order, held, strict=True)) and sum(map(len, held)) < sum(map(len, lists))
     for limit in (0, 1 << 20):
         got = secret_scan.scan(docs, broadcast_bytes=limit)
         assert got.columns == [*docs.columns, "secrets"]
