@@ -10,7 +10,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import nfkc
+from .text import nfkc, ngrams_of
 
 #: The half-space, a joiner within words.
 HALF_SPACE = "‌"
@@ -77,6 +77,4 @@ def char_ngrams(normal: Column, n: int = 4) -> Column:
     It takes the normalised text as a column of its own, since functions of array elements cannot hold nfkc().
     """
     t = F.regexp_replace(F.lower(F.replace(F.coalesce(normal, F.lit("")), F.lit(HALF_SPACE), F.lit(""))), r"\s+", " ")
-    size = F.length(t)
-    grams = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.substring(t, i, F.lit(n)))
-    return F.when(size >= n, grams).when(size > 0, F.array(t)).otherwise(F.array().cast("array<string>"))
+    return ngrams_of(t, n)

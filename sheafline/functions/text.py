@@ -49,10 +49,18 @@ def ascii_tokens(text: Column) -> Column:
 
 def char_ngrams(text: Column, n: int = 4) -> Column:
     """All sequences of n characters of the normalised lower-case text; a shorter text is its own only one."""
-    t = F.lower(normalize(F.coalesce(text, F.lit(""))))
-    size = F.length(t)
-    grams = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.substring(t, i, F.lit(n)))
-    return F.when(size >= n, grams).when(size > 0, F.array(t)).otherwise(F.array().cast("array<string>"))
+    return ngrams_of(F.lower(normalize(F.coalesce(text, F.lit("")))), n)
+
+
+def ngrams_of(text: Column, n: int) -> Column:
+    """All sequences of n characters; a shorter text is its own only one, an empty one has none. The text is made once, not for each sequence."""
+
+    def cut(t: Column) -> Column:
+        size = F.length(t)
+        grams = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.substring(t, i, F.lit(n)))
+        return F.when(size >= n, grams).when(size > 0, F.array(t)).otherwise(F.array().cast("array<string>"))
+
+    return F.transform(F.array(text), cut)[0]
 
 
 def sentences(text: Column) -> Column:

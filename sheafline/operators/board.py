@@ -48,8 +48,8 @@ def stride_sample(rows: DataFrame, order: list[str], limit: int, total: int) ->
     return numbered.where((F.floor(i * total / F.lit(limit)) == F.col("_rank")) & (i < limit)).drop("_rank")
 
 
-#: Ranges that global_rank() cuts an order into at most, and keys drawn for each to place their bounds.
-MOST_RANGES, DRAWN_EACH = 256, 20
+#: Rows of a range of global_rank(), about; ranges that it cuts an order into at most, and keys drawn for each to place their bounds.
+RANGE_ROWS, MOST_RANGES, DRAWN_EACH = 500_000, 4096, 20
 
 
 def global_rank(rows: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -58,13 +58,15 @@ def global_rank(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     Ranges of the order are bounded by keys drawn by their hash, the same in every
     run, so a row's range follows from its own columns: however often the plan is
     run, and by which tasks, the ranks agree. Rows of equal keys are in one range.
+    The number of ranges follows that of the rows; a row finds its own by bisection.
     """
-    ranges = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_RANGES)
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(max(partitions, -(-rows.count() // RANGE_ROWS)), MOST_RANGES)
     keys = rows.select(*order)
     drawn = keys.orderBy(F.xxhash64(*order), *order).limit(DRAWN_EACH * ranges).orderBy(*order).collect()  # a bounded number of keys
     picked = [drawn[len(drawn) * k // ranges] for k in range(1, ranges)] if drawn else []
     bounds = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(x, keys.schema, strict=True)]) for x in picked])
-    at = F.size(F.filter(bounds, lambda x: F.struct(*order) > x)) if picked else F.lit(0)
+    at = _place(bounds, len(picked), F.struct(*order)) if picked else F.lit(0)
     dealt = rows.withColumn("_range", at)
     counts = dealt.groupBy("_range").agg(F.count("*").alias("_c"))
     before = counts.select("_range", F.coalesce(F.sum("_c").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each range
@@ -72,6 +74,18 @@ def global_rank(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return dealt.withColumn("_place", place).join(F.broadcast(before), "_range").withColumn(name, F.col("_place") + F.col("_before")).drop("_range", "_place", "_before")
 
 
+def _place(bounds: Column, many: int, value: Column) -> Column:
+    """How many of the ascending bounds lie below a value, by bisection."""
+
+    def half(s: Column, _: Column) -> Column:
+        middle = F.floor((s["a"] + s["b"]) / 2).cast("int")
+        open_, above = s["a"] < s["b"], value > F.get(bounds, middle)
+        return F.struct(F.when(open_ & above, middle + 1).otherwise(s["a"]).alias("a"), F.when(open_ & ~above, middle).otherwise(s["b"]).alias("b"))
+
+    start = F.struct(F.lit(0).alias("a"), F.lit(many).alias("b"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(many.bit_length())), start, half)["a"]
+
+
 def balanced_sample(rows: DataFrame, band: str, order: list[str], limit: int) -> DataFrame:
     """About limit rows, dealt to the bands one by one, a remainder to the earlier ones; within a band by strides."""
     counts = {r[band]: r["n"] for r in rows.groupBy(band).agg(F.count("*").alias("n")).collect()}  # one row for each band

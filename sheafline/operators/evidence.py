@@ -28,6 +28,16 @@ def _run(n: Column, least: float) -> Column:
     return F.when((k - 1) / some >= least, k - 1).when(k / some >= least, k).otherwise(k + 1).cast("int")
 
 
+def _near(quote: Column, text: Column, least: float) -> Column:
+    """Whether the text holds a run of ``least`` of the quote; both are made once, not for each run."""
+
+    def held(both: Column) -> Column:
+        n, k = F.length(both["q"]), _run(F.length(both["q"]), least)
+        return (F.length(both["t"]) >= k) & F.exists(F.sequence(F.lit(1), n - k + 1), lambda i: F.contains(both["t"], F.substring(both["q"], i, k)))
+
+    return F.transform(F.array(F.struct(quote.alias("q"), text.alias("t"))), held)[0]
+
+
 def _words(text: Column) -> Column:
     return F.array_distinct(F.split(text, " "))
 
@@ -64,8 +74,7 @@ def find_quotes(quotes: DataFrame, texts: DataFrame, least: float = 0.9) -> Data
     pairs = candidates(asked, told, least)
     both = told.join(small(pairs), "id").join(small(asked), "quote_id")
     exact = F.contains("t", "q")
-    n, k = F.length("q"), _run(F.length("q"), least)
-    near = F.exists(F.sequence(F.lit(1), n - k + 1), lambda i: F.contains("t", F.substring("q", i, k)))
+    near = _near(F.col("q"), F.col("t"), least)
     return both.withColumn("exact", exact).where(F.col("exact") | near if least < 1 else F.col("exact")).select("quote_id", "id", "exact")
 
 
@@ -125,8 +134,6 @@ def text_recall(quotes: DataFrame, contexts: DataFrame, least: float = 0.9) -> D
     held = contexts.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), " ").alias("text"))
     asked = quotes.where("fidelity = 'verbatim'").select("qid", collapsed(F.col("quote")).alias("q")).where("q <> ''")
     both = asked.join(held, "qid", "left").withColumn("t", collapsed(F.col("text")))
-    n, k = F.length("q"), _run(F.length("q"), least)
-    near = F.exists(F.sequence(F.lit(1), n - k + 1), lambda i: F.contains("t", F.substring("q", i, k)))
-    hit = F.contains("t", "q") | ((F.length("t") >= n) & near)
+    hit = F.contains("t", "q") | ((F.length("t") >= F.length("q")) & _near(F.col("q"), F.col("t"), least))
     told = both.groupBy("qid").agg(F.round(F.avg(hit.cast("double")), 6).alias("quote_recall"))
     return quotes.select("qid").unionByName(contexts.select("qid")).distinct().join(told, "qid", "left")
