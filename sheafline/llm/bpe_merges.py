@@ -47,24 +47,29 @@ class MergeTable:
     def encode(self, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merges words that lie one after another in ``symbols``; returns the same for the results."""
         first = np.cumsum(counts) - counts
-        out: list[np.ndarray | None] = [None] * len(counts)
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # words, their symbols one after another, how many each
         width = np.ones(len(counts), np.int64)
         big = counts > 2
         width[big] = 1 << np.ceil(np.log2(np.maximum(counts[big] - 1, 1))).astype(np.int64)
         for i in np.flatnonzero(counts > LONG):
-            out[i] = np.array(self._long(symbols[first[i] : first[i] + counts[i]].tolist()), np.int32)
-        for i in np.flatnonzero(counts <= 1):
-            out[i] = symbols[first[i] : first[i] + counts[i]]
+            word = np.array(self._long(symbols[first[i] : first[i] + counts[i]].tolist()), np.int32)
+            done.append((np.array([i]), word, np.array([len(word)])))
+        tiny = np.flatnonzero(counts <= 1)
+        done.append((tiny, symbols[ranges(first[tiny], counts[tiny])], counts[tiny]))
         for w in np.unique(width[(counts <= LONG) & (counts > 1)]):
             rows = np.flatnonzero((width == w) & (counts <= LONG) & (counts > 1))
             step = max(1, CELLS // (2 * int(w)))
             for k in range(0, len(rows), step):
                 part = rows[k : k + step]
-                flat, sizes = self._lockstep(symbols, first[part], counts[part], int(w))
-                for i, x in zip(part.tolist(), np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
-                    out[i] = x
-        sizes = np.array([len(x) for x in out], np.int64)
-        return (np.concatenate(out).astype(np.int32) if out else np.zeros(0, np.int32)), sizes
+                done.append((part, *self._lockstep(symbols, first[part], counts[part], int(w))))
+        sizes = np.zeros(len(counts), np.int64)
+        for rows, _, many in done:
+            sizes[rows] = many
+        starts = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), np.int32)
+        for rows, flat, many in done:
+            out[ranges(starts[rows], many)] = flat
+        return out, sizes
 
     def _lockstep(self, symbols: np.ndarray, first: np.ndarray, counts: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
         n = len(first)

@@ -60,7 +60,19 @@ class WordBpe:
         self.path = path
 
     def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        parts = [self._matches(w.decode()) for w in words]
+        parts: list[list[bytes]] = [[]] * len(words)
+        plain = [i for i, w in enumerate(words) if w.isascii()]
+        # plain words are split as one text: no part has white space, and the parts of a word make up all of it
+        found = self.split.findall(b" ".join(words[i] for i in plain).decode().lower())
+        stops = np.searchsorted(np.cumsum(np.fromiter(map(len, found), np.int64, len(found))), np.cumsum(np.fromiter((len(words[i]) for i in plain), np.int64, len(plain)))) + 1
+        found = [m.encode() for m in found]
+        begin = 0
+        for i, stop in zip(plain, stops.tolist(), strict=True):
+            parts[i] = found[begin:stop]
+            begin = stop
+        for i, w in enumerate(words):
+            if not parts[i]:
+                parts[i] = self._matches(w.decode())
         distinct = list(dict.fromkeys(p for ps in parts for p in ps))
         counts = np.array([len(p) for p in distinct], np.int64)
         raw = np.frombuffer(b"".join(distinct), np.uint8)
