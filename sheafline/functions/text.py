@@ -66,7 +66,7 @@ def ngrams_of(text: Column, n: int) -> Column:
 def sentences(text: Column) -> Column:
     """Cut after sentence ends that white space follows, and at line ends; trimmed, without empty ones."""
     cut = F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?…])\s+|\n")
-    return F.filter(F.transform(cut, F.trim), lambda s: s != "")
+    return F.filter(F.transform(cut, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def keyword_query(question: Column) -> Column:
