@@ -43,7 +43,7 @@ def label_chunks(parts: DataFrame, opens: Column, join: str = "\n") -> DataFrame
 def separator_chunks(docs: DataFrame, separators: list[str]) -> DataFrame:
     """Texts cut at any of the literals, the longest first; trimmed, without empty ones: doc_id, chunk_idx, text."""
     pattern = "|".join(r"\Q" + s + r"\E" for s in sorted(separators, key=len, reverse=True))
-    pieces = F.filter(F.transform(F.split("text", pattern, -1), F.trim), lambda s: s != "")
+    pieces = F.filter(F.transform(F.split("text", pattern, -1), lambda s: F.trim(s)), lambda s: s != "")
     return docs.select("doc_id", F.posexplode(pieces).alias("chunk_idx", "text"))
 
 
