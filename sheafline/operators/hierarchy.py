@@ -101,7 +101,7 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
 
 
 def density(edges: DataFrame, n_nodes: Column | int) -> DataFrame:
-    n = F.lit(n_nodes) if isinstance(n_nodes, int) else n_nodes
+    n = (F.lit(n_nodes) if isinstance(n_nodes, int) else n_nodes).cast("double")  # n * n is beyond an int from 46341 nodes on
     return edges.agg(F.count("*").alias("n_edges"), F.round(2 * F.count("*") / (n * (n - 1)), 6).alias("density"))
 
 
