@@ -92,7 +92,7 @@ def marked(texts: DataFrame, slim: DataFrame, scratch: Scratch, hashes=block_has
         left = scratch.save(left.select("id", "size", "blocks", F.coalesce(F.get("blocks", F.lit(step)), F.col("class")).alias("class")))
         step += 1
     # full texts, where they are read: those whose class is surely alone are left out by bits of the classes
-    known = texts.select("id", "text", F.coalesce(F.element_at(hashes(F.col("text")), -1), F.length("text").cast("long")).alias("class"))
+    known = texts.select("id", "text", F.coalesce(F.try_element_at(hashes(F.col("text")), F.lit(-1)), F.length("text").cast("long")).alias("class"))
     bits = _bits(several)
     width = F.lit(FILTER_WORDS)
     found = known.withColumn("word", F.pmod("class", width)).join(F.broadcast(bits), "word").where(F.getbit("bits", _bit(F.col("class"))) == 1)
@@ -134,7 +134,7 @@ def masks(docs: DataFrame, scratch: Scratch, id_column: str = "doc_id", text_col
     # per id and class, as later() depends on nothing else
     twice = marked(base.select("id", "text"), slim, scratch, hashes)
     late = scratch.save(twice.where("later").select("id", "class").distinct())
-    last = F.coalesce(F.element_at("blocks", -1), F.col("size").cast("long"))
+    last = F.coalesce(F.try_element_at("blocks", F.lit(-1)), F.col("size").cast("long"))
     out = slim.withColumn("class", last).join(late.withColumn("late", F.lit(True)), ["id", "class"], "left")
     return out.select("id", (F.col("mask") + F.when(F.col("late"), 1 << FILTERS.index("E")).otherwise(0)).cast("int").alias("mask"), "kept")
 
