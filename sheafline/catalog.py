@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .functions import dates, embedders, persian, text, vectors
 from .operators import board, chunking, dense, evidence, filters, hierarchy, index, levels, metrics, probe, retrieve, scopes, split, stored_index
 from .operators.saved import saved, step_folder
+from .operators.sizes import small
 from .plans.config import PRODUCTION, IndexConfig
 from .sources.vector_store import VectorStore
 
@@ -328,10 +329,9 @@ def context_budget(t: Table) -> DataFrame:
 @query()
 def mmr_diversify(t: Table) -> DataFrame:
     """Greedy per question; tested against a loop."""
-    slots = vectors.hash_slots(t("documents").withColumnRenamed("doc_id", "id"), "id", "text")
-    full = slots.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "weight"))).alias("m"))
-    vec = full.select("id", F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("vec"))
-    return retrieve.mmr(_bm25(t).where("rank <= 20"), vec, 0.7, 8)
+    found = _bm25(t).where("rank <= 20")
+    docs = t("documents").withColumnRenamed("doc_id", "id").join(small(found.select("id").distinct()), "id", "left_semi")  # only candidates are compared
+    return retrieve.mmr(found, embedders.dense(docs), 0.7, 8)
 
 
 @query()

@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections import OrderedDict
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .saved import saved
 from .sizes import small
 
 
@@ -19,29 +23,91 @@ def idf(n: Column, df: Column) -> Column:
 
 @dataclass
 class Index:
-    """postings (id, token, tf, dl), terms (token, df, idf), stats (n, avg_len: one row)."""
+    """postings (id, token, tf, dl), terms (token, df, idf), stats (n, avg_len: one row).
+
+    held: (id, dl, tokens) of each text, of an index for questions whose ids are distinct; tokens are those asked for.
+    """
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    held: DataFrame | None = None
+
+
+#: Tokens asked for that are named in the plan; beyond, they are joined.
+NAMED_TOKENS = 20_000
+#: Postings of a batch that leaves a task at once.
+POSTINGS = 1 << 17
+
+
+def _counted(texts: DataFrame) -> DataFrame:
+    """(id, dl, token, tf) of (id, dl, tokens): equal tokens of a row are counted where the row is read, without a shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            tokens = batch.column("tokens")
+            sizes = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = tokens.flatten().dictionary_encode()
+            n = max(1, len(coded.dictionary))
+            cells, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            for i in range(0, len(cells), POSTINGS):
+                row, code = pa.array(cells[i : i + POSTINGS] // n), pa.array(cells[i : i + POSTINGS] % n)
+                found = [batch.column("id").take(row), batch.column("dl").take(row), coded.dictionary.take(code), pa.array(tf[i : i + POSTINGS].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(found, ["id", "dl", "token", "tf"])
+
+    return texts.select("id", "dl", "tokens").mapInArrow(run, f"id {dict(texts.dtypes)['id']}, dl int, token string, tf long")
+
+
+def _kept(texts: DataFrame, names: list[str]) -> DataFrame:
+    """(id, dl, tokens) with the tokens among ``names`` alone."""
+    known = pa.array(names, pa.string())
+
+    def run(batches):
+        for batch in batches:
+            tokens = batch.column("tokens")
+            flat = tokens.flatten()
+            good = pc.is_in(flat, known)
+            upto = np.r_[0, np.cumsum(good.to_numpy(zero_copy_only=False))]
+            ends = np.r_[0, np.cumsum(pc.list_value_length(tokens).to_numpy(zero_copy_only=False))].astype(np.int64)
+            held = pa.ListArray.from_arrays(pa.array(upto[ends].astype(np.int32)), flat.filter(good))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("dl"), held], ["id", "dl", "tokens"])
+
+    return texts.select("id", "dl", "tokens").mapInArrow(run, f"id {dict(texts.dtypes)['id']}, dl int, tokens array<string>")
+
+
+def _repeated(ids: DataFrame) -> bool:
+    return not ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
 
 def build(chunks: DataFrame, id_column: str, text_column: str, wanted: DataFrame | None = None) -> Index:
-    """The index of a table of texts; one without tokens counts as one of length 1 in the average. Term counts are combined before the shuffle; the
-    postings are dealt by (id, token) once, the statistics read sums of it.
+    """The index of a table of texts; one without tokens counts as one of length 1 in the average. Postings are made
+    where the texts are read; they are shuffled only if an id has several rows, which are then counted together.
 
     With ``wanted`` (token), postings and terms are those of these tokens alone, with the numbers they have in the
-    whole index: all that questions of these tokens need. Others are dropped where the texts are read, before any shuffle.
+    whole index: all that questions of these tokens need. Texts are read once; of each its length and these tokens are
+    saved in the shared folder, and so are terms and statistics.
     """
-    sized = chunks.select(F.col(id_column).alias("id"), tokens(F.col(text_column)).alias("tokens")).withColumn("dl", F.size("tokens"))
-    told = sized.select("id", "dl", F.explode("tokens").alias("token"))
+    texts = chunks.select(F.col(id_column).alias("id"), tokens(F.col(text_column)).alias("tokens")).withColumn("dl", F.size("tokens"))
     if wanted is not None:
-        told = told.join(small(wanted.select("token").distinct()), "token", "left_semi")
-    postings = told.groupBy("id", "dl", "token").agg(F.count("*").alias("tf"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg(F.greatest("dl", F.lit(1))).alias("avg_len"))
-    terms = postings.groupBy("token").agg(F.count("*").alias("df"))
+        wanted = wanted.select("token").distinct()
+        names = [r.token for r in wanted.limit(NAMED_TOKENS + 1).collect()]
+        if len(names) <= NAMED_TOKENS:
+            texts = saved(_kept(texts, names), "asked")
+    repeated = _repeated(texts if wanted is not None else chunks.select(F.col(id_column).alias("id")))
+    postings = _counted(texts)
+    if wanted is not None and len(names) > NAMED_TOKENS:
+        postings = postings.join(small(wanted), "token", "left_semi")
+    if repeated:
+        postings = postings.groupBy("id", "dl", "token").agg(F.sum("tf").alias("tf"))
+    stats = texts.agg(F.count("*").alias("n"), F.avg(F.greatest("dl", F.lit(1))).alias("avg_len"))
+    # of one row for each id, the distinct tokens are its postings
+    told = postings.select("token") if repeated or wanted is not None and len(names) > NAMED_TOKENS else texts.select(F.explode(F.array_distinct("tokens")).alias("token"))
+    terms = told.groupBy("token").agg(F.count("*").alias("df"))
     terms = terms.crossJoin(F.broadcast(stats.select("n"))).select("token", "df", idf(F.col("n"), F.col("df")).alias("idf"))  # stats is one row
-    return Index(postings.select("id", "token", "tf", "dl"), terms, stats)
+    if wanted is not None:
+        terms, stats = saved(terms, "terms"), saved(stats, "stats")
+    held = texts if wanted is not None and not repeated and len(names) <= NAMED_TOKENS else None
+    return Index(postings.select("id", "token", "tf", "dl"), terms, stats, held)
 
 
 def size_stats(chunks: DataFrame, text_column: str) -> DataFrame:

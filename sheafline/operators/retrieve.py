@@ -17,6 +17,7 @@ from ..functions.dates import age_days, decay
 from ..functions.text import INTERROGATIVES, ascii_tokens, query_variants, tokens
 from ..functions.vectors import ASCII_HASH_SLOTS, hash_slots
 from .index import Index
+from .saved import saved
 from .scopes import Within
 from .sizes import small
 
@@ -45,13 +46,25 @@ def wanted_terms(questions: DataFrame) -> DataFrame:
     return query_terms(questions).select("token").unionByName(query_terms(questions, variants=True).select("token")).distinct()
 
 
+#: Numbers in the matrix of tokens and questions that is sent to every task at most.
+SCAN_CELLS = 1 << 23
+#: Numbers in the matrix of texts and tokens that a task makes at a time.
+STEP_CELLS = 1 << 21
+
+
 def bm25(index: Index, questions: DataFrame, k: int = 40, variants: bool = False, within: Within | None = None) -> DataFrame:
     """The k best of each question by BM25, of scores above 0; with variants, a chunk's best score of any; of the rows ``within``, if given.
 
-    Only postings of the questions' tokens are scored: the terms are joined to the
+    Texts of an index for questions stay where they are: each batch is a matrix, multiplied with that of the
+    questions' weights, of which every question keeps k rows; the result is saved. Within bounds, for too many questions
+    or ids of several rows, only postings of the questions' tokens are scored: the terms are joined to the
     questions first, and the postings to what is left.
     """
     asked = query_terms(questions, variants)
+    if index.held is not None and within is None:
+        size = asked.agg(F.count_distinct("token").alias("t"), F.count_distinct(F.struct("qid", "variant")).alias("c")).first()
+        if size.t * size.c <= SCAN_CELLS:
+            return saved(ranked(_scan(index, asked, k), k), "bm25")
     weighted = small(asked.join(index.terms.select("token", "idf"), "token"))
     norm = F.col("tf") + K1 * (1 - B + B * F.greatest(F.col("dl"), F.lit(1)) / F.col("avg_len"))
     postings = within.rows(index.postings) if within else index.postings
@@ -63,6 +76,60 @@ def bm25(index: Index, questions: DataFrame, k: int = 40, variants: bool = False
     return ranked(scored.where("score > 0").select("qid", "id", F.round("score", 6).alias("score")), k)
 
 
+def _scan(index: Index, asked: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score): of each batch of texts each question's k best by BM25; asked (qid, variant, token) and its weights fit into SCAN_CELLS."""
+    rows = asked.join(index.terms.select("token", "idf"), "token").select("qid", "variant", "token", "idf").distinct().toArrow()
+    qids = pc.unique(rows.column("qid"))
+    names = pc.unique(rows.column("token"))
+    place = pc.index_in(rows.column("qid"), qids).to_numpy()
+    column, of = np.unique(place.astype(np.int64) * 8 + rows.column("variant").to_numpy(), return_inverse=True)  # three variants at most
+    weights = np.zeros((len(names), len(column)))
+    weights[pc.index_in(rows.column("token"), names).to_numpy(), of] = rows.column("idf").to_numpy()
+    firsts = np.searchsorted(column // 8, np.arange(len(qids)))
+    shared = index.held.sparkSession.sparkContext.broadcast((weights, names, firsts, qids))
+    avg_len = float(index.stats.first().avg_len or 1.0)
+    kinds = dict(index.held.dtypes)["id"], dict(asked.dtypes)["qid"]
+
+    def products(batches):
+        weights, names, firsts, qids = shared.value
+        if not len(names):
+            return
+        step = max(1, STEP_CELLS // len(names))
+        for batch in batches:
+            score = np.empty((len(qids), batch.num_rows))
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
+                sizes = pc.list_value_length(part.column("tokens")).to_numpy(zero_copy_only=False).astype(np.int64)
+                codes = pc.index_in(part.column("tokens").flatten(), names).fill_null(-1).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(sizes)), sizes)[codes >= 0]
+                cells, tf = np.unique(row * len(names) + codes[codes >= 0], return_counts=True)
+                norm = tf + K1 * (1 - B + B * np.maximum(part.column("dl").to_numpy(), 1)[cells // len(names)] / avg_len)
+                m = np.zeros(len(sizes) * len(names))
+                m[cells] = tf * (K1 + 1) / norm
+                found = m.reshape(len(sizes), len(names)) @ weights
+                score[:, i : i + step] = np.maximum.reduceat(found, firsts, axis=1).T
+            yield from _best(score, batch.column("id"), qids, k)
+
+    found = index.held.mapInArrow(products, f"qid {kinds[1]}, id {kinds[0]}, score double")
+    return found.select("qid", "id", F.round("score", 6).alias("score"))
+
+
+def _best(exact: np.ndarray, ids: pa.Array, qids: pa.Array, k: int):
+    """Of the scores of questions (rows) and ids the k best of each by their rounded value, ties to the smaller id, if above 0."""
+    if not len(ids) or not len(qids):
+        return
+    score = np.round(exact, 6)
+    place = np.empty(len(ids), np.int64)  # of equal scores the smaller id comes first
+    place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+    least = np.partition(score, -k, axis=1)[:, -k] if len(ids) > k else np.zeros(len(score))
+    row, at = np.nonzero((score >= least[:, None]) & (score > 0))
+    order = np.lexsort((place[at], -score[row, at], row))
+    row, at = row[order], at[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    row, at = row[kept], at[kept]
+    yield pa.RecordBatch.from_arrays([qids.take(pa.array(row)), ids.take(pa.array(at)), pa.array(exact[row, at])], ["qid", "id", "score"])
+
+
 def sparse_dense(chunk_slots: DataFrame, query_slots: DataFrame, k: int = 40, within: Within | None = None) -> DataFrame:
     """The k best by the product of sparse unit vectors: (id, slot, weight) against (qid, slot, weight); of the rows ``within``, if given."""
     chunk_slots = within.rows(chunk_slots) if within else chunk_slots
@@ -106,7 +173,7 @@ def dense_scan(chunks: DataFrame, questions: DataFrame, k: int = 40) -> DataFram
             row, at = row[kept], at[kept]
             yield pa.RecordBatch.from_arrays([qids.take(pa.array(row)), batch.column("id").take(pa.array(at)), pa.array(score[row, at])], ["qid", "id", "score"])
 
-    return ranked(chunks.select("id", slot("text").alias("slots")).mapInArrow(products, f"qid {kinds[1]}, id {kinds[0]}, score double"), k)
+    return saved(ranked(chunks.select("id", slot("text").alias("slots")).mapInArrow(products, f"qid {kinds[1]}, id {kinds[0]}, score double"), k), "dense")
 
 
 def _slot_matrix(slots: pa.Array) -> np.ndarray:
@@ -147,7 +214,11 @@ def idf_coverage(index: Index, questions: DataFrame, pairs: DataFrame) -> DataFr
     asked = query_terms(questions).where(~F.col("token").isin(*INTERROGATIVES)).drop("variant")
     weighted = asked.join(index.terms.select("token", "idf"), "token", "left").withColumn("idf", F.coalesce("idf", F.lit(1.0)))
     total = weighted.groupBy("qid").agg(F.sum("idf").alias("total"))
-    hits = pairs.select("qid", "id").join(small(weighted), "qid").join(index.postings.select("id", "token"), ["id", "token"])
+    if index.held is not None:  # the texts of the pairs, if these can be broadcast
+        told = index.held.join(small(pairs.select("id").distinct()), "id", "left_semi").select("id", F.explode(F.array_distinct("tokens")).alias("token"))
+    else:
+        told = index.postings.select("id", "token")
+    hits = told.join(small(pairs.select("qid", "id")), "id").join(small(weighted), ["qid", "token"])
     covered = hits.groupBy("qid", "id").agg(F.sum("idf").alias("covered"))
     out = pairs.select("qid", "id").join(covered, ["qid", "id"], "left").join(small(total), "qid", "left")
     return out.select("qid", "id", F.round(F.coalesce(F.col("covered") / F.col("total"), F.lit(0.0)), 6).alias("coverage"))
@@ -247,7 +318,7 @@ def fit_budget(kept: DataFrame, sizes: DataFrame, budget: int = 6000) -> DataFra
 
     The fold runs over one question's kept contexts, k at most.
     """
-    rows = kept.join(sizes, "id").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "size"))).alias("rows"))
+    rows = small(kept).join(sizes, "id").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "size"))).alias("rows"))
     folded = F.expr(f"""aggregate(rows, named_struct('used', 0L, 'kept', slice(rows, 1, 0)),
       (a, r) -> if(size(a.kept) = 0 or a.used + r.size <= {budget},
         named_struct('used', a.used + cast(r.size as bigint), 'kept', concat(a.kept, array(r))), a), a -> a.kept)""")
@@ -265,7 +336,7 @@ def trace(stages: dict[str, DataFrame]) -> DataFrame:
 
 def first_documents(ranking: DataFrame, documents: DataFrame) -> DataFrame:
     """(qid, doc, place): the distinct documents of a ranking in order of their first chunk; ``documents``: (id, doc)."""
-    firsts = ranking.join(documents, "id").groupBy("qid", "doc").agg(F.min("rank").alias("at"))
+    firsts = small(ranking).join(documents, "id").groupBy("qid", "doc").agg(F.min("rank").alias("at"))
     return firsts.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy("at", "doc"))).select("qid", "doc", "place")
 
 
