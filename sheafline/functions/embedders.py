@@ -5,11 +5,14 @@ from __future__ import annotations
 import hashlib
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .text import char_ngrams, tokens
+from .text import normalize, tokens
 from .vectors import ASCII_HASH_SLOTS, hash_slots
 
 #: Slots of the two embedders whose hash is BLAKE2b.
@@ -23,32 +26,84 @@ def bucket(piece: str, slots: int) -> int:
     return int.from_bytes(hashlib.blake2b(piece.encode(), digest_size=8).digest()) % slots
 
 
-def _sparse(docs: DataFrame, id_column: str, pieces, slots: int, weight: str) -> DataFrame:
-    """A piece is hashed in Python, once for a task while it is remembered; counting and scaling are SQL on the counts by slot."""
+#: Pieces whose slots a task remembers.
+REMEMBERED = 1 << 17
+#: Rows of a batch that leaves a task at once.
+ROWS = 1 << 17
 
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([bucket(x, slots) for x in batch.column(1).to_pylist()], pa.int32()), batch.column(2)], ["id", "slot", "n"]
-            )
-
-    kind = dict(docs.dtypes)[id_column]
-    # equal pieces of a text are one row before they are hashed
-    counted = docs.select(F.col(id_column).alias("id"), F.explode(pieces).alias("piece")).groupBy("id", "piece").agg(F.count("*").alias("n"))
-    counts = counted.mapInArrow(run, f"id {kind}, slot int, n long").groupBy("id", "slot").agg(F.sum("n").cast("double").alias("n"))
+
+def _summed(ids: pa.Array, rows: np.ndarray, slots: np.ndarray, counts: np.ndarray, n_slots: int):
+    """Batches (id, slot, n) of what rows of ``ids`` have in each slot."""
+    cells, at = np.unique(rows * n_slots + slots, return_inverse=True)
+    total = np.bincount(at, weights=counts, minlength=len(cells)).astype(np.int64)
+    for i in range(0, len(cells), ROWS):
+        part = cells[i : i + ROWS]
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(part // n_slots)), pa.array((part % n_slots).astype(np.int32)), pa.array(total[i : i + ROWS])], ["id", "slot", "n"])
+
+
+def _slots(known: dict, keys: list, piece, n_slots: int) -> np.ndarray:
+    """The slots of distinct keys; piece(key) is its text. Slots are remembered by key."""
+    if len(known) > REMEMBERED:
+        known.clear()
+    new = {k: bucket(piece(k), n_slots) for k in keys if k not in known}
+    known.update(new)
+    return np.fromiter((known[k] for k in keys), np.int64, len(keys))
+
+
+def _weighted(texts: DataFrame, run, id_column: str, weight: str) -> DataFrame:
+    """(id_column, slot, weight) from what ``run`` counts of each text where it is read; rows of one id are summed, null ids are left out."""
+    counts = texts.where("id is not null").mapInArrow(run, f"id {dict(texts.dtypes)['id']}, slot int, n long").repartition("id").groupBy("id", "slot").agg(F.sum("n").cast("double").alias("n"))
     counts = counts.select("id", "slot", F.expr(weight).alias("w"))
-    norms = counts.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return counts.join(norms, "id").select(F.col("id").alias(id_column), "slot", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id")))  # a number for each slot at most
+    return counts.select(F.col("id").alias(id_column), "slot", (F.col("w") / norm).alias("weight"))
 
 
 def token_hash(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """Tokens of any script in 512 slots, 1 + ln(count) each; a text without tokens has no vector."""
-    return _sparse(docs, id_column, tokens(F.col(text_column)), TOKEN_SLOTS, "1 + ln(n)")
+
+    def run(batches):
+        known: dict = {}
+        for batch in batches:
+            coded = batch.column("tokens").flatten().dictionary_encode()
+            slots = _slots(known, coded.dictionary.to_pylist(), str, TOKEN_SLOTS)
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            rows = pc.list_parent_indices(batch.column("tokens")).to_numpy(zero_copy_only=False)
+            yield from _summed(batch.column("id"), rows.astype(np.int64), slots[codes] if len(codes) else codes.astype(np.int64), np.ones(len(codes)), TOKEN_SLOTS)
+
+    return _weighted(docs.select(F.col(id_column).alias("id"), tokens(F.col(text_column)).alias("tokens")), run, id_column, "1 + ln(n)")
 
 
 def char_hash(docs: DataFrame, id_column: str, text_column: str, n: int = 4) -> DataFrame:
-    """Sequences of n characters in 1024 slots, by count."""
-    return _sparse(docs, id_column, char_ngrams(F.col(text_column), n), CHAR_SLOTS, "n")
+    """Sequences of n characters in 1024 slots, by count; a shorter text is its own only one."""
+
+    def run(batches):
+        known: dict = {}
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+            letters, at = np.unique(points, return_inverse=True)
+            ends = np.cumsum(sizes)
+            found = np.maximum(sizes - n + 1, 0)
+            rows = np.repeat(np.arange(len(texts)), found)
+            starts = np.arange(int(found.sum())) + np.repeat(ends - sizes - (np.cumsum(found) - found), found)
+            # a sequence's number grows letter by letter; before it could be too large, the numbers so far are made small
+            codes, span, base = np.zeros(len(starts), np.int64), 1, max(1, len(letters))
+            for i in range(n):
+                if span * base >= 1 << 62:
+                    held, codes = np.unique(codes, return_inverse=True)
+                    span = len(held)
+                codes, span = codes * base + at[starts + i], span * base
+            _, first, codes = np.unique(codes, return_index=True, return_inverse=True)
+            pieces = [points[s : s + n].tobytes().decode("utf-32-le", "surrogatepass") for s in starts[first]]
+            slots = _slots(known, pieces, str, CHAR_SLOTS)[codes]
+            short = [i for i, t in enumerate(texts) if 0 < len(t) < n]
+            rows = np.r_[rows, np.array(short, np.int64)]
+            slots = np.r_[slots, _slots(known, [texts[i] for i in short], str, CHAR_SLOTS)]
+            yield from _summed(batch.column("id"), rows, slots, np.ones(len(rows)), CHAR_SLOTS)
+
+    text = F.lower(normalize(F.coalesce(F.col(text_column), F.lit(""))))
+    return _weighted(docs.select(F.col(id_column).alias("id"), text.alias("text")), run, id_column, "n")
 
 
 #: By the name that a configuration gives.
