@@ -9,10 +9,13 @@ word are so short that they are sent to all texts, behind a check of their size.
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .board import merge_spans
+from .index import NAMED_TOKENS
+from .saved import saved
 from .sizes import small
 
 
@@ -51,16 +54,32 @@ def candidates(quotes: DataFrame, texts: DataFrame, least: float = 1.0) -> DataF
     inner = F.filter(F.slice(F.split("core", " "), 2, F.greatest(F.size(F.split("core", " ")) - 2, F.lit(0))), lambda w: w != "")
     seeded = cored.select("quote_id", F.array_distinct(inner).alias("seeds"))
     seeds = seeded.select("quote_id", F.explode("seeds").alias("word"))
-    wanted = small(seeds.select("word").distinct())
-    held = texts.select("id", F.explode(_words(F.col("t"))).alias("word")).join(wanted, "word", "left_semi")
+    held = saved(_holding(texts, seeds.select("word").distinct()), "words")  # the texts are read once
     counts = held.groupBy("word").agg(F.count("*").alias("n"))
     # a quote of which some word is in no text is in none
     rated = seeds.join(counts, "word", "left")
     rarest = rated.groupBy("quote_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("r")).where("r.n > 0").select("quote_id", "r.word")
-    found = held.join(rarest, "word").select("quote_id", "id")
+    found = held.join(small(saved(rarest, "rarest")), "word").select("quote_id", "id")
     bare = small(seeded.where(F.size("seeds") == 0).select("quote_id").join(cored, "quote_id").select("quote_id", "core"))
     scanned = texts.join(bare, F.contains("t", "core")).select("quote_id", "id")
-    return found.unionByName(scanned)
+    return saved(found.unionByName(scanned), "candidates")
+
+
+def _holding(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """(id, word): the words (word) that a text (id, t) has, each once."""
+    names = [r.word for r in words.limit(NAMED_TOKENS + 1).collect()]
+    if len(names) > NAMED_TOKENS:
+        return texts.select("id", F.explode(_words(F.col("t"))).alias("word")).join(small(words), "word", "left_semi")
+    known = pa.array(names, pa.string())
+
+    def run(batches):
+        for batch in batches:
+            words = batch.column("words")
+            at = pc.indices_nonzero(pc.is_in(words.flatten(), known))
+            row = pc.list_parent_indices(words).take(at)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(row), words.flatten().take(at)], ["id", "word"])
+
+    return texts.select("id", _words(F.col("t")).alias("words")).mapInArrow(run, f"id {dict(texts.dtypes)['id']}, word string")
 
 
 def find_quotes(quotes: DataFrame, texts: DataFrame, least: float = 0.9) -> DataFrame:
@@ -86,14 +105,19 @@ def gold_pairs(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     asked = quotes.select("qid", collapsed(F.col("quote")).alias("q")).where("q <> ''")
     told = docs.select(F.col("doc").alias("id"), collapsed(F.col("text")).alias("t")).where("t <> ''")
     one = asked.groupBy("q").agg(F.collect_set("qid").alias("qids"))  # questions with one quote
-    named = one.select(F.sha2("q", 256).alias("quote_id"), "q", "qids")
+    named = saved(one.select(F.sha2("q", 256).alias("quote_id"), "q", "qids"), "quotes")
     down = candidates(named.select("quote_id", "q"), told)
     rows = told.join(small(down), "id").join(small(named), "quote_id").where(F.contains("t", "q")).select(F.explode("qids").alias("qid"), F.col("id").alias("doc"))
     # the other way only for texts that are no longer than the longest quote
     longest = asked.agg(F.max(F.length("q")).alias("m")).first().m or 0
     short = told.where(F.length("t") <= longest)
+    # all words inside a text that a quote contains are words of quotes
+    names = asked.select(F.explode(_words(F.col("q"))).alias("word")).distinct()
+    inner = short.select("id", F.explode(F.array_distinct(F.slice(F.split("t", " "), 2, F.greatest(F.size(F.split("t", " ")) - 2, F.lit(0))))).alias("word"))
+    strange = inner.join(small(saved(names, "names")), "word", "left_anti").select("id").distinct()
+    short = saved(short.join(strange, "id", "left_anti"), "short")
     up = candidates(short.select(F.col("id").alias("quote_id"), F.col("t").alias("q")), named.select(F.col("quote_id").alias("id"), F.col("q").alias("t")))
-    up = short.join(up.withColumnRenamed("id", "holder").withColumnRenamed("quote_id", "id"), "id").join(small(named.withColumnRenamed("quote_id", "holder")), "holder")
+    up = short.join(small(up.withColumnRenamed("id", "holder").withColumnRenamed("quote_id", "id")), "id").join(small(named.withColumnRenamed("quote_id", "holder")), "holder")
     up = up.where(F.contains("q", "t")).select(F.explode("qids").alias("qid"), F.col("id").alias("doc"))
     return rows.unionByName(up).distinct()
 
