@@ -11,8 +11,14 @@ from pyspark.sql import functions as F
 
 from .retrieve import ranked
 
-#: Rows of a block of vectors.
-BLOCK = 2048
+#: Rows of a block of vectors: at least and at most; between, a side has about 64 blocks.
+LEAST_BLOCK, BLOCK = 2048, 8192
+#: Queries and vectors of one matrix product.
+TILE = 1024, 2048
+
+
+def _blocks(n: int) -> int:
+    return max(1, math.ceil(n / min(BLOCK, max(LEAST_BLOCK, n // 64))))
 
 
 def _packed(table: DataFrame, blocks: int, id_column: str, vec_column: str, prefix: str) -> DataFrame:
@@ -28,14 +34,37 @@ def _packed(table: DataFrame, blocks: int, id_column: str, vec_column: str, pref
     return rows.groupBy("b").applyInArrow(pack, f"{prefix}block int, {prefix}ids binary, {prefix}v binary")
 
 
+def _nearest(q: np.ndarray, qids: np.ndarray, v: np.ndarray, vids: np.ndarray, k: int, decimals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of v, score): the k best of each by rounded product, ties to the earlier row of v; never one's own id.
+
+    Only products that reach a query's k-th best so far are looked at, and k of a query stay after each tile.
+    """
+    row, at, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    least = np.full(len(q), -np.inf)
+    for i in range(0, len(v), TILE[1]):
+        exact = q @ v[i : i + TILE[1]].T
+        exact[qids[:, None] == vids[None, i : i + TILE[1]]] = -np.inf
+        if i == 0 and exact.shape[1] > k:
+            least = np.round(np.partition(exact, -k, axis=1)[:, -k], decimals)
+        r, c = np.nonzero((exact >= (least - 10.0**-decimals)[:, None]) & (exact > -np.inf))
+        row, at, score = np.r_[row, r], np.r_[at, i + c], np.r_[score, np.round(exact[r, c], decimals)]
+        order = np.lexsort((at, -score, row))
+        row, at, score = row[order], at[order], score[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        last = place == k - 1
+        least[row[last]] = score[last]
+        row, at, score = row[place < k], at[place < k], score[place < k]
+    return row, at, score
+
+
 def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, id_column: str, vec_column: str, decimals: int = 6) -> DataFrame:
     """(qid, id, score, rank): for every query its k nearest others by cosine, ties to the smaller id.
 
-    Both sides are packed into blocks of unit vectors; every pair of blocks is one
-    matrix product, of which each query keeps k rows.
+    Both sides are packed into blocks of unit vectors; every pair of blocks is multiplied in tiles, of which each
+    query keeps k rows.
     """
-    q_blocks = max(1, math.ceil(queries.count() / BLOCK))
-    v_blocks = max(1, math.ceil(vectors.count() / BLOCK))
+    q_blocks = _blocks(queries.count())
+    v_blocks = _blocks(vectors.count())
     asked = _packed(queries, q_blocks, id_column, vec_column, "q")
     held = _packed(vectors, v_blocks, id_column, vec_column, "v")
     # the blocks' numbers are known, so each query block is sent to every vector block by an equi-join
@@ -46,13 +75,9 @@ def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, id_column: str,
             for r in range(batch.num_rows):
                 qids, vids = (np.frombuffer(batch.column(c)[r].as_buffer(), "<i8") for c in ("qids", "vids"))
                 q, v = (np.frombuffer(batch.column(c)[r].as_buffer(), "<f8").reshape(len(i), -1) for c, i in (("qv", qids), ("vv", vids)))
-                score = np.round(q @ v.T, decimals)
-                score[qids[:, None] == vids[None, :]] = -np.inf
-                take = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                keep = np.take_along_axis(score, take, axis=1)
-                row = np.repeat(np.arange(len(qids)), take.shape[1])
-                good = np.isfinite(keep.ravel())
-                yield pa.RecordBatch.from_pydict({"qid": pa.array(qids[row][good]), "id": pa.array(vids[take.ravel()][good]), "score": pa.array(keep.ravel()[good])})
+                for i in range(0, len(qids), TILE[0]):
+                    row, at, score = _nearest(q[i : i + TILE[0]], qids[i : i + TILE[0]], v, vids, k, decimals)
+                    yield pa.RecordBatch.from_pydict({"qid": pa.array(qids[i + row]), "id": pa.array(vids[at]), "score": pa.array(score)})
 
     found = sent.join(held, "vblock").select("qids", "qv", "vids", "vv").mapInArrow(products, "qid long, id long, score double")
     return ranked(found, k)
