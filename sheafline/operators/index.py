@@ -75,7 +75,7 @@ def _kept(texts: DataFrame, names: list[str]) -> DataFrame:
     return texts.select("id", "dl", "tokens").mapInArrow(run, f"id {dict(texts.dtypes)['id']}, dl int, tokens array<string>")
 
 
-def _repeated(ids: DataFrame) -> bool:
+def repeated(ids: DataFrame) -> bool:
     return not ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
 
@@ -93,20 +93,20 @@ def build(chunks: DataFrame, id_column: str, text_column: str, wanted: DataFrame
         names = [r.token for r in wanted.limit(NAMED_TOKENS + 1).collect()]
         if len(names) <= NAMED_TOKENS:
             texts = saved(_kept(texts, names), "asked")
-    repeated = _repeated(texts if wanted is not None else chunks.select(F.col(id_column).alias("id")))
+    several = repeated(texts if wanted is not None else chunks.select(F.col(id_column).alias("id")))
     postings = _counted(texts)
     if wanted is not None and len(names) > NAMED_TOKENS:
         postings = postings.join(small(wanted), "token", "left_semi")
-    if repeated:
+    if several:
         postings = postings.groupBy("id", "dl", "token").agg(F.sum("tf").alias("tf"))
     stats = texts.agg(F.count("*").alias("n"), F.avg(F.greatest("dl", F.lit(1))).alias("avg_len"))
     # of one row for each id, the distinct tokens are its postings
-    told = postings.select("token") if repeated or wanted is not None and len(names) > NAMED_TOKENS else texts.select(F.explode(F.array_distinct("tokens")).alias("token"))
+    told = postings.select("token") if several or wanted is not None and len(names) > NAMED_TOKENS else texts.select(F.explode(F.array_distinct("tokens")).alias("token"))
     terms = told.groupBy("token").agg(F.count("*").alias("df"))
     terms = terms.crossJoin(F.broadcast(stats.select("n"))).select("token", "df", idf(F.col("n"), F.col("df")).alias("idf"))  # stats is one row
     if wanted is not None:
         terms, stats = saved(terms, "terms"), saved(stats, "stats")
-    held = texts if wanted is not None and not repeated and len(names) <= NAMED_TOKENS else None
+    held = texts if wanted is not None and not several and len(names) <= NAMED_TOKENS else None
     return Index(postings.select("id", "token", "tf", "dl"), terms, stats, held)
 
 

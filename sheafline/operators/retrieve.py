@@ -76,16 +76,21 @@ def bm25(index: Index, questions: DataFrame, k: int = 40, variants: bool = False
     return ranked(scored.where("score > 0").select("qid", "id", F.round("score", 6).alias("score")), k)
 
 
-def _scan(index: Index, asked: DataFrame, k: int) -> DataFrame:
-    """(qid, id, score): of each batch of texts each question's k best by BM25; asked (qid, variant, token) and its weights fit into SCAN_CELLS."""
-    rows = asked.join(index.terms.select("token", "idf"), "token").select("qid", "variant", "token", "idf").distinct().toArrow()
+def weight_matrix(asked: DataFrame) -> tuple[np.ndarray, pa.Array, np.ndarray, pa.Array]:
+    """Weights (tokens by questions' variants), tokens, each question's first column, questions; of asked (qid, variant, token, idf), which fit into SCAN_CELLS."""
+    rows = asked.select("qid", "variant", "token", "idf").distinct().toArrow()
     qids = pc.unique(rows.column("qid"))
     names = pc.unique(rows.column("token"))
     place = pc.index_in(rows.column("qid"), qids).to_numpy()
     column, of = np.unique(place.astype(np.int64) * 8 + rows.column("variant").to_numpy(), return_inverse=True)  # three variants at most
     weights = np.zeros((len(names), len(column)))
     weights[pc.index_in(rows.column("token"), names).to_numpy(), of] = rows.column("idf").to_numpy()
-    firsts = np.searchsorted(column // 8, np.arange(len(qids)))
+    return weights, names, np.searchsorted(column // 8, np.arange(len(qids))), qids
+
+
+def _scan(index: Index, asked: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score): of each batch of texts each question's k best by BM25; asked (qid, variant, token) and its weights fit into SCAN_CELLS."""
+    weights, names, firsts, qids = weight_matrix(asked.join(index.terms.select("token", "idf"), "token"))
     shared = index.held.sparkSession.sparkContext.broadcast((weights, names, firsts, qids))
     avg_len = float(index.stats.first().avg_len or 1.0)
     kinds = dict(index.held.dtypes)["id"], dict(asked.dtypes)["qid"]
@@ -108,13 +113,13 @@ def _scan(index: Index, asked: DataFrame, k: int) -> DataFrame:
                 m[cells] = tf * (K1 + 1) / norm
                 found = m.reshape(len(sizes), len(names)) @ weights
                 score[:, i : i + step] = np.maximum.reduceat(found, firsts, axis=1).T
-            yield from _best(score, batch.column("id"), qids, k)
+            yield from best_of(score, batch.column("id"), qids, k)
 
     found = index.held.mapInArrow(products, f"qid {kinds[1]}, id {kinds[0]}, score double")
     return found.select("qid", "id", F.round("score", 6).alias("score"))
 
 
-def _best(exact: np.ndarray, ids: pa.Array, qids: pa.Array, k: int):
+def best_of(exact: np.ndarray, ids: pa.Array, qids: pa.Array, k: int):
     """Of the scores of questions (rows) and ids the k best of each by their rounded value, ties to the smaller id, if above 0."""
     if not len(ids) or not len(qids):
         return

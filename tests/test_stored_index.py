@@ -34,3 +34,17 @@ def test_kept_by_files(spark, tmp_path):
     plan = a._asked(asked, False)[1]._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
     assert [r.id for r in a.search(asked, 5).collect()] == [2]
+
+
+def test_ranges_are_made_where_texts_are_read(spark, tmp_path):
+    from sheafline.operators import stored_index
+
+    rows = [(1, "a1 b2 a1"), (2, "b2 c3"), (1, "b2 a1"), (1, "c3 a1 a1"), (3, None), (None, "a1"), (None, "a1 b2"), (4, "a1 c3")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    single = docs.where("id > 1").union(docs.where("id = 1").limit(1))
+    assert "Exchange hashpartitioning(token" not in stored_index._blocks(single, 2)._jdf.queryExecution().executedPlan().toString()
+    asked = spark.createDataFrame([(1, "a1"), (2, "b2 c3")], "qid int, question string")
+    held = StoredIndex(spark, f"{tmp_path}/several").build(docs, 2, 4)
+    assert set(spark.read.parquet(f"{held.path}/blocks").columns) == {"token", "range", "most", "ids", "tfs", "dls", "bucket"}
+    want = {tuple(r) for r in retrieve.bm25(index.build(docs, "id", "text"), asked, 9).collect()}
+    assert {tuple(r) for r in held.search(asked, 9, first=1).collect()} == want and len(want) == 7
