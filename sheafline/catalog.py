@@ -500,7 +500,7 @@ def _levels(t: Table) -> tuple[DataFrame, levels.Hierarchy]:
     """Documents under their languages and sources, and these under their languages; two levels of summaries."""
     docs = t("documents").join(t("labels").select("doc_id", "quality"), "doc_id", "left")
     rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("no"), F.coalesce("text", F.lit("")).alias("text"), "lang", "source", F.coalesce("quality", F.lit(0)).cast("double").alias("importance"))
-    leaves = saved(rows.join(embedders.dense(rows), "id", "left").withColumn("document", F.col("id")), "leaves")
+    leaves = saved(embedders.with_dense(rows).withColumn("document", F.col("id")), "leaves")
 
     def once(below: DataFrame) -> DataFrame:
         own = leaves.select("id", F.concat(F.coalesce("lang", F.lit("")), F.lit("|"), F.coalesce("source", F.lit(""))).alias("made"))
@@ -535,7 +535,7 @@ def hierarchy_leaves(t: Table) -> DataFrame:
 def summary_texts(t: Table) -> DataFrame:
     """The four summarisers on the documents of every source; each is tested against a loop."""
     rows = t("documents").select(F.col("doc_id").alias("id"), F.coalesce("source", F.lit("")).alias("group"), F.coalesce("text", F.lit("")).alias("text"))
-    held = saved(rows.join(embedders.dense(rows), "id").select("group", F.col("id").alias("no"), "text", "vec", F.col("id").cast("string").alias("document")), "members")
+    held = saved(embedders.with_dense(rows).where("vec is not null").select("group", F.col("id").alias("no"), "text", "vec", F.col("id").cast("string").alias("document")), "members")
     terms = saved(index.build(rows, "id", "text").terms, "terms")
     out = [make(held, terms).select(F.lit(name).alias("summariser"), "group", "text") for name, make in levels.SUMMARISERS.items()]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])

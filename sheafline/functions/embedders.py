@@ -11,8 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .text import normalize, tokens
+from .text import ascii_tokens, normalize, tokens
 from .vectors import ASCII_HASH_SLOTS, hash_slots
 
 #: Slots of the two embedders whose hash is BLAKE2b.
@@ -116,3 +117,41 @@ def dense(rows: DataFrame, embedder: str = "ascii-hash") -> DataFrame:
     sparse = EMBEDDERS[embedder](rows.select("id", "text"), "id", "text")
     whole = sparse.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "weight"))).alias("m"))  # a number for each slot at most
     return whole.select("id", F.transform(F.sequence(F.lit(0), F.lit(SLOTS[embedder] - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("vec"))
+
+
+def with_dense(rows: DataFrame) -> DataFrame:
+    """Rows (id, text and others) with ``vec``, their ASCII-hash embedding as dense() has it; null for a text without any.
+
+    Vectors are made where the rows are read; only if an id has several rows, or is null, they are joined.
+    """
+    if not rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").isEmpty():
+        return rows.join(dense(rows), "id", "left")
+    size = SLOTS["ascii-hash"]
+
+    def run(batches):
+        known: dict = {}
+        for batch in batches:
+            words = batch.column("_tokens")
+            coded = words.flatten().dictionary_encode()
+            if len(known) > REMEMBERED:
+                known.clear()
+            slots = np.zeros(len(coded.dictionary), np.int64)
+            for i, t in enumerate(coded.dictionary.to_pylist()):
+                slot = known.get(t)
+                if slot is None:
+                    slot = known[t] = hashlib.md5(t.encode()).digest()[-1] % size
+                slots[i] = slot
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+            cells = row * size + slots[coded.indices.to_numpy(zero_copy_only=False)]
+            m = np.bincount(cells.astype(np.int64), minlength=batch.num_rows * size).reshape(batch.num_rows, size).astype(np.float64)
+            norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+            full = norm[:, 0] > 0
+            flat = (m[full] / norm[full]).ravel()
+            vec = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(full * size)].astype(np.int32)), pa.array(flat), mask=pa.array(~full))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], vec], [*names, "vec"])
+
+    names = rows.columns
+    schema = T.StructType([*rows.schema.fields, T.StructField("vec", T.ArrayType(T.DoubleType()))])
+    for f in schema.fields:
+        f.nullable = True
+    return rows.withColumn("_tokens", ascii_tokens(F.col("text"))).mapInArrow(run, schema)

@@ -10,6 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,11 +23,16 @@ from ..plans.config import IndexConfig
 from . import dense, hierarchy, index
 from .groups import with_running
 from .saved import saved
+from .sizes import small
 
 #: Characters of a summary.
 BUDGET = 900
 #: Sentences of a group that one step of lead_idf() looks at.
 PORTION = 200
+#: Terms of the smallest idf whose idf every task knows.
+KNOWN_TERMS = 100_000
+#: How many times more sentences set the next floor of lead_idf().
+GROWTH = 8
 
 # ---------------------------------------------------------------- summaries
 
@@ -46,14 +54,21 @@ def _mean_of(members: DataFrame) -> DataFrame:
     return whole.select("group", F.when(size > 1e-12, F.transform("mean", lambda x: x / size)).otherwise(F.col("mean")).alias("mean"))
 
 
+def _texts_of(chosen: DataFrame, members: DataFrame) -> DataFrame:
+    """(group, place, text) of chosen members (group, no, place): texts are read again for these alone."""
+    chosen = small(saved(chosen, "chosen"))
+    return members.select("group", "no", "text").join(chosen, ["group", "no"]).groupBy("group", "place").agg(F.max("text").alias("text"))
+
+
 def centroid(members: DataFrame, budget: int = BUDGET) -> DataFrame:
     """(group, text): members' texts by their product with the group's normalised mean, ties by no, as far as they fit.
 
     members: group, no, text, vec. Empty texts are passed over, so no more than ``budget`` + 1 can be taken.
     """
-    scored = members.join(_mean_of(members), "group").withColumn("score", F.round(dot(F.col("vec"), F.col("mean")), 9)).where("text <> ''")
+    scored = members.where("text <> ''").join(_mean_of(members), "group")
     place = F.row_number().over(W.partitionBy("group").orderBy(F.desc("score"), "no"))
-    return _fitted(scored.select("group", "text", place.alias("place")).where(F.col("place") <= budget + 1), budget)
+    best = scored.select("group", "no", F.round(dot(F.col("vec"), F.col("mean")), 9).alias("score")).select("group", "no", place.alias("place")).where(F.col("place") <= budget + 1)
+    return _fitted(_texts_of(best, members), budget)
 
 
 def mmr(members: DataFrame, budget: int = BUDGET, weight: float = 0.5) -> DataFrame:
@@ -61,20 +76,21 @@ def mmr(members: DataFrame, budget: int = BUDGET, weight: float = 0.5) -> DataFr
 
     Relevance is the product with the group's normalised mean; the first member is the most
     relevant; ties by no. All groups take a step at a time; a step is one maximum over members, so
-    a group of any size is worked on by many tasks, and there are as many steps as texts fit.
+    a group of any size is worked on by many tasks, and there are as many steps as texts fit. Steps carry
+    lengths of texts; those that were taken are read at the end.
     """
-    rows = members.where("text <> ''").select("group", "no", "text", "vec")
-    state = saved(rows.join(_mean_of(members), "group").select("group", "no", "text", "vec", F.round(dot(F.col("vec"), F.col("mean")), 9).alias("rel"), F.lit(None).cast("double").alias("like")), "mmr")
+    rows = members.where("text <> ''").select("group", "no", F.length("text").alias("size"), "vec")
+    state = saved(rows.join(_mean_of(members), "group").select("group", "no", "size", "vec", F.round(dot(F.col("vec"), F.col("mean")), 9).alias("rel"), F.lit(None).cast("double").alias("like")), "mmr")
     taken, step = None, 0
     while True:
         score = F.when(F.col("like").isNull(), F.col("rel")).otherwise(F.round(weight * F.col("rel") - (1 - weight) * F.col("like"), 9))
-        best = state.groupBy("group").agg(F.max_by(F.struct("no", "text", "vec"), F.struct(score, -F.col("no"))).alias("b")).select("group", "b.*")
+        best = state.groupBy("group").agg(F.max_by(F.struct("no", "size", "vec"), F.struct(score, -F.col("no"))).alias("b")).select("group", "b.*")
         best = best.withColumn("place", F.lit(step))
-        used = taken.groupBy("group").agg(F.sum(F.length("text")).alias("used")) if taken is not None else None
-        best = saved(best if used is None else best.join(used, "group").where(F.col("used") + F.length("text") <= budget).drop("used"), "mmr")
+        used = taken.groupBy("group").agg(F.sum("size").alias("used")) if taken is not None else None
+        best = saved(best if used is None else best.join(used, "group").where(F.col("used") + F.col("size") <= budget).drop("used"), "mmr")
         if best.isEmpty():
             break
-        picked = best.select("group", "place", "text", "no")
+        picked = best.select("group", "place", "size", "no")
         taken = saved(picked if taken is None else taken.unionByName(picked), "mmr")
         # groups that go on, without what they took
         new = best.select("group", F.col("no").alias("last"), F.col("vec").alias("its"))
@@ -82,8 +98,46 @@ def mmr(members: DataFrame, budget: int = BUDGET, weight: float = 0.5) -> DataFr
         state = saved(state, "mmr")
         step += 1
     if taken is None:
-        return rows.select("group", "text").limit(0)
-    return _fitted(taken.select("group", "place", "text"), budget)
+        return members.select("group", "text").limit(0)
+    return _fitted(_texts_of(taken.select("group", "no", "place"), members.where("text <> ''")), budget)
+
+
+def _bounds(members: DataFrame, terms: DataFrame) -> DataFrame:
+    """(group, no, at, most): of each sentence with tokens what lead_idf() can score it at most. Frequent tokens count their idf, others the largest there is."""
+    most = max(0.0, terms.agg(F.max("idf").alias("m")).first().m or 0.0)
+    known = terms.select("token", "idf").orderBy("idf", "token").limit(KNOWN_TERMS).toArrow()
+    shared = members.sparkSession.sparkContext.broadcast((known.column("token").combine_chunks(), np.r_[known.column("idf").to_numpy(), most]))
+    texts = members.select("group", "no", F.transform(sentences(F.col("text")), lambda t: F.array_distinct(tokens(t))).alias("tokens"))
+
+    def run(batches):
+        names, idf = shared.value
+        for batch in batches:
+            cut = batch.column("tokens")
+            counts = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+            words = cut.flatten()
+            sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = words.flatten().dictionary_encode()
+            weight = idf[pc.index_in(coded.dictionary, names).fill_null(len(names)).to_numpy(zero_copy_only=False)]
+            bound = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=weight[coded.indices.to_numpy(zero_copy_only=False)], minlength=len(sizes))
+            row = np.repeat(np.arange(len(counts)), counts)
+            at = np.arange(len(row)) - (np.cumsum(counts) - counts)[row]
+            full = np.flatnonzero(sizes)
+            picked = pa.array(row[full])
+            yield pa.RecordBatch.from_arrays([batch.column("group").take(picked), batch.column("no").take(picked), pa.array(at[full].astype(np.int32)), pa.array(bound[full])], ["group", "no", "at", "most"])
+
+    kinds = dict(members.dtypes)
+    return texts.mapInArrow(run, f"group {kinds['group']}, no {kinds['no']}, at int, most double")
+
+
+def _graded(chosen: DataFrame, members: DataFrame, terms: DataFrame) -> DataFrame:
+    """(group, no, at, sentence, tokens, score) of chosen sentences (group, no, at); of equal ones in a group the first."""
+    texts = members.select("group", "no", "text").join(small(saved(chosen.select("group", "no").distinct(), "lead")), ["group", "no"], "left_semi")
+    cut = texts.select("group", "no", F.posexplode(sentences(F.col("text"))).alias("at", "sentence")).join(small(chosen.select("group", "no", "at")), ["group", "no", "at"], "left_semi")
+    first = cut.groupBy("group", "sentence").agg(F.min(F.struct("no", "at")).alias("f")).select("group", "f.no", "f.at", "sentence", F.array_distinct(tokens(F.col("sentence"))).alias("tokens"))
+    first = saved(first, "lead")
+    weights = first.select("group", "no", "at", F.explode("tokens").alias("token")).join(terms.select("token", "idf"), "token", "left")
+    weights = weights.groupBy("group", "no", "at").agg(F.round(F.sum(F.coalesce("idf", F.lit(0.0))), 6).alias("score"))
+    return saved(first.join(weights, ["group", "no", "at"]), "lead")
 
 
 def lead_idf(members: DataFrame, terms: DataFrame, budget: int = BUDGET, portion: int = PORTION) -> DataFrame:
@@ -93,33 +147,51 @@ def lead_idf(members: DataFrame, terms: DataFrame, budget: int = BUDGET, portion
     that would go beyond the budget ends the group, but for its first one. A group's sentences are taken in
     portions of the best ones left, and what was seen is carried on, so no group is gathered whole. Without a sentence
     that has tokens, a group has its texts as far as they fit.
+
+    Only sentences that can be among the best are graded: the least score of those of the largest bounds is a floor, and
+    all whose bound reaches it are graded. Groups that are not done above their floor go on with a lower one, down to all sentences.
     """
-    cut = members.select("group", "no", F.posexplode(sentences(F.col("text"))).alias("at", "sentence"))
-    cut = cut.withColumn("tokens", F.array_distinct(tokens(F.col("sentence")))).where(F.size("tokens") > 0)
-    # equal sentences of a group: all but the first have nothing new
-    first = cut.groupBy("group", "sentence").agg(F.min(F.struct("no", "at")).alias("f"), F.first("tokens").alias("tokens")).select("group", "f.no", "f.at", "sentence", "tokens")
-    weights = first.select("group", "no", "at", F.explode("tokens").alias("token")).join(terms.select("token", "idf"), "token", "left")
-    weights = weights.groupBy("group", "no", "at").agg(F.round(F.sum(F.coalesce("idf", F.lit(0.0))), 6).alias("score"))
-    left = saved(first.join(weights, ["group", "no", "at"]), "lead")
-    states = saved(left.select("group").distinct().select("group", F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("taken"), F.lit(0).alias("used")), "lead")
+    bounds = saved(_bounds(members, terms), "lead")
+    states = saved(bounds.select("group").distinct().select("group", F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("taken"), F.lit(0).alias("used")), "lead")
     told: DataFrame | None = None
     order = W.partitionBy("group").orderBy(F.desc("score"), "no", "at")
+    floors, size = states.select("group", F.lit(None).cast("double").alias("above")), portion
     while not states.isEmpty():
-        best = left.withColumn("place", F.row_number().over(order)).where(F.col("place") <= portion)
-        held = best.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("place", "sentence", "tokens"))).alias("p"), F.count("*").alias("n"), F.max_by(F.struct("score", "no", "at"), "place").alias("last"))
-        fold = F.expr(f"""aggregate(p, named_struct('seen', seen, 'taken', taken, 'used', used, 'done', false), (a, x) ->
-          if(a.done or size(array_except(x.tokens, a.seen)) = 0, a,
-            if(size(a.taken) > 0 and a.used + length(x.sentence) > {budget}, named_struct('seen', a.seen, 'taken', a.taken, 'used', a.used, 'done', true),
-              named_struct('seen', array_union(a.seen, x.tokens), 'taken', concat(a.taken, array(x.sentence)), 'used', a.used + length(x.sentence), 'done', false))))""")
-        now = saved(states.join(held, "group", "left").withColumn("p", F.coalesce("p", F.expr("filter(array(named_struct('place', 0, 'sentence', '', 'tokens', array(''))), x -> false)"))).withColumn("a", fold), "lead")
-        over = F.col("a.done") | (F.coalesce("n", F.lit(0)) < portion)
-        done = now.where(over).select("group", F.array_join("a.taken", " ").alias("text"))
-        told = done if told is None else told.unionByName(done)
-        states = now.where(~over).select("group", "a.seen", "a.taken", "a.used")
-        # what is behind the last one looked at
-        ends = now.where(~over).select("group", F.col("last.score").alias("s"), F.col("last.no").alias("n1"), F.col("last.at").alias("a1"))
-        left = saved(left.join(ends, "group").where("score < s or score = s and (no > n1 or no = n1 and at > a1)").drop("s", "n1", "a1"), "lead")
-        states = saved(states, "lead")
+        # equal sentences have equal bounds, so one of each bound
+        mine = bounds.join(F.broadcast(states.select("group")), "group", "left_semi")
+        top = mine.groupBy("group", "most").agg(F.min(F.struct("no", "at")).alias("f"))
+        top = top.withColumn("place", F.row_number().over(W.partitionBy("group").orderBy(F.desc("most")))).where(F.col("place") <= size)
+        least = _graded(saved(top.select("group", "f.no", "f.at"), "lead"), members, terms).groupBy("group").agg(F.min("score").alias("least"))
+        counts = top.groupBy("group").agg(F.count("*").alias("n"))
+        floors = saved(floors.join(counts, "group").join(least, "group").select("group", "above", F.when(F.col("n") >= size, F.col("least")).alias("floor")), "lead")
+        wanted = mine.join(F.broadcast(floors), "group").where("floor is null or most >= floor - 0.00001")
+        left = _graded(saved(wanted.select("group", "no", "at"), "lead"), members, terms)
+        left = left.join(F.broadcast(floors), "group").where("(floor is null or score >= floor) and (above is null or score < above)").drop("above", "floor")
+        waiting: DataFrame | None = None
+        while not states.isEmpty():
+            best = left.withColumn("place", F.row_number().over(order)).where(F.col("place") <= portion)
+            held = best.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("place", "sentence", "tokens"))).alias("p"), F.count("*").alias("n"), F.max_by(F.struct("score", "no", "at"), "place").alias("last"))
+            fold = F.expr(f"""aggregate(p, named_struct('seen', seen, 'taken', taken, 'used', used, 'done', false), (a, x) ->
+              if(a.done or size(array_except(x.tokens, a.seen)) = 0, a,
+                if(size(a.taken) > 0 and a.used + length(x.sentence) > {budget}, named_struct('seen', a.seen, 'taken', a.taken, 'used', a.used, 'done', true),
+                  named_struct('seen', array_union(a.seen, x.tokens), 'taken', concat(a.taken, array(x.sentence)), 'used', a.used + length(x.sentence), 'done', false))))""")
+            now = states.join(held, "group", "left").withColumn("p", F.coalesce("p", F.expr("filter(array(named_struct('place', 0, 'sentence', '', 'tokens', array(''))), x -> false)"))).withColumn("a", fold)
+            now = saved(now.join(floors.select("group", "floor"), "group"), "lead")
+            none = F.coalesce("n", F.lit(0)) < portion
+            over = F.col("a.done") | (none & F.col("floor").isNull())
+            done = now.where(over).select("group", F.array_join("a.taken", " ").alias("text"))
+            told = done if told is None else told.unionByName(done)
+            later = now.where(~over & none).select("group", "a.seen", "a.taken", "a.used")
+            waiting = later if waiting is None else waiting.unionByName(later)
+            states = saved(now.where(~over & ~none).select("group", "a.seen", "a.taken", "a.used"), "lead")
+            if states.isEmpty():
+                break
+            # what is behind the last one looked at
+            ends = now.where(~over & ~none).select("group", F.col("last.score").alias("s"), F.col("last.no").alias("n1"), F.col("last.at").alias("a1"))
+            left = saved(left.join(ends, "group").where("score < s or score = s and (no > n1 or no = n1 and at > a1)").drop("s", "n1", "a1"), "lead")
+        states = saved(waiting, "lead") if waiting is not None else states
+        floors = floors.join(states.select("group"), "group", "left_semi").select("group", F.col("floor").alias("above"))
+        size *= GROWTH
     bare = members.where("text <> ''")
     bare = bare if told is None else bare.join(told.where("text <> ''"), "group", "left_anti")
     place = F.row_number().over(W.partitionBy("group").orderBy("no"))
