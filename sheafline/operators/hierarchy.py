@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,11 +14,35 @@ from pyspark.sql import functions as F
 from .index import Index
 from .saved import saved
 
+#: Frequent tokens whose df every task of rare_terms() knows.
+KNOWN_TERMS = 100_000
+#: Chunks of a block of lexical_edges().
+EDGE_BLOCK = 8192
+#: Pairs that a task of lexical_edges() adds up at a time, but for those of one chunk.
+PAIRS = 1 << 21
+
 
 def rare_terms(index: Index, top: int = 12) -> DataFrame:
-    """(id, token, idf, place): each chunk's rarest tokens, ties by token."""
-    rows = index.postings.join(index.terms, "token")
+    """(id, token, idf, place): each chunk's rarest tokens, ties by token.
+
+    Every task knows the most frequent tokens. A batch's postings of them are passed over where a chunk has ``top`` others
+    in it, all of them rarer; only what is left is joined with the terms and ordered.
+    """
+    terms = saved(index.terms.select("token", "df", "idf"), "terms")
+    known = terms.orderBy(F.desc("df"), F.desc("token")).limit(KNOWN_TERMS).select("token").toArrow().column("token").combine_chunks()
+    shared = index.postings.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches):
+        known = shared.value
+        for batch in batches:
+            others = ~pc.is_in(batch.column("token"), known).to_numpy(zero_copy_only=False)
+            row = batch.column("id").dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            few = np.bincount(row, weights=others, minlength=1) < top
+            yield batch.filter(pa.array(others | few[row]))
+
+    kept = index.postings.select("id", "token").mapInArrow(run, f"id {dict(index.postings.dtypes)['id']}, token string")
     order = W.partitionBy("id").orderBy("df", "token")
+    rows = kept.join(terms, "token")
     return rows.select("id", "token", F.round("idf", 6).alias("idf"), F.row_number().over(order).alias("place")).where(F.col("place") <= top)
 
 
@@ -27,12 +54,70 @@ def surviving_terms(rare: DataFrame, stats: DataFrame) -> DataFrame:
     return rare.join(kept, "token", "left_semi")
 
 
+def _written(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as stream:
+        stream.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _pairs(chunks: pa.Table, lists: pa.Table):
+    """(a, b, weight): of a block's rows (id, token, micro) with the lists (word, ids) of their tokens, a slice of chunks at a time."""
+    place = pc.index_in(chunks.column("token"), lists.column("word")).to_numpy(zero_copy_only=False)
+    held = lists.column("ids").combine_chunks()
+    sizes = pc.list_value_length(held).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts, ids = np.cumsum(sizes) - sizes, held.flatten().to_numpy(zero_copy_only=False)
+    own, micro = chunks.column("id").to_numpy(), chunks.column("micro").to_numpy()
+    order = np.argsort(own, kind="stable")
+    own, micro, place = own[order], micro[order], place[order].astype(np.int64)
+    # lists are in order of ids: only what is behind one's own
+    ends = starts[place] + sizes[place]
+    begins = np.fromiter((x + np.searchsorted(ids[x:y], o, "right") for x, y, o in zip(starts[place], ends, own, strict=True)), np.int64, len(own))
+    many = ends - begins
+    upto = np.r_[0, np.cumsum(many)]
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+    edges = np.r_[first, len(own)]
+    i = 0
+    while i < len(first):
+        j = max(i + 1, int(np.searchsorted(upto[edges], upto[edges[i]] + PAIRS, "right")) - 1)
+        p, q = edges[i], edges[j]
+        n = many[p:q]
+        if n.sum():
+            at = np.arange(int(n.sum())) + np.repeat(begins[p:q] - (np.cumsum(n) - n), n)
+            x, y, w = np.repeat(own[p:q], n), ids[at], np.repeat(micro[p:q], n)
+            by = np.lexsort((y, x))
+            x, y, w = x[by], y[by], w[by]
+            new = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+            yield pa.RecordBatch.from_arrays([pa.array(x[new]), pa.array(y[new]), pa.array(np.add.reduceat(w, new))], ["a", "b", "micro"])
+        i = j
+
+
 def lexical_edges(rare: DataFrame, stats: DataFrame) -> DataFrame:
-    """(a, b, weight): chunks by the idf of the rare terms they share, a < b; terms of many chunks join none."""
-    rare = surviving_terms(rare, stats)
-    x = rare.select("token", "idf", F.col("id").alias("a"))
-    y = rare.select("token", F.col("id").alias("b"))
-    return x.join(y, "token").where("a < b").groupBy("a", "b").agg(F.round(F.sum("idf"), 6).alias("weight"))
+    """(a, b, weight): chunks by the idf of the rare terms they share, a < b; terms of many chunks join none. Ids are whole numbers.
+
+    Chunks are dealt into blocks, and a token's list of chunks is sent once to each block that has the token. A block adds up its
+    pairs in slices, so pairs, of which there may be more than rows squared over fifty, are never shuffled or held at once.
+    """
+    rare = saved(surviving_terms(rare, stats).where("id is not null").groupBy("id", "token").agg(F.sum(F.expr("cast(round(idf * 1000000) as long)")).alias("micro"), F.count("*").alias("times")), "rare")
+    n = rare.select("id").distinct().count()
+    block = F.pmod(F.xxhash64("id"), F.lit(max(8, math.ceil(n / EDGE_BLOCK)))).cast("int")
+    lists = rare.groupBy("token").agg(F.array_sort(F.flatten(F.collect_list(F.array_repeat(F.col("id").cast("long"), F.col("times").cast("int"))))).alias("ids"))
+    mine = rare.select(block.alias("block"), F.col("id").cast("long").alias("id"), "token", "micro")
+    sent = mine.select("block", "token").distinct().join(lists.where("size(ids) > 1"), "token").select(F.col("block").alias("to"), F.col("token").alias("word"), "ids")
+
+    def pack(chunks: pa.Table, lists: pa.Table) -> pa.Table:
+        chunks = chunks.filter(pc.is_in(chunks.column("token"), pc.unique(lists.column("word"))))
+        return pa.table({"chunks": [_written(chunks.select(["id", "token", "micro"]))], "lists": [_written(lists.select(["word", "ids"]))]})
+
+    def pairs(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                yield from _pairs(*[pa.ipc.open_stream(batch.column(c)[r].as_buffer()).read_all() for c in ("chunks", "lists")])
+
+    packed = mine.groupBy("block").cogroup(sent.groupBy("to")).applyInArrow(pack, "chunks binary, lists binary")
+    found = packed.mapInArrow(pairs, "a long, b long, micro long")
+    kind = dict(rare.dtypes)["id"]
+    return found.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), F.round(F.col("micro") / 1000000, 6).alias("weight"))
 
 
 def knn_edges(ranking: DataFrame) -> DataFrame:
