@@ -31,15 +31,20 @@ def bucket(piece: str, slots: int) -> int:
 REMEMBERED = 1 << 17
 #: Rows of a batch that leaves a task at once.
 ROWS = 1 << 17
+#: Letters or tokens, and texts, that a task counts at once; a longer text is counted in parts.
+STEP, STEP_TEXTS = 1 << 20, 1 << 10
 
 
-def _summed(ids: pa.Array, rows: np.ndarray, slots: np.ndarray, counts: np.ndarray, n_slots: int):
-    """Batches (id, slot, n) of what rows of ``ids`` have in each slot."""
-    cells, at = np.unique(rows * n_slots + slots, return_inverse=True)
-    total = np.bincount(at, weights=counts, minlength=len(cells)).astype(np.int64)
-    for i in range(0, len(cells), ROWS):
-        part = cells[i : i + ROWS]
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(part // n_slots)), pa.array((part % n_slots).astype(np.int32)), pa.array(total[i : i + ROWS])], ["id", "slot", "n"])
+def _portions(sizes: np.ndarray):
+    """(first, end) of rows that together have STEP letters or tokens at most, or of one row that has more."""
+    first, total = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > first and (total + size > STEP or i - first >= STEP_TEXTS):
+            yield first, i
+            first, total = i, 0
+        total += size
+    if len(sizes):
+        yield first, len(sizes)
 
 
 def _slots(known: dict, keys: list, piece, n_slots: int) -> np.ndarray:
@@ -51,10 +56,36 @@ def _slots(known: dict, keys: list, piece, n_slots: int) -> np.ndarray:
     return np.fromiter((known[k] for k in keys), np.int64, len(keys))
 
 
-def _weighted(texts: DataFrame, run, id_column: str, weight: str) -> DataFrame:
-    """(id_column, slot, weight) from what ``run`` counts of each text where it is read; rows of one id are summed, null ids are left out."""
-    counts = texts.where("id is not null").mapInArrow(run, f"id {dict(texts.dtypes)['id']}, slot int, n long").repartition("id").groupBy("id", "slot").agg(F.sum("n").cast("double").alias("n"))
-    counts = counts.select("id", "slot", F.expr(weight).alias("w"))
+def _weighted(texts: DataFrame, size, count, n_slots: int, id_column: str, damped: bool) -> DataFrame:
+    """(id_column, slot, weight) of texts (id, text), null ids left out; a weight is 1 + ln(count) if damped, else the count.
+
+    size(column) has the letters or tokens of each text, count(known, column) the numbers of a portion's texts by slots.
+    Texts are counted and weighted where they are read; only if an id has several rows, their counts are shuffled and summed first.
+    """
+    texts = texts.where("id is not null")
+    several = not texts.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    last, kind = ("n", pa.int64()) if several else ("weight", pa.float64())
+
+    def run(batches):
+        known: dict = {}
+        for batch in batches:
+            for first, end in _portions(size(batch.column("text")).to_numpy(zero_copy_only=False)):
+                ids, found = batch.column("id").slice(first, end - first), count(known, batch.column("text").slice(first, end - first))
+                rows, slots = np.nonzero(found)
+                values = found[rows, slots]
+                if not several:
+                    w = 1 + np.log(values) if damped else values.astype(np.float64)
+                    values = w / np.sqrt(np.bincount(rows, w * w, len(ids)))[rows]
+                for i in range(0, len(rows), ROWS):
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(rows[i : i + ROWS])), pa.array(slots[i : i + ROWS].astype(np.int32)), pa.array(values[i : i + ROWS], kind)], ["id", "slot", last]
+                    )
+
+    made = texts.mapInArrow(run, f"id {dict(texts.dtypes)['id']}, slot int, {last} {'long' if several else 'double'}")
+    if not several:
+        return made.withColumnRenamed("id", id_column)
+    counts = made.repartition("id").groupBy("id", "slot").agg(F.sum("n").cast("double").alias("n"))
+    counts = counts.select("id", "slot", F.expr("1 + ln(n)" if damped else "n").alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id")))  # a number for each slot at most
     return counts.select(F.col("id").alias(id_column), "slot", (F.col("w") / norm).alias("weight"))
 
@@ -62,49 +93,55 @@ def _weighted(texts: DataFrame, run, id_column: str, weight: str) -> DataFrame:
 def token_hash(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """Tokens of any script in 512 slots, 1 + ln(count) each; a text without tokens has no vector."""
 
-    def run(batches):
-        known: dict = {}
-        for batch in batches:
-            coded = batch.column("tokens").flatten().dictionary_encode()
-            slots = _slots(known, coded.dictionary.to_pylist(), str, TOKEN_SLOTS)
-            codes = coded.indices.to_numpy(zero_copy_only=False)
-            rows = pc.list_parent_indices(batch.column("tokens")).to_numpy(zero_copy_only=False)
-            yield from _summed(batch.column("id"), rows.astype(np.int64), slots[codes] if len(codes) else codes.astype(np.int64), np.ones(len(codes)), TOKEN_SLOTS)
+    def count(known, words):
+        found = np.zeros(len(words) * TOKEN_SLOTS, np.int64)
+        flat = words.flatten()
+        rows = np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+        for i in range(0, len(flat), STEP):
+            coded = flat.slice(i, STEP).dictionary_encode()
+            slots = _slots(known, coded.dictionary.to_pylist(), str, TOKEN_SLOTS)[coded.indices.to_numpy(zero_copy_only=False)]
+            found += np.bincount(rows[i : i + STEP] * TOKEN_SLOTS + slots, minlength=len(found))
+        return found.reshape(len(words), TOKEN_SLOTS)
 
-    return _weighted(docs.select(F.col(id_column).alias("id"), tokens(F.col(text_column)).alias("tokens")), run, id_column, "1 + ln(n)")
+    return _weighted(docs.select(F.col(id_column).alias("id"), tokens(F.col(text_column)).alias("text")), pc.list_value_length, count, TOKEN_SLOTS, id_column, True)
 
 
 def char_hash(docs: DataFrame, id_column: str, text_column: str, n: int = 4) -> DataFrame:
     """Sequences of n characters in 1024 slots, by count; a shorter text is its own only one."""
-
-    def run(batches):
-        known: dict = {}
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
-            letters, at = np.unique(points, return_inverse=True)
-            ends = np.cumsum(sizes)
-            found = np.maximum(sizes - n + 1, 0)
-            rows = np.repeat(np.arange(len(texts)), found)
-            starts = np.arange(int(found.sum())) + np.repeat(ends - sizes - (np.cumsum(found) - found), found)
+    letters_of = lambda key: key.decode("utf-32-le", "surrogatepass")
+
+    def count(known, column):
+        texts = column.to_pylist()
+        ends = np.cumsum([0, *map(len, texts)])
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        found = np.zeros(len(texts) * CHAR_SLOTS, np.int64)
+        for low in range(0, len(points), STEP):
+            part = points[low : low + STEP + n - 1]
+            rows = np.repeat(np.arange(len(texts)), np.diff(np.clip(ends, low, low + STEP)))
+            starts = np.flatnonzero(np.arange(low + n, low + n + len(rows)) <= ends[rows + 1])
+            if not len(starts):
+                continue
+            at = (np.cumsum(np.bincount(part) > 0) - 1)[part]
             # a sequence's number grows letter by letter; before it could be too large, the numbers so far are made small
-            codes, span, base = np.zeros(len(starts), np.int64), 1, max(1, len(letters))
+            codes, span, base = np.zeros(len(starts), np.int64), 1, int(at.max()) + 1
             for i in range(n):
                 if span * base >= 1 << 62:
-                    held, codes = np.unique(codes, return_inverse=True)
-                    span = len(held)
+                    held = pa.array(codes).dictionary_encode()
+                    codes, span = held.indices.to_numpy().astype(np.int64), len(held.dictionary)
                 codes, span = codes * base + at[starts + i], span * base
-            _, first, codes = np.unique(codes, return_index=True, return_inverse=True)
-            pieces = [points[s : s + n].tobytes().decode("utf-32-le", "surrogatepass") for s in starts[first]]
-            slots = _slots(known, pieces, str, CHAR_SLOTS)[codes]
-            short = [i for i, t in enumerate(texts) if 0 < len(t) < n]
-            rows = np.r_[rows, np.array(short, np.int64)]
-            slots = np.r_[slots, _slots(known, [texts[i] for i in short], str, CHAR_SLOTS)]
-            yield from _summed(batch.column("id"), rows, slots, np.ones(len(rows)), CHAR_SLOTS)
+            held = pa.array(codes).dictionary_encode()
+            codes, one = held.indices.to_numpy(), np.empty(len(held.dictionary), np.int64)
+            one[codes] = starts  # some place of each sequence
+            raw = part[one[:, None] + np.arange(n)].tobytes()
+            slots = _slots(known, [raw[i : i + 4 * n] for i in range(0, len(raw), 4 * n)], letters_of, CHAR_SLOTS)
+            found += np.bincount(rows[starts] * CHAR_SLOTS + slots[codes], minlength=len(found))
+        for i, t in enumerate(texts):
+            if 0 < len(t) < n:
+                found[i * CHAR_SLOTS + bucket(t, CHAR_SLOTS)] += 1
+        return found.reshape(len(texts), CHAR_SLOTS)
 
     text = F.lower(normalize(F.coalesce(F.col(text_column), F.lit(""))))
-    return _weighted(docs.select(F.col(id_column).alias("id"), text.alias("text")), run, id_column, "n")
+    return _weighted(docs.select(F.col(id_column).alias("id"), text.alias("text")), pc.utf8_length, count, CHAR_SLOTS, id_column, False)
 
 
 #: By the name that a configuration gives.
