@@ -354,15 +354,10 @@ def extractive_answer(t: Table) -> DataFrame:
 
 @query()
 def drill_down(t: Table) -> DataFrame:
-    """The two best sources of every question as summaries, each with its best covered documents."""
-    ix = _asked_index(t)
-    found = retrieve.bm25(ix, _questions(t), 40)
-    owners = t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("doc"))
-    kept = retrieve.first_documents(found, owners).where("place <= 2").select("qid", F.col("doc").alias("id"), F.col("place").alias("rank"))
-    held = found.join(owners, "id").select("qid", F.col("id").cast("string").alias("id"), "doc")
-    members = held.groupBy(F.col("doc").alias("id")).agg(F.collect_set(F.col("id")).alias("member_ids"))  # of the candidates
-    cover = retrieve.idf_coverage(ix, _questions(t), found).withColumn("id", F.col("id").cast("string"))
-    return retrieve.drill_down(kept, members, cover, 3)
+    """The two best sources of every question as summaries, each by the best of all its documents, and behind each the three best covered of all its documents."""
+    ix = index.build(t("documents"), "doc_id", "text", retrieve.wanted_terms(_questions(t)), "source")
+    kept = retrieve.best_owners(ix, _questions(t), 2)
+    return retrieve.drill_down(kept, retrieve.covered_members(ix, _questions(t), kept, 3), 3)
 
 
 # ------------------------------------------------------------------ vectors

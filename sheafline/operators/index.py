@@ -26,12 +26,14 @@ class Index:
     """postings (id, token, tf, dl), terms (token, df, idf), stats (n, avg_len: one row).
 
     held: (id, dl, tokens) of each text, of an index for questions whose ids are distinct; tokens are those asked for.
+    owners: (id, owner) of the texts that have an owner, if one was named; held has it as a further column then.
     """
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
     held: DataFrame | None = None
+    owners: DataFrame | None = None
 
 
 #: Tokens asked for that are named in the plan; beyond, they are joined.
@@ -59,7 +61,7 @@ def _counted(texts: DataFrame) -> DataFrame:
 
 
 def _kept(texts: DataFrame, names: list[str]) -> DataFrame:
-    """(id, dl, tokens) with the tokens among ``names`` alone."""
+    """(id, dl, tokens and others) with the tokens among ``names`` alone."""
     known = pa.array(names, pa.string())
 
     def run(batches):
@@ -70,24 +72,26 @@ def _kept(texts: DataFrame, names: list[str]) -> DataFrame:
             upto = np.r_[0, np.cumsum(good.to_numpy(zero_copy_only=False))]
             ends = np.r_[0, np.cumsum(pc.list_value_length(tokens).to_numpy(zero_copy_only=False))].astype(np.int64)
             held = pa.ListArray.from_arrays(pa.array(upto[ends].astype(np.int32)), flat.filter(good))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("dl"), held], ["id", "dl", "tokens"])
+            yield pa.RecordBatch.from_arrays([held if c == "tokens" else batch.column(c) for c in names_out], names_out)
 
-    return texts.select("id", "dl", "tokens").mapInArrow(run, f"id {dict(texts.dtypes)['id']}, dl int, tokens array<string>")
+    names_out = ["id", "dl", "tokens", *[c for c in texts.columns if c not in ("id", "dl", "tokens")]]
+    return texts.select(*names_out).mapInArrow(run, ", ".join(f"{c} {dict(texts.dtypes)[c]}" for c in names_out))
 
 
 def repeated(ids: DataFrame) -> bool:
     return not ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
 
-def build(chunks: DataFrame, id_column: str, text_column: str, wanted: DataFrame | None = None) -> Index:
+def build(chunks: DataFrame, id_column: str, text_column: str, wanted: DataFrame | None = None, owner_column: str | None = None) -> Index:
     """The index of a table of texts; one without tokens counts as one of length 1 in the average. Postings are made
     where the texts are read; they are shuffled only if an id has several rows, which are then counted together.
 
     With ``wanted`` (token), postings and terms are those of these tokens alone, with the numbers they have in the
     whole index: all that questions of these tokens need. Texts are read once; of each its length and these tokens are
-    saved in the shared folder, and so are terms and statistics.
+    saved in the shared folder, and so are terms and statistics. ``owner_column`` names what a text belongs to.
     """
-    texts = chunks.select(F.col(id_column).alias("id"), tokens(F.col(text_column)).alias("tokens")).withColumn("dl", F.size("tokens"))
+    owner = [F.col(owner_column).alias("owner")] if owner_column else []
+    texts = chunks.select(F.col(id_column).alias("id"), tokens(F.col(text_column)).alias("tokens"), *owner).withColumn("dl", F.size("tokens"))
     if wanted is not None:
         wanted = wanted.select("token").distinct()
         names = [r.token for r in wanted.limit(NAMED_TOKENS + 1).collect()]
@@ -107,7 +111,8 @@ def build(chunks: DataFrame, id_column: str, text_column: str, wanted: DataFrame
     if wanted is not None:
         terms, stats = saved(terms, "terms"), saved(stats, "stats")
     held = texts if wanted is not None and not several and len(names) <= NAMED_TOKENS else None
-    return Index(postings.select("id", "token", "tf", "dl"), terms, stats, held)
+    owners = chunks.select(F.col(id_column).alias("id"), *owner).where("id is not null and owner is not null").distinct() if owner else None
+    return Index(postings.select("id", "token", "tf", "dl"), terms, stats, held, owners)
 
 
 def size_stats(chunks: DataFrame, text_column: str) -> DataFrame:

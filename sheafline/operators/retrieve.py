@@ -61,10 +61,21 @@ def bm25(index: Index, questions: DataFrame, k: int = 40, variants: bool = False
     questions first, and the postings to what is left.
     """
     asked = query_terms(questions, variants)
-    if index.held is not None and within is None:
-        size = asked.agg(F.count_distinct("token").alias("t"), F.count_distinct(F.struct("qid", "variant")).alias("c")).first()
-        if size.t * size.c <= SCAN_CELLS:
-            return saved(ranked(_scan(index, asked, k), k), "bm25")
+    if within is None and _scannable(index, asked):
+        return saved(ranked(_scan(index, asked, k), k), "bm25")
+    return ranked(_joined(index, asked, variants, within), k)
+
+
+def _scannable(index: Index, asked: DataFrame) -> bool:
+    """Whether texts are held and the matrix of asked (qid, variant, token) fits into SCAN_CELLS."""
+    if index.held is None:
+        return False
+    size = asked.agg(F.count_distinct("token").alias("t"), F.count_distinct(F.struct("qid", "variant")).alias("c")).first()
+    return size.t * size.c <= SCAN_CELLS
+
+
+def _joined(index: Index, asked: DataFrame, variants: bool = False, within: Within | None = None) -> DataFrame:
+    """(qid, id, score): all BM25 scores above 0, from postings."""
     weighted = small(asked.join(index.terms.select("token", "idf"), "token"))
     norm = F.col("tf") + K1 * (1 - B + B * F.greatest(F.col("dl"), F.lit(1)) / F.col("avg_len"))
     postings = within.rows(index.postings) if within else index.postings
@@ -73,7 +84,7 @@ def bm25(index: Index, questions: DataFrame, k: int = 40, variants: bool = False
     if variants:
         scored = scored.groupBy("qid", "id").agg(F.max("score").alias("score"))
     scored = within.pairs(scored) if within else scored
-    return ranked(scored.where("score > 0").select("qid", "id", F.round("score", 6).alias("score")), k)
+    return scored.where("score > 0").select("qid", "id", F.round("score", 6).alias("score"))
 
 
 def weight_matrix(asked: DataFrame) -> tuple[np.ndarray, pa.Array, np.ndarray, pa.Array]:
@@ -88,8 +99,11 @@ def weight_matrix(asked: DataFrame) -> tuple[np.ndarray, pa.Array, np.ndarray, p
     return weights, names, np.searchsorted(column // 8, np.arange(len(qids))), qids
 
 
-def _scan(index: Index, asked: DataFrame, k: int) -> DataFrame:
-    """(qid, id, score): of each batch of texts each question's k best by BM25; asked (qid, variant, token) and its weights fit into SCAN_CELLS."""
+def _scan(index: Index, asked: DataFrame, k: int, by_owner: bool = False) -> DataFrame:
+    """(qid, id, score): of each batch of texts each question's k best by BM25; asked (qid, variant, token) and its weights fit into SCAN_CELLS.
+
+    By owner, (qid, id, score, owner): the best text of each of the k best owners.
+    """
     weights, names, firsts, qids = weight_matrix(asked.join(index.terms.select("token", "idf"), "token"))
     shared = index.held.sparkSession.sparkContext.broadcast((weights, names, firsts, qids))
     avg_len = float(index.stats.first().avg_len or 1.0)
@@ -113,10 +127,11 @@ def _scan(index: Index, asked: DataFrame, k: int) -> DataFrame:
                 m[cells] = tf * (K1 + 1) / norm
                 found = m.reshape(len(sizes), len(names)) @ weights
                 score[:, i : i + step] = np.maximum.reduceat(found, firsts, axis=1).T
-            yield from best_of(score, batch.column("id"), qids, k)
+            yield from best_owners_of(score, batch.column("id"), batch.column("owner"), qids, k) if by_owner else best_of(score, batch.column("id"), qids, k)
 
-    found = index.held.mapInArrow(products, f"qid {kinds[1]}, id {kinds[0]}, score double")
-    return found.select("qid", "id", F.round("score", 6).alias("score"))
+    owner = [("owner", dict(index.held.dtypes)["owner"])] if by_owner else []
+    found = (index.held.where("id is not null") if by_owner else index.held).mapInArrow(products, ", ".join(f"{c} {kind}" for c, kind in [("qid", kinds[1]), ("id", kinds[0]), ("score", "double"), *owner]))
+    return found.withColumn("score", F.round("score", 6))
 
 
 def best_of(exact: np.ndarray, ids: pa.Array, qids: pa.Array, k: int):
@@ -135,6 +150,39 @@ def best_of(exact: np.ndarray, ids: pa.Array, qids: pa.Array, k: int):
     yield pa.RecordBatch.from_arrays([qids.take(pa.array(row)), ids.take(pa.array(at)), pa.array(exact[row, at])], ["qid", "id", "score"])
 
 
+def best_owners_of(exact: np.ndarray, ids: pa.Array, owners: pa.Array, qids: pa.Array, k: int):
+    """As best_of(), of each question's k best owners the best id; ids without an owner are left out."""
+    coded = owners.dictionary_encode()
+    codes = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    place = np.empty(len(ids), np.int64)
+    place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+    order = np.lexsort((place, codes))[int((codes < 0).sum()) :]  # by owner, then by id
+    if not len(order) or not len(qids):
+        return
+    score, edges = np.round(exact[:, order], 6), np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
+    at = np.stack([low + score[:, low:high].argmax(axis=1) for low, high in zip(edges, edges[1:])], axis=1)
+    top = np.take_along_axis(score, at, 1)
+    row, owner = np.nonzero(top > 0)
+    sort = np.lexsort((place[order[at[row, owner]]], -top[row, owner], row))
+    row, owner = row[sort], owner[sort]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    row, owner = row[kept], owner[kept]
+    best = order[at[row, owner]]
+    yield pa.RecordBatch.from_arrays([qids.take(pa.array(row)), ids.take(pa.array(best)), pa.array(exact[row, best]), coded.dictionary.take(pa.array(owner))], ["qid", "id", "score", "owner"])
+
+
+def best_owners(index: Index, questions: DataFrame, k: int) -> DataFrame:
+    """(qid, owner, place): the k best owners of each question, each by the best of all its texts by BM25, ties to the smaller id.
+
+    Texts of an index for questions stay where they are, as in bm25(); the result is saved.
+    """
+    asked = query_terms(questions)
+    found = _scan(index, asked, k, by_owner=True) if _scannable(index, asked) else _joined(index, asked).join(index.owners, "id")
+    best = found.groupBy("qid", "owner").agg(F.min(F.struct((-F.col("score")).alias("score"), "id")).alias("best"))
+    place = F.row_number().over(W.partitionBy("qid").orderBy("best", "owner"))
+    return saved(best.withColumn("place", place).where(F.col("place") <= k).select("qid", "owner", "place"), "owners")
+
+
 def sparse_dense(chunk_slots: DataFrame, query_slots: DataFrame, k: int = 40, within: Within | None = None) -> DataFrame:
     """The k best by the product of sparse unit vectors: (id, slot, weight) against (qid, slot, weight); of the rows ``within``, if given."""
     chunk_slots = within.rows(chunk_slots) if within else chunk_slots
@@ -211,13 +259,18 @@ def minmax(score: Column, by: str = "qid") -> Column:
     return F.when(span < 1e-9, 0.5).otherwise((score - low) / span)
 
 
+def _weighted_terms(index: Index, questions: DataFrame) -> DataFrame:
+    """(token, qid, idf) as idf_coverage() takes them."""
+    asked = query_terms(questions).where(~F.col("token").isin(*INTERROGATIVES)).drop("variant")
+    return asked.join(index.terms.select("token", "idf"), "token", "left").withColumn("idf", F.coalesce("idf", F.lit(1.0)))
+
+
 def idf_coverage(index: Index, questions: DataFrame, pairs: DataFrame) -> DataFrame:
     """(qid, id, coverage): the share of the question's idf that the chunk's tokens cover.
 
     Interrogatives don't count; a token unknown to the index weighs 1.
     """
-    asked = query_terms(questions).where(~F.col("token").isin(*INTERROGATIVES)).drop("variant")
-    weighted = asked.join(index.terms.select("token", "idf"), "token", "left").withColumn("idf", F.coalesce("idf", F.lit(1.0)))
+    weighted = _weighted_terms(index, questions)
     total = weighted.groupBy("qid").agg(F.sum("idf").alias("total"))
     if index.held is not None:  # the texts of the pairs, if these can be broadcast
         told = index.held.join(small(pairs.select("id").distinct()), "id", "left_semi").select("id", F.explode(F.array_distinct("tokens")).alias("token"))
@@ -304,18 +357,64 @@ def mmr(candidates: DataFrame, vectors: DataFrame, lam: float, k: int) -> DataFr
     return rows.groupBy("qid").applyInPandas(pick, f"qid {kinds['qid']}, id {kinds['id']}, score double, rank int")
 
 
-def drill_down(kept: DataFrame, summaries: DataFrame, coverage: DataFrame, k: int) -> DataFrame:
+def covered_members(index: Index, questions: DataFrame, kept: DataFrame, k: int) -> DataFrame:
+    """(qid, owner, id, coverage): of all texts of the owners kept (qid, owner) for a question; among them are the k best covered of each.
+
+    Coverage is that of idf_coverage(), ids are strings, ties go to the smaller. Texts of an index for questions stay where they are;
+    each batch keeps k of every question and owner.
+    """
+    weighted = _weighted_terms(index, questions)
+    if not _scannable(index, query_terms(questions)):
+        pairs = index.owners.join(small(kept.select("qid", "owner")), "owner")
+        told = pairs.join(idf_coverage(index, questions, pairs.select("qid", "id").distinct()), ["qid", "id"])
+        return told.select("qid", "owner", F.col("id").cast("string").alias("id"), "coverage")
+    weights, names, _, qids = weight_matrix(weighted.withColumn("variant", F.lit(0)))
+    chosen = kept.select("qid", "owner").distinct().toArrow()  # k of each question, whose terms fit into SCAN_CELLS
+    shared = index.held.sparkSession.sparkContext.broadcast((weights, weights.sum(axis=0), names, pc.index_in(chosen.column("qid"), qids).fill_null(-1).to_numpy(), chosen))
+
+    def products(batches):
+        weights, total, names, columns, chosen = shared.value
+        step = max(1, STEP_CELLS // max(1, len(names)))
+        for batch in batches:
+            coded = batch.column("owner").dictionary_encode()
+            place = np.empty(batch.num_rows, np.int64)
+            place[pc.sort_indices(batch.column("id")).to_numpy()] = np.arange(batch.num_rows)
+            order = np.lexsort((place, coded.indices.to_numpy(zero_copy_only=False)))
+            edges = np.searchsorted(coded.indices.to_numpy(zero_copy_only=False)[order], np.arange(len(coded.dictionary) + 1))
+            wanting = pc.index_in(chosen.column("owner"), coded.dictionary).fill_null(-1).to_numpy()
+            for owner in np.unique(wanting[wanting >= 0]):
+                asking = np.flatnonzero(wanting == owner)
+                known = columns[asking] >= 0  # a question of interrogatives alone covers nothing
+                for low in range(edges[owner], edges[owner + 1], step):
+                    rows = order[low : min(low + step, edges[owner + 1])]
+                    words = batch.column("tokens").take(pa.array(rows))
+                    codes = pc.index_in(words.flatten(), names).fill_null(-1).to_numpy(zero_copy_only=False)
+                    row = np.repeat(np.arange(len(rows)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+                    m = np.zeros((len(rows), len(names)))
+                    m[row[codes >= 0], codes[codes >= 0]] = 1
+                    covered = np.zeros((len(rows), len(asking)))
+                    covered[:, known] = np.round(m @ weights[:, columns[asking[known]]] / total[columns[asking[known]]], 6)
+                    best = np.argsort(-covered, axis=0, kind="stable")[:k]
+                    of = np.broadcast_to(np.arange(len(asking)), best.shape)
+                    told = [chosen.column(c).combine_chunks().take(pa.array(asking[of.ravel()])) for c in ("qid", "owner")]
+                    yield pa.RecordBatch.from_arrays([*told, batch.column("id").take(pa.array(rows[best.ravel()])), pa.array(covered[best.ravel(), of.ravel()])], ["qid", "owner", "id", "coverage"])
+
+    kinds = dict(kept.dtypes)
+    held = index.held.where("id is not null and owner is not null").select(F.col("id").cast("string").alias("id"), "owner", "tokens")
+    return held.mapInArrow(products, f"qid {kinds['qid']}, owner {kinds['owner']}, id string, coverage double")
+
+
+def drill_down(kept: DataFrame, members: DataFrame, k: int) -> DataFrame:
     """Kept summaries with their members behind them, the best covered first, k of each at most.
 
-    summaries: (id, member_ids); coverage: (qid, id, coverage) of members. Returns
-    qid, id, expanded_from, place.
+    kept: (qid, owner, place); members: (qid, owner, id, coverage) with the k best covered of each at least. Returns
+    qid, at, expanded_from, id, place.
     """
-    members = kept.join(summaries, "id").select("qid", F.col("rank").alias("at"), F.col("id").alias("expanded_from"), F.explode("member_ids").alias("id"))
-    graded = members.join(coverage, ["qid", "id"], "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
-    order = W.partitionBy("qid", "expanded_from").orderBy(F.desc("coverage"), "id")
-    graded = graded.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-    own = kept.select("qid", F.col("rank").alias("at"), F.lit(None).cast(dict(kept.dtypes)["id"]).alias("expanded_from"), "id", F.lit(0).alias("place"))
-    return own.unionByName(graded.select("qid", "at", "expanded_from", "id", "place"))
+    order = W.partitionBy("qid", "owner").orderBy(F.desc("coverage"), "id")
+    graded = members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    graded = graded.join(small(kept.select("qid", "owner", F.col("place").alias("at"))), ["qid", "owner"])
+    own = kept.select("qid", F.col("place").alias("at"), F.lit(None).cast(dict(kept.dtypes)["owner"]).alias("expanded_from"), F.col("owner").alias("id"), F.lit(0).alias("place"))
+    return own.unionByName(graded.select("qid", "at", F.col("owner").alias("expanded_from"), "id", "place"))
 
 
 def fit_budget(kept: DataFrame, sizes: DataFrame, budget: int = 6000) -> DataFrame:
